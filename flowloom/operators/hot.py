@@ -28,6 +28,8 @@ from flowloom.session import durable
 
 CHUNK_KEY = TUPLE_KEY + ["chunk"]
 PIECE_KEY = TUPLE_KEY + ["piece"]
+# Slice width of a piece whose remaining records all fit in one task.
+NO_LIMIT = 1 << 62
 CUT_SCHEMA = (
     "capture_id string, lo_ip string, lo_port int, hi_ip string, hi_port int, proto int, "
     "piece long, pkt_no long, ts_ns long"
@@ -181,40 +183,44 @@ def _phase_bucket(phase: Column) -> Column:
 
 
 def walk_round(records: DataFrame, active: DataFrame, timeout_ns: int, rows: int) -> DataFrame:
-    """Cuts that one round finds for the active pieces (PIECE_KEY, chunk, at)."""
-    ahead = records.join(active, PIECE_KEY + ["chunk"]).filter(
-        F.col("ts_ns") - F.col("at") > timeout_ns
-    )
-    ahead = ahead.withColumn("phase", (F.col("ts_ns") - F.col("at")) % timeout_ns)
-    counts = (
-        ahead.groupBy(*PIECE_KEY, "at", _phase_bucket(F.col("phase")).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts_ns", "pkt_no")).alias("next"))
+    """Cuts that one round finds for the active pieces (PIECE_KEY, chunk, at).
+
+    Joins go by piece and chunk: there is no key with more than ``rows`` records.
+    """
+    spread = PIECE_KEY + ["chunk"]
+    phase = (F.col("ts_ns") - F.col("at")) % timeout_ns
+    ahead = records.join(active, spread).filter(F.col("ts_ns") - F.col("at") > timeout_ns)
+    counts = ahead.groupBy(*PIECE_KEY, "at", _phase_bucket(phase).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("ts_ns", "pkt_no")).alias("next")
     )
     by_bucket = Window.partitionBy(*PIECE_KEY).orderBy("bucket")
-    sized = counts.withColumn(
-        "fits", F.sum("n").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)) <= rows
-    )
-    plan = sized.groupBy(*PIECE_KEY, "at").agg(
-        F.min("next").alias("next"),
-        F.max(F.when(F.col("fits"), F.pow(F.lit(2.0), "bucket").cast("long"))).alias("width"),
-    )
-    plan = durable(
-        plan.select(
+    upto = by_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plan = (
+        counts.withColumn("fits", F.sum("n").over(upto) <= rows)
+        .groupBy(*PIECE_KEY, "at")
+        .agg(
+            F.min("next").alias("next"),
+            F.bool_and("fits").alias("all_fit"),
+            F.max(F.when(F.col("fits"), F.pow(F.lit(2.0), "bucket").cast("long"))).alias("width"),
+        )
+        .select(
             *PIECE_KEY,
-            "at",
             F.col("next.pkt_no").alias("next_pkt"),
             F.col("next.ts_ns").alias("next_ts"),
-            F.coalesce("width", F.lit(0)).alias("width"),
+            F.when(F.col("all_fit"), F.lit(NO_LIMIT))
+            .otherwise(F.coalesce("width", F.lit(0)))
+            .alias("width"),
         )
     )
+    plan = durable(plan)
     first = plan.select(*PIECE_KEY, F.col("next_pkt").alias("pkt_no"), F.col("next_ts").alias("ts_ns"))
-    candidates = (
-        ahead.drop("at")
-        .join(plan, PIECE_KEY)
-        .filter((F.col("phase") < F.col("width")) & (F.col("ts_ns") > F.col("next_ts")))
+    more = (
+        records.join(active.join(plan, PIECE_KEY), spread)
+        .filter((F.col("ts_ns") > F.col("next_ts")) & (phase < F.col("width")))
         .select(*PIECE_KEY, "pkt_no", "ts_ns", "at", "next_ts", "width")
+        .groupBy(*PIECE_KEY)
+        .applyInPandas(_walker(timeout_ns), CUT_SCHEMA)
     )
-    more = candidates.groupBy(*PIECE_KEY).applyInPandas(_walker(timeout_ns), CUT_SCHEMA)
     return durable(first.unionByName(more))
 
 

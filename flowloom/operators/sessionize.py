@@ -29,6 +29,9 @@ from flowloom.schema import ACTIVE_TIMEOUT_NS, TUPLE_KEY
 
 # Rows of one conversation a single task may sort and hold.
 HOT_ROWS = 1_000_000
+# Hot conversations are listed in a broadcast up to this many (about 100 bytes each).
+BROADCAST_TUPLES = 200_000
+SALTS = 256
 
 
 def hard_cut(previous_closed: Column) -> Column:
@@ -139,12 +142,22 @@ def split_by_size(keyed: DataFrame, hot_rows: int | None) -> tuple[DataFrame, Da
     """
     if hot_rows is None:
         return keyed, None
-    hot = keyed.groupBy(*TUPLE_KEY).count().filter(F.col("count") > hot_rows).select(*TUPLE_KEY)
-    hot = hot.persist()
-    if hot.isEmpty():
+    large = F.col("count") > hot_rows
+    hot = keyed.groupBy(*TUPLE_KEY).count().filter(large).select(*TUPLE_KEY).persist()
+    size = hot.count()
+    if size == 0:
         hot.unpersist()
         return keyed, None
-    return keyed.join(hot, TUPLE_KEY, "left_anti"), keyed.join(hot, TUPLE_KEY, "left_semi")
+    on = list(TUPLE_KEY)
+    if size <= BROADCAST_TUPLES:
+        hot = F.broadcast(hot)
+    else:
+        # Spread each hot key over many join keys instead.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        hot = hot.withColumn("salt", salts.cast("long"))
+        keyed = keyed.withColumn("salt", F.pmod("pkt_no", F.lit(SALTS)))
+        on.append("salt")
+    return keyed.join(hot, on, "left_anti").drop("salt"), keyed.join(hot, on, "left_semi").drop("salt")
 
 
 def assign_flows(
