@@ -17,7 +17,8 @@ def hex_list(values: Column) -> Column:
 
 
 def join_or_dash(values: Column) -> Column:
-    return F.when(F.size(values) > 0, F.array_join(values, ";")).otherwise(F.lit("-"))
+    text = F.when(F.size(values) > 0, F.array_join(values, ";")).otherwise(F.lit("-"))
+    return F.when(values.isNotNull(), text)
 
 
 def bytes_as_text(values: Column) -> Column:
@@ -26,8 +27,24 @@ def bytes_as_text(values: Column) -> Column:
 
 
 def fixed3(value: Column) -> Column:
-    """Three decimals, ties to even."""
-    return F.bround(value, 3)
+    """Three decimals of the binary value, ties to even (0.0625 is 0.062, 2.0005 is 2.001).
+
+    ``bround`` sees the shortest decimal form and takes 2.0005 for a tie, while the number
+    stored is a little more. Where that form is a tie, the exact rest of ``value * 10000``
+    tells the side; it follows from the two halves of the mantissa without rounding.
+    """
+    scaled = value * 10000.0
+    carry = value * 134217729.0
+    high = carry - (carry - value)
+    rest = (high * 10000.0 - scaled) + (value - high) * 10000.0
+    tie = (scaled == F.floor(scaled)) & (F.abs(scaled) % 10 == 5)
+    down = F.floor(scaled / 10.0) / 1000.0
+    up = F.ceil(scaled / 10.0) / 1000.0
+    return F.when(tie & (rest > 0), up).when(tie & (rest < 0), down).otherwise(F.bround(value, 3))
+
+
+def fixed3_text(value: Column) -> Column:
+    return F.format_string("%.3f", fixed3(value))
 
 
 def grease(value: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.text import stripped
 from flowloom.operators import tuples
-from flowloom.schema import BUILDER_COLUMNS, TUPLE_KEY
+from flowloom.operators.datasets import coerce_numbers
+from flowloom.schema import BUILDER_COLUMNS, BUILDER_INTEGERS, BUILDER_NUMBERS, TUPLE_KEY
 
 # --- Fixed values -------------------------------------------------------------------------
 AVERAGE_TOLERANCE = 1e-3
@@ -17,11 +18,21 @@ SAMPLE_SIZES = {"tcp_plain": 4, "tcp_hello": 4, "udp": 2, "reset_or_fin": 2}
 SAMPLE_TOP = 2
 
 
+def typed_rows(rows: DataFrame) -> DataFrame:
+    """Number columns of a raw flow file as numbers; a flow table passes unchanged."""
+    kinds = dict(rows.dtypes)
+    if all(kinds.get(c) != "string" for c in BUILDER_NUMBERS):
+        return rows
+    whole = {c: F.col(c).cast("long") for c in BUILDER_INTEGERS + ["duration_ns"]}
+    return coerce_numbers(rows).withColumns(whole)
+
+
 def violations() -> dict[str, Column]:
     """Six predicates that no flow row may satisfy."""
 
     def split_mismatch(measure: str) -> Column:
-        return F.col(f"{measure}_total") != F.col(f"{measure}_c2s") + F.col(f"{measure}_s2c")
+        parts = F.col(f"{measure}_c2s") + F.col(f"{measure}_s2c")
+        return F.coalesce(F.col(f"{measure}_total") != parts, F.lit(True))
 
     def filled(name: str) -> Column:
         return ~F.lower(stripped(F.coalesce(F.col(name).cast("string"), F.lit("")))).isin(PLACEHOLDERS)
@@ -49,13 +60,14 @@ def violations() -> dict[str, Column]:
 
 def check_flows(rows: DataFrame) -> DataFrame:
     """Number of violations of each invariant, in one pass."""
+    rows = typed_rows(rows)
     return rows.agg(*[F.count_if(bad).alias(name) for name, bad in violations().items()])
 
 
 def violating_flows(rows: DataFrame) -> DataFrame:
     """The rows behind the counts, with the names of the invariants they break."""
     names = F.array_compact(F.array(*[F.when(bad, F.lit(n)) for n, bad in violations().items()]))
-    return rows.withColumn("violations", names).filter(F.size("violations") > 0)
+    return typed_rows(rows).withColumn("violations", names).filter(F.size("violations") > 0)
 
 
 def strata() -> dict[str, Column]:
@@ -71,7 +83,7 @@ def strata() -> dict[str, Column]:
 def top_flows(rows: DataFrame, k: int = SAMPLE_TOP, tie_break: list[str] | None = None) -> DataFrame:
     """The k flows with most packets; ties fall by the remaining columns."""
     order = [F.desc("packets_total")] + [F.asc(c) for c in tie_break or BUILDER_COLUMNS]
-    return rows.orderBy(*order).limit(k)
+    return typed_rows(rows).orderBy(*order).limit(k)
 
 
 def stratified_sample(rows: DataFrame, seed: int = SAMPLE_SEED, sizes: dict[str, int] | None = None) -> DataFrame:
@@ -82,8 +94,10 @@ def stratified_sample(rows: DataFrame, seed: int = SAMPLE_SEED, sizes: dict[str,
     table. A stratum with fewer rows than asked for gives none.
     """
     sizes = sizes or SAMPLE_SIZES
-    flows = rows.select(*BUILDER_COLUMNS)
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in BUILDER_COLUMNS]
+    flows = typed_rows(rows).select(*BUILDER_COLUMNS)
+    # Fractions have no common text form, so the digest goes without them.
+    whole = [c for c in BUILDER_COLUMNS if c != "avg_wirelen_total"]
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in whole]
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *text))
     kinds = F.array_compact(F.array(*[F.when(strata()[n], F.lit(n)) for n in sizes]))
     members = flows.withColumns({"digest": digest, "stratum": F.explode(kinds)})

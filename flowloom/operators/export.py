@@ -32,12 +32,8 @@ def with_hello_columns(flows: DataFrame) -> DataFrame:
     ).drop("hello")
 
 
-def flow_rows(flows: DataFrame) -> DataFrame:
-    """Flow table as the builder and the checks read it, with the exact average."""
-    return with_hello_columns(flows)
-
-
 def export_rows(flows: DataFrame) -> DataFrame:
     """The rows of a flow CSV file: 33 columns, average to three decimals."""
-    rows = with_hello_columns(flows).withColumn("avg_wirelen_total", hexfmt.fixed3(F.col("avg_wirelen_total")))
+    average = hexfmt.fixed3_text(F.col("avg_wirelen_total"))
+    rows = with_hello_columns(flows).withColumn("avg_wirelen_total", average)
     return rows.select(*FLOW_CSV_COLUMNS)

@@ -123,7 +123,7 @@ def mark_starts(rows: DataFrame, timeout_ns: int) -> DataFrame:
         .withColumn("peak", peak["ts_ns"])
         .withColumn("starts", hard | ((ts - F.col("peak")) > timeout_ns))
         .withColumn("record", F.col("starts") | (ts > F.col("peak")))
-        .select(*CHUNK_KEY, "pkt_no", "ts_ns", "client_is_lo", "starts", "record")
+        .select(*CHUNK_KEY, "pkt_no", "ts_ns", "client_is_lo", "hard", "starts", "record")
     )
 
 
@@ -274,6 +274,7 @@ def number_chunks(marked: DataFrame) -> DataFrame:
         "capture_id",
         "pkt_no",
         "client_is_lo",
+        F.col("hard").alias("fresh"),
         F.coalesce("open_pkt", "open_before").alias("open_pkt"),
         (count - 1).alias("flow_instance"),
     )

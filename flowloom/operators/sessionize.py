@@ -72,7 +72,8 @@ def mark_pieces(packets: DataFrame, timeout_ns: int) -> DataFrame:
                 F.lit(False),
             ),
         )
-        .drop("hard", "segment", "peak", "starts", "piece_ts")
+        .withColumnRenamed("hard", "fresh")
+        .drop("segment", "peak", "starts", "piece_ts")
     )
 
 
@@ -99,7 +100,8 @@ def greedy_cuts(rows: Column, timeout_ns: int) -> Column:
 def split_tails(tails: DataFrame, timeout_ns: int) -> DataFrame:
     """Walk each tail and give its packets the flow they belong to."""
     group = TUPLE_KEY + ["client_is_lo", "piece"]
-    carried = [c for c in tails.columns if c not in group + ["pkt_no", "tail"]]
+    # Nothing but timeouts cuts inside a tail.
+    carried = [c for c in tails.columns if c not in group + ["pkt_no", "tail", "fresh"]]
     cuts, rows = F.col("cuts"), F.col("rows")
     stops = F.slice(F.concat(cuts, F.array(F.size(rows) + 1)), 2, F.size(cuts))
     return (
@@ -109,6 +111,7 @@ def split_tails(tails: DataFrame, timeout_ns: int) -> DataFrame:
         .select(*group, "rows", F.explode(F.arrays_zip(cuts.alias("a"), stops.alias("b"))).alias("run"))
         .select(*group, F.expr("slice(rows, run.a, run.b - run.a)").alias("rows"))
         .select(*group, F.element_at(rows, 1)["pkt_no"].alias("open_pkt"), F.inline(rows))
+        .withColumn("fresh", F.lit(False))
         .drop("piece")
     )
 
@@ -176,7 +179,10 @@ def assign_flows(
 def label_packets(
     packets: DataFrame, timeout_ns: int = ACTIVE_TIMEOUT_NS, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
-    """Every TCP and UDP packet with its flow, direction and flow instance number."""
+    """Every TCP and UDP packet with its flow, direction and flow instance number.
+
+    ``fresh`` marks packets that open a flow for another reason than the timeout.
+    """
     cold, hot = assign_flows(packets, timeout_ns, hot_rows)
     labelled = number_packets(cold)
     if hot is not None:

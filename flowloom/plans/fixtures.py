@@ -50,3 +50,180 @@ def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         (kind == "click").alias("psh"),
         F.when(kind.isin("click", "purchase"), F.col("size")).otherwise(F.lit(0)).alias("payload_len"),
     )
+
+
+# --- ClientHello bytes from customers ------------------------------------------------------
+
+
+def _prefixed(data, size: int):
+    """Hex text behind its length in bytes; the array gives the text a name to use it twice."""
+
+    def prefixed(text):
+        return F.concat(F.lpad(F.hex((F.length(text) / 2).cast("long")), 2 * size, "0"), text)
+
+    return F.transform(F.array(data), prefixed)[0]
+
+
+def _record(data):
+    return F.concat(F.lit("160301"), _prefixed(data, 2))
+
+
+def customer_hellos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """c_custkey and the ``hello`` bytes of a record stream with fields chosen by the key.
+
+    Every 17th has an odd cipher length and is no hello, every 13th spans two records, every
+    11th follows other bytes.
+    """
+    key = F.col("c_custkey")
+
+    def hex16(value):
+        return F.lpad(F.hex(value), 4, "0")
+
+    suites = F.array_join(
+        F.transform(F.sequence(F.lit(0), F.pmod(key, F.lit(5))), lambda i: hex16(49152 + (key * 7 + i * 13) % 256)),
+        "",
+    )
+    suites = F.concat(F.when(key % 2 == 0, F.lit("0A0A")).otherwise(F.lit("")), suites)
+    suites = F.when(key % 17 == 0, F.concat(suites, F.lit("00"))).otherwise(suites)
+    name = F.hex(F.concat(F.lit("c"), key, F.lit(".example")))
+    server = F.concat(F.lit("0000"), _prefixed(_prefixed(F.concat(F.lit("00"), _prefixed(name, 2)), 2), 2))
+    # h2 and http/1.1
+    protocols = F.lit("0010000E000C02683208687474702F312E31")
+    parts = [(key % 3 == 0, server), (key % 4 == 0, protocols), (key % 5 == 0, F.lit("1A1A0000"))]
+    block = F.concat(*[F.when(chosen, part).otherwise(F.lit("")) for chosen, part in parts])
+    extensions = F.when(key % 7 == 0, F.lit("")).otherwise(_prefixed(block, 2))
+    random = F.concat(F.md5(key.cast("string")), F.md5("c_name"))
+    body = F.concat(F.lit("0303"), random, F.lit("00"), _prefixed(suites, 2), F.lit("0100"), extensions)
+    message = F.concat(F.lit("01"), _prefixed(body, 3))
+    two = F.concat(_record(F.substring(message, 1, 80)), _record(F.expr("substring(message, 81)")))
+    stream = F.when(key % 13 == 0, two).otherwise(_record(F.col("message")))
+    stream = F.concat(F.when(key % 11 == 0, F.hex(F.lit("EHLO\r\n"))).otherwise(F.lit("")), stream)
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    named = customers.select("c_custkey", F.explode(F.array(message)).alias("message"))
+    return named.select("c_custkey", F.explode(F.array(F.unhex(stream))).alias("hello"))
+
+
+def customer_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One TCP conversation per customer with the hello in three segments, some out of order."""
+    key = F.col("c_custkey")
+
+    def packet(no, client: bool, flags: str, start, stop):
+        size = F.when(stop.isNull(), F.length("hello") - start).otherwise(stop - start)
+        return F.struct(
+            F.lit(no).alias("no"),
+            F.lit(client).alias("client"),
+            *[F.lit(f in flags).alias(n) for f, n in zip("SAFRP", ["syn", "ack", "fin", "rst", "psh"])],
+            (F.lit(1000) + start).cast("long").alias("seq"),
+            F.substring("hello", start + 1, size).alias("payload"),
+        )
+
+    def at(value):
+        return F.lit(value).cast("int")
+
+    none, swap = at(0), key % 2 == 0
+    second = packet(4, True, "A", at(20), at(60))
+    third = packet(4, True, "A", at(60), at(None))
+    script = F.array(
+        packet(0, True, "S", none, none),
+        packet(1, False, "SA", none, none),
+        packet(2, True, "A", none, none),
+        packet(3, True, "A", none, at(20)),
+        F.when(swap, third).otherwise(second),
+        F.when(swap, second.withField("no", F.lit(5))).otherwise(third.withField("no", F.lit(5))),
+        packet(6, False, "AP", none, none),
+        packet(7, True, "FA", none, none),
+    )
+    client_ip = F.concat(F.lit("10.1."), F.expr("c_custkey div 10000"), F.lit(".1"))
+    port = (F.lit(20000) + key % 10000).cast("int")
+    rows = customer_hellos(spark, sf_dir).select("c_custkey", F.inline(script))
+    side = F.col("client")
+    size = F.length("payload").cast("long")
+    return rows.select(
+        F.lit("0").alias("capture_id"),
+        (key * 16 + F.col("no")).alias("pkt_no"),
+        (key * 1000 + F.col("no")).alias("ts_ns"),
+        (size + 60).alias("caplen"),
+        (size + 60).alias("wirelen"),
+        F.when(side, client_ip).otherwise(F.lit("192.0.2.9")).alias("src_ip"),
+        F.when(side, F.lit("192.0.2.9")).otherwise(client_ip).alias("dst_ip"),
+        F.when(side, port).otherwise(F.lit(443)).alias("src_port"),
+        F.when(side, F.lit(443)).otherwise(port).alias("dst_port"),
+        F.lit(6).alias("proto"),
+        *["syn", "ack", "fin", "rst", "psh", "seq", "payload"],
+        size.alias("payload_len"),
+    )
+
+
+def customer_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four segments per customer: in order, swapped, overlapping or with a late start."""
+    key = F.col("c_custkey")
+    text = F.concat_ws("|", "c_name", "c_mktsegment", F.lit("0123456789"))
+    width = (F.lit(5) + key % 5).cast("int")
+    kind = key % 4
+
+    def segment(no, index: int):
+        # Overlapping segments begin two bytes early.
+        start = width * index - F.when((kind == 2) & F.lit(index > 0), F.lit(2)).otherwise(F.lit(0))
+        size = F.when(F.lit(index == 3), F.length("text")).otherwise(width * (index + 1)) - start
+        return F.struct(
+            no.cast("long").alias("pkt_no"),
+            (F.lit(4_000_000_000) + start).cast("long").alias("seq"),
+            F.encode(F.substring("text", start + 1, size), "UTF-8").alias("payload"),
+        )
+
+    order = [
+        F.when(kind == 3, F.lit(1)).otherwise(F.lit(0)),
+        F.when(kind == 3, F.lit(0)).when(kind == 1, F.lit(2)).otherwise(F.lit(1)),
+        F.when(kind == 1, F.lit(1)).otherwise(F.lit(2)),
+        F.lit(3),
+    ]
+    customers = table(spark, sf_dir, "customer").withColumn("text", text)
+    return customers.select(
+        F.lit("0").alias("capture_id"),
+        key.alias("open_pkt"),
+        F.inline(F.array(*[segment(no, i) for i, no in enumerate(order)])),
+    )
+
+
+# --- Frames from events --------------------------------------------------------------------
+
+
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame bytes of the event packets: some with a VLAN tag, some IPv6, some padded."""
+    packets = event_packets(spark, sf_dir).withColumn("no", F.col("pkt_no"))
+    no, proto = F.col("no"), F.col("proto")
+
+    def hexed(value, size: int):
+        return F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+
+    def v4(name: str):
+        return F.array_join(F.transform(F.split(name, r"\."), lambda p: hexed(p, 1)), "")
+
+    def v6(name: str):
+        return F.concat(F.lit("20010DB8" + "0" * 16), v4(name))
+
+    six = no % 11 == 0
+    data = F.repeat(F.lit("16"), F.col("payload_len").cast("int"))
+    bits = sum([F.col(f).cast("int") * b for f, b in [("fin", 1), ("syn", 2), ("rst", 4), ("psh", 8), ("ack", 16)]], F.lit(0))
+    ports = F.concat(hexed(F.col("src_port"), 2), hexed(F.col("dst_port"), 2))
+    tcp = F.concat(ports, hexed(no * 1000, 4), F.lit("00000000"), F.lit("50"), hexed(bits, 1), F.lit("FFFF00000000"), data)
+    udp = F.concat(ports, hexed(F.col("payload_len") + 8, 2), F.lit("0000"), data)
+    transport = F.when(proto == 6, tcp).when(proto == 17, udp).otherwise(F.lit("0800000000000000"))
+    length = (F.length(transport) / 2).cast("long")
+    four_header = F.concat(
+        F.lit("4500"), hexed(length + 20, 2), F.lit("0000400040"), hexed(proto, 1), F.lit("0000"), v4("src_ip"), v4("dst_ip")
+    )
+    six_header = F.concat(F.lit("60000000"), hexed(length, 2), hexed(proto, 1), F.lit("40"), v6("src_ip"), v6("dst_ip"))
+    tag = F.when(no % 4 == 1, F.lit("81000064")).otherwise(F.lit(""))
+    link = F.concat(F.lit("020000000001020000000002"), tag, F.when(six, F.lit("86DD")).otherwise(F.lit("0800")))
+    padding = F.when(no % 5 == 0, F.lit("000000000000")).otherwise(F.lit(""))
+    frame = F.concat(link, F.when(six, six_header).otherwise(four_header), transport, padding)
+    return packets.select(
+        "capture_id",
+        "pkt_no",
+        "ts_ns",
+        "caplen",
+        F.when(no % 9 == 0, F.lit(0)).otherwise(F.col("wirelen")).alias("frame_len"),
+        F.lit(1).alias("linktype"),
+        F.unhex(frame).alias("frame"),
+    )
