@@ -10,12 +10,14 @@ carried in a durable table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowloom.functions import tls
 from flowloom.functions.reassembly import ClientStream
@@ -42,7 +44,8 @@ STATE_SCHEMA = T.StructType(
         T.StructField("held_data", T.ArrayType(T.BinaryType())),
     ]
 )
-STREAM_SCHEMA = "capture_id string, open_pkt long, stream binary"
+# pkt_no of the row that carries the state of a flow into the next round.
+STATE_ROW = -1
 
 
 def client_payloads(labelled: DataFrame) -> DataFrame:
@@ -77,34 +80,102 @@ def payload_index(packets: DataFrame, timeout_ns: int, hot_rows: int | None) ->
     return found.join(sizes, FLOW_ID + ["chunk"]).select(*FLOW_ID, "pkt_no", "seq", "batch")
 
 
-def _search(segments: pd.DataFrame, state: pd.DataFrame | None) -> pd.DataFrame:
-    """Feed one batch of a flow; stop at the first hello."""
-    search = tls.HelloSearch()
-    client = ClientStream()
-    known = state is not None and len(state) > 0
-    if known:
-        was = state.iloc[0]
-        client = ClientStream(int(was["next_seq"]), dict(zip(was["held_seq"], was["held_data"])))
-        search.feed(was["tail"])
-    if len(segments) == 0:
-        return pd.DataFrame(columns=STATE_SCHEMA.fieldNames())
-    segments = segments.sort_values("pkt_no")
-    hello = None
-    for seq, payload in zip(segments["seq"], segments["payload"]):
-        fresh = client.feed(int(seq), payload)
-        hello = search.feed(fresh) if fresh else None
-        if hello is not None:
-            break
-    head = segments.iloc[0]
-    carried = (None, None, None, None)
-    if hello is None:
-        carried = (client.next_seq, search.tail(), list(client.held), list(client.held.values()))
-    row = (head["capture_id"], head["open_pkt"], hello and hello._asdict(), *carried)
-    return pd.DataFrame([row], columns=STATE_SCHEMA.fieldNames())
-
-
-def _search_first(segments: pd.DataFrame) -> pd.DataFrame:
-    return _search(segments, None)
+class _Search:
+    """First hello of one flow, from its segments in arrival order."""
+
+    schema = STATE_SCHEMA
+
+    def __init__(self) -> None:
+        self.client = ClientStream()
+        self.search = tls.HelloSearch()
+        self.hello: tls.Fields | None = None
+
+    def resume(self, next_seq: int, tail: bytes, held: dict[int, bytes]) -> None:
+        self.client = ClientStream(next_seq, held)
+        self.search.feed(tail)
+
+    def add(self, seq: int, payload: bytes) -> None:
+        if self.hello is None:
+            fresh = self.client.feed(seq, payload)
+            self.hello = self.search.feed(fresh) if fresh else None
+
+    def result(self) -> tuple:
+        if self.hello is not None:
+            return self.hello._asdict(), None, None, None, None
+        held = self.client.held
+        return None, self.client.next_seq, self.search.tail(), list(held), list(held.values())
+
+
+class _Stream:
+    """All in-order bytes of one flow."""
+
+    schema = T.StructType([*STATE_SCHEMA.fields[:2], T.StructField("stream", T.BinaryType())])
+
+    def __init__(self) -> None:
+        self.client = ClientStream()
+        self.stream = bytearray()
+
+    def add(self, seq: int, payload: bytes) -> None:
+        self.stream += self.client.feed(seq, payload)
+
+    def result(self) -> tuple:
+        return (bytes(self.stream),)
+
+
+def _per_flow(segments: DataFrame, kind: type) -> DataFrame:
+    """Run ``kind`` over each flow's segments; a task streams through its sorted flows.
+
+    Flows lie one after the other in a partition, so that a task holds one flow's state and
+    one Arrow batch, however many flows or segments there are.
+    """
+    schema = to_arrow_schema(kind.schema)
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flow, worker, done = None, None, []
+        for batch in batches:
+            for *name, pkt_no, seq, payload, held_seq, held in zip(*[c.to_pylist() for c in batch.columns]):
+                if name != flow:
+                    if worker is not None:
+                        done.append((*flow, *worker.result()))
+                    flow, worker = name, kind()
+                if pkt_no == STATE_ROW:
+                    worker.resume(seq, payload, dict(zip(held_seq, held)))
+                else:
+                    worker.add(seq, payload)
+            if done:
+                yield emit(done)
+                done = []
+        if worker is not None:
+            yield emit([(*flow, *worker.result())])
+
+    columns = [*FLOW_ID, "pkt_no", "seq", "payload", "held_seq", "held_data"]
+    placed = segments.select(*columns).repartition(*FLOW_ID).sortWithinPartitions(*FLOW_ID, "pkt_no")
+    return placed.mapInArrow(run, kind.schema)
+
+
+def _without_state(segments: DataFrame) -> DataFrame:
+    return segments.withColumns(
+        {
+            "held_seq": F.lit(None).cast("array<bigint>"),
+            "held_data": F.lit(None).cast("array<binary>"),
+        }
+    )
+
+
+def _state_rows(states: DataFrame) -> DataFrame:
+    """Carried state as a first segment of the flow."""
+    return states.select(
+        *FLOW_ID,
+        F.lit(STATE_ROW).cast("long").alias("pkt_no"),
+        F.col("next_seq").alias("seq"),
+        F.col("tail").alias("payload"),
+        "held_seq",
+        "held_data",
+    )
 
 
 def first_hellos(
@@ -122,11 +193,12 @@ def first_hellos(
         if batch:
             open_flows = rounds[-1].filter(F.col("hello").isNull())
             part = part.join(open_flows.select(*FLOW_ID), FLOW_ID, "left_semi")
-        segments = part.join(payloads, ["capture_id", "pkt_no"]).groupBy(*FLOW_ID)
+        segments = _without_state(part.join(payloads, ["capture_id", "pkt_no"]).drop("batch"))
         if batch:
-            found = segments.cogroup(open_flows.groupBy(*FLOW_ID)).applyInPandas(_search, STATE_SCHEMA)
-        else:
-            found = segments.applyInPandas(_search_first, STATE_SCHEMA)
+            # Flows that ended in an earlier round have no segment left and need no state.
+            live = open_flows.join(part.select(*FLOW_ID).distinct(), FLOW_ID, "left_semi")
+            segments = segments.unionByName(_state_rows(live))
+        found = _per_flow(segments, _Search)
         # The last round need not be kept: nothing resumes from it.
         rounds.append(durable(found) if batch < last else found)
     if not rounds:
@@ -136,21 +208,13 @@ def first_hellos(
     return reduce(DataFrame.unionByName, hits)
 
 
-def _assemble(segments: pd.DataFrame) -> pd.DataFrame:
-    client = ClientStream()
-    head = segments.iloc[0]
-    ordered = segments.sort_values("pkt_no")
-    stream = b"".join(client.feed(int(s), p) for s, p in zip(ordered["seq"], ordered["payload"]))
-    return pd.DataFrame([(head["capture_id"], head["open_pkt"], stream)], columns=FLOW_ID + ["stream"])
-
-
 def client_streams(segments: DataFrame) -> DataFrame:
     """Whole client stream of each flow from (FLOW_ID, pkt_no, seq, payload).
 
     A stream is one value, so this is for flows whose bytes fit in one; ``first_hellos``
     never builds whole streams.
     """
-    return segments.groupBy(*FLOW_ID).applyInPandas(_assemble, STREAM_SCHEMA)
+    return _per_flow(_without_state(segments), _Stream)
 
 
 def attach_hellos(flows: DataFrame, hellos: DataFrame) -> DataFrame:

@@ -95,8 +95,8 @@ def customer_hellos(spark: SparkSession, sf_dir: str) -> DataFrame:
     random = F.concat(F.md5(key.cast("string")), F.md5("c_name"))
     body = F.concat(F.lit("0303"), random, F.lit("00"), _prefixed(suites, 2), F.lit("0100"), extensions)
     message = F.concat(F.lit("01"), _prefixed(body, 3))
-    two = F.concat(_record(F.substring(message, 1, 80)), _record(F.expr("substring(message, 81)")))
-    stream = F.when(key % 13 == 0, two).otherwise(_record(F.col("message")))
+    whole, head, rest = F.col("message"), F.expr("substring(message, 1, 80)"), F.expr("substring(message, 81)")
+    stream = F.when(key % 13 == 0, F.concat(_record(head), _record(rest))).otherwise(_record(whole))
     stream = F.concat(F.when(key % 11 == 0, F.hex(F.lit("EHLO\r\n"))).otherwise(F.lit("")), stream)
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     named = customers.select("c_custkey", F.explode(F.array(message)).alias("message"))
