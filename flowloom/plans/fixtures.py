@@ -10,14 +10,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets_of_events(table(spark, sf_dir, "events"))
+
+
+def packets_of_events(events: DataFrame) -> DataFrame:
     """Read each event as a packet between a user's host and one of seven servers.
 
     Microseconds are read as nanoseconds, which makes the active timeout fire often.
     """
     k = F.get_json_object("props", "$.k").cast("long")
     user = F.col("user_id")
-    events = table(spark, sf_dir, "events").select(
+    events = events.select(
         "event_id",
         "event_type",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_ns"),

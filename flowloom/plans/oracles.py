@@ -309,6 +309,7 @@ ORACLES: dict[str, str] = {
         f"""select {TUPLE}, count(*) as splits, count(*) filter (not c2s) as server_splits
 from labels where pkt_no = open_pkt and not fresh group by all""",
     ),
+    "streamed_flows": _from(METERED, "select * from flows"),
     "flow_invariants": _from(METERED, _violations("rows_")),
     "damaged_flow_invariants": _from(METERED + DAMAGED, _violations("damaged")),
     "violating_flows": _from(

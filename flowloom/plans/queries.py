@@ -16,6 +16,8 @@ from flowloom.operators.meter import meter_flows
 from flowloom.operators.sessionize import label_packets
 from flowloom.operators.tuples import parsed_packets
 from flowloom.plans import fixtures as fx
+from flowloom.session import scratch_folder
+from flowloom.streaming.meter import append_versions, latest_flows, meter_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -112,6 +114,15 @@ def timeout_splits(spark, sf_dir):
     )
 
 
+@query
+def streamed_flows(spark, sf_dir):
+    """The flow table from micro-batches, with flows still open at the end."""
+    folder = scratch_folder(spark, "streamed-flows")
+    versions = meter_stream(fx.packets_of_events(fx.event_stream(spark, sf_dir)))
+    append_versions(versions, f"{folder}/flows", f"{folder}/state").awaitTermination()
+    return latest_flows(spark.read.parquet(f"{folder}/flows").drop("batch")).drop("final")
+
+
 # --- Checks --------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,20 +25,31 @@ def local_session(cores: int = 8, partitions: int | None = None, **conf: str) ->
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, so that the rows
-    outlive a lost executor. A folder of our own is used only when none is set and the
-    session runs inside one process.
+    A folder of our own is used only when none is set and the session is a single process.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="flowloom-checkpoint-")
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="flowloom-checkpoint-")
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new name below the shared folder."""
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage.
+
+    The rows outlive a lost executor.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
