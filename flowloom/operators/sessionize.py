@@ -34,46 +34,41 @@ BROADCAST_TUPLES = 200_000
 SALTS = 256
 
 
-def hard_cut(previous_closed: Column) -> Column:
-    """The first packet of a conversation has no previous one and is a cut as well."""
-    return F.coalesce(previous_closed, F.lit(True)) | tuples.opens_by_syn()
-
-
 def mark_pieces(packets: DataFrame, timeout_ns: int) -> DataFrame:
-    """Window pass over tuple-keyed packets: client side, piece start and tail flag."""
+    """Window pass over tuple-keyed packets: client side, piece start and tail flag.
+
+    A segment is named by how many packets closed a flow before it and by its last SYN. Both
+    only grow along a conversation, so the maximum of (segment, timestamp) over the packets
+    before gives the segment of the packet before and the youngest timestamp in it. Inside a
+    piece that timestamp is the piece's own, since a piece starts with a new maximum.
+    """
     order = Window.partitionBy(*TUPLE_KEY).orderBy("pkt_no")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    pkt, ts = F.col("pkt_no"), F.col("ts_ns")
-    hard, starts = F.col("hard"), F.col("starts")
-    peak = F.col("peak")
+    pkt, ts, peak = F.col("pkt_no"), F.col("ts_ns"), F.col("peak")
+    hard, starts = F.col("fresh"), F.col("starts")
+    same = (peak["closed"] == F.col("closed")) & (peak["syn_pkt"] == F.col("syn_pkt"))
     return (
-        packets.withColumn("hard", hard_cut(F.lag(tuples.closes()).over(order)))
-        .withColumns(
+        packets.withColumns(
             {
-                "segment": F.max(F.when(hard, pkt)).over(upto),
-                "client_is_lo": F.last(F.when(hard, F.col("src_is_lo")), ignorenulls=True).over(upto),
+                "closed": F.coalesce(F.sum(tuples.closes().cast("int")).over(before), F.lit(0)),
+                "syn_pkt": F.coalesce(F.max(F.when(tuples.opens_by_syn(), pkt)).over(upto), F.lit(-1)),
             }
         )
-        # The youngest timestamp so far; segments only grow, so the maximum is of this
-        # segment, or of an older one when the packet is the first of its segment.
-        .withColumn("peak", F.max(F.struct("segment", "ts_ns")).over(before))
+        .withColumn("peak", F.max(F.struct("closed", "syn_pkt", "ts_ns")).over(before))
+        .withColumn("fresh", ~F.coalesce(same, F.lit(False)))
         .withColumn("starts", hard | ((ts - peak["ts_ns"]) > timeout_ns))
         .withColumns(
             {
+                "client_is_lo": F.last(F.when(hard, F.col("src_is_lo")), ignorenulls=True).over(upto),
                 "piece": F.max(F.when(starts, pkt)).over(upto),
                 "piece_ts": F.last(F.when(starts, ts), ignorenulls=True).over(upto),
             }
         )
         .withColumn(
-            "tail",
-            F.coalesce(
-                F.max(F.when((ts - F.col("piece_ts")) > timeout_ns, pkt)).over(upto) >= F.col("piece"),
-                F.lit(False),
-            ),
+            "tail", ~starts & (F.greatest(ts, peak["ts_ns"]) - F.col("piece_ts") > timeout_ns)
         )
-        .withColumnRenamed("hard", "fresh")
-        .drop("segment", "peak", "starts", "piece_ts")
+        .drop("closed", "syn_pkt", "peak", "starts", "piece_ts")
     )
 
 
