@@ -28,6 +28,7 @@ from flowloom.schema import ACTIVE_TIMEOUT_NS, HELLO_TYPE
 from flowloom.session import durable
 
 FLOW_ID = ["capture_id", "open_pkt"]
+SEGMENT_COLUMNS = FLOW_ID + ["pkt_no", "seq", "payload", "held_seq", "held_data"]
 FIRST_BATCH_BYTES = 1 << 20
 BATCH_BYTES = 32 << 20
 # Arrival-order range whose payloads of one flow always stay together.
@@ -77,7 +78,23 @@ def payload_index(packets: DataFrame, timeout_ns: int, hot_rows: int | None) ->
         .withColumn("batch", F.dense_rank().over(flow.orderBy("step")) - 1)
         .select(*FLOW_ID, "chunk", "batch")
     )
-    return found.join(sizes, FLOW_ID + ["chunk"]).select(*FLOW_ID, "pkt_no", "seq", "batch")
+    return found.join(sizes, FLOW_ID + ["chunk"]).select(
+        *FLOW_ID, "pkt_no", "seq", "payload_len", "batch"
+    )
+
+
+def continuing(states: DataFrame, later: DataFrame) -> DataFrame:
+    """States of flows whose stream still grows: a later segment covers its next byte.
+
+    Without one the bytes held behind the gap never count, however many more there are.
+    """
+    spread = FLOW_ID + ["batch"]
+    # One row per flow and batch, so that a flow with many segments is not one join key.
+    ends = states.select(*FLOW_ID, "next_seq").join(later.select(*spread).distinct(), FLOW_ID)
+    gap = F.col("next_seq") - F.col("seq")
+    grows = (gap >= 0) & (gap < F.col("payload_len"))
+    alive = later.join(ends, spread).filter(grows).select(*FLOW_ID).distinct()
+    return states.join(alive, FLOW_ID, "left_semi")
 
 
 class _Search:
@@ -152,8 +169,7 @@ def _per_flow(segments: DataFrame, kind: type) -> DataFrame:
         if worker is not None:
             yield emit([(*flow, *worker.result())])
 
-    columns = [*FLOW_ID, "pkt_no", "seq", "payload", "held_seq", "held_data"]
-    placed = segments.select(*columns).repartition(*FLOW_ID).sortWithinPartitions(*FLOW_ID, "pkt_no")
+    placed = segments.select(*SEGMENT_COLUMNS).repartition(*FLOW_ID).sortWithinPartitions(*FLOW_ID, "pkt_no")
     return placed.mapInArrow(run, kind.schema)
 
 
@@ -192,12 +208,13 @@ def first_hellos(
         part = index.filter(F.col("batch") == batch)
         if batch:
             open_flows = rounds[-1].filter(F.col("hello").isNull())
+            open_flows = durable(continuing(open_flows, index.filter(F.col("batch") >= batch)))
+            if open_flows.isEmpty():
+                break
             part = part.join(open_flows.select(*FLOW_ID), FLOW_ID, "left_semi")
-        segments = _without_state(part.join(payloads, ["capture_id", "pkt_no"]).drop("batch"))
+        segments = _without_state(part.join(payloads, ["capture_id", "pkt_no"]))
         if batch:
-            # Flows that ended in an earlier round have no segment left and need no state.
-            live = open_flows.join(part.select(*FLOW_ID).distinct(), FLOW_ID, "left_semi")
-            segments = segments.unionByName(_state_rows(live))
+            segments = segments.select(*SEGMENT_COLUMNS).unionByName(_state_rows(open_flows))
         found = _per_flow(segments, _Search)
         # The last round need not be kept: nothing resumes from it.
         rounds.append(durable(found) if batch < last else found)

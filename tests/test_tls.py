@@ -195,6 +195,16 @@ def test_hello_across_batches(spark, monkeypatch):
     assert {k: v["has_sni"] for k, v in found(first_hellos(packets(spark, rows))).items()} == {0: True}
 
 
+def test_gap_that_never_closes(spark, monkeypatch):
+    """Held bytes are dropped with their flow once nothing can fill the gap."""
+    monkeypatch.setattr(hello_ops, "FIRST_BATCH_BYTES", 1)
+    monkeypatch.setattr(hello_ops, "BATCH_BYTES", 1)
+    monkeypatch.setattr(hello_ops, "CHUNK_PACKETS", 1)
+    rows = [(1, True, "A", 0, b"\x16"), (1, True, "A", 5, HELLO), (1, True, "A", 900, b"x")]
+    rows += [(2, True, "A", 0, b"ab"), (2, True, "A", 3, HELLO), (2, True, "A", 900, b"x"), (2, True, "A", 1, b"bc")]
+    assert set(found(first_hellos(packets(spark, rows)))) == {3}
+
+
 def test_no_payload_at_all(spark):
     assert first_hellos(packets(spark, [(1, True, "S", 0, b"")])).count() == 0
 
