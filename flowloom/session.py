@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Applications whose executors have the package already.
+_SHIPPED: set[str] = set()
+
 
 def local_session(cores: int = 8, partitions: int | None = None, **conf: str) -> SparkSession:
     """A local session for tests and benchmarks."""
@@ -25,6 +30,23 @@ def local_session(cores: int = 8, partitions: int | None = None, **conf: str) ->
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package; once per application.
+
+    Not needed where the package is installed on the cluster or submitted with the job.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="flowloom-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for source in sorted(root.rglob("*.py")):
+            bundle.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that the cluster names in ``spark.checkpoint.dir``.
 
