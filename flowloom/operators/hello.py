@@ -23,7 +23,7 @@ from flowloom.functions import tls
 from flowloom.functions.reassembly import ClientStream
 from flowloom.operators import tuples
 from flowloom.operators.meter import METER_COLUMNS, measure_flows
-from flowloom.operators.sessionize import HOT_ROWS, assign_flows
+from flowloom.operators.sessionize import HOT_ROWS, LABEL_COLUMNS, Hot, assign_flows, find_hot
 from flowloom.schema import ACTIVE_TIMEOUT_NS, HELLO_TYPE
 from flowloom.session import durable
 
@@ -53,15 +53,13 @@ def client_payloads(labelled: DataFrame) -> DataFrame:
     return labelled.filter(tuples.is_tcp() & tuples.from_client() & (F.col("payload_len") > 0))
 
 
-def payload_index(packets: DataFrame, timeout_ns: int, hot_rows: int | None) -> DataFrame:
+def payload_index(packets: DataFrame, timeout_ns: int, hot: Hot | None) -> DataFrame:
     """Client payload packets of flows that may hold a hello, with their batch number."""
     begins = F.coalesce(tls.may_begin_hello(F.col("payload")), F.lit(False)).alias("begins")
-    narrow = packets.select(*METER_COLUMNS, "seq", "payload_len", begins)
-    cold, hot = assign_flows(narrow.drop("caplen", "wirelen", "psh"), timeout_ns, hot_rows)
+    narrow = packets.select(*LABEL_COLUMNS, "seq", "payload_len", begins)
     columns = FLOW_ID + ["pkt_no", "seq", "payload_len", "begins"]
-    found = client_payloads(cold).select(*columns)
-    if hot is not None:
-        found = found.unionByName(client_payloads(hot).select(*columns))
+    parts = [p for p in assign_flows(narrow, timeout_ns, hot) if p is not None]
+    found = reduce(DataFrame.unionByName, [client_payloads(p).select(*columns) for p in parts])
     found = found.withColumn("chunk", F.expr(f"pkt_no div {CHUNK_PACKETS}"))
     flow = Window.partitionBy(*FLOW_ID)
     before = flow.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -198,7 +196,11 @@ def first_hellos(
     packets: DataFrame, timeout_ns: int = ACTIVE_TIMEOUT_NS, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """First ClientHello of each flow that has one: FLOW_ID and ``hello``."""
-    index = durable(payload_index(packets, timeout_ns, hot_rows))
+    return _first_hellos(packets, timeout_ns, find_hot(packets, timeout_ns, hot_rows))
+
+
+def _first_hellos(packets: DataFrame, timeout_ns: int, hot: Hot | None) -> DataFrame:
+    index = durable(payload_index(packets, timeout_ns, hot))
     payloads = packets.filter(tuples.is_tcp() & (F.col("payload_len") > 0)).select(
         "capture_id", "pkt_no", "payload"
     )
@@ -250,7 +252,8 @@ def flow_table(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One row per flow instance; with_tls=False leaves the ``hello`` column NULL."""
-    flows = measure_flows(*assign_flows(packets.select(*METER_COLUMNS), timeout_ns, hot_rows))
+    hot = find_hot(packets, timeout_ns, hot_rows)
+    flows = measure_flows(*assign_flows(packets.select(*METER_COLUMNS), timeout_ns, hot))
     if not with_tls:
         return flows.withColumn("hello", F.lit(None).cast(HELLO_TYPE))
-    return attach_hellos(flows, first_hellos(packets, timeout_ns, hot_rows))
+    return attach_hellos(flows, _first_hellos(packets, timeout_ns, hot))

@@ -281,7 +281,7 @@ def number_chunks(marked: DataFrame) -> DataFrame:
 
 
 def label_hot(packets: DataFrame, timeout_ns: int, rows: int) -> DataFrame:
-    """Flow labels of tuple-keyed packets whose conversations exceed ``rows`` packets."""
+    """Labels by (capture_id, pkt_no) of tuple-keyed packets of large conversations."""
     narrow = durable(
         packets.select(
             *TUPLE_KEY,
@@ -302,5 +302,4 @@ def label_hot(packets: DataFrame, timeout_ns: int, rows: int) -> DataFrame:
         opened = marked.join(at, TUPLE_KEY + ["pkt_no"], "left").withColumn(
             "opened", F.col("starts") | F.coalesce("cut", F.lit(False))
         )
-    labels = number_chunks(opened.drop("starts", "record", "cut"))
-    return packets.join(labels, ["capture_id", "pkt_no"])
+    return durable(number_chunks(opened.drop("starts", "record", "cut")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.operators import tuples
-from flowloom.operators.sessionize import HOT_ROWS, assign_flows
+from flowloom.operators.sessionize import HOT_ROWS, assign_flows, find_hot
 from flowloom.schema import (
     ACTIVE_TIMEOUT_NS,
     COUNTERS,
@@ -95,7 +95,8 @@ def meter_flows(
     packets: DataFrame, timeout_ns: int = ACTIVE_TIMEOUT_NS, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Flow table without TLS fields."""
-    return measure_flows(*assign_flows(packets.select(*METER_COLUMNS), timeout_ns, hot_rows))
+    hot = find_hot(packets, timeout_ns, hot_rows)
+    return measure_flows(*assign_flows(packets.select(*METER_COLUMNS), timeout_ns, hot))
 
 
 def capture_summary(packets: DataFrame, flows: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ Conversations with more rows than one task should hold go to :mod:`flowloom.oper
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,12 @@ HOT_ROWS = 1_000_000
 # Hot conversations are listed in a broadcast up to this many (about 100 bytes each).
 BROADCAST_TUPLES = 200_000
 SALTS = 256
+SALT = "salt"
+# What deciding on flows needs of a packet.
+LABEL_COLUMNS = (
+    ["capture_id", "pkt_no", "ts_ns", "src_ip", "dst_ip", "src_port", "dst_port", "proto"]
+    + ["syn", "ack", "fin", "rst"]
+)
 
 
 def mark_pieces(packets: DataFrame, timeout_ns: int) -> DataFrame:
@@ -132,43 +140,59 @@ def number_packets(labelled: DataFrame) -> DataFrame:
     return labelled.withColumn("flow_instance", F.when(side, lo).otherwise(hi) - 1)
 
 
-def split_by_size(keyed: DataFrame, hot_rows: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Part the packets in conversations one task can hold and larger ones (None if none).
+@dataclass(frozen=True)
+class Hot:
+    """Conversations with more rows than a task should hold, and the labels of their packets."""
+
+    tuples: DataFrame
+    on: list[str]
+    labels: DataFrame
+
+
+def _matched(keyed: DataFrame, tuples_: DataFrame, on: list[str], how: str) -> DataFrame:
+    if SALT in on:
+        keyed = keyed.withColumn(SALT, F.pmod("pkt_no", F.lit(SALTS)))
+    return keyed.join(tuples_, on, how).drop(SALT)
+
+
+def find_hot(packets: DataFrame, timeout_ns: int, hot_rows: int | None) -> Hot | None:
+    """Look for conversations with more than ``hot_rows`` packets and label them.
 
     One narrow aggregate with map-side combine decides; ``hot_rows=None`` skips it when the
     caller knows that no conversation is large.
     """
+    tuples.require_order(packets)
     if hot_rows is None:
-        return keyed, None
+        return None
+    keyed = tuples.with_tuple(tuples.parsed_packets(packets.select(*LABEL_COLUMNS)))
     large = F.col("count") > hot_rows
-    hot = keyed.groupBy(*TUPLE_KEY).count().filter(large).select(*TUPLE_KEY).persist()
-    size = hot.count()
+    found = keyed.groupBy(*TUPLE_KEY).count().filter(large).select(*TUPLE_KEY).persist()
+    size = found.count()
     if size == 0:
-        hot.unpersist()
-        return keyed, None
+        found.unpersist()
+        return None
     on = list(TUPLE_KEY)
     if size <= BROADCAST_TUPLES:
-        hot = F.broadcast(hot)
+        found = F.broadcast(found)
     else:
         # Spread each hot key over many join keys instead.
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        hot = hot.withColumn("salt", salts.cast("long"))
-        keyed = keyed.withColumn("salt", F.pmod("pkt_no", F.lit(SALTS)))
-        on.append("salt")
-    return keyed.join(hot, on, "left_anti").drop("salt"), keyed.join(hot, on, "left_semi").drop("salt")
+        found = found.withColumn(SALT, salts.cast("long"))
+        on.append(SALT)
+    labels = hot_path.label_hot(_matched(keyed, found, on, "left_semi"), timeout_ns, hot_rows)
+    return Hot(found, on, labels)
 
 
-def assign_flows(
-    packets: DataFrame, timeout_ns: int = ACTIVE_TIMEOUT_NS, hot_rows: int | None = HOT_ROWS
-) -> tuple[DataFrame, DataFrame | None]:
+def assign_flows(packets: DataFrame, timeout_ns: int, hot: Hot | None) -> tuple[DataFrame, DataFrame | None]:
     """Packets with FLOW_KEY; the second frame holds hot conversations and has flow_instance.
 
     Select the columns you need beforehand: all of them take part in the shuffle.
     """
-    tuples.require_order(packets)
-    cold, hot = split_by_size(tuples.with_tuple(tuples.parsed_packets(packets)), hot_rows)
-    labelled_hot = None if hot is None else hot_path.label_hot(hot, timeout_ns, hot_rows)
-    return _cold_flows(cold, timeout_ns), labelled_hot
+    keyed = tuples.with_tuple(tuples.parsed_packets(packets))
+    if hot is None:
+        return _cold_flows(keyed, timeout_ns), None
+    cold = _cold_flows(_matched(keyed, hot.tuples, hot.on, "left_anti"), timeout_ns)
+    return cold, _matched(keyed, hot.tuples, hot.on, "left_semi").join(hot.labels, ["capture_id", "pkt_no"])
 
 
 def label_packets(
@@ -178,7 +202,7 @@ def label_packets(
 
     ``fresh`` marks packets that open a flow for another reason than the timeout.
     """
-    cold, hot = assign_flows(packets, timeout_ns, hot_rows)
+    cold, hot = assign_flows(packets, timeout_ns, find_hot(packets, timeout_ns, hot_rows))
     labelled = number_packets(cold)
     if hot is not None:
         labelled = labelled.unionByName(hot)

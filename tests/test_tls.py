@@ -240,3 +240,20 @@ def test_hex_forms(spark):
         hexfmt.without_grease(F.array(F.lit(0x0A0A), F.lit(0x0A1A), F.lit(0x1301))),
     ).first()
     assert tuple(row) == ("000a;c02b", "-", 0.062, [0x0A1A, 0x1301])
+
+
+def test_hello_in_a_hot_conversation(spark):
+    rows = [(1, True, "S", 0, b""), (1, True, "A", 1, HELLO[:9]), (2, True, "A", 1, b"x")]
+    rows += [(1, False, "A", 0, b"y")] * 20 + [(1, True, "A", 10, HELLO[9:])]
+    flows = flow_table(packets(spark, rows), hot_rows=10).collect()
+    assert {r["open_pkt"]: (r["packets_total"], r["hello"] is not None) for r in flows} == {0: (23, True), 2: (1, False)}
+
+
+def test_many_hot_conversations_are_salted(spark, monkeypatch):
+    from flowloom.operators import sessionize
+    from tests import model
+    from tests.test_sessionize import frame, labels, random_packets
+
+    monkeypatch.setattr(sessionize, "BROADCAST_TUPLES", 0)
+    rows = random_packets(8, 300, 0.1)
+    assert labels(sessionize.label_packets(frame(spark, rows), hot_rows=60)) == model.label(rows)
