@@ -13,6 +13,7 @@ LINUX_COOKED = 113
 LINUX_COOKED_2 = 276
 IPV4_TYPE = "0800"
 IPV6_TYPE = "86DD"
+VLAN_TYPES = ["8100", "88A8", "9100"]
 VLAN_TAGS = "^(?:(?:8100|88A8|9100)[0-9A-F]{4})*"
 FLAG_BITS = {"fin": 1, "syn": 2, "rst": 4, "psh": 8, "ack": 16}
 
@@ -34,9 +35,11 @@ def number(frame: Column, at: Column, size: int) -> Column:
 
 def network_offset(frame: Column, linktype: Column) -> Column:
     """Where the network header begins, behind any VLAN tags; NULL for other link types."""
+    tagged = hex_of(frame, F.lit(12), 2).isin(VLAN_TYPES)
     tags = F.length(F.regexp_extract(F.hex(F.substring(frame, F.lit(13), F.length(frame))), VLAN_TAGS, 0))
     return (
-        F.when(linktype == ETHERNET, F.lit(14) + (tags / 2).cast("int"))
+        F.when((linktype == ETHERNET) & tagged, F.lit(14) + (tags / 2).cast("int"))
+        .when(linktype == ETHERNET, F.lit(14))
         .when(linktype.isin(RAW_IP), F.lit(0))
         .when(linktype.isin(LOOPBACK), F.lit(4))
         .when(linktype == LINUX_COOKED, F.lit(16))

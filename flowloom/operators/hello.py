@@ -24,14 +24,15 @@ from flowloom.functions.reassembly import ClientStream
 from flowloom.operators import tuples
 from flowloom.operators.meter import METER_COLUMNS, measure_flows
 from flowloom.operators.sessionize import HOT_ROWS, LABEL_COLUMNS, Hot, assign_flows, find_hot
-from flowloom.schema import ACTIVE_TIMEOUT_NS, HELLO_TYPE
+from flowloom.schema import ACTIVE_TIMEOUT_NS, FLOW_KEY, HELLO_TYPE
 from flowloom.session import durable
 
 FLOW_ID = ["capture_id", "open_pkt"]
+INDEX_COLUMNS = FLOW_ID + ["pkt_no", "seq", "payload_len", "batch"]
 SEGMENT_COLUMNS = FLOW_ID + ["pkt_no", "seq", "payload", "held_seq", "held_data"]
 FIRST_BATCH_BYTES = 1 << 20
 BATCH_BYTES = 32 << 20
-# Arrival-order range whose payloads of one flow always stay together.
+# Arrival-order range whose payloads of one flow stay together in a hot conversation.
 CHUNK_PACKETS = 4096
 
 STATE_SCHEMA = T.StructType(
@@ -53,32 +54,62 @@ def client_payloads(labelled: DataFrame) -> DataFrame:
     return labelled.filter(tuples.is_tcp() & tuples.from_client() & (F.col("payload_len") > 0))
 
 
-def payload_index(packets: DataFrame, timeout_ns: int, hot: Hot | None) -> DataFrame:
-    """Client payload packets of flows that may hold a hello, with their batch number."""
-    begins = F.coalesce(tls.may_begin_hello(F.col("payload")), F.lit(False)).alias("begins")
-    narrow = packets.select(*LABEL_COLUMNS, "seq", "payload_len", begins)
-    columns = FLOW_ID + ["pkt_no", "seq", "payload_len", "begins"]
-    parts = [p for p in assign_flows(narrow, timeout_ns, hot) if p is not None]
-    found = reduce(DataFrame.unionByName, [client_payloads(p).select(*columns) for p in parts])
-    found = found.withColumn("chunk", F.expr(f"pkt_no div {CHUNK_PACKETS}"))
+def _step(before: Column) -> Column:
+    """Batch of a packet by the payload bytes of its flow before it."""
+    late = F.floor((before - FIRST_BATCH_BYTES) / BATCH_BYTES).cast("long") + 1
+    return F.when(before < FIRST_BATCH_BYTES, F.lit(0).cast("long")).otherwise(late)
+
+
+def _index_cold(payloads: DataFrame) -> DataFrame:
+    """Windows over flows, in the partitioning the labels already have."""
+    order = Window.partitionBy(*FLOW_KEY).orderBy("pkt_no")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        payloads.withColumns(
+            {
+                "begins": F.max("begins").over(whole),
+                "before": F.coalesce(F.sum("payload_len").over(before), F.lit(0)),
+            }
+        )
+        .filter("begins")
+        .withColumn("step", _step(F.col("before")))
+        .withColumn("turn", F.coalesce(F.col("step") != F.lag("step").over(order), F.lit(False)))
+        # Numbered without gaps: the state a batch resumes from is that of the round before.
+        .withColumn("batch", F.sum(F.col("turn").cast("long")).over(upto))
+        .select(*INDEX_COLUMNS)
+    )
+
+
+def _index_hot(payloads: DataFrame) -> DataFrame:
+    """The same for flows of any length, from one summary row per flow and chunk."""
+    found = payloads.withColumn("chunk", F.expr(f"pkt_no div {CHUNK_PACKETS}"))
     flow = Window.partitionBy(*FLOW_ID)
     before = flow.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    late = F.expr(f"1 + (before - {FIRST_BATCH_BYTES}) div {BATCH_BYTES}")
-    batch = F.when(F.col("before") < FIRST_BATCH_BYTES, F.lit(0).cast("long")).otherwise(late)
     sizes = (
         found.groupBy(*FLOW_ID, "chunk")
         .agg(F.sum("payload_len").alias("bytes"), F.max("begins").alias("begins"))
         .withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
         .withColumn("begins", F.max("begins").over(flow))
         .filter("begins")
-        .withColumn("step", batch)
-        # Without gaps: the state a batch resumes from is always that of the round before.
-        .withColumn("batch", F.dense_rank().over(flow.orderBy("step")) - 1)
+        .withColumn("step", _step(F.col("before")))
+        .withColumn("batch", F.dense_rank().over(flow.orderBy("step")).cast("long") - 1)
         .select(*FLOW_ID, "chunk", "batch")
     )
-    return found.join(sizes, FLOW_ID + ["chunk"]).select(
-        *FLOW_ID, "pkt_no", "seq", "payload_len", "batch"
-    )
+    return found.join(sizes, FLOW_ID + ["chunk"]).select(*INDEX_COLUMNS)
+
+
+def payload_index(packets: DataFrame, timeout_ns: int, hot: Hot | None) -> DataFrame:
+    """Client payload packets of flows that may hold a hello, with their batch number."""
+    begins = F.coalesce(tls.may_begin_hello(F.col("payload")), F.lit(False)).alias("begins")
+    narrow = packets.select(*LABEL_COLUMNS, "seq", "payload_len", begins)
+    cold, large = assign_flows(narrow, timeout_ns, hot)
+    columns = FLOW_KEY + ["pkt_no", "seq", "payload_len", "begins"]
+    index = _index_cold(client_payloads(cold).select(*columns))
+    if large is not None:
+        index = index.unionByName(_index_hot(client_payloads(large).select(*columns)))
+    return index
 
 
 def continuing(states: DataFrame, later: DataFrame) -> DataFrame:

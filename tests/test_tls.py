@@ -185,14 +185,15 @@ def test_hello_of_flows(spark):
     assert flow_table(df, with_tls=False).filter("hello is not null").count() == 0
 
 
-def test_hello_across_batches(spark, monkeypatch):
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_hello_across_batches(spark, monkeypatch, hot_rows):
     """Tiny batches: every packet is a round of its own."""
     monkeypatch.setattr(hello_ops, "FIRST_BATCH_BYTES", 1)
     monkeypatch.setattr(hello_ops, "BATCH_BYTES", 30)
     monkeypatch.setattr(hello_ops, "CHUNK_PACKETS", 1)
     cuts = [(0, 10), (10, 30), (50, len(HELLO)), (30, 50)]
     rows = [(1, True, "A", a, HELLO[a:b]) for a, b in cuts] + [(2, True, "A", 0, b"\x16\x03" * 40)]
-    assert {k: v["has_sni"] for k, v in found(first_hellos(packets(spark, rows))).items()} == {0: True}
+    assert {k: v["has_sni"] for k, v in found(first_hellos(packets(spark, rows), hot_rows=hot_rows)).items()} == {0: True}
 
 
 def test_gap_that_never_closes(spark, monkeypatch):
