@@ -102,16 +102,14 @@ def stratified_sample(rows: DataFrame, seed: int = SAMPLE_SEED, sizes: dict[str,
     kinds = F.array_compact(F.array(*[F.when(strata()[n], F.lit(n)) for n in sizes]))
     members = flows.withColumns({"digest": digest, "stratum": F.explode(kinds)})
     wanted = F.create_map(*[F.lit(x) for item in sizes.items() for x in item])
-    enough = (
-        members.groupBy("stratum").count().filter(F.col("count") >= wanted[F.col("stratum")])
-    ).select("stratum")
     draw = Window.partitionBy("stratum").orderBy("digest", *BUILDER_COLUMNS)
     drawn = (
         members.withColumn("rank", F.row_number().over(draw))
         .filter(F.col("rank") <= max(sizes.values()))
         .filter(F.col("rank") <= wanted[F.col("stratum")])
-        # One row per stratum name, at most len(sizes) of them.
-        .join(F.broadcast(enough), "stratum")
+        # Only a stratum with enough rows fills its quota; these are a few rows each.
+        .withColumn("got", F.count(F.lit(1)).over(Window.partitionBy("stratum")))
+        .filter(F.col("got") == wanted[F.col("stratum")])
     )
     return drawn.select(*BUILDER_COLUMNS).unionByName(top_flows(flows)).dropDuplicates()
 
