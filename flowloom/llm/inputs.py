@@ -13,7 +13,6 @@ from flowloom.session import scratch_folder, ship_package
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark."""
-    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +26,7 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
 
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id`` and ``text`` with a null text read as empty."""
+    ship_package(df.sparkSession)
     narrow = columns(df, doc_id=id_col, text=text_col)
     return narrow.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
