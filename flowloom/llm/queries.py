@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import packing, token_counts, token_store, vp_dedup
+from flowloom.llm import fingerprints, packing, token_counts, token_store, vp_dedup
 from flowloom.llm.inputs import table
 from flowloom.llm.tokens import vocabulary
 from flowloom.session import scratch_folder
@@ -29,6 +29,11 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
 
 
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"), every=50, radius=3)
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
