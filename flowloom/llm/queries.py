@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import fingerprints, packing, token_counts, token_store, vp_dedup
+from flowloom.llm import fingerprints, packing, resampling, secret_scan, token_counts, token_store, vp_dedup
 from flowloom.llm.inputs import table
 from flowloom.llm.tokens import vocabulary
 from flowloom.session import scratch_folder
@@ -29,6 +29,17 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
 
 
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return resampling.score(docs, resampling.fit(docs, table(spark, sf_dir, "labels"))).drop("trusted")
+
+
 @query
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"), every=50, radius=3)
