@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import fingerprints, packing, resampling, secret_scan, token_counts, token_store, vp_dedup
+from flowloom.llm import fingerprints, ngram_rules, packing, resampling, secret_scan, token_counts, token_store, vp_dedup
 from flowloom.llm.inputs import table
 from flowloom.llm.tokens import vocabulary
 from flowloom.session import scratch_folder
@@ -29,6 +29,11 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
 
 
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
