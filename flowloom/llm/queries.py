@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import fingerprints, ngram_rules, packing, resampling, secret_scan, token_counts, token_store, vp_dedup
+from flowloom.llm import fingerprints, ngram_rules, packing, resampling, secret_scan, token_counts, token_store, url_rules, vp_dedup
 from flowloom.llm.inputs import table
 from flowloom.llm.tokens import vocabulary
 from flowloom.session import scratch_folder
@@ -61,3 +61,8 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), folder, end_id=2)
     return token_store.read_store(spark, folder)
+
+
+@query
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
