@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import fingerprints, ngram_rules, packing, resampling, secret_scan, token_counts, token_store, url_rules, vp_dedup
+from flowloom.llm import fingerprints, ngram_rules, packing, piece_dropout, resampling, secret_scan, token_counts, token_store, url_rules, vp_dedup
 from flowloom.llm.inputs import table
 from flowloom.llm.tokens import vocabulary
 from flowloom.session import scratch_folder
@@ -19,6 +19,12 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return piece_dropout.encode(docs, vocabulary("piece_bpe_32k.model"), rate=0.1, seed=1, streams=2, with_ids=False)
+
+
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
