@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowloom.llm import packing
+from flowloom.llm import ngram_rules, packing, resampling, secret_scan, vp_dedup
 from flowloom.llm.inputs import table, written
 from flowloom.llm.tokens import vocabulary
 from flowloom.session import ship_package
@@ -17,6 +18,28 @@ from flowloom.session import ship_package
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by importance resampling."""
+    return resampling.select(docs, resampling.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the n-gram ratio."""
+    return ngram_rules.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts whose five-word shingles are similar by 0.8 or more."""
+    ship_package(spark)
+    return vp_dedup.keep_one(docs, size=5, similarity=0.8)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked and ``n_chars`` set anew where the text has changed."""
+    masked = secret_scan.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of at most 1024 ids."""
     ship_package(spark)
@@ -25,6 +48,10 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
+    ("secret scans", secret_scans),
     ("best-fit packing", best_fit_packing),
 ]
 

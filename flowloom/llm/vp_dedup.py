@@ -163,7 +163,7 @@ def close_pairs(points: np.ndarray, homes: np.ndarray, others: np.ndarray, radiu
 def leaf_rows(points: DataFrame, radius: int, *, leaf_points: int = LEAF_POINTS) -> DataFrame:
     """Rows (view, leaf, row block, column block, home, point, node[, sketch]) for the leaf tasks.
 
-    ``points`` is a durable table of distinct (view, point) with the node that stands for it.
+    ``points`` is a durable table of (view, point) with the node that stands for it.
     """
     spark, sketched = points.sparkSession, "sketch" in points.columns
     sizes = {r["view"]: r["n"] for r in points.groupBy("view").agg(F.count("*").alias("n")).collect()}
@@ -198,7 +198,7 @@ def leaf_rows(points: DataFrame, radius: int, *, leaf_points: int = LEAF_POINTS)
     blocks = {(r["view"], r["leaf"]): -(-r["n"] // (2 * leaf_points)) for r in counts.collect()}
     known = F.create_map(*[F.lit(x) for (v, leaf), k in blocks.items() for x in (f"{v} {leaf}", k)]) if blocks else None
     many = F.coalesce(known[F.concat_ws(" ", "view", "leaf")], F.lit(1)) if blocks else F.lit(1)
-    own = F.pmod(F.xxhash64("point", F.lit(1)), many).cast("int")
+    own = F.pmod(F.xxhash64("point", "node"), many).cast("int")
     every = F.sequence(F.lit(0), many - 1)
     as_home = F.transform(every, lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(True).alias("home"), (j == own).alias("other")))
     as_other = F.transform(F.filter(every, lambda i: ~F.col("home") | (i != own)), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(False).alias("home"), F.lit(True).alias("other")))
@@ -248,3 +248,68 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 2, id_col:
     classes = points.join(joined, "node", "left").select("point", F.coalesce("component", "node").alias("component_id"))
     found = prints.join(classes, "point")
     return found.select("doc_id", F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+VIEWS = 20
+VIEW_BITS = 32
+SKETCH_BITS = 256
+
+
+def signature(text: str, size: int) -> bytes:
+    """Majority bits of the shingles under more hashes: ``VIEWS`` short fingerprints, then a sketch."""
+    hashes = shingle_hashes(text, size)
+    words = (VIEWS * VIEW_BITS + SKETCH_BITS) // 64
+    if not len(hashes):
+        return bytes(8 * words)
+    mixed = hashes[:, None] ^ (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.packbits(majority_bits(mixed ^ (mixed >> np.uint64(31)))).tobytes()
+
+
+def sketch_radius(similarity: float) -> int:
+    """Differing sketch bits that two texts of this Jaccard similarity stay below nearly always (1.5 deviations)."""
+    cosine = 2 * similarity / (1 + similarity)
+    share = np.arccos(cosine) / np.pi
+    return int(SKETCH_BITS * share + 1.5 * np.sqrt(SKETCH_BITS * share * (1 - share)))
+
+
+def similar_groups(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", leaf_points: int = LEAF_POINTS) -> DataFrame:
+    """doc_id and component_id (the smallest id of the group) of each row with an id, groups by estimated similarity.
+
+    At a similarity of 0.8 two 64-bit fingerprints differ in some ten bits, where no sphere prunes. So there are
+    ``VIEWS`` independent short fingerprints: two texts link if one view is within ``radius`` bits and
+    their sketches, which estimate the similarity, agree. Each view has a vantage-point tree of its own.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "text"):
+            signed = [signature(t, size) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed, pa.binary())], ["doc_id", "signature"])
+
+    def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, head = batch.num_rows, VIEWS * VIEW_BITS // 8
+            raw = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, -1)
+            points = np.ascontiguousarray(raw[:, :head]).view(">u4").astype(np.int64)
+            sketch = [s.tobytes() for s in raw[:, head:]]
+            node = batch.column("node")
+            for view in range(VIEWS):
+                arrays = [pa.array(np.full(n, view), pa.int32()), pa.array(points[:, view]), node, pa.array(sketch, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["view", "point", "node", "sketch"])
+
+    narrow = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
+    signed = written(narrow.mapInArrow(each, "doc_id long, signature binary"), "signatures")
+    nodes = written(signed.groupBy("signature").agg(F.min("doc_id").alias("node")), "signature-nodes")
+    points = nodes.mapInArrow(views, "view int, point long, node long, sketch binary")
+    linked = links(points, radius, sketch_bits=SKETCH_BITS, sketch_radius=sketch_radius(similarity), leaf_points=leaf_points)
+    joined = components(linked, "similar-links")
+    classes = nodes.join(joined, "node", "left").select("signature", F.coalesce("component", "node").alias("component_id"))
+    return signed.join(classes, "signature").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", leaf_points: int = LEAF_POINTS) -> DataFrame:
+    """The rows of ``docs`` less those of a group's other documents: the smallest id stays, and rows without an id."""
+    groups = similar_groups(docs, size=size, similarity=similarity, id_col=id_col, text_col=text_col, leaf_points=leaf_points)
+    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "similar-gone")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
