@@ -36,19 +36,34 @@ _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
     """64-bit hashes of 64-bit keys."""
-    h = keys.astype(np.int64).view(np.uint64) + np.uint64(seed) * _SEED + _SEED
+    h = keys.astype(np.int64).view(np.uint64) + np.uint64((seed + 1) * int(_SEED) % (1 << 64))
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
+DIRECT = np.uint32(1 << 31)
+
+
+def _trial(keys: np.ndarray, trial: np.ndarray, count: int) -> np.ndarray:
+    """Slots of keys for displacements; every slot is within reach of every key."""
+    h = mixed(keys, 1) + trial * (mixed(keys, 2) | np.uint64(1))
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(count)).astype(np.int64)
+
+
 def _slots(keys: np.ndarray, displaced: np.ndarray, count: int) -> np.ndarray:
-    h = mixed(keys, 1)
-    return ((h + displaced * (mixed(keys, 2) | np.uint64(1))) % np.uint64(count)).astype(np.int64)
+    """Slots of keys by the displacements of their buckets."""
+    direct = displaced >= DIRECT
+    return np.where(direct, displaced & ~DIRECT, _trial(keys, displaced.astype(np.uint64), count)).astype(np.int64)
 
 
 def build_hash(keys: np.ndarray) -> np.ndarray:
-    """Displacements that send ``keys`` (distinct) to slots 0..n-1 without a clash; largest buckets first."""
+    """Displacements that send ``keys`` (distinct) to slots 0..n-1 without a clash.
+
+    Buckets of several keys come first, the largest before the others, and try displacements in turn; a
+    bucket of one key then gets a free slot outright.
+    """
     n = len(keys)
     buckets = max(1, -(-n // BUCKET_KEYS))
     bucket = (mixed(keys, 3) % np.uint64(buckets)).astype(np.int64)
@@ -56,27 +71,22 @@ def build_hash(keys: np.ndarray) -> np.ndarray:
     sizes = np.bincount(bucket, minlength=buckets)
     ends = np.cumsum(sizes)
     free, displaced = np.ones(n, bool), np.zeros(buckets, np.uint32)
-    for b in np.argsort(-sizes, kind="stable").tolist():
-        if not sizes[b]:
-            break
+    for b in np.flatnonzero(sizes > 1)[np.argsort(-sizes[sizes > 1], kind="stable")].tolist():
         own = keys[order[ends[b] - sizes[b] : ends[b]]]
-        base, step = mixed(own, 1), mixed(own, 2) | np.uint64(1)
         tried, width = 0, 64
         while True:
-            trial = np.arange(tried, tried + width, dtype=np.uint64)
-            slots = ((base[None, :] + trial[:, None] * step[None, :]) % np.uint64(n)).astype(np.int64)
-            good = free[slots].all(1)
-            if len(own) > 1:
-                s = np.sort(slots, 1)
-                good &= (s[:, 1:] != s[:, :-1]).all(1)
-            hit = np.flatnonzero(good)
+            slots = _trial(own[None, :], np.arange(tried, tried + width, dtype=np.uint64)[:, None], n)
+            in_order = np.sort(slots, 1)
+            hit = np.flatnonzero(free[slots].all(1) & (in_order[:, 1:] != in_order[:, :-1]).all(1))
             if len(hit):
                 displaced[b] = tried + hit[0]
                 free[slots[hit[0]]] = False
                 break
-            tried, width = tried + width, min(width * 2, 1 << 14)
-            if tried > 1 << 31:
+            tried, width = tried + width, min(width * 2, 1 << 12)
+            if tried >= 1 << 30:
                 raise ValueError("no displacement found")
+    alone = np.flatnonzero(sizes == 1)
+    displaced[alone] = DIRECT | np.flatnonzero(free)[: len(alone)].astype(np.uint32)
     return displaced
 
 
@@ -84,7 +94,7 @@ def pack_index(keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, copies:
     """The index of a shard: header, displacements, then per slot fingerprint, copies, start, size."""
     displaced = build_hash(keys)
     bucket = (mixed(keys, 3) % np.uint64(len(displaced))).astype(np.int64)
-    slot = _slots(keys, displaced[bucket].astype(np.uint64), len(keys))
+    slot = _slots(keys, displaced[bucket], len(keys))
     rows = np.zeros(len(keys), np.dtype([("fp", "<u2"), ("copies", "<u4"), ("start", "<u8"), ("size", "<u4")]))
     rows["fp"][slot], rows["copies"][slot] = (mixed(keys, 4) & np.uint64(0xFFFF)).astype(np.uint16), copies
     rows["start"][slot], rows["size"][slot] = starts, sizes
@@ -106,7 +116,7 @@ class ShardIndex:
         if not self.keys:
             return np.zeros(len(keys), self.rows.dtype)
         bucket = (mixed(keys, 3) % np.uint64(len(self.displaced))).astype(np.int64)
-        rows = self.rows[_slots(keys, self.displaced[bucket].astype(np.uint64), self.keys)].copy()
+        rows = self.rows[_slots(keys, self.displaced[bucket], self.keys)].copy()
         rows["copies"][rows["fp"] != (mixed(keys, 4) & np.uint64(0xFFFF)).astype(np.uint16)] = 0
         return rows
 
