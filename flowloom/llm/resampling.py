@@ -100,7 +100,7 @@ def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
 
 def log_ratios(ngrams: Ngrams, ratio: np.ndarray, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     bucket, text = ngrams(array)
-    return np.bincount(text, ratio[bucket], len(array)), np.bincount(text, minlength=len(array))
+    return np.bincount(text, ratio[bucket], len(array)).astype(np.float64), np.bincount(text, minlength=len(array))
 
 
 def keys(log_ratio: np.ndarray, ids: np.ndarray, temperature: float, seed: int) -> np.ndarray:
