@@ -23,7 +23,6 @@ SECTION_MAGIC = b"\x0a\x0d\x0d\x0a"
 BYTE_ORDERS = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}
 SECTION, INTERFACE, OLD_PACKET, SIMPLE_PACKET, PACKET = 0x0A0D0D0A, 1, 2, 3, 6
 TIME_RESOLUTION, TIME_OFFSET = 9, 14
-LARGEST_RECORD = 1 << 24
 # Records in a row that must look right before a guessed boundary is tried.
 CHAIN = 5
 SECOND_NS = 1_000_000_000
@@ -67,17 +66,21 @@ class Classic:
 
     def __init__(self, head: bytes):
         self.order, self.tick = CLASSIC_MAGIC[head[:4]]
-        self.linktype = struct.unpack(self.order + "I", head[20:24])[0] & 0x0FFFFFFF
+        longest, linktype = struct.unpack(self.order + "II", head[16:24])
+        self.linktype, self.longest = linktype & 0x0FFFFFFF, max(longest, 1 << 18)
 
     def record(self, file: Bytes, at: int) -> tuple[int, tuple]:
         header = struct.unpack(self.order + "IIII", file.get(at, 16))
-        if header[2] > LARGEST_RECORD or at + 16 + header[2] > file.length:
+        if at + 16 + header[2] > file.length:
             raise Broken
         return at + 16 + header[2], header
 
     def plausible(self, file: Bytes, at: int) -> int:
-        end, (_, fraction, caplen, frame_len) = self.record(file, at)
-        if fraction * self.tick >= SECOND_NS or caplen > 1 << 18 or frame_len > 1 << 18 or not frame_len:
+        # Only for guesses: a frame may lack its length, but zeros all through are filling.
+        end, (seconds, fraction, caplen, frame_len) = self.record(file, at)
+        if fraction * self.tick >= SECOND_NS or caplen > self.longest or not (seconds or frame_len):
+            raise Broken
+        if frame_len and frame_len < caplen:
             raise Broken
         return end
 
@@ -111,7 +114,7 @@ class Sections:
                 raise Broken
             self.order = order
         kind, size = struct.unpack(self.order + "II", head[:8])
-        if size < 12 or size % 4 or size > LARGEST_RECORD or at + size > file.length:
+        if size < 12 or size % 4 or at + size > file.length:
             raise Broken
         return kind, size
 

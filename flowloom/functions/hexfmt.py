@@ -22,7 +22,7 @@ def join_or_dash(values: Column) -> Column:
 
 
 def bytes_as_text(values: Column) -> Column:
-    """Byte strings one character per byte, so that any name survives the text file."""
+    """Byte strings one character per byte."""
     return F.transform(values, lambda v: F.decode(v, "ISO-8859-1"))
 
 
@@ -54,3 +54,18 @@ def grease(value: Column) -> Column:
 
 def without_grease(values: Column) -> Column:
     return F.filter(values, lambda v: ~grease(v))
+
+
+def on_one_line(value: Column) -> Column:
+    """Backslashes and line breaks as ``\\\\``, ``\\n`` and ``\\r``, so that a text file has one row a line."""
+    for char, spelled in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        value = F.replace(value, F.lit(char), F.lit(spelled))
+    return value
+
+
+def from_one_line(value: Column) -> Column:
+    """The text that ``on_one_line`` wrote."""
+    # Backslash pairs are set apart first, as their second half may stand before an n or r.
+    for spelled, char in (("\\\\", "\x00"), ("\\n", "\n"), ("\\r", "\r"), ("\x00", "\\")):
+        value = F.replace(value, F.lit(spelled), F.lit(char))
+    return value

@@ -7,7 +7,7 @@ so it shares no idea with the windows of the engine.
 from __future__ import annotations
 
 from flowloom import schema
-from flowloom.plans.queries import DIRTY_NUMBERS, DIRTY_TEXT
+from flowloom.plans.queries import DIRTY_NUMBERS, DIRTY_TEXT, ODD_NAMES
 
 PACKETS = """
 pk as (
@@ -304,6 +304,25 @@ ORACLES: dict[str, str] = {
         f"""select {_names(schema.FLOW_CSV_COLUMNS[:-1])},
   printf('%.3f', avg_wirelen_total) as avg_wirelen_total from rows_""",
     ),
+    "flow_csv_roundtrip": _from(
+        METERED,
+        "select " + ", ".join(f"cast({c} as varchar) as {c}" for c in schema.FLOW_CSV_COLUMNS if c != "avg_wirelen_total")
+        + ", printf('%.3f', avg_wirelen_total) as avg_wirelen_total from rows_",
+    ),
+    "names_in_files": f"""
+select event_id, list_extract([{", ".join("'" + n.replace("'", "''") + "'" for n in ODD_NAMES)}], cast(event_id % {len(ODD_NAMES)} + 1 as integer)) as name
+from events""",
+    "datasets_written": _from(
+        METERED + FEATURES,
+        """select dataset, label, count(*) as rows
+from features, (values ('dataset_flow_only'), ('dataset_flow_plus_ja4'), ('report_view')) d(dataset) group by all""",
+    ),
+    "packet_table": _from(
+        PACKETS, "select capture_id, proto, count(*) as packets, cast(sum(wirelen) as bigint) as bytes_wire from pk group by all"
+    ),
+    "unusable_labels": """
+select case event_id % 5 when 1 then 'odd' when 2 then '2' else 'unknown' end as value, count(*) as rows
+from events where event_id % 5 in (1, 2, 4) group by all""",
     "timeout_splits": _from(
         LABELS,
         f"""select {TUPLE}, count(*) as splits, count(*) filter (not c2s) as server_splits

@@ -17,6 +17,7 @@ from flowloom.operators.sessionize import label_packets
 from flowloom.operators.tuples import parsed_packets
 from flowloom.plans import fixtures as fx
 from flowloom.session import scratch_folder
+from flowloom.sources import tables
 from flowloom.streaming.meter import append_versions, latest_flows, meter_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,6 +256,56 @@ def feature_nulls(spark, sf_dir):
     return datasets.missing_counts(rows, schema.FLOW_PLUS_COLUMNS)
 
 
+@query
+def flow_csv_roundtrip(spark, sf_dir):
+    folder = scratch_folder(spark, "flow-csv")
+    tables.write_flow_csv(_flows(spark, sf_dir), folder)
+    return tables.read_flow_csv(spark, folder)
+
+
+ODD_NAMES = ["h2", "a\nb", "c,d", 'say "x"', " lead and trail ", "\\n", "two\\\r\n", "'"]
+
+
+@query
+def names_in_files(spark, sf_dir):
+    """Names with line breaks, quotes, commas and blanks, written to a text file and read again."""
+    listed = F.element_at(F.array(*[F.lit(n) for n in ODD_NAMES]), (F.col("event_id") % len(ODD_NAMES) + 1).cast("int"))
+    folder = scratch_folder(spark, "names")
+    held = fx.table(spark, sf_dir, "events").select("event_id", hexfmt.on_one_line(listed).alias("name"))
+    held.write.options(**tables.EXACT).csv(folder)
+    back = spark.read.options(**tables.EXACT).options(mode="FAILFAST", columnPruning=False).csv(folder)
+    return back.select(F.col("event_id").cast("long"), hexfmt.from_one_line(F.col("name")).alias("name"))
+
+
+@query
+def datasets_written(spark, sf_dir):
+    """Rows and labels of the three datasets, built with validation, written and read again."""
+    built = datasets.build_datasets(_labelled(_rows(spark, sf_dir)), "is_anomalous", hold=True)
+    folder = scratch_folder(spark, "datasets")
+    tables.write_datasets(built, folder, fmt="parquet")
+    parts = []
+    for name in tables.DATASET_NAMES:
+        rows = spark.read.parquet(f"{folder}/{name}")
+        parts.append(rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).withColumn("dataset", F.lit(name)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def packet_table(spark, sf_dir):
+    folder = scratch_folder(spark, "packets")
+    fx.event_packets(spark, sf_dir).write.parquet(folder)
+    read = tables.read_packets(spark, folder)
+    return read.groupBy("capture_id", "proto").agg(F.count(F.lit(1)).alias("packets"), F.sum("wirelen").cast("long").alias("bytes_wire"))
+
+
+@query
+def unusable_labels(spark, sf_dir):
+    at = F.col("event_id") % 5
+    words = F.when(at == 0, "benign").when(at == 1, "odd").when(at == 2, "2").when(at == 3, "1").otherwise("unknown")
+    rows = fx.table(spark, sf_dir, "events").select(words.alias("label_text"))
+    return datasets.unusable_labels(rows, "label_text")
+
+
 DIRTY_TEXT = ["NaN", " None ", "null", "", "303", "0303", "FEFD", "12345", "-", " H2;HTTP/1.1 ", "none-such", "7"]
 DIRTY_NUMBERS = ["abc", " 12 ", "1.7", "", "inf", "-Infinity", "1e3", "0x1A", "True", "1_0", "1d", "nan", "+5", ".5", "5.", "-0.25"]
 

@@ -32,7 +32,7 @@ RANGE_COLUMNS = ["path", "length", "range_no", "start", "stop", "begin", "order"
 LOCATED = (
     "path string, length long, range_no int, start long, stop long, begin long, order string, "
     "landing long, landing_order string, packets long, notes array<struct<at: long, block: binary>>, "
-    "error string"
+    "error string, broken_at long"
 )
 
 
@@ -43,7 +43,7 @@ def _open(path: str, length: int) -> cf.Bytes:
 
 
 def _locate_one(row: dict) -> dict:
-    out = {**row, "landing": NOWHERE, "landing_order": None, "packets": 0, "notes": [], "error": None}
+    out = {**row, "landing": NOWHERE, "landing_order": None, "packets": 0, "notes": [], "error": None, "broken_at": None}
     try:
         file = _open(row["path"], row["length"])
         form = cf.open_format(file)
@@ -67,6 +67,7 @@ def _locate_one(row: dict) -> dict:
             out["packets"] += form.counts(file, at)
             at = end
     except cf.Broken:
+        out.update(error="breaks off: the record does not fit the file", broken_at=at)
         at = NOWHERE
     return {**out, "landing": at, "landing_order": form.order}
 
@@ -126,8 +127,12 @@ def capture_ranges(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BY
 
 
 def capture_errors(located: DataFrame) -> DataFrame:
-    """Files that could not be read as a capture; they yield no packets."""
-    return located.filter((F.col("range_no") == 0) & F.col("error").isNotNull()).select("path", "error")
+    """Files that are no capture, and where files break off: path, offset and reason.
+
+    The former yield no packets, the latter those before the offset.
+    """
+    told = F.col("error").isNotNull() & ((F.col("range_no") == 0) | F.col("broken_at").isNotNull())
+    return located.filter(told).select("path", F.coalesce("broken_at", F.lit(0)).alias("offset"), "error")
 
 
 def _read_one(row: dict) -> Iterator[tuple]:

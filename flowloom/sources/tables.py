@@ -6,6 +6,9 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from flowloom.functions.hexfmt import from_one_line, on_one_line
 from flowloom.operators.checks import stratified_sample
 from flowloom.operators.datasets import Datasets, feature_schema, normalize_columns
 from flowloom.operators.export import export_rows
@@ -14,6 +17,9 @@ from flowloom.schema import PACKET_SCHEMA
 # Names of the dataset outputs.
 DATASET_NAMES = ("dataset_flow_only", "dataset_flow_plus_ja4", "report_view")
 SCHEMA_NAME = "feature_schema"
+# Names come from the wire and may hold anything; blanks and quotes are kept as they are.
+NAME_COLUMN = "ja4_alpn"
+EXACT = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
 
 
 def read_packets(spark: SparkSession, *paths: str) -> DataFrame:
@@ -21,14 +27,22 @@ def read_packets(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_flow_csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """Raw flow files: every column as text, bound by name; no value is read as missing."""
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(list(paths))
-    return normalize_columns(raw)
+    """Raw flow files: every column as text, bound by name; no value is read as missing.
+
+    A row with too many or too few fields is an error. Line breaks in names are written as
+    ``\\n`` and ``\\r``, so that files can be split at any line.
+    """
+    reader = spark.read.options(**EXACT).options(enforceSchema=False, mode="FAILFAST", columnPruning=False)
+    raw = normalize_columns(reader.csv(list(paths)))
+    if NAME_COLUMN not in raw.columns:
+        return raw
+    return raw.withColumn(NAME_COLUMN, from_one_line(F.col(NAME_COLUMN)))
 
 
 def write_flow_csv(flows: DataFrame, path: str, mode: str = "error") -> None:
     # emptyValue: an empty text stays an empty field instead of a pair of quotes.
-    export_rows(flows).write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
+    rows = export_rows(flows).withColumn(NAME_COLUMN, on_one_line(F.col(NAME_COLUMN)))
+    rows.write.mode(mode).options(**EXACT).option("emptyValue", "").csv(path)
 
 
 def write_datasets(datasets: Datasets, outdir: str, fmt: str = "csv", mode: str = "error") -> None:
