@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from flowloom.llm.inputs import in_slices, task_count, texts
 from flowloom.llm.tokens import encoder
 
-HEAD_ENTRIES = 100_000
-HEAD_SAMPLE_ROWS = 4_000
-BAG_SCHEMA = "doc_id long, text_key long, n_bytes long, pretoken string, frequency long, pieces long"
+HEAD_ENTRIES = 250_000
+HEAD_SAMPLE_ROWS = 20_000
+BAG_SCHEMA = "doc_id long, text_key int, n_bytes long, pretoken string, frequency long"
 
 
 def pre_tokens(tokens, text: str) -> list[str]:
@@ -43,8 +43,8 @@ def piece_count(tokens, pre_token: str) -> int:
     return 1 if tokens.special(pre_token) else len(tokens.piece(pre_token))
 
 
-def frequent(docs: DataFrame, path: str, entries: int = HEAD_ENTRIES, rows: int = HEAD_SAMPLE_ROWS) -> list[str]:
-    """The most frequent pre-tokens of about ``rows`` rows: at most ``entries``."""
+def frequent(docs: DataFrame, path: str, entries: int = HEAD_ENTRIES, rows: int = HEAD_SAMPLE_ROWS) -> dict[str, int]:
+    """The most frequent pre-tokens of about ``rows`` rows, at most ``entries``, with their numbers of pieces."""
     total = docs.count()
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // rows))) == 0)
 
@@ -55,9 +55,15 @@ def frequent(docs: DataFrame, path: str, entries: int = HEAD_ENTRIES, rows: int
                 bag.update(pre_tokens(tokens, text))
         yield pa.RecordBatch.from_arrays([pa.array(bag.keys(), pa.string()), pa.array(bag.values(), pa.int64())], ["pretoken", "n"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = encoder(path)
+        for batch in batches:
+            pieces = [piece_count(tokens, p) for p in batch.column("pretoken").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("pretoken"), pa.array(pieces, pa.int32())], ["pretoken", "pieces"])
+
     counted = some.mapInArrow(bags, "pretoken string, n long").where("length(pretoken) <= 48").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    top = counted.where("n > 1").orderBy(F.desc("n"), "pretoken").limit(entries)
-    return [r["pretoken"] for r in top.select("pretoken").collect()]
+    top = counted.where("n > 1").orderBy(F.desc("n"), "pretoken").limit(entries).select("pretoken")
+    return {r["pretoken"]: r["pieces"] for r in top.mapInArrow(count, "pretoken string, pieces int").collect()}
 
 
 def count_tokens(docs: DataFrame, path: str, *, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,28 +73,26 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 512, id_col: str =
     head = spark.sparkContext.broadcast(frequent(narrow, path))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path)
-        known = {p: piece_count(tokens, p) for p in head.value}
+        tokens, known = encoder(path), head.value
         for batch in in_slices(batches, "text"):
-            ids, keys, sizes, rest, counts, pieces = [], [], [], [], [], []
+            ids, keys, sizes, rest, counts = [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 raw = text.encode()
-                key = xxhash.xxh64_intdigest(raw) - (1 << 63)
+                key = xxhash.xxh32_intdigest(raw) - (1 << 31)
                 done, tail = 0, []
                 for pre_token, n in Counter(pre_tokens(tokens, text)).items():
                     if (count := known.get(pre_token)) is None:
                         tail.append((pre_token, n))
                     else:
                         done += n * count
-                # The row that carries the document's own figures has no pre-token.
+                # The row that carries the document's own figures has no pre-token; its frequency is the pieces counted here.
                 ids += [doc] * (len(tail) + 1)
                 keys += [key] * (len(tail) + 1)
                 sizes += [len(raw)] + [None] * len(tail)
                 rest += [None] + [t for t, _ in tail]
-                counts += [1] + [n for _, n in tail]
-                pieces += [done] + [None] * len(tail)
-            arrays = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rest, pa.string()), pa.array(counts, pa.int64()), pa.array(pieces, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n_bytes", "pretoken", "frequency", "pieces"])
+                counts += [done] + [n for _, n in tail]
+            arrays = [pa.array(ids, pa.int64()), pa.array(keys, pa.int32()), pa.array(sizes, pa.int64()), pa.array(rest, pa.string()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n_bytes", "pretoken", "frequency"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, last, last_count = encoder(path), None, 0
@@ -97,19 +101,18 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 512, id_col: str =
             # Rows are sorted: a pre-token that goes on from the batch before is known.
             per = np.array([last_count if t == last else piece_count(tokens, t) for t in table.dictionary.to_pylist()], np.int64)
             place = table.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            own = batch.column("pieces").fill_null(0).to_numpy(zero_copy_only=False)
             frequency = batch.column("frequency").to_numpy()
-            total = np.where(place >= 0, frequency * (per[place] if len(per) else 0), own)
+            total = np.where(place >= 0, frequency * per[place], frequency) if len(per) else frequency
             if len(per) and place[-1] >= 0:
                 last, last_count = table.dictionary[int(place[-1])].as_py(), int(per[place[-1]])
-            arrays = [batch.column("doc_id"), batch.column("text_key"), batch.column("n_bytes"), pa.array(total), pa.array((place < 0).astype(np.int64))]
+            arrays = [batch.column("doc_id"), batch.column("text_key"), batch.column("n_bytes"), pa.array(total), pa.array((place < 0).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n_bytes", "tokens", "copies"])
 
     rows = narrow.mapInArrow(bags, BAG_SCHEMA)
     # Rows without a pre-token need no common task; they are dealt by document.
     target = F.when(F.col("pretoken").isNull(), F.xxhash64("doc_id", "text_key")).otherwise(F.xxhash64("pretoken"))
     dealt = rows.repartition(task_count(spark), target)
-    summed = dealt.sortWithinPartitions("pretoken").mapInArrow(joined, "doc_id long, text_key long, n_bytes long, tokens long, copies long")
+    summed = dealt.sortWithinPartitions("pretoken").mapInArrow(joined, "doc_id long, text_key int, n_bytes long, tokens long, copies int")
     totals = summed.groupBy("doc_id", "text_key").agg(F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("tokens"), F.sum("copies").alias("copies"))
     each = totals.withColumn("n_tokens", (F.col("tokens") / F.col("copies")).cast("long"))
     each = each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
