@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,3 +259,27 @@ def test_many_hot_conversations_are_salted(spark, monkeypatch):
     monkeypatch.setattr(sessionize, "BROADCAST_TUPLES", 0)
     rows = random_packets(8, 300, 0.1)
     assert labels(sessionize.label_packets(frame(spark, rows), hot_rows=60)) == model.label(rows)
+
+
+def test_search_takes_linear_time():
+    began = time.process_time()
+    assert tls.hello_in_stream(b"\x16\x03\x01\x00\x00" * 200_000) is None
+    search = tls.HelloSearch()
+    for _ in range(20_000):
+        assert search.feed(b"\x16\x03\x01\xff\xff\x01" + bytes(20)) is None
+    # Generous: the former took minutes at a tenth of the size.
+    assert time.process_time() - began < 20
+
+
+def test_empty_records_count_from_the_first():
+    rng = random.Random(8)
+    parts = [b"\x16\x03\x01\x00\x00", HELLO, record(handshake(body(version=0x0301)))[:-1], b"\x16\x03\x01\x00\x00\x16"]
+    for _ in range(2000):
+        stream, at, search = b"".join(rng.choices(parts, k=rng.randrange(2, 9))), 0, tls.HelloSearch()
+        while at < len(stream):
+            step = rng.randrange(1, 50)
+            got = search.feed(stream[at : at + step])
+            at += step
+            assert got == rescan(stream[:at])
+            if got is not None:
+                break
