@@ -20,6 +20,7 @@ Conversations with more rows than one task should hold go to :mod:`flowloom.oper
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -196,12 +197,16 @@ def assign_flows(packets: DataFrame, timeout_ns: int, hot: Hot | None) -> tuple[
 
 
 def label_packets(
-    packets: DataFrame, timeout_ns: int = ACTIVE_TIMEOUT_NS, hot_rows: int | None = HOT_ROWS
+    packets: DataFrame, timeout_ns: int = ACTIVE_TIMEOUT_NS, hot_rows: int | None = HOT_ROWS, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Every TCP and UDP packet with its flow, direction and flow instance number.
 
-    ``fresh`` marks packets that open a flow for another reason than the timeout.
+    ``fresh`` marks packets that open a flow for another reason than the timeout. Only what the labels
+    need takes part in the shuffle, and the columns of ``carry``; join others, such as payloads, back by
+    ``capture_id`` and ``pkt_no``.
     """
+    tuples.require_order(packets)
+    packets = packets.select(*LABEL_COLUMNS, *[c for c in carry if c not in LABEL_COLUMNS])
     cold, hot = assign_flows(packets, timeout_ns, find_hot(packets, timeout_ns, hot_rows))
     labelled = number_packets(cold)
     if hot is not None:

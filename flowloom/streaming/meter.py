@@ -1,8 +1,8 @@
 """Incremental flow meter: the same flows from packets that arrive in micro-batches.
 
 Each conversation keeps its open flow and its two instance counters as state. Packets must
-arrive in capture order across micro-batches; inside one they are sorted by pkt_no. The
-result equals the batch meter then. Nothing is dropped as late: a timestamp that runs
+arrive in capture order across micro-batches (the state keeps the last number, and an earlier one
+raises); inside one they are sorted by pkt_no. The result equals the batch meter then. Nothing is dropped as late: a timestamp that runs
 backwards just counts, as it does in a batch.
 
 A flow is emitted with ``final`` once it is closed or replaced. Flows still open are emitted
@@ -25,7 +25,7 @@ from flowloom.operators.meter import FLOW_COLUMNS, METER_COLUMNS, average_wirele
 from flowloom.schema import ACTIVE_TIMEOUT_NS, COUNTERS, PACKET_SCHEMA, TCP, TCP_COUNTS, TUPLE_KEY
 
 SUMS = COUNTERS + TCP_COUNTS
-STATE_FIELDS = ["lo_flows", "hi_flows", "is_open", "client_is_lo", "open_pkt", "first_ts_ns", "last_ts_ns"]
+STATE_FIELDS = ["lo_flows", "hi_flows", "is_open", "client_is_lo", "open_pkt", "first_ts_ns", "last_ts_ns", "last_pkt"]
 STATE_SCHEMA = ", ".join(f"{n} long" for n in STATE_FIELDS + SUMS)
 KEY_SCHEMA = "capture_id string, lo_ip string, lo_port int, hi_ip string, hi_port int, proto int"
 EMITTED = ["client_is_lo", "open_pkt", "flow_instance", "first_ts_ns", "last_ts_ns"] + SUMS + ["final"]
@@ -67,6 +67,8 @@ def _stepper(timeout_ns: int):
         packets = pd.concat(list(batches), ignore_index=True).sort_values("pkt_no", ignore_index=True)
         was = dict(zip(STATE_FIELDS + SUMS, state.get)) if state.exists else dict.fromkeys(STATE_FIELDS + SUMS, 0)
         tcp = key[-1] == TCP
+        if state.exists and int(packets["pkt_no"].iloc[0]) <= was["last_pkt"]:
+            raise ValueError(f"packet {packets['pkt_no'].iloc[0]} of {key[0]} came after {was['last_pkt']}: micro-batches are out of capture order")
         flag = {f: packets[f].to_numpy(bool) & tcp for f in ("syn", "ack", "fin", "rst")}
         closes = flag["fin"] | flag["rst"]
         hard = flag["syn"] & ~flag["ack"]
@@ -99,7 +101,7 @@ def _stepper(timeout_ns: int):
                     open_pkt=int(numbers[begin]),
                     first_ts_ns=int(ts[begin]),
                 )
-            row.update(last_ts_ns=int(ts[end]), is_open=int(not closes[end]))
+            row.update(last_ts_ns=int(ts[end]), last_pkt=int(numbers[end]), is_open=int(not closes[end]))
             row["flow_instance"] = row["lo_flows" if row["client_is_lo"] else "hi_flows"] - 1
             rows.append(row)
             was = row

@@ -32,3 +32,13 @@ def test_stream_equals_batch(spark, tmp_path, batches, jitter):
     assert emitted.filter("final").groupBy("capture_id", "open_pkt").count().filter("count > 1").count() == 0
     want = sorted(meter_flows(frame(spark, rows)).collect())
     assert sorted(latest_flows(emitted).select(*FLOW_COLUMNS).collect()) == want
+
+
+def test_stream_out_of_order_is_an_error(spark, tmp_path):
+    rows, folder = random_packets(7, 300, 0.0), str(tmp_path / "packets")
+    for part in (rows[150:], rows[:150]):
+        full(frame(spark, part)).coalesce(1).write.mode("append").parquet(folder)
+    versions = meter_stream(stream_packets(spark, folder, files_per_trigger=1))
+    query = append_versions(versions, str(tmp_path / "flows"), str(tmp_path / "checkpoint"))
+    with pytest.raises(Exception, match="out of capture order"):
+        query.awaitTermination(120)
