@@ -13,8 +13,17 @@ LINUX_COOKED = 113
 LINUX_COOKED_2 = 276
 IPV4_TYPE = "0800"
 IPV6_TYPE = "86DD"
-VLAN_TYPES = ["8100", "88A8", "9100"]
-VLAN_TAGS = "^(?:(?:8100|88A8|9100)[0-9A-F]{4})*"
+PPP_IPV4, PPP_IPV6 = "0021", "0057"
+IPV4_IN_IPV6 = 4
+# From the first type field to the network header: any VLAN tags, then IP, a PPPoE session, or a
+# stack of MPLS labels whose last one has the lowest bit of its third byte set.
+ETHERNET_PATH = (
+    "^(?:(?:8100|88A8|9100)[0-9A-F]{4})*"
+    "(?:0800|86DD|8864[0-9A-F]{12}(?:0021|0057)"
+    "|884[78](?:[0-9A-F]{5}[02468ACE][0-9A-F]{2})*[0-9A-F]{5}[13579BDF][0-9A-F]{2})"
+)
+# Bytes in which that path is looked for; only they are spelled in hex.
+PATH_BYTES = 256
 FLAG_BITS = {"fin": 1, "syn": 2, "rst": 4, "psh": 8, "ack": 16}
 
 
@@ -34,12 +43,10 @@ def number(frame: Column, at: Column, size: int) -> Column:
 
 
 def network_offset(frame: Column, linktype: Column) -> Column:
-    """Where the network header begins, behind any VLAN tags; NULL for other link types."""
-    tagged = hex_of(frame, F.lit(12), 2).isin(VLAN_TYPES)
-    tags = F.length(F.regexp_extract(F.hex(F.substring(frame, F.lit(13), F.length(frame))), VLAN_TAGS, 0))
+    """Where the network header begins, behind tags, sessions and labels; NULL for other links."""
+    path = F.length(F.regexp_extract(hex_of(frame, F.lit(12), PATH_BYTES), ETHERNET_PATH, 0))
     return (
-        F.when((linktype == ETHERNET) & tagged, F.lit(14) + (tags / 2).cast("int"))
-        .when(linktype == ETHERNET, F.lit(14))
+        F.when((linktype == ETHERNET) & (path > 0), F.lit(12) + (path / 2).cast("int"))
         .when(linktype.isin(RAW_IP), F.lit(0))
         .when(linktype.isin(LOOPBACK), F.lit(4))
         .when(linktype == LINUX_COOKED, F.lit(16))
@@ -53,9 +60,11 @@ def network_version(frame: Column, linktype: Column, at: Column) -> Column:
     named = linktype.isin(ETHERNET, LINUX_COOKED, LINUX_COOKED_2)
     link_type = hex_of(frame, type_at, 2)
     version = F.shiftright(number(frame, at, 1), 4)
-    agrees = F.when(
-        named, ((version == 4) & (link_type == IPV4_TYPE)) | ((version == 6) & (link_type == IPV6_TYPE))
-    ).otherwise(version.isin(4, 6))
+    four = (version == 4) & link_type.isin(IPV4_TYPE, PPP_IPV4)
+    six = (version == 6) & link_type.isin(IPV6_TYPE, PPP_IPV6)
+    # Labels name no type; the last one is told by its odd third byte, which no type above has.
+    labels = (linktype == ETHERNET) & link_type.rlike("^.[13579BDF]") & version.isin(4, 6)
+    agrees = F.when(named, four | six | labels).otherwise(version.isin(4, 6))
     return F.when(agrees, version)
 
 

@@ -26,8 +26,19 @@ def _fields(frames: DataFrame, fields: dict[str, Column]) -> DataFrame:
 
 def _network(frames: DataFrame) -> DataFrame:
     frame, at, v4 = F.col("frame"), F.col("net_at"), F.col("version") == 4
-    found = _fields(frames, {"net_at": fr.network_offset(frame, F.col("linktype"))})
-    found = _fields(found, {"version": fr.network_version(frame, F.col("linktype"), at)})
+    outer, outer_version = F.col("outer_at"), F.col("outer_version")
+    found = _fields(frames, {"outer_at": fr.network_offset(frame, F.col("linktype"))})
+    found = _fields(found, {"outer_version": fr.network_version(frame, F.col("linktype"), outer)})
+    # A packet of version 4 inside one of version 6 is the one that counts.
+    inside = (outer_version == 6) & (fr.number(frame, outer + 6, 1) == fr.IPV4_IN_IPV6)
+    inside = F.coalesce(inside & (F.shiftright(fr.number(frame, outer + 40, 1), 4) == 4), F.lit(False))
+    found = _fields(
+        found,
+        {
+            "net_at": F.when(inside, outer + 40).otherwise(outer),
+            "version": F.when(inside, F.lit(4)).otherwise(outer_version),
+        },
+    )
     header = F.when(v4, fr.number(frame, at, 1).bitwiseAND(15) * 4).otherwise(F.lit(40))
     fragment = F.when(v4, fr.number(frame, at + 6, 2).bitwiseAND(8191)).otherwise(F.lit(0))
     said = F.when(v4, fr.number(frame, at + 2, 2)).otherwise(fr.number(frame, at + 4, 2) + 40)
@@ -42,7 +53,10 @@ def _network(frames: DataFrame) -> DataFrame:
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:
-    """TCP and UDP packets of IPv4 and IPv6 frames; all other frames are dropped."""
+    """TCP and UDP packets of IPv4 and IPv6 frames; all other frames are dropped.
+
+    Headers may stand behind VLAN tags, a PPPoE session, MPLS labels, or IPv4 inside IPv6.
+    """
     frame, at, l4 = F.col("frame"), F.col("net_at"), F.col("l4_at")
     tcp = F.col("proto") == TCP
     v4 = F.col("version") == 4

@@ -198,8 +198,11 @@ def customer_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Frames from events --------------------------------------------------------------------
 
 
-def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frame bytes of the event packets: some with a VLAN tag, some IPv6, some padded."""
+def event_frames(spark: SparkSession, sf_dir: str, wrapped: bool = False) -> DataFrame:
+    """Frame bytes of the event packets: some with a VLAN tag, some IPv6, some padded.
+
+    With ``wrapped`` they lie in PPPoE sessions, behind MPLS labels or inside IPv6 as well.
+    """
     packets = event_packets(spark, sf_dir).withColumn("no", F.col("pkt_no"))
     no, proto = F.col("no"), F.col("proto")
 
@@ -225,7 +228,12 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     six_header = F.concat(F.lit("60000000"), hexed(length, 2), hexed(proto, 1), F.lit("40"), v6("src_ip"), v6("dst_ip"))
     tag = F.when(no % 4 == 1, F.lit("81000064")).otherwise(F.lit(""))
-    link = F.concat(F.lit("020000000001020000000002"), tag, F.when(six, F.lit("86DD")).otherwise(F.lit("0800")))
+    kind = F.when(six, F.lit("86DD")).otherwise(F.lit("0800"))
+    if wrapped:
+        session = F.concat(F.lit("8864110000010020"), F.when(six, F.lit("0057")).otherwise(F.lit("0021")))
+        tunnel = F.concat(F.lit("86DD60000000"), hexed(length + 20, 2), F.lit("0440" + "20010DB8" + "0" * 24 + "20010DB8" + "1" * 24))
+        kind = F.when(no % 3 == 0, session).when(no % 3 == 1, F.lit("8847000640400003E13F")).otherwise(F.when(six, kind).otherwise(tunnel))
+    link = F.concat(F.lit("020000000001020000000002"), tag, kind)
     padding = F.when(no % 5 == 0, F.lit("000000000000")).otherwise(F.lit(""))
     frame = F.concat(link, F.when(six, six_header).otherwise(four_header), transport, padding)
     return packets.select(

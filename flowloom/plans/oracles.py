@@ -439,3 +439,5 @@ def _six(name: str) -> str:
 ORACLES["frames_decoded"] = (
     ORACLES["frames_decoded"].replace("six(src_ip)", _six("src_ip")).replace("six(dst_ip)", _six("dst_ip"))
 )
+# Whatever stands around them, the packets are the same.
+ORACLES["frames_encapsulated"] = ORACLES["frames_decoded"]

@@ -410,6 +410,12 @@ def grease_filter(spark, sf_dir):
     )
 
 
+@query
+def frames_encapsulated(spark, sf_dir):
+    packets = decode_frames(fx.event_frames(spark, sf_dir, wrapped=True))
+    return packets.withColumn("payload", F.hex("payload"))
+
+
 @query
 def frames_decoded(spark, sf_dir):
     packets = decode_frames(fx.event_frames(spark, sf_dir))

@@ -160,6 +160,28 @@ def test_decode(spark):
     assert got[3]["seq"] == 2**32 - 1 and got[3]["psh"]
 
 
+def test_decode_behind_other_headers(spark):
+    labels = b"\x00\x06\x40\x40\x00\x03\xe1\x3f"
+    session = b"\x11\x00\x00\x01\x00\x20"
+    four, six = ipv4(17, UDP), ipv6(17, UDP)
+    got = decoded(
+        spark,
+        [
+            (1, ethernet(0x8864, session + b"\x00\x21" + four), 1),
+            (1, ethernet(0x8864, session + b"\x00\x57" + six, b"\x81\0\0\2"), 1),
+            (1, ethernet(0x8847, labels + four), 1),
+            (1, ethernet(0x8848, labels[4:] + six), 1),
+            (1, ethernet(0x86DD, ipv6(4, four)), 1),
+            (1, ethernet(0x8864, session + b"\xc0\x21" + four), 1),
+            (1, ethernet(0x8847, labels[:4]), 1),
+            (1, ethernet(0x86DD, ipv6(4, six)), 1),
+        ],
+    )
+    assert set(got) == {0, 1, 2, 3, 4}
+    assert [got[i]["src_ip"] for i in range(5)] == ["10.0.0.1", "2001:db8::1", "10.0.0.1", "2001:db8::1", "10.0.0.1"]
+    assert all(bytes(r["payload"]) == b"abc" and r["src_port"] == 53 for r in got.values())
+
+
 def test_ipv6_text(spark):
     rng = random.Random(2)
     parts = [b"\0\0", b"\0\0", b"\0\1", b"\xff\xff", b"\x0a\x00", b"\x00\xb0"]
