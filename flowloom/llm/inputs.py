@@ -43,7 +43,7 @@ def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterable[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterable[pa.RecordBatch]:
     """Parts of a batch of about ``limit`` bytes in ``column``, so that long texts stay bounded."""
     total = batch.column(column).nbytes
     rows = batch.num_rows

@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-CUT_MEMO = 1 << 20
-PIECE_MEMO = 500_000
+CUT_MEMO = 1 << 19
+PIECE_MEMO = 250_000
 LONGEST_KEPT = 48
 SEPARATOR = "\x01"
 # Fixed value: how byte-level pre-tokenizers cut a text.
