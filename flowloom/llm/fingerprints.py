@@ -160,6 +160,8 @@ def within(points: DataFrame, asked: DataFrame, *, radius: int = RADIUS, blocks:
         return df.withColumn("row", F.explode(F.array(*rows))).select("row.t", "row.key", *df.columns)
 
     all_rows, asked_rows = tables(points), tables(asked.select("high", "low").distinct())
+    # Only keys that are asked for meet anyone.
+    all_rows = all_rows.join(asked_rows.select(F.col("t").alias("at"), F.col("key").alias("ak")).distinct(), (F.col("t") == F.col("at")) & (F.col("key") == F.col("ak")), "left_semi")
     # Keys shared by very many fingerprints are dealt over several tasks; the asked ones visit each.
     many = all_rows.groupBy("t", "key").count().where(F.col("count") > GROUP_POINTS)
     many = many.select("t", "key", F.ceil(F.col("count") / GROUP_POINTS).cast("int").alias("shares"))
