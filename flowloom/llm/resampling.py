@@ -9,6 +9,13 @@ the quantile are fitted on at most ``target_rows`` labelled ones. A bucket's log
 towards 0, by 1 and two standard errors, so that sampling noise and the mix of languages among the
 labelled do not add up over long texts.
 
+A sum over a long text hides a few telling n-grams, so labelled good documents are also held against labelled
+bad ones (quality 0 or toxic), by the number of documents that have an n-gram: if it is surely at least e
+times as common among the bad, it is a mark, and weighs the lower bound (two standard errors) of that
+log-ratio. Marks are whole n-grams, not buckets; words said over and over count as an n-gram
+too. A document whose marks exceed those of 99.5 % of the trusted ones, and ``LEAST_HOLD``, is held back: it is
+not drawn, and its log-ratio is at most 0, less its marks.
+
 Tokens are runs of letters, digits and non-ASCII characters, or of punctuation.
 
 Cases: a null text is an empty one with log-ratio 0; repeated rows have equal keys and share their
@@ -19,7 +26,7 @@ are 0 and all stay; an empty table gives an empty result; extra columns are kept
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +42,12 @@ TARGET_ROWS = 20_000
 # Weight of the raw model in the target model, share of trusted documents below the cut, and its slack.
 SMOOTHING, DEAD_ZONE = 0.05, 1.0
 QUANTILE, SLACK = 0.005, 5.0
+# Bad documents that a mark is in at least, the most marks tried (the most frequent), the least log-ratio of a
+# mark, standard errors, and the weight of marks that never holds a document back.
+LEAST_BAD, MOST_TRIED, LEAST_MARK, ERRORS, LEAST_HOLD = 5, 1 << 18, 1.0, 2.0, 2.0
+# A run of so many tokens, each of them equal to the one two before, is one more n-gram.
+RUN = 8
+HELD_KEY = -(1 << 62)
 TEMPERATURE = 0.25
 SEED = 17
 # Fixed rule: 0 white space, 1 letters, digits and bytes of other scripts, 2 punctuation.
@@ -53,11 +66,11 @@ class Ngrams:
     """Buckets of all n-grams of a batch of texts at once, by their UTF-8 bytes."""
 
     def __init__(self, buckets: int = BUCKETS) -> None:
-        self.buckets = np.uint64(buckets)
+        self.buckets, self.tokens = np.uint64(buckets), 0
         self.up = self.down = np.ones(1, np.uint64)
 
     def __call__(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket of each n-gram, and the text it is from."""
+        """Bucket of each n-gram, and the text it is from; the first ``tokens`` are the single ones, in order."""
         data, bounds = text_bytes(array)
         if len(self.up) < len(data) + 1:
             steps = np.full(len(data) + 1, _STEP, np.uint64)
@@ -78,17 +91,63 @@ class Ngrams:
         text = np.searchsorted(bounds, begin, side="right") - 1
         pair = _mix(key[:-1] * np.uint64(3) + key[1:] * np.uint64(5))[text[1:] == text[:-1]]
         of_pair = text[1:][text[1:] == text[:-1]]
+        self.tokens = len(key)
         return (np.concatenate([key, pair]) % self.buckets).astype(np.int64), np.concatenate([text, of_pair])
 
 
+def distinct_ngrams(ngrams: Ngrams, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of each text, each once, and the text; with n-gram 0 for a run. ``ngrams`` has 2 ** 62 buckets."""
+    key, text = ngrams(array)
+    single, of = key[: ngrams.tokens], text[: ngrams.tokens]
+    same = (single[2:] == single[:-2]) & (of[2:] == of[:-2])
+    before = np.concatenate([[0], np.cumsum(same)])
+    runs = np.unique(of[2:][RUN - 1 :][before[RUN:] - before[:-RUN] == RUN]) if len(same) >= RUN else np.zeros(0, text.dtype)
+    key, text = np.concatenate([key, np.zeros(len(runs), np.int64)]), np.concatenate([text, runs])
+    order = np.lexsort((key, text))
+    key, text = key[order], text[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+    return key[new], text[new]
+
+
+def mark_weights(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.ndarray:
+    """Weights of n-grams by how many bad and good documents have them; 0 where it is no mark."""
+    ratio = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
+    least = ratio - ERRORS * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+    return np.where((bad >= LEAST_BAD) & (least >= LEAST_MARK), least, 0.0)
+
+
+def mark_sums(ngrams: Ngrams, marks: np.ndarray, weights: np.ndarray, array: pa.Array) -> np.ndarray:
+    """The weight of all marks of each text; ``marks`` are sorted."""
+    if not len(marks):
+        return np.zeros(len(array))
+    key, text = distinct_ngrams(ngrams, array)
+    at = np.minimum(np.searchsorted(marks, key), len(marks) - 1)
+    return np.bincount(text, np.where(marks[at] == key, weights[at], 0.0), len(array)).astype(np.float64)
+
+
 @dataclass
 class Resampler:
-    """The fitted models and the smallest key that stays."""
+    """The fitted models, the marks (sorted) with their weights and limit, and the smallest key that stays."""
 
     ratio: np.ndarray
     least_key: int
     temperature: float
     seed: int
+    marks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    limit: float = np.inf
+
+    def ngrams(self) -> tuple[Ngrams, Ngrams]:
+        return Ngrams(len(self.ratio)), Ngrams(1 << 62)
+
+    def judge(self, ngrams: tuple[Ngrams, Ngrams], array: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Log-ratio, n-grams, key and weight of marks of each text."""
+        log_ratio, n = log_ratios(ngrams[0], self.ratio, array)
+        marked = mark_sums(ngrams[1], self.marks, self.weights, array)
+        held = marked > self.limit
+        log_ratio = np.where(held, np.minimum(log_ratio, 0) - marked, log_ratio)
+        return log_ratio, n, np.where(held, HELD_KEY, keys(log_ratio, ids, self.temperature, self.seed)), marked
 
 
 def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
@@ -142,6 +201,8 @@ def fit(
     good = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good).alias("good"))
     known = written(known, "resample-labels")
+    narrow = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    marks, weights = find_marks(narrow, known, target_rows)
     some = known.where("good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).select("doc_id").collect()
     trusted = np.sort(np.array([r["doc_id"] for r in some], np.int64))
 
@@ -154,7 +215,6 @@ def fit(
             target += np.bincount(bucket[is_target[text]], minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(raw), pa.array(target)], ["bucket", "raw", "target"])
 
-    narrow = texts(docs, id_col, text_col)
     counted = narrow.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, goal = np.zeros(buckets), np.zeros(buckets)
     for r in counted.collect():
@@ -162,9 +222,18 @@ def fit(
     model = Resampler(bucket_ratios(raw, goal), -(1 << 63), temperature, seed)
     if not goal.sum():
         return model
-    scored = score(docs, model, trusted, id_col=id_col, text_col=text_col).select("key", "trusted", F.round(F.col("log_ratio") * 1_000_000).cast("long").alias("ratio"))
-    scored = written(scored, "resample-keys")
+    model.marks, model.weights = marks, weights
+    scored = _scores(docs, model, trusted, id_col=id_col, text_col=text_col)
+    millionths = [F.round(F.col(c) * 1_000_000).cast("long").alias(name) for c, name in (("log_ratio", "ratio"), ("marked", "marked"))]
+    scored = written(scored.select("key", "trusted", *millionths), "resample-keys")
     rows, sure = scored.agg(F.count("*"), F.count(F.when(F.col("trusted"), 1))).first()
+    if len(marks):
+        limit = max(int(LEAST_HOLD * 1_000_000), kth_largest(scored.where("trusted"), "marked", 1 + int(QUANTILE * sure)))
+        # Between two millionths, so that rounding does not part the same sum.
+        model.limit = (limit + 0.5) / 1_000_000
+        held = F.col("marked") > limit
+        scored = scored.select(F.when(held, F.lit(HELD_KEY)).otherwise(F.col("key")).alias("key"), F.col("trusted") & ~held, F.when(~held, F.col("ratio")).alias("ratio")).toDF("key", "trusted", "ratio")
+        sure = scored.where("trusted").count()
     floor = kth_largest(scored.where("trusted"), "ratio", sure - int(QUANTILE * sure)) - int(SLACK * 1_000_000)
     k = scored.where(F.col("ratio") >= floor).count()
     if k < rows:
@@ -172,6 +241,45 @@ def fit(
     return model
 
 
+def find_marks(narrow: DataFrame, known: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marks (sorted) and their weights, from at most ``rows`` good and as many bad documents.
+
+    N-grams of bad documents are counted first; only those that can be marks are counted in good ones.
+    """
+
+    def some(good: bool) -> DataFrame:
+        ids = known.where(F.col("good") == good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id")
+        return narrow.join(F.broadcast(ids), "doc_id", "left_semi")
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ngrams = Ngrams(1 << 62)
+        for batch in in_slices(batches, "text"):
+            found, often = np.unique(distinct_ngrams(ngrams, batch.column("text"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(often.astype(np.int64))], ["ngram", "n"])
+
+    tried = some(False).mapInArrow(bags, "ngram long, n long").groupBy("ngram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_BAD)
+    tried = tried.orderBy(F.desc("n"), "ngram").limit(MOST_TRIED).orderBy("ngram").toArrow()
+    marks, bad = tried.column("ngram").to_numpy(), tried.column("n").to_numpy()
+    if not len(marks):
+        return np.zeros(0, np.int64), np.zeros(0)
+    shared = narrow.sparkSession.sparkContext.broadcast(marks)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ngrams, known_marks = Ngrams(1 << 62), shared.value
+        good = np.zeros(len(known_marks), np.int64)
+        for batch in in_slices(batches, "text"):
+            key = distinct_ngrams(ngrams, batch.column("text"))[0]
+            at = np.minimum(np.searchsorted(known_marks, key), len(known_marks) - 1)
+            good += np.bincount(at[known_marks[at] == key], minlength=len(good))
+        own = np.flatnonzero(good)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(good[own])], ["at", "n"])
+
+    counted, good = some(True).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow(), np.zeros(len(marks), np.int64)
+    good[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
+    weights = mark_weights(bad, good, some(False).count(), some(True).count())
+    return marks[weights > 0].copy(), weights[weights > 0]
+
+
 def bucket_ratios(raw: np.ndarray, goal: np.ndarray) -> np.ndarray:
     """Log of target over raw probability of each bucket, drawn towards 0; all 0 without a target."""
     if not goal.sum():
@@ -183,30 +291,34 @@ def bucket_ratios(raw: np.ndarray, goal: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, model: Resampler, trusted: np.ndarray | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_ngrams, log_ratio, key, trusted (its id is among those given) and kept of each document."""
+    return _scores(docs, model, trusted, id_col=id_col, text_col=text_col).drop("marked")
+
+
+def _scores(docs: DataFrame, model: Resampler, trusted: np.ndarray | None, *, id_col: str, text_col: str) -> DataFrame:
     known = np.zeros(0, np.int64) if trusted is None else trusted
-    ratio, least, temperature, seed = model.ratio, model.least_key, model.temperature, model.seed
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ngrams = Ngrams(len(ratio))
+        own, ngrams = shared.value, shared.value.ngrams()
         for batch in in_slices(batches, "text"):
-            log_ratio, n = log_ratios(ngrams, ratio, batch.column("text"))
-            key = keys(log_ratio, _ids(batch.column("doc_id")), temperature, seed)
-            arrays = [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(log_ratio), pa.array(key), pa.array(np.isin(_ids(batch.column("doc_id")), known)), pa.array(key >= least)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_ngrams", "log_ratio", "key", "trusted", "kept"])
+            ids = _ids(batch.column("doc_id"))
+            log_ratio, n, key, marked = own.judge(ngrams, batch.column("text"), ids)
+            arrays = [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(log_ratio), pa.array(key), pa.array(np.isin(ids, known)), pa.array(key >= own.least_key), pa.array(marked)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_ngrams", "log_ratio", "key", "trusted", "kept", "marked"])
 
     narrow = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return narrow.mapInArrow(each, "doc_id long, n_ngrams long, log_ratio double, key long, trusted boolean, kept boolean")
+    return narrow.mapInArrow(each, "doc_id long, n_ngrams long, log_ratio double, key long, trusted boolean, kept boolean, marked double")
 
 
 def select(docs: DataFrame, model: Resampler, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are drawn, with all their columns; the texts do not move."""
     ship_package(docs.sparkSession)
-    ratio, least, temperature, seed = model.ratio, model.least_key, model.temperature, model.seed
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ngrams = Ngrams(len(ratio))
+        own, ngrams = shared.value, shared.value.ngrams()
         for batch in in_slices(batches, text_col):
-            log_ratio, _ = log_ratios(ngrams, ratio, batch.column(text_col).fill_null(""))
-            yield batch.filter(pa.array(keys(log_ratio, _ids(batch.column(id_col)), temperature, seed) >= least))
+            key = own.judge(ngrams, batch.column(text_col).fill_null(""), _ids(batch.column(id_col)))[2]
+            yield batch.filter(pa.array(key >= own.least_key))
 
     return docs.mapInArrow(each, docs.schema)
