@@ -11,6 +11,7 @@ count; special strings inside a text count as the library counts them; extra col
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from flowloom.llm.tokens import encoder
 
 HEAD_ENTRIES = 250_000
 HEAD_SAMPLE_ROWS = 20_000
-BAG_SCHEMA = "doc_id long, text_key int, n_bytes long, pretoken string, frequency long"
+BAG_SCHEMA = "doc_id long, text_high long, text_low long, n_bytes long, pretoken string, frequency long"
 
 
 def pre_tokens(tokens, text: str) -> list[str]:
@@ -75,10 +76,11 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 512, id_col: str =
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, known = encoder(path), head.value
         for batch in in_slices(batches, "text"):
-            ids, keys, sizes, rest, counts = [], [], [], [], []
+            ids, highs, lows, sizes, rest, counts = [], [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 raw = text.encode()
-                key = xxhash.xxh32_intdigest(raw) - (1 << 31)
+                # Rows of one id, or of none, are told apart by their texts: 128 bits, so that no two texts share a key.
+                high, low = struct.unpack(">qq", xxhash.xxh3_128_digest(raw))
                 done, tail = 0, []
                 for pre_token, n in Counter(pre_tokens(tokens, text)).items():
                     if (count := known.get(pre_token)) is None:
@@ -87,12 +89,13 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 512, id_col: str =
                         done += n * count
                 # The row that carries the document's own figures has no pre-token; its frequency is the pieces counted here.
                 ids += [doc] * (len(tail) + 1)
-                keys += [key] * (len(tail) + 1)
+                highs += [high] * (len(tail) + 1)
+                lows += [low] * (len(tail) + 1)
                 sizes += [len(raw)] + [None] * len(tail)
                 rest += [None] + [t for t, _ in tail]
                 counts += [done] + [n for _, n in tail]
-            arrays = [pa.array(ids, pa.int64()), pa.array(keys, pa.int32()), pa.array(sizes, pa.int64()), pa.array(rest, pa.string()), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n_bytes", "pretoken", "frequency"])
+            arrays = [pa.array(ids, pa.int64()), pa.array(highs, pa.int64()), pa.array(lows, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rest, pa.string()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_high", "text_low", "n_bytes", "pretoken", "frequency"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, last, last_count = encoder(path), None, 0
@@ -105,15 +108,15 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 512, id_col: str =
             total = np.where(place >= 0, frequency * per[place], frequency) if len(per) else frequency
             if len(per) and place[-1] >= 0:
                 last, last_count = table.dictionary[int(place[-1])].as_py(), int(per[place[-1]])
-            arrays = [batch.column("doc_id"), batch.column("text_key"), batch.column("n_bytes"), pa.array(total), pa.array((place < 0).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n_bytes", "tokens", "copies"])
+            arrays = [batch.column("doc_id"), batch.column("text_high"), batch.column("text_low"), batch.column("n_bytes"), pa.array(total), pa.array((place < 0).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_high", "text_low", "n_bytes", "tokens", "copies"])
 
     rows = narrow.mapInArrow(bags, BAG_SCHEMA)
     # Rows without a pre-token need no common task; they are dealt by document.
-    target = F.when(F.col("pretoken").isNull(), F.xxhash64("doc_id", "text_key")).otherwise(F.xxhash64("pretoken"))
+    target = F.when(F.col("pretoken").isNull(), F.xxhash64("doc_id", "text_low")).otherwise(F.xxhash64("pretoken"))
     dealt = rows.repartition(task_count(spark), target)
-    summed = dealt.sortWithinPartitions("pretoken").mapInArrow(joined, "doc_id long, text_key int, n_bytes long, tokens long, copies int")
-    totals = summed.groupBy("doc_id", "text_key").agg(F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("tokens"), F.sum("copies").alias("copies"))
+    summed = dealt.sortWithinPartitions("pretoken").mapInArrow(joined, "doc_id long, text_high long, text_low long, n_bytes long, tokens long, copies int")
+    totals = summed.groupBy("doc_id", "text_high", "text_low").agg(F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("tokens"), F.sum("copies").alias("copies"))
     each = totals.withColumn("n_tokens", (F.col("tokens") / F.col("copies")).cast("long"))
     each = each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

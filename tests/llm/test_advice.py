@@ -2,9 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-from flowloom.llm import resampling
+from flowloom.llm import resampling, token_counts
 from flowloom.llm.queries import REGISTRY
+from flowloom.llm.tokens import vocabulary
 
 
 def test_resampling_holds_toxic_and_junk_back(spark, sf_dir):
@@ -29,3 +31,16 @@ def test_toxic_words_of_other_documents_are_held_back(spark):
 def test_runs_of_words_are_an_ngram():
     key, text = resampling.distinct_ngrams(resampling.Ngrams(1 << 62), pa.array(["a b c d e f g h i j k", "x " + "do " * 12, "", "no. " * 9, "do " * 6]))
     assert sorted(set(text[key == 0].tolist())) == [1, 3]
+
+
+def test_counts_of_texts_with_equal_short_hashes(spark):
+    seen, pair = {}, None
+    for i in range(1 << 20):
+        text = " ".join(["word"] * (1 + i % 7)) + f" n{i}"
+        other = seen.setdefault(xxhash.xxh32_intdigest(text.encode()), text)
+        if other != text and len(other.encode()) != len(text.encode()):
+            pair = (other, text)
+            break
+    rows = [(None, pair[0]), (None, pair[1]), (3, pair[0]), (3, pair[1]), (3, pair[1])]
+    found = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("byte_bpe_50k.json")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes) for r in found) == sorted((str(d), len(t.encode())) for d, t in rows)
