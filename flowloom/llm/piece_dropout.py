@@ -2,17 +2,18 @@
 
 A word starts as its characters. The agenda holds a candidate for each pair of neighbours that
 make a piece; the best one (highest score, then leftmost) is merged and brings new candidates with
-its neighbours. A candidate is skipped for good if the keyed hash of (seed, stream, word,
+its neighbours. A candidate is skipped for good if the keyed hash of (seed, document, number of the word in it,
 begin, middle, end) falls below the dropout rate: the same seed gives the same segmentation on any machine, another
-seed or stream another one, and each decodes to the text. Documents are dealt over a few streams by
-a keyed hash of their ids, so a word is cut differently in different documents.
+seed another one, and each decodes to the text. A document's key is a hash of its id and text, so each
+occurrence of a word is cut on its own, within a document and across documents.
 
-Pieces never go on across a space, so words are independent; all new words of a batch
-are merged together, one merge of each word at a time. Characters without a piece become bytes.
+Pieces never go on across a space, so words are independent; all words of a batch
+are merged together, one merge of each word at a time; only their characters are kept from batch to batch.
+Characters without a piece become bytes.
 
 Cases: a null text is an empty one with no ids; the character U+2581 stands for a space in this format, so
 a text that holds it decodes to a space there and is reported as not lossless; repeated rows each
-get a row; a null id is in stream 0; an empty table gives an empty result; extra columns are ignored.
+get a row, the same for the same id and text; a null id is like any other; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ from flowloom.llm.tokens import CutMemo, KeyTable, Ragged, text_bytes
 
 DROPOUT = 0.1
 SEED = 1
-STREAMS = 2
 MARK = "▁"
 LONG_WORD = 256
+# Symbols of words of one length that are merged together.
+TOGETHER = 1 << 19
 NONE = np.int32(1 << 30)
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _OPEN: dict[tuple, Segmenter] = {}
@@ -98,12 +100,15 @@ class Pieces:
 
 
 class Segmenter:
-    """Segments words with dropout; a memo for each stream."""
+    """Segments words with dropout, each occurrence by a key of its own; a memo of the symbols of words.
 
-    def __init__(self, path: str, rate: float, seed: int, streams: int) -> None:
+    ``words`` and ``agenda`` cut a word by (seed, stream, word); any number of streams can be asked for.
+    """
+
+    def __init__(self, path: str, rate: float, seed: int, streams: int = 1) -> None:
         self.pieces, self.rate, self.seed, self.streams = Pieces(path), rate, seed, streams
         self.limit = np.uint64(min(int(rate * (1 << 53)), (1 << 53)))
-        self.memos = [CutMemo(lambda cuts, s=s: self._learn(cuts, s)) for s in range(streams)]
+        self.memo = CutMemo(self._learn)
 
     def skipped(self, word: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Whether the keyed hash drops the candidates."""
@@ -113,11 +118,11 @@ class Segmenter:
     def _key(self, word: str, stream: int) -> int:
         return xxhash.xxh64_intdigest(word.encode(), (self.seed << 8 | stream) & (1 << 64) - 1)
 
-    def _together(self, symbols: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
-        """Final symbols of words of one length: each round merges the best candidate of each word."""
+    def _together(self, symbols: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Final symbols of words of one length, and how many of a row count: each round merges the best candidate of each word."""
         count, length = symbols.shape
         bounds = np.repeat(np.arange(length + 1, dtype=np.int64)[None, :], count, 0)
-        rows, done = np.arange(count), [None] * count
+        rows, done, counts = np.arange(count), np.zeros((count, length), np.int64), np.zeros(count, np.int64)
 
         def ranked(left, right, begin, middle, end, key):
             pair = self.pieces.look(left, right)
@@ -129,8 +134,8 @@ class Segmenter:
         while len(rows):
             best = rank.argmin(1) if rank.shape[1] else np.zeros(len(rows), np.int64)
             live = rank[np.arange(len(rows)), best] < NONE if rank.shape[1] else np.zeros(len(rows), bool)
-            for r, s in zip(rows[~live].tolist(), symbols[~live]):
-                done[r] = s
+            done[rows[~live], : symbols.shape[1]] = symbols[~live]
+            counts[rows[~live]] = symbols.shape[1]
             rows, symbols, bounds, rank, pair, best, keys = (x[live] for x in (rows, symbols, bounds, rank, pair, best, keys))
             if not len(rows):
                 break
@@ -150,12 +155,14 @@ class Segmenter:
                 r = np.flatnonzero((place >= 0) & (place < rank.shape[1]))
                 p = place[r]
                 rank[r, p], pair[r, p] = ranked(symbols[r, p], symbols[r, p + 1], bounds[r, p], bounds[r, p + 1], bounds[r, p + 2], keys[r])
-        return done
+        return done, counts
 
     def agenda(self, word: str, stream: int) -> list[int]:
         """Final symbols of one word, by a heap; for long words, and the plain form of the same rule."""
-        pieces, key = self.pieces, np.uint64(self._key(word, stream))
-        symbol = [pieces.symbol(c) for c in word]
+        return self._agenda([self.pieces.symbol(c) for c in word], np.uint64(self._key(word, stream)))
+
+    def _agenda(self, symbol: list[int], key: np.uint64) -> list[int]:
+        pieces = self.pieces
         after, before, end = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1)), list(range(1, len(symbol) + 1))
         heap: list[tuple[int, int, int, int]] = []
 
@@ -181,81 +188,93 @@ class Segmenter:
             offer(i)
         return [s for s in symbol if s >= 0]
 
-    def words(self, words: list[str], stream: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words (each beginning with its marks), and how many each has."""
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of the characters of words, and how many each has."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         chars, back = np.unique(points, return_inverse=True)
-        symbols = np.array([self.pieces.symbol(chr(c)) for c in chars.tolist()], np.int64)[back] if len(chars) else np.zeros(0, np.int64)
-        starts, final = np.cumsum(lengths) - lengths, [None] * len(words)
-        keys = np.fromiter((self._key(w, stream) for w in words), np.uint64, len(words))
+        return np.array([self.pieces.symbol(chr(c)) for c in chars.tolist()], np.int64)[back] if len(chars) else np.zeros(0, np.int64), lengths
+
+    def cut(self, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by the symbols of their characters and a key for each, and how many each has."""
+        starts = np.cumsum(lengths) - lengths
+        flat, counts = np.zeros(len(symbols), np.int64), np.zeros(len(lengths), np.int64)
         for length in np.unique(lengths).tolist():
-            at = np.flatnonzero(lengths == length)
+            alike = np.flatnonzero(lengths == length)
             if length > LONG_WORD:
-                found = [np.array(self.agenda(words[i], stream), np.int64) for i in at.tolist()]
-            else:
-                found = self._together(symbols[starts[at][:, None] + np.arange(length)], keys[at])
-            for i, f in zip(at.tolist(), found):
-                final[i] = f
-        counts = np.fromiter(map(len, final), np.int64, len(final))
-        flat = np.concatenate(final) if final else np.zeros(0, np.int64)
-        sizes = np.concatenate([[0], np.cumsum(self.pieces.written.size[flat])])
+                for i in alike.tolist():
+                    found = self._agenda(symbols[starts[i] : starts[i] + length].tolist(), keys[i])
+                    flat[starts[i] : starts[i] + len(found)], counts[i] = found, len(found)
+                continue
+            for begin in range(0, len(alike) if length else 0, step := max(1, TOGETHER // max(1, length))):
+                at = alike[begin : begin + step]
+                places = starts[at][:, None] + np.arange(length)
+                flat[places], counts[at] = self._together(symbols[places], keys[at])
+        # A word's final symbols are the first of its places.
+        inside = np.arange(len(flat)) - np.repeat(starts, lengths) < np.repeat(counts, lengths)
+        final = flat[inside]
+        sizes = np.concatenate([[0], np.cumsum(self.pieces.written.size[final])])
         last = np.cumsum(counts)
-        return self.pieces.written.gather(flat), sizes[last] - sizes[last - counts]
+        return self.pieces.written.gather(final), sizes[last] - sizes[last - counts]
 
-    def _learn(self, cuts: list[str], stream: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, words: list[str], stream: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (each beginning with its marks) in a stream, and how many each has."""
+        return self.cut(*self.symbols(words), np.fromiter((self._key(w, stream) for w in words), np.uint64, len(words)))
+
+    def _learn(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         odd = np.array([not c.strip(" ") for c in cuts], bool)
         sizes = np.zeros(len(cuts), np.int64)
-        ids, sizes[~odd] = self.words([MARK + c.removeprefix(" ") for c, o in zip(cuts, odd) if not o], stream)
-        return ids, sizes, odd
+        found, sizes[~odd] = self.symbols([MARK + c.removeprefix(" ") for c, o in zip(cuts, odd) if not o])
+        return found.astype(np.uint32), sizes, odd
 
-    def whole(self, text: str, stream: int) -> np.ndarray:
-        """Ids of a text with runs of spaces."""
-        return self.words(_WORD.findall(MARK + text.replace(" ", MARK)), stream)[0] if text else np.zeros(0, np.uint32)
+    def _keys(self, text: str, doc: int, numbers: np.ndarray) -> np.ndarray:
+        """The key of each word of a document by its number."""
+        own = np.uint64(xxhash.xxh64_intdigest(text.encode(), (self.seed * 0x9E3779B97F4A7C15 ^ doc) & (1 << 64) - 1))
+        return _mix(own ^ _mix(numbers.astype(np.uint64) + np.uint64(1)))
 
-    def encode_all(self, array: pa.Array, stream: int) -> list[np.ndarray]:
-        memo = self.memos[stream]
+    def whole(self, text: str, doc: int) -> np.ndarray:
+        """Ids of a text with runs of spaces."""
+        if not text:
+            return np.zeros(0, np.uint32)
+        words = _WORD.findall(MARK + text.replace(" ", MARK))
+        return self.cut(*self.symbols(words), self._keys(text, doc, np.arange(len(words))))[0]
+
+    def encode_all(self, array: pa.Array, docs: np.ndarray | int) -> list[np.ndarray]:
+        """Ids of each text; ``docs`` has the ids of their documents, or one for all."""
+        memo, texts_ = self.memo, array.to_pylist()
+        docs = np.broadcast_to(np.asarray(docs, np.int64), len(texts_)).tolist()
         rows, counts = memo.rows(array)
         ends = np.cumsum(counts)
         # A word that holds the mark itself is cut there as well as at spaces.
-        return [
-            self.whole(array[i].as_py(), stream) if memo.odd[rows[e - n : e]].any() else memo.ids.gather(rows[e - n : e])
-            for i, (e, n) in enumerate(zip(ends.tolist(), counts.tolist()))
-        ]
+        odd = [bool(memo.odd[rows[e - n : e]].any()) for e, n in zip(ends.tolist(), counts.tolist())]
+        plain = np.repeat(~np.array(odd, bool), counts)
+        keys = [self._keys(t, d, np.arange(n)) for t, d, n, o in zip(texts_, docs, counts.tolist(), odd) if not o]
+        ids, sizes = self.cut(memo.ids.gather(rows[plain]).astype(np.int64), memo.ids.size[rows[plain]].astype(np.int64), np.concatenate(keys) if keys else np.zeros(0, np.uint64))
+        own = np.where(odd, 0, counts)
+        last = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(own)]
+        first = np.concatenate([[0], last[:-1]])
+        return [self.whole(t, d) if o else ids[a:b] for t, d, o, a, b in zip(texts_, docs, odd, first.tolist(), last.tolist())]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids."""
         return self.pieces.bytes.gather(ids.astype(np.int64)).astype(np.uint8).tobytes().decode(errors="replace").removeprefix(" ")
 
 
-def segmenter(path: str, rate: float, seed: int, streams: int) -> Segmenter:
-    key = (path, rate, seed, streams)
+def segmenter(path: str, rate: float, seed: int) -> Segmenter:
+    key = (path, rate, seed)
     if key not in _OPEN:
         _OPEN[key] = Segmenter(*key)
     return _OPEN[key]
 
 
-def stream_of(ids: np.ndarray, known: np.ndarray, seed: int, streams: int) -> np.ndarray:
-    """The stream of each document."""
-    h = _mix(ids.view(np.uint64) ^ _mix(np.full(1, seed + 77, np.uint64)))
-    return np.where(known, h % np.uint64(streams), 0).astype(np.int64)
-
-
-def encode(
-    docs: DataFrame, path: str, *, rate: float = DROPOUT, seed: int = SEED, streams: int = STREAMS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True
-) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, ids_crc32 (little-endian 32-bit ids), lossless and, if asked for, ids (as those bytes)."""
+def encode(docs: DataFrame, path: str, *, rate: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, ids_crc32 (little-endian 32-bit ids), lossless and, unless left out, ids (as those bytes)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = segmenter(path, rate, seed, streams)
+        own = segmenter(path, rate, seed)
         for batch in in_slices(batches, "text"):
             doc = batch.column("doc_id")
-            stream = stream_of(doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False), seed, streams)
-            found = [None] * batch.num_rows
-            for s in np.unique(stream).tolist():
-                at = np.flatnonzero(stream == s)
-                for i, ids in zip(at.tolist(), own.encode_all(batch.column("text").take(pa.array(at)), s)):
-                    found[i] = ids
+            found = own.encode_all(batch.column("text"), doc.fill_null(-1).to_numpy())
             data, bounds = text_bytes(batch.column("text"))
             raw, back = data.tobytes(), own.pieces.bytes
             lossless = []
@@ -275,7 +294,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of a table with ids, as ``encode`` gives it; null ids give a null text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = segmenter(path, 0.0, 0, 1)
+        own = segmenter(path, 0.0, 0)
         for batch in in_slices(batches, "ids"):
             found = [None if b is None else own.decode(np.frombuffer(b, "<u4")) for b in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "text"])

@@ -22,7 +22,7 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 @query
 def op1_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return piece_dropout.encode(docs, vocabulary("piece_bpe_32k.model"), rate=0.1, seed=1, streams=2, with_ids=False)
+    return piece_dropout.encode(docs, vocabulary("piece_bpe_32k.model"), rate=0.1, seed=1)
 
 
 @query

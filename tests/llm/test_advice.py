@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from flowloom.llm import resampling, token_counts
+from flowloom.llm import piece_dropout, resampling, token_counts
 from flowloom.llm.queries import REGISTRY
 from flowloom.llm.tokens import vocabulary
 
@@ -44,3 +44,24 @@ def test_counts_of_texts_with_equal_short_hashes(spark):
     rows = [(None, pair[0]), (None, pair[1]), (3, pair[0]), (3, pair[1]), (3, pair[1])]
     found = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("byte_bpe_50k.json")).collect()
     assert sorted((str(r.doc_id), r.n_bytes) for r in found) == sorted((str(d), len(t.encode())) for d, t in rows)
+
+
+def test_each_occurrence_of_a_word_is_cut_on_its_own(spark):
+    path, word = vocabulary("piece_bpe_32k.model"), "international"
+    rows = [(d, " ".join([word] * 40)) for d in range(30)] + [(None, f"{word} {word} {n}") for n in range(20)]
+    encoded = piece_dropout.encode(spark.createDataFrame(rows, "doc_id long, text string"), path, rate=0.3)
+    own, ways = piece_dropout.Segmenter(path, 0.3, 1), set()
+    for r in encoded.collect():
+        pieces, parts = [own.pieces.bytes.gather(np.array([i])).astype(np.uint8).tobytes() for i in np.frombuffer(r.ids, "<u4").tolist()], []
+        for p in pieces:
+            parts = [*parts, [p]] if p.startswith(b" ") or not parts else [*parts[:-1], [*parts[-1], p]]
+        assert r.lossless
+        ways |= {tuple(p) for p in parts if b"".join(p).strip() == word.encode()}
+        assert r.doc_id is None or len({tuple(p) for p in parts}) > 2
+    assert len(ways) > 20
+
+
+def test_the_dropout_query_gives_ids(spark, sf_dir):
+    encoded = REGISTRY["op1_piece_dropout"](spark, sf_dir)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert {r.doc_id: r.text for r in piece_dropout.decode(encoded, vocabulary("piece_bpe_32k.model")).collect()} == texts
