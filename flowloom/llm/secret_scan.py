@@ -1,10 +1,14 @@
 """Secret scans: three plain patterns, and zstandard novelty of strings in a sensitive context.
 
 A candidate is a run of at least 16 key characters that holds a digit and a letter, or both cases, with a
-sensitive word in the 48 characters before it. It is compressed with a dictionary of common
-identifiers and the text around it (1,024 characters on each side, the candidate cut out). What
-repeats a name, a neighbour or an identifier costs few bytes; a key costs nearly its length. Strings
-whose marginal bytes reach 0.75 of their length are reported as ``novel``.
+sensitive word in the 48 characters before it, or before the candidates of the same block: those with only a dot or
+a line break between them (lines of a private key, parts of a web token). It is compressed with a dictionary
+of common identifiers and the text around it (1,024 characters on each side). The candidate is cut out there, and
+so are its copies behind it and those in a sensitive context before it: a key that stands twice does not hide
+itself, but what plain text has named before is no secret. What repeats a name, a neighbour or an
+identifier costs few bytes; a key costs nearly its length, or what its alphabet allows. Strings whose marginal bytes
+reach 0.75 of their length, or above ``SHORT`` characters the entropy of their distinct symbols if that is
+less, are reported as ``novel``, with all other copies in the text, and the short last line before the end mark of a key.
 
 Cases: a null text is an empty one; repeated rows each get a row; spans of different kinds may overlap
 (all are reported; redaction merges them); an empty table gives an empty result; extra columns are
@@ -14,7 +18,9 @@ ignored by the scan and kept by the redaction.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +41,11 @@ SENSITIVE = ("key", "secret", "token", "passw", "pwd", "auth", "bearer", "creden
 CONTEXT = 48
 AROUND = 1_024
 NOVELTY = 0.75
+# Up to so many characters, or with fewer distinct ones, the fixed share alone decides.
+SHORT, LEAST_SYMBOLS = 40, 10
+# What stands between parts of one block (the n of an escaped line break is a key character), and the last line of a key.
+JOINT = re.compile(r"\.|[ \t]*\r?\n[ \t]*|(?:\\r)?\\(?:n[ \t]+)?")
+LAST_LINE = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*([A-Za-z0-9+/]{1,15}={0,2})(?=[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*-----END)")
 # Words that code and configuration name things by; prose is covered by the text around.
 IDENTIFIERS = " ".join(
     """password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret
@@ -68,20 +79,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
+def least_bytes(candidate: str, threshold: float = NOVELTY) -> float:
+    """Marginal bytes from which a candidate is novel: a share of its length, or what a random string of its symbols costs."""
+    share, symbols = threshold, len(set(candidate))
+    if len(candidate) > SHORT and symbols >= LEAST_SYMBOLS:
+        share = min(share, math.log2(symbols) / 8)
+    return share * len(candidate)
+
+
+def _without(text: str, begin: int, end: int, gone: list[tuple[int, int]]) -> str:
+    """``text[begin:end]`` less the spans in ``gone``."""
+    parts, at = [], begin
+    for a, b in gone:
+        if b > at and a < end:
+            parts.append(text[at : max(at, a)])
+            at = b
+    return "".join(parts) + text[at:end]
+
+
 def novel_spans(text: str, threshold: float = NOVELTY) -> list[tuple[int, int, int]]:
     """Incompressible candidates behind a sensitive word."""
-    lower, found = text.lower(), []
+    lower = text.lower()
     if not any(w in lower for w in SENSITIVE):
-        return found
+        return []
+    spots, sensitive, last = defaultdict(list), {}, None
     for m in CANDIDATE.finditer(text):
         begin, end = m.span()
         context = text[max(0, begin - CONTEXT) : begin].lower()
-        if not any(w in context for w in SENSITIVE) or not _mixed(m[0]):
+        # The context runs on through the parts of a block.
+        goes_on = last is not None and sensitive[last] and begin - last[1] <= CONTEXT and JOINT.fullmatch(text, last[1], begin)
+        last = (begin, end)
+        sensitive[last] = bool(goes_on) or any(w in context for w in SENSITIVE)
+        spots[m[0]].append(last)
+    found = []
+    for candidate, copies in spots.items():
+        if not _mixed(candidate) or not any(sensitive[c] for c in copies):
             continue
-        before, after = text[max(0, begin - AROUND) : begin], text[end : end + AROUND]
-        if marginal_bytes(m[0], before, after) >= threshold * len(m[0]):
-            found.append((begin, 3, end))
-    return found
+        for begin, end in copies:
+            if not sensitive[begin, end]:
+                continue
+            gone = [c for c in copies if c[0] > begin or sensitive[c]]
+            before, after = _without(text, max(0, begin - AROUND), begin, gone), _without(text, end, end + AROUND, gone)
+            if marginal_bytes(candidate, before, after) >= least_bytes(candidate, threshold):
+                found += [(a, 3, b) for a, b in copies]
+                break
+    for _, _, end in found[:]:
+        if m := LAST_LINE.match(text, end):
+            found.append((m.start(1), 3, m.end(1)))
+    return sorted(found)
 
 
 def all_spans(text: str) -> list[tuple[int, int, int]]:
