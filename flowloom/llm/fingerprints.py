@@ -6,8 +6,8 @@ within ``radius`` bits agree in all but ``radius`` of them, so for each choice o
 agree there is a table keyed by these blocks first. A pair is counted in the first table where it meets.
 
 Cases: a null text is an empty one; a text of one word has that word as its term, and one without words the
-fingerprint 0; repeated rows each get a row, and equal ids follow each other in the order of their
-texts; null ids come first; a lone document is its own next one; an empty table gives an empty result;
+fingerprint 0; repeated rows each get a row, and equal ids follow each other in the order of the
+hashes of their texts; null ids come first; a lone document is its own next one; an empty table gives an empty result;
 extra columns are ignored.
 """
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.inputs import in_slices, task_count, texts, written
+from flowloom.llm.inputs import in_order, in_slices, task_count, texts, written
 
 WORDS = 2
 RADIUS = 3
@@ -89,35 +89,36 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     first and last texts of the ranges are carried on and matched.
     """
     narrow = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ordered = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        from pyspark import TaskContext
+
+        # Edge rows have the number of their range in place of the edited fingerprint.
+        part, last = TaskContext.get().partitionId(), None
         for batch in in_slices(batches, "text"):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 own = simhash(text)
                 if last is None:
-                    rows.append((doc, len(text), None, *own, None, None, None, None, 1, text))
+                    rows.append((doc, len(text), None, *own, part, None, None, None, 1, text))
                 else:
                     rows.append(_digest(*last, text, own))
                 last = (doc, text, own)
             yield _batch(rows)
         if last is not None:
-            yield _batch([(last[0], len(last[1]), None, *last[2], None, None, None, None, 2, last[1])])
+            yield _batch([(last[0], len(last[1]), None, *last[2], part, None, None, None, 2, last[1])])
 
-    table = written(ordered.mapInArrow(each, EDGE_SCHEMA), "digests")
+    table = written(in_order(narrow).mapInArrow(each, EDGE_SCHEMA), "digests")
     inside = table.where("edge = 0").select(*[c.split()[0] for c in DIGEST_SCHEMA.split(", ")])
     # One first and one last row for each range: their number is that of the tasks.
-    heads = table.where("edge = 1").select("doc_id", "high", "low").orderBy(F.asc_nulls_first("doc_id")).collect()
-    tails = table.where("edge = 2").select("doc_id").orderBy(F.asc_nulls_first("doc_id")).collect()
-    # Ranges do not overlap, so the i-th last row is followed by the first row of range i + 1.
-    turns = [(t["doc_id"], heads[(i + 1) % len(heads)]["doc_id"]) for i, t in enumerate(tails)]
+    parts = sorted(r["edited_high"] for r in table.where("edge = 1").select("edited_high").collect())
+    # Ranges do not overlap, so the last row of a range is followed by the first row of the next.
+    turns = [(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)]
     turn = docs.sparkSession.createDataFrame(turns or [(0, 0)], "tail long, head long").limit(len(turns))
-    first = table.where("edge = 1").select(F.col("doc_id").alias("head"), F.struct("text", "high", "low").alias("following"))
-    last = table.where("edge = 2").select(F.col("doc_id").alias("tail"), "text", "high", "low")
-    met = last.join(turn, last["tail"].eqNullSafe(turn["tail"])).drop(turn["tail"])
-    met = met.join(first, met["head"].eqNullSafe(first["head"])).drop(first["head"])
+    first = table.where("edge = 1").select(F.col("edited_high").alias("head"), F.struct("text", "high", "low").alias("following"))
+    last = table.where("edge = 2").select(F.col("edited_high").alias("part"), F.col("doc_id").alias("tail"), "text", "high", "low")
+    met = last.join(turn.withColumnRenamed("tail", "part"), "part")
+    met = met.join(first, "head")
     met = met.select("tail", "text", "high", "low", F.col("following.text").alias("next_text"), F.col("following.high").alias("next_high"), F.col("following.low").alias("next_low"))
 
     def bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,16 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return narrow.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def in_order(narrow: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` in ranges, sorted by id, then by hash of the text, then by text.
+
+    Rows of one id, or of one id and text, may fill several ranges, so that no task holds a frequent key alone.
+    """
+    keyed = narrow.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    ranges = keyed.repartitionByRange("doc_id", "_hash", "_row")
+    return ranges.sortWithinPartitions("doc_id", "_hash", "text").select("doc_id", "text")
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, safe from lost executors."""
     folder = scratch_folder(df.sparkSession, purpose)

@@ -8,7 +8,8 @@ one slot, and compares the fingerprint: constant time, whatever the size. The co
 Parquet table with a row for each shard, so that Spark's writers commit it and any store holds it.
 
 Cases: a null text is an empty one and holds the end id alone; rows with one key are all kept, in the
-order of their texts: the index leads to the first and says how many follow; a null key is kept
+order of the hashes of their texts: the index leads to the first and says how many follow in its shard, and
+they go on in the next shard, which has an entry of its own, if that begins with the key; a null key is kept
 before all others, and is found by scan only; an empty table gives no shard; extra columns are ignored.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.inputs import in_slices, texts
+from flowloom.llm.inputs import in_order, in_slices, texts
 from flowloom.llm.packing import with_end_id
 from flowloom.llm.tokens import encoder
 
@@ -158,8 +159,8 @@ def write_store(
 
         for batch in in_slices(batches, "text"):
             own = batch.column("doc_id").to_pylist()
-            # A key's copies stay in one shard, so a shard is closed only where the key changes.
-            if held >= shard_bytes and own[0] != keys[-1]:
+            # Closed by size alone: the copies of a key may fill any number of shards.
+            if held >= shard_bytes:
                 yield flush()
             more, counts = with_end_id(*tokens.encode_all(batch.column("text")), end_id)
             keys += own
@@ -170,8 +171,7 @@ def write_store(
             yield flush()
 
     ordered = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    out = ordered.mapInArrow(shards, SHARD_SCHEMA)
+    out = in_order(ordered).mapInArrow(shards, SHARD_SCHEMA)
     out.write.option("compression", "zstd").parquet(folder)
 
 
@@ -215,14 +215,24 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, folder: str, keys: list[int]) -> dict[int, np.ndarray]:
-    """The ids of a few keys: shards by their key range, then one slot each. Absent keys are left out."""
+    """The ids of a few keys: the first shard of each by its key range, then one slot each. Absent keys are left out.
+
+    A key on several rows gives those of its first row; shards that only go on with its copies are not read.
+    """
     shards = spark.read.schema(SHARD_SCHEMA).parquet(folder)
     wanted = F.lit(False)
     for key in keys:
         wanted |= F.lit(key).between(F.col("first_key"), F.col("last_key"))
-    found = {}
-    for row in shards.where(wanted).select("width", "payload", "index", "first_key", "last_key").collect():
-        own = [k for k in keys if row["first_key"] <= k <= row["last_key"]]
+    found, holders = {}, {}
+    for row in sorted(shards.where(wanted).select("part", "shard", "first_key", "last_key").collect(), key=lambda r: (r["part"], r["shard"])):
+        for key in keys:
+            if row["first_key"] <= key <= row["last_key"]:
+                holders.setdefault(key, (row["part"], row["shard"]))
+    chosen = F.lit(False)
+    for part, number in set(holders.values()):
+        chosen |= (F.col("part") == part) & (F.col("shard") == number)
+    for row in shards.where(chosen).select("part", "shard", "width", "payload", "index").collect():
+        own = [k for k in holders if holders[k] == (row["part"], row["shard"])]
         ids = np.frombuffer(row["payload"], f"<u{row['width']}")
         for key, slot in zip(own, ShardIndex(bytes(row["index"])).find(np.array(own, np.int64))):
             if slot["copies"]:

@@ -1,14 +1,18 @@
 """Cases of the second review: each would have failed before its change."""
 
 import base64
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from flowloom.llm import piece_dropout, resampling, secret_scan, token_counts
+from flowloom.llm import fingerprints, piece_dropout, resampling, secret_scan, token_counts, token_store
 from flowloom.llm.queries import REGISTRY
 from flowloom.llm.tokens import vocabulary
+from flowloom.session import scratch_folder
 
 
 def test_resampling_holds_toxic_and_junk_back(spark, sf_dir):
@@ -102,3 +106,52 @@ def test_blocks_are_found_to_their_end():
     parts = [base64.urlsafe_b64encode(p).decode().strip("=") for p in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"8412907","name":"J. Q.","iat":1516239022}', rng.bytes(32))]
     left = secret_scan.redacted("Authorization: Bearer " + ".".join(parts) + " end", "[secret]")
     assert not any(p in left for p in parts)
+
+
+@pytest.fixture
+def small_parts(spark):
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "100"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def hot_rows(key):
+    return [(key, f"text number {i} of many under one key " + "with words " * (i % 7)) for i in range(600)] + [(key, "the very same text") for _ in range(600)] + [(d, f"own text {d}") for d in range(100, 150)]
+
+
+def test_store_of_a_hot_key_is_split(spark, small_parts):
+    path = vocabulary("word_bpe_49k.json")
+    for key in (7, 120, None):
+        folder, rows = scratch_folder(spark, "hot-store"), hot_rows(key)
+        token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, folder, shard_bytes=1)
+        shards = spark.read.parquet(folder).collect()
+        assert sum(r.n_docs for r in shards) == len(rows) and max(r.n_docs for r in shards) <= 100
+        in_parts = Counter()
+        for r in shards:
+            in_parts[r.part] += r.n_docs
+        assert max(in_parts.values()) < 900
+        stored = sorted(token_store.read_store(spark, folder).collect(), key=lambda r: r.start)
+        assert sorted(str(r.doc_id) for r in stored) == sorted(str(d) for d, _ in rows)
+        at = 0
+        for r in stored:
+            assert r.start == at
+            at += r.n_tokens
+        found = token_store.lookup(spark, folder, [101, 149, 10**9] + [key] * (key is not None))
+        assert set(found) == {101, 149} | {key} - {None}
+
+
+def test_fingerprints_of_a_hot_key_follow_each_other(spark, small_parts):
+    for key in (7, None):
+        rows = hot_rows(key)
+        table = fingerprints.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert sorted(str(r.doc_id) for r in table) == sorted(str(d) for d, _ in rows)
+        # Each row is the next one of exactly one row.
+        assert sorted((r.high, r.low) for r in table) == sorted((r.next_high, r.next_low) for r in table)
+    folder = scratch_folder(spark, "hot-digests")
+    fingerprints.in_order(spark.createDataFrame(hot_rows(7), "doc_id long, text string").repartition(4)).write.parquet(folder)
+    sizes = [r["count"] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) < 900
