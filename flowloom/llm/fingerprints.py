@@ -3,7 +3,11 @@
 A term is a run of two words; its weight is 16 (1 + ln f), rounded, for f occurrences. Each term's hash
 votes with its weight for or against each of 128 bits. A search cuts the bits into blocks: fingerprints
 within ``radius`` bits agree in all but ``radius`` of them, so for each choice of blocks that must
-agree there is a table keyed by these blocks first. A pair is counted in the first table where it meets.
+agree there is a table keyed by these blocks first. Fewer blocks may be asked to agree: tables are fewer
+and groups larger, and none is missed. A pair is found in the first table where it meets.
+
+One changed word in a text of 200 moves some six bits, so near copies are looked for within ``REACH`` bits. The report
+gives the fingerprints found with their distances; the documents that have them are those rows of the report.
 
 Cases: a null text is an empty one; a text of one word has that word as its term, and one without words the
 fingerprint 0; repeated rows each get a row, and equal ids follow each other in the order of the
@@ -29,6 +33,7 @@ from flowloom.llm.inputs import in_order, in_slices, task_count, texts, written
 WORDS = 2
 RADIUS = 3
 BLOCKS = 4
+REACH, REACH_BLOCKS = 14, 16
 GROUP_POINTS = 16_384
 DIGEST_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, high long, low long, edited_high long, edited_low long, next_high long, next_low long"
 EDGE_SCHEMA = DIGEST_SCHEMA + ", edge int, text string"
@@ -151,9 +156,17 @@ def _block(number: int, blocks: int) -> F.Column:
 def within(points: DataFrame, asked: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """For each distinct fingerprint (high, low) of ``asked``: ``found``, the documents of ``points``
     (high, low, docs) within ``radius`` bits. Exact: each choice of ``blocks - radius`` blocks has its table."""
-    if blocks not in (4, 8, 16) or radius >= blocks:
-        raise ValueError("blocks are 4, 8 or 16 and more than the radius")
-    choices = list(combinations(range(blocks), blocks - radius))
+    met = neighbours(points, asked, radius=radius, blocks=blocks)
+    counted = met.groupBy("high", "low").agg(F.sum("docs").alias("found"))
+    return asked.select("high", "low").distinct().join(counted, ["high", "low"], "left").fillna(0, ["found"])
+
+
+def neighbours(points: DataFrame, asked: DataFrame, *, radius: int, blocks: int, agree: int | None = None) -> DataFrame:
+    """Pairs (high, low, other_high, other_low, docs, distance) of each distinct fingerprint of ``asked`` and those
+    of ``points`` within ``radius`` bits. Each choice of ``agree`` blocks, ``blocks - radius`` at most, has its table."""
+    if blocks not in (4, 8, 16) or radius >= blocks or not 1 <= (agree or 1) <= blocks - radius:
+        raise ValueError("blocks are 4, 8 or 16 and more than the radius; as many as are left over may agree")
+    choices = list(combinations(range(blocks), agree or blocks - radius))
     spark = points.sparkSession
 
     def tables(df: DataFrame) -> DataFrame:
@@ -179,7 +192,7 @@ def within(points: DataFrame, asked: DataFrame, *, radius: int = RADIUS, blocks:
         part = part.rename_columns([c.rstrip("_") for c in part.column_names])
         queries, points_ = (np.stack([x.column(c).to_numpy() for c in ("high", "low")], 1).view(np.uint64) for x in (asked_part, part))
         docs = part.column("docs").to_numpy()
-        found = np.zeros(len(queries), np.int64)
+        pairs = [np.zeros((0, 2), np.int64)]
         earlier, step = choices[: key[0].as_py()], max(1, (1 << 21) // max(1, len(points_)))
         theirs = cut(points_)
         for begin in range(0, len(queries) if len(points_) else 0, step):
@@ -188,26 +201,37 @@ def within(points: DataFrame, asked: DataFrame, *, radius: int = RADIUS, blocks:
             a, b = np.nonzero(near)
             own = cut(q)[a] == theirs[b]
             new = ~np.any([own[:, list(kept)].all(1) for kept in earlier], axis=0) if earlier else np.ones(len(a), bool)
-            np.add.at(found, begin + a[new], docs[b[new]])
-        return pa.table({"high": asked_part.column("high"), "low": asked_part.column("low"), "found": pa.array(found)})
+            pairs.append(np.stack([begin + a[new], b[new]], 1))
+        a, b = np.concatenate(pairs).T
+        own, other = queries[a], points_[b]
+        columns = [*own.view(np.int64).T, *other.view(np.int64).T, docs[b], np.bitwise_count(own ^ other).sum(1).astype(np.int64)]
+        return pa.table([pa.array(c) for c in columns], ["high", "low", "other_high", "other_low", "docs", "distance"])
 
     partitions, by = task_count(spark), ["t", "key", "share"]
     left = asked_rows.select(*by, "high", "low").repartition(partitions, *by).groupBy(*by)
     # Both sides may come from one table: names of their own tell their columns apart.
     right = all_rows.select(*[F.col(c).alias(f"{c}_") for c in (*by, "high", "low", "docs")]).repartition(partitions, *[f"{c}_" for c in by]).groupBy(*[f"{c}_" for c in by])
-    met = left.cogroup(right).applyInArrow(search, "high long, low long, found long")
-    return met.groupBy("high", "low").agg(F.sum("found").alias("found"))
+    return left.cogroup(right).applyInArrow(search, "high long, low long, other_high long, other_low long, docs long, distance long")
 
 
-def fingerprint_report(docs: DataFrame, *, every: int = 50, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_report(docs: DataFrame, *, every: int = 50, radius: int = RADIUS, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints and likenesses of all documents; ``n_within``: for ids divisible by ``every``, the other
-    documents within ``radius`` bits, else null."""
+    documents within ``radius`` bits, else null; ``near``: for these ids the fingerprints of other documents within
+    ``reach`` bits (at least ``radius``), with their distance and number of documents, nearest first."""
+    if reach < radius:
+        raise ValueError("the reach is the radius at least")
     found = written(digests(docs, id_col=id_col, text_col=text_col), "fingerprints")
     points = found.groupBy("high", "low").agg(F.count("*").alias("docs"))
     is_asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
-    counted = within(points, found.where(is_asked), radius=radius)
-    asked = found.where(is_asked).join(counted, ["high", "low"]).withColumn("n_within", F.col("found") - 1).drop("found")
-    rest = found.where(~is_asked).withColumn("n_within", F.lit(None).cast("long"))
+    pairs = neighbours(points, found.where(is_asked), radius=reach, blocks=REACH_BLOCKS, agree=1)
+    # A document is no neighbour of its own; its fingerprint is listed if others have it.
+    is_own = F.col("distance") == 0
+    pairs = pairs.withColumn("others", F.col("docs") - F.when(is_own, 1).otherwise(0))
+    entry = F.struct("distance", hex_digits("other_high", "other_low").alias("fingerprint"), F.col("others").alias("docs"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("others") > 0, entry)))
+    counted = pairs.groupBy("high", "low").agg(F.sum(F.when(F.col("distance") <= radius, F.col("others")).otherwise(0)).alias("n_within"), listed.alias("near"))
+    asked = found.where(is_asked).join(counted, ["high", "low"])
+    rest = found.where(~is_asked).withColumns({c: F.lit(None).cast(counted.schema[c].dataType) for c in ("n_within", "near")})
     return rest.unionByName(asked).select(
         "doc_id",
         "n_chars",
@@ -217,4 +241,5 @@ def fingerprint_report(docs: DataFrame, *, every: int = 50, radius: int = RADIUS
         likeness("high", "low", "edited_high", "edited_low").alias("near_edited"),
         likeness("high", "low", "next_high", "next_low").alias("near_next"),
         "n_within",
+        "near",
     )

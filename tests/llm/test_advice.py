@@ -155,3 +155,26 @@ def test_fingerprints_of_a_hot_key_follow_each_other(spark, small_parts):
     fingerprints.in_order(spark.createDataFrame(hot_rows(7), "doc_id long, text string").repartition(4)).write.parquet(folder)
     sizes = [r["count"] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()]
     assert max(sizes) < 900
+
+
+def test_near_copies_are_named(spark):
+    rng = np.random.default_rng(6)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for d in range(0, 1000, 50):
+        text = rng.choice(words, 200).tolist()
+        changed = list(text)
+        changed[int(rng.integers(200))] = "changed"
+        rows += [(d, " ".join(text)), (d + 1, " ".join(changed)), (d + 2, " ".join(text)), (d + 3, " ".join(rng.choice(words, 200)))]
+    found = {r.doc_id: r for r in fingerprints.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    prints = {d: np.array(fingerprints.simhash(t), np.int64).view(np.uint64) for d, t in rows}
+    named = 0
+    for d in range(0, 1000, 50):
+        near = Counter()
+        for e, p in prints.items():
+            apart = int(np.bitwise_count(p ^ prints[d]).sum())
+            if e != d and apart <= fingerprints.REACH:
+                near[apart, found[e].fingerprint] += 1
+        assert [(r.distance, r.fingerprint, r.docs) for r in found[d].near] == sorted((*k, n) for k, n in near.items())
+        assert found[d].n_within == sum(n for (apart, _), n in near.items() if apart <= 3)
+        named += found[d + 1].fingerprint in {r.fingerprint for r in found[d].near}
+    assert named >= 19 and found[1].near is None
