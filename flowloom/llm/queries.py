@@ -5,8 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from flowloom.llm import fingerprints, ngram_rules, packing, piece_dropout, resampling, secret_scan, token_counts, token_store, url_rules, vp_dedup
+from pyspark.sql import functions as F
+
+from flowloom.llm import (
+    collocations,
+    exact_topk,
+    fingerprints,
+    lexical_search,
+    ngram_rules,
+    packing,
+    piece_dropout,
+    resampling,
+    secret_scan,
+    token_counts,
+    token_store,
+    url_rules,
+    vp_dedup,
+)
 from flowloom.llm.inputs import table
 from flowloom.llm.tokens import vocabulary
 from flowloom.session import scratch_folder
@@ -72,3 +87,19 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, factor=256)
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), least=30, covered=80, first=2000)
