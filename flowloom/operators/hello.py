@@ -267,6 +267,11 @@ def client_streams(segments: DataFrame) -> DataFrame:
     return _per_flow(_without_state(segments), _Stream)
 
 
+def open_searches(segments: DataFrame) -> DataFrame:
+    """STATE_SCHEMA of each flow of (FLOW_ID, pkt_no, seq, payload): what a search needs to go on later."""
+    return _per_flow(_without_state(segments), _Search)
+
+
 def attach_hellos(flows: DataFrame, hellos: DataFrame) -> DataFrame:
     """Flows with their nullable ``hello``."""
     return flows.join(hellos, FLOW_ID, "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.schema import PACKET_SCHEMA
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -164,6 +166,24 @@ def customer_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Packet number of an interleaved conversation: step of the script, then customer.
+STEP = 1_000_000_000
+
+
+def interleaved_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same conversations, all at once: everyone's first packet, everyone's second, and so on."""
+    step, customer = F.col("pkt_no") % 16, F.expr("pkt_no div 16")
+    return customer_conversations(spark, sf_dir).withColumn("pkt_no", step * STEP + customer)
+
+
+def write_in_turns(packets: DataFrame, folder: str, bounds: list[int], files: int) -> None:
+    """Packets below each bound, and not before, in ``files`` files of one folder, one bound after the other."""
+    for low, high in zip([0, *bounds], bounds):
+        part = packets.filter((F.col("pkt_no") >= low) & (F.col("pkt_no") < high))
+        wanted = [F.col(f.name).cast(f.dataType).alias(f.name) for f in PACKET_SCHEMA]
+        part.select(*wanted).repartition(files, F.col("pkt_no") % STEP).write.mode("append").parquet(folder)
+
+
 def customer_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four segments per customer: in order, swapped, overlapping or with a late start."""
     key = F.col("c_custkey")

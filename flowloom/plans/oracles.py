@@ -280,6 +280,14 @@ cleaned as (select event_id, raw, case when lower(raw) in ('nan', 'none', 'null'
 
 HELLO_COLUMNS = "c_custkey, legacy_version, cipher_suites, extensions, has_sni, alpn"
 
+# Everyone's first packet has step 0, so a flow is named by its customer.
+STREAMED = _from(
+    HELLOS + HELLO_ROWS,
+    """select client_ip, client_port, c_custkey as open_pkt, packets_total, packets_c2s, bytes_wire_c2s, tcp_fin_total,
+  tls_client_hello_c2s, legacy_version, cipher_suites, extensions, has_sni, alpn
+from rows_ join hellos on open_pkt = c_custkey * 16""",
+)
+
 ORACLES: dict[str, str] = {
     "packets_parsed": _from(PACKETS, "select * from pk where proto in (6, 17)"),
     "capture_summary": _from(
@@ -329,6 +337,7 @@ from events where event_id % 5 in (1, 2, 4) group by all""",
 from labels where pkt_no = open_pkt and not fresh group by all""",
     ),
     "streamed_flows": _from(METERED, "select * from flows"),
+    "resumed_flows": _from(METERED, "select * from flows"),
     "flow_invariants": _from(METERED, _violations("rows_")),
     "damaged_flow_invariants": _from(METERED + DAMAGED, _violations("damaged")),
     "violating_flows": _from(
@@ -407,6 +416,8 @@ from (select c_custkey, c_name || '|' || c_mktsegment || '|0123456789' as line f
   legacy_version, cipher_suites, extensions, has_sni, alpn
 from rows_ join hellos on open_pkt = c_custkey * 16""",
     ),
+    "streamed_hellos": STREAMED,
+    "resumed_hellos": STREAMED,
     "flows_without_tls": _from(
         HELLOS + HELLO_ROWS,
         "select open_pkt, packets_total, cast(0 as bigint) as tls_client_hello_c2s, '-' as ja4_alpn from rows_",

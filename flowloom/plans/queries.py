@@ -16,9 +16,9 @@ from flowloom.operators.meter import meter_flows
 from flowloom.operators.sessionize import label_packets
 from flowloom.operators.tuples import parsed_packets
 from flowloom.plans import fixtures as fx
-from flowloom.session import scratch_folder
+from flowloom.session import durable, scratch_folder
 from flowloom.sources import tables
-from flowloom.streaming.meter import append_versions, latest_flows, meter_stream
+from flowloom.streaming.meter import append_versions, handover, latest_flows, meter_stream, open_flows, stream_packets
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -124,6 +124,59 @@ def streamed_flows(spark, sf_dir):
     return latest_flows(spark.read.parquet(f"{folder}/flows").drop("batch")).drop("final")
 
 
+@query
+def streamed_hellos(spark, sf_dir):
+    """Flows with their hellos from eight micro-batches, each with one packet of every conversation."""
+    folder, files = scratch_folder(spark, "streamed-hellos"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    turns = [fx.STEP * step for step in range(1, 9)]
+    fx.write_in_turns(fx.interleaved_conversations(spark, sf_dir), f"{folder}/packets", turns, files)
+    versions = meter_stream(stream_packets(spark, f"{folder}/packets", files), with_tls=True, emit_open=False)
+    return _streamed_hello_rows(_metered(versions, folder, with_tls=True))
+
+
+@query
+def resumed_hellos(spark, sf_dir):
+    """The same, the first four turns by batch and the others streamed behind them."""
+    folder, files = scratch_folder(spark, "resumed-hellos"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packets = fx.interleaved_conversations(spark, sf_dir)
+    early, late = (packets.filter(c) for c in (F.col("pkt_no") < 4 * fx.STEP, F.col("pkt_no") >= 4 * fx.STEP))
+    fx.write_in_turns(late, f"{folder}/packets", [fx.STEP * step for step in (6, 8)], files)
+    stream = stream_packets(spark, f"{folder}/packets", files)
+    return _streamed_hello_rows(_resumed(early, hello.flow_table(early), stream, folder, with_tls=True))
+
+
+@query
+def resumed_flows(spark, sf_dir):
+    """The flow table of all events, the first half of them metered by batch and the others streamed."""
+    packets = fx.event_packets(spark, sf_dir)
+    half = packets.agg(F.max("pkt_no")).first()[0] // 2
+    early = packets.filter(F.col("pkt_no") <= half)
+    stream = fx.packets_of_events(fx.event_stream(spark, sf_dir)).filter(F.col("pkt_no") > half)
+    return _resumed(early, meter_flows(early), stream, scratch_folder(spark, "resumed-flows"), with_tls=False)
+
+
+def _metered(versions: DataFrame, folder: str, with_tls: bool) -> DataFrame:
+    """Flows that ended in the stream, and those open in its state at the end."""
+    spark = versions.sparkSession
+    append_versions(versions, f"{folder}/flows", f"{folder}/state").awaitTermination()
+    ended = spark.read.schema(versions.schema).parquet(f"{folder}/flows/*").drop("final")
+    return ended.unionByName(open_flows(spark, f"{folder}/state", with_tls=with_tls))
+
+
+def _resumed(early: DataFrame, flows: DataFrame, stream: DataFrame, folder: str, with_tls: bool) -> DataFrame:
+    flows = durable(flows)
+    state = durable(handover(early, flows))
+    versions = meter_stream(stream, with_tls=with_tls, emit_open=False, initial=state)
+    carried = state.filter("is_open = 1").select("capture_id", "open_pkt")
+    done = flows.join(carried, ["capture_id", "open_pkt"], "left_anti")
+    return done.unionByName(_metered(versions, folder, with_tls))
+
+
+def _streamed_hello_rows(flows: DataFrame) -> DataFrame:
+    columns = ["client_ip", "client_port", "open_pkt", "packets_total", "packets_c2s", "bytes_wire_c2s", "tcp_fin_total"]
+    return flows.select(*columns, hello.hello_flag(), *_hello_text(F.col("hello")))
+
+
 # --- Checks --------------------------------------------------------------------------------
 
 

@@ -1,13 +1,19 @@
-"""Incremental flow meter: the same flows from packets that arrive in micro-batches.
+"""Incremental flow meter: the same flows, with their hellos, from packets that arrive in micro-batches.
 
-Each conversation keeps its open flow and its two instance counters as state. Packets must
-arrive in capture order across micro-batches (the state keeps the last number, and an earlier one
-raises); inside one they are sorted by pkt_no. The result equals the batch meter then. Nothing is dropped as late: a timestamp that runs
-backwards just counts, as it does in a batch.
+Packets are packed to chunks before the shuffle; each conversation is keyed state in RocksDB: its open flow with
+counters and orientation, the two instance counters, the hello search of the open flow, and the segments that wait
+for a gap to close. A micro-batch of one conversation is walked chunk by chunk in capture order, so a task
+holds narrow records of 33 bytes a packet and the payloads of one chunk; payloads beyond ``PARK_BYTES`` wait
+in the state store until their turn. Packets must arrive in capture order across micro-batches (the state keeps
+the last number, and an earlier one raises). The result equals the batch meter then. Nothing is dropped as
+late: a timestamp that runs backwards just counts, as it does in a batch.
 
-A flow is emitted with ``final`` once it is closed or replaced. Flows still open are emitted
-after every batch they change in, with ``final`` false, since a stream has no last packet;
-``latest_flows`` keeps the newest version of each.
+A flow is emitted with ``final`` once it is closed or replaced. A stream has no last packet, so flows may
+still be open at its end: ``open_flows`` reads them from the state of a stopped query. On the way they are
+emitted with ``final`` false, after every batch they change in (``emit_open``) or once when they have been
+open for a while (``open_after_ms``); ``latest_flows`` keeps the newest version of each.
+
+A stream can start from what a batch has metered: ``handover`` makes its initial state.
 """
 
 from __future__ import annotations
@@ -18,102 +24,175 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from flowloom.operators import hello as hello_search
 from flowloom.operators import tuples
-from flowloom.operators.meter import FLOW_COLUMNS, METER_COLUMNS, average_wirelen, duration_ns
-from flowloom.schema import ACTIVE_TIMEOUT_NS, COUNTERS, PACKET_SCHEMA, TCP, TCP_COUNTS, TUPLE_KEY
-
-SUMS = COUNTERS + TCP_COUNTS
-STATE_FIELDS = ["lo_flows", "hi_flows", "is_open", "client_is_lo", "open_pkt", "first_ts_ns", "last_ts_ns", "last_pkt"]
-STATE_SCHEMA = ", ".join(f"{n} long" for n in STATE_FIELDS + SUMS)
-KEY_SCHEMA = "capture_id string, lo_ip string, lo_port int, hi_ip string, hi_port int, proto int"
-EMITTED = ["client_is_lo", "open_pkt", "flow_instance", "first_ts_ns", "last_ts_ns"] + SUMS + ["final"]
-OUTPUT_SCHEMA = KEY_SCHEMA + ", client_is_lo boolean, " + ", ".join(f"{n} long" for n in EMITTED[1:-1]) + ", final boolean"
-
-
-def flow_starts(ts: np.ndarray, hard: np.ndarray, first_ts: int | None, timeout_ns: int) -> np.ndarray:
-    """Positions at which a flow begins; ``first_ts`` is that of the flow open before."""
-    bounds = np.flatnonzero(hard)
-    edges = [(None, 0, bounds[0] if len(bounds) else len(ts))] if first_ts is not None else []
-    edges += [(a, a, b) for a, b in zip(bounds, [*bounds[1:], len(ts)])]
-    starts: list[int] = []
-    for opening, begin, end in edges:
-        # Only running maxima can exceed the timeout first.
-        peaks = np.maximum.accumulate(ts[begin:end])
-        if opening is not None:
-            starts.append(opening)
-            first_ts = int(ts[opening])
-        while (at := int(np.searchsorted(peaks, first_ts + timeout_ns, side="right"))) < len(peaks):
-            starts.append(begin + at)
-            first_ts = int(peaks[at])
-    return np.array(starts, dtype=np.int64)
-
-
-def _measures(packets: pd.DataFrame, client_is_lo: np.ndarray, tcp: bool) -> np.ndarray:
-    """One column per entry of SUMS, one row per packet."""
-    c2s = packets["src_is_lo"].to_numpy(bool) == client_is_lo
-    syn, ack, fin, rst, psh = (packets[f].to_numpy(bool) & tcp for f in ("syn", "ack", "fin", "rst", "psh"))
-    one = np.ones(len(packets), dtype=np.int64)
-    columns = []
-    for size in (one, packets["caplen"].to_numpy(), packets["wirelen"].to_numpy()):
-        columns += [size, size * c2s, size * ~c2s]
-    columns += [syn, c2s & syn & ~ack, ~c2s & syn & ack, ack, fin, rst, psh]
-    return np.column_stack(columns).astype(np.int64)
-
-
-def _stepper(timeout_ns: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        packets = pd.concat(list(batches), ignore_index=True).sort_values("pkt_no", ignore_index=True)
-        was = dict(zip(STATE_FIELDS + SUMS, state.get)) if state.exists else dict.fromkeys(STATE_FIELDS + SUMS, 0)
-        tcp = key[-1] == TCP
-        if state.exists and int(packets["pkt_no"].iloc[0]) <= was["last_pkt"]:
-            raise ValueError(f"packet {packets['pkt_no'].iloc[0]} of {key[0]} came after {was['last_pkt']}: micro-batches are out of capture order")
-        flag = {f: packets[f].to_numpy(bool) & tcp for f in ("syn", "ack", "fin", "rst")}
-        closes = flag["fin"] | flag["rst"]
-        hard = flag["syn"] & ~flag["ack"]
-        hard[1:] |= closes[:-1]
-        hard[0] |= not was["is_open"]
-        ts, numbers = packets["ts_ns"].to_numpy(), packets["pkt_no"].to_numpy()
-        starts = flow_starts(ts, hard, was["first_ts_ns"] if was["is_open"] else None, timeout_ns)
-
-        # Flow of each packet; -1 is the flow carried in.
-        flow_of = np.searchsorted(starts, np.arange(len(ts)), side="right") - 1
-        side = packets["src_is_lo"].to_numpy(bool)
-        hard_at = np.maximum.accumulate(np.where(hard, np.arange(len(ts)), -1))
-        client_is_lo = np.where(hard_at >= 0, side[hard_at], bool(was["client_is_lo"]))
-        edges = np.unique(np.concatenate([[0], starts])).astype(np.int64)
-        sums = np.add.reduceat(_measures(packets, client_is_lo, tcp), edges, axis=0)
-        last = np.append(edges[1:], len(ts)) - 1
-
-        rows = []
-        if was["is_open"] and flow_of[0] >= 0:
-            rows.append({**was, "flow_instance": was["lo_flows" if was["client_is_lo"] else "hi_flows"] - 1})
-        for begin, end, total in zip(edges, last, sums):
-            row = dict(zip(SUMS, (int(v) for v in total)))
-            if flow_of[begin] < 0:
-                row = {**was, **{n: row[n] + was[n] for n in SUMS}}
-            else:
-                row.update(
-                    lo_flows=was["lo_flows"] + bool(client_is_lo[begin]),
-                    hi_flows=was["hi_flows"] + (not client_is_lo[begin]),
-                    client_is_lo=int(client_is_lo[begin]),
-                    open_pkt=int(numbers[begin]),
-                    first_ts_ns=int(ts[begin]),
-                )
-            row.update(last_ts_ns=int(ts[end]), last_pkt=int(numbers[end]), is_open=int(not closes[end]))
-            row["flow_instance"] = row["lo_flows" if row["client_is_lo"] else "hi_flows"] - 1
-            rows.append(row)
-            was = row
-        state.update(tuple(int(was[n]) for n in STATE_FIELDS + SUMS))
-        out = pd.DataFrame(rows)
-        # All but the newest flow of the conversation are complete.
-        out["final"] = (np.arange(len(out)) < len(out) - 1) | (out["is_open"] == 0)
-        out["client_is_lo"] = out["client_is_lo"].astype(bool)
-        out[TUPLE_KEY] = [list(key)] * len(out)
-        yield out[TUPLE_KEY + EMITTED]
-
-    return step
+from flowloom.operators.meter import FLOW_COLUMNS, average_wirelen, duration_ns
+from flowloom.operators.sessionize import HOT_ROWS, label_packets
+from flowloom.schema import ACTIVE_TIMEOUT_NS, HELLO_TYPE, PACKET_SCHEMA, TUPLE_KEY
+from flowloom.session import ship_package
+from flowloom.streaming.chunks import KEY_SCHEMA, PACKET, SEGMENT, packed_chunks
+from flowloom.streaming.conversation import HELLO_FIELDS, STATE_FIELDS, SUMS, Conversation, Search, is_tcp
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Payload bytes of one conversation and micro-batch that a task keeps in memory.
+PARK_BYTES = 32 << 20
+STEP_PACKETS = 1 << 16
+HELLO_SCHEMA = "legacy_version int, cipher_suites array<int>, extensions array<int>, has_sni boolean, alpn_protocols array<binary>"
+LONGS = ", ".join(f"{n} long" for n in STATE_FIELDS + SUMS)
+FLOW_STATE = f"{LONGS}, timer long, {HELLO_SCHEMA}"
+SEARCH_STATE = "open_pkt long, next_seq long, tail binary, held long"
+EMITTED = ["client_is_lo", "open_pkt", "flow_instance", "first_ts_ns", "last_ts_ns"] + SUMS
+OUTPUT_SCHEMA = KEY_SCHEMA + ", client_is_lo boolean, " + ", ".join(f"{n} long" for n in EMITTED[1:]) + f", {HELLO_SCHEMA}, final boolean"
+CARRIED = ["next_seq", "tail", "held_seq", "held_data"]
+
+
+class FlowProcessor(StatefulProcessor):
+    def __init__(self, timeout_ns: int, emit_open: bool, open_after_ms: int | None) -> None:
+        self.timeout_ns, self.emit_open, self.open_after_ms = timeout_ns, emit_open, open_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.flow = handle.getValueState("flow", FLOW_STATE)
+        self.search = handle.getValueState("search", SEARCH_STATE)
+        self.held = handle.getMapState("held", "seq long", "data binary")
+        self.parked = handle.getMapState("parked", "chunk long", "payload binary")
+
+    def _load(self, key: tuple) -> tuple[Conversation, int]:
+        values = self.flow.get()
+        if values is None:
+            return Conversation(is_tcp(key), self.timeout_ns), 0
+        names = STATE_FIELDS + SUMS
+        was, timer, fields = dict(zip(names, values)), values[len(names)], values[len(names) + 1 :]
+        search = Search()
+        if fields[0] is not None:
+            search.hello = {n: _plain(v) for n, v in zip(HELLO_FIELDS, fields)}
+        elif was["is_open"] and (saved := self.search.get()) is not None:
+            held = {k[0]: bytes(v[0]) for k, v in self.held.iterator()} if saved[3] else {}
+            search = Search.resumed(saved[1], bytes(saved[2]), held)
+        return Conversation(is_tcp(key), self.timeout_ns, was, search), timer
+
+    def _save(self, talk: Conversation, timer: int, before: dict[int, bytes]) -> None:
+        was, search = talk.was, talk.search
+        fields = [None] * len(HELLO_FIELDS)
+        if was["is_open"] and search.hello is not None:
+            fields = [search.hello[n] for n in HELLO_FIELDS]
+        self.flow.update(tuple(int(was[n]) for n in STATE_FIELDS + SUMS) + (timer, *fields))
+        wanted = search.client.held if was["is_open"] and search.begun() else {}
+        for seq in before.keys() - wanted.keys():
+            self.held.removeKey((seq,))
+        for seq, data in wanted.items():
+            if before.get(seq) != data:
+                self.held.updateValue((seq,), (data,))
+        if was["is_open"] and search.begun():
+            self.search.update((was["open_pkt"], search.client.next_seq, search.seeker.tail(), len(wanted)))
+        elif self.search.exists():
+            self.search.clear()
+
+    def _chunks(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
+        """Packets in capture order, a bounded number at a time, each with its segments and payload bytes."""
+        found: list[tuple[int, int, bytes, bytes]] = []
+        kept: dict[int, bytes] = {}
+        size = 0
+        for frame in rows:
+            for first, last, packets, segments, payload in zip(*[frame[c] for c in ("first_pkt", "last_pkt", "packets", "segments", "payload")]):
+                size += len(payload)
+                if size <= PARK_BYTES:
+                    kept[len(found)] = payload
+                else:
+                    self.parked.updateValue((len(found),), (payload,))
+                found.append((first, last, packets, segments))
+
+        def payload_of(i: int) -> bytes:
+            if i in kept:
+                return kept.pop(i)
+            data = bytes(self.parked.getValue((i,))[0])
+            self.parked.removeKey((i,))
+            return data
+
+        order = sorted(range(len(found)), key=lambda i: found[i][:2])
+        while order:
+            # Chunks whose ranges overlap go together.
+            run, end = [order[0]], found[order[0]][1]
+            for i in order[1:]:
+                if found[i][0] > end:
+                    break
+                run.append(i)
+                end = max(end, found[i][1])
+            order = order[len(run) :]
+            packets = np.concatenate([np.frombuffer(found[i][2], PACKET) for i in run])
+            segments = np.concatenate([np.frombuffer(found[i][3], SEGMENT) for i in run])
+            if len(run) == 1 and len(packets) <= STEP_PACKETS:
+                yield packets, segments, payload_of(run[0])
+                continue
+            packets = packets[np.argsort(packets["pkt_no"], kind="stable")]
+            payload = b"".join(map(payload_of, run))
+            begin = np.cumsum(segments["size"]) - segments["size"]
+            by_number = np.argsort(segments["pkt_no"], kind="stable")
+            segments, begin = segments[by_number], begin[by_number]
+            for at in range(0, len(packets), STEP_PACKETS):
+                part = packets[at : at + STEP_PACKETS]
+                low, high = np.searchsorted(segments["pkt_no"], [part["pkt_no"][0], part["pkt_no"][-1] + 1])
+                own = segments[low:high]
+                yield part, own, b"".join(payload[b : b + n] for b, n in zip(begin[low:high].tolist(), own["size"].tolist()))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        talk, timer = self._load(key)
+        before = dict(talk.search.client.held)
+        opened = talk.was["open_pkt"] if talk.was["is_open"] else None
+        for packets, segments, payload in self._chunks(rows):
+            ended = talk.step(packets, segments, payload)
+            if ended:
+                yield _frame(key, ended, True)
+        now = talk.open_flow()
+        if self.open_after_ms is not None and now is not None and now["open_pkt"] != opened:
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.open_after_ms
+            self.handle.registerTimer(timer)
+        self._save(talk, timer, before)
+        if self.emit_open and now is not None:
+            yield _frame(key, [now], False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        talk, timer = self._load(key)
+        # The timer of a flow that has ended since says nothing about the one after it.
+        if (now := talk.open_flow()) is not None and timer == expiredTimerInfo.getExpiryTimeInMs():
+            yield _frame(key, [now], False)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.iloc[0]
+        search = Search()
+        if row["legacy_version"] is not None and not pd.isna(row["legacy_version"]):
+            search.hello = {n: _plain(row[n]) for n in HELLO_FIELDS}
+        elif row["tail"] is not None:
+            held = {} if row["held_seq"] is None else dict(zip(map(int, row["held_seq"]), map(bytes, row["held_data"])))
+            search = Search.resumed(int(row["next_seq"]), bytes(row["tail"]), held)
+        was = {n: int(row[n]) for n in STATE_FIELDS + SUMS}
+        self._save(Conversation(is_tcp(key), self.timeout_ns, was, search), 0, {})
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(value):
+    """A state value in the types that rows take."""
+    if isinstance(value, (bytearray, bytes)):
+        return bytes(value)
+    if isinstance(value, (list, tuple, np.ndarray)):
+        return [_plain(v) for v in value]
+    return value.item() if isinstance(value, np.generic) else value
+
+
+def _frame(key: tuple, rows: list[dict], final: bool) -> pd.DataFrame:
+    out = pd.DataFrame([{n: r[n] for n in EMITTED} for r in rows])
+    out["client_is_lo"] = out["client_is_lo"].astype(bool)
+    hellos = [r["hello"] or dict.fromkeys(HELLO_FIELDS) for r in rows]
+    for name in HELLO_FIELDS:
+        out[name] = pd.Series([h[name] for h in hellos], dtype="Int32" if name == "legacy_version" else object)
+    out["final"] = final
+    for place, name in enumerate(TUPLE_KEY):
+        out.insert(place, name, key[place])
+    return out
 
 
 def stream_packets(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -124,15 +203,81 @@ def stream_packets(spark: SparkSession, path: str, files_per_trigger: int | None
     return reader.parquet(path)
 
 
-def meter_stream(packets: DataFrame, timeout_ns: int = ACTIVE_TIMEOUT_NS) -> DataFrame:
-    """Flow versions of a packet stream; write it in update mode."""
-    keyed = tuples.with_tuple(tuples.parsed_packets(packets.select(*METER_COLUMNS)))
-    versions = keyed.groupBy(*TUPLE_KEY).applyInPandasWithState(
-        _stepper(timeout_ns), OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
+def _flow_columns(rows: DataFrame) -> DataFrame:
+    """Flow table columns and ``hello`` from the meter's own."""
+    found = F.when(F.col("legacy_version").isNotNull(), F.struct(*HELLO_FIELDS)).cast(HELLO_TYPE)
+    derived = {**tuples.endpoints(), "duration_ns": duration_ns(), "avg_wirelen_total": average_wirelen(), "hello": found}
+    return rows.withColumns(derived)
+
+
+def meter_stream(
+    packets: DataFrame,
+    timeout_ns: int = ACTIVE_TIMEOUT_NS,
+    *,
+    with_tls: bool = False,
+    emit_open: bool = True,
+    open_after_ms: int | None = None,
+    initial: DataFrame | None = None,
+) -> DataFrame:
+    """Flow versions of a packet stream, with ``hello`` if ``with_tls``; write it in update mode.
+
+    Sets the session's state store to RocksDB, which keeps state off the heap. ``initial`` is the table of
+    ``handover``; it takes effect in the first batch of a new checkpoint.
+    """
+    spark = packets.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    versions = packed_chunks(packets, with_tls).groupBy(*TUPLE_KEY).transformWithStateInPandas(
+        statefulProcessor=FlowProcessor(timeout_ns, emit_open, open_after_ms),
+        outputStructType=OUTPUT_SCHEMA,
+        outputMode="Update",
+        timeMode="None" if open_after_ms is None else "ProcessingTime",
+        initialState=None if initial is None else initial.groupBy(*TUPLE_KEY),
+    )
+    return _flow_columns(versions).select(*FLOW_COLUMNS, *["hello"] * with_tls, "final")
+
+
+def open_flows(spark: SparkSession, checkpoint: str, *, with_tls: bool = False) -> DataFrame:
+    """Flows that are open in the state of a stopped query."""
+    state = spark.read.format("statestore").option("stateVarName", "flow").load(checkpoint)
+    rows = state.select("key.*", "value.*").filter("is_open = 1").withColumn("client_is_lo", F.col("client_is_lo") == 1)
+    instance = F.when(F.col("client_is_lo"), F.col("lo_flows")).otherwise(F.col("hi_flows")) - 1
+    return _flow_columns(rows.withColumn("flow_instance", instance)).select(*FLOW_COLUMNS, *["hello"] * with_tls)
+
+
+def handover(packets: DataFrame, flows: DataFrame, timeout_ns: int = ACTIVE_TIMEOUT_NS, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Initial state of a stream that goes on behind ``packets``, whose flow table is ``flows``.
+
+    One row per conversation: how many flows each side has opened, the last flow, and whether it is open.
+    A conversation's last flow is open unless FIN or RST closed it. If ``flows`` has hellos, open
+    flows without one carry on their search: their client payloads are read once more.
+    """
+    with_tls = "hello" in flows.columns
+    keyed = tuples.with_tuple(
+        flows.withColumns({"src_ip": F.col("client_ip"), "dst_ip": F.col("server_ip"), "src_port": F.col("client_port"), "dst_port": F.col("server_port")})
+    ).withColumnRenamed("src_is_lo", "client_is_lo")
+    side = F.col("client_is_lo")
+    named = [c for c in STATE_FIELDS if c in ("open_pkt", "first_ts_ns", "last_ts_ns")] + ["client_is_lo"] + SUMS + ["hello"] * with_tls
+    last = keyed.groupBy(*TUPLE_KEY).agg(
+        F.count_if(side).alias("lo_flows"), F.count_if(~side).alias("hi_flows"), F.max_by(F.struct(*named), "open_pkt").alias("last")
     )
-    return versions.withColumns(
-        {**tuples.endpoints(), "duration_ns": duration_ns(), "avg_wirelen_total": average_wirelen()}
-    ).select(*FLOW_COLUMNS, "final")
+    parsed = tuples.with_tuple(tuples.parsed_packets(packets.select("capture_id", "pkt_no", "src_ip", "dst_ip", "src_port", "dst_port", "proto")))
+    last = last.join(parsed.groupBy(*TUPLE_KEY).agg(F.max("pkt_no").alias("last_pkt")), TUPLE_KEY)
+    rows = last.select(*TUPLE_KEY, "lo_flows", "hi_flows", "last_pkt", "last.*")
+    closed = tuples.is_tcp() & ((F.col("tcp_fin_total") + F.col("tcp_rst_total")) > 0)
+    rows = rows.withColumns({"is_open": (~closed).cast("long"), "client_is_lo": F.col("client_is_lo").cast("long")})
+    search = {"next_seq": F.lit(None).cast("long"), "tail": F.lit(None).cast("binary"), "held_seq": F.lit(None).cast("array<long>"), "held_data": F.lit(None).cast("array<binary>")}
+    if not with_tls:
+        fields = {n: F.lit(None).cast(HELLO_TYPE[n].dataType) for n in HELLO_FIELDS}
+        return rows.withColumns({**fields, **search}).select(*TUPLE_KEY, *STATE_FIELDS, *SUMS, *HELLO_FIELDS, *CARRIED)
+    wanted = rows.filter((F.col("is_open") == 1) & F.col("hello").isNull() & tuples.is_tcp()).select("capture_id", "open_pkt")
+    labels = label_packets(packets, timeout_ns, hot_rows).filter("c2s").select("capture_id", "open_pkt", "pkt_no")
+    bytes_ = packets.filter(tuples.is_tcp() & (F.col("payload_len") > 0)).select("capture_id", "pkt_no", "seq", "payload")
+    segments = labels.join(wanted, ["capture_id", "open_pkt"], "left_semi").join(bytes_, ["capture_id", "pkt_no"])
+    searched = hello_search.open_searches(segments).withColumnRenamed("hello", "_hello")
+    rows = rows.withColumns({n: F.col("hello")[n] for n in HELLO_FIELDS}).join(searched, ["capture_id", "open_pkt"], "left")
+    return rows.select(*TUPLE_KEY, *STATE_FIELDS, *SUMS, *HELLO_FIELDS, *CARRIED)
 
 
 def latest_flows(versions: DataFrame) -> DataFrame:
