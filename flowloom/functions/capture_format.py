@@ -10,6 +10,8 @@ import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+
 # --- Fixed values: file formats -----------------------------------------------------------
 # First four bytes of a classic file -> (byte order, nanoseconds per fraction tick).
 CLASSIC_MAGIC = {
@@ -25,6 +27,9 @@ SECTION, INTERFACE, OLD_PACKET, SIMPLE_PACKET, PACKET = 0x0A0D0D0A, 1, 2, 3, 6
 TIME_RESOLUTION, TIME_OFFSET = 9, 14
 # Records in a row that must look right before a guessed boundary is tried.
 CHAIN = 5
+# Bytes searched together, and bytes behind them that records may reach into.
+WINDOW = 1 << 20
+LOOK_AHEAD = 1 << 16
 SECOND_NS = 1_000_000_000
 
 
@@ -84,6 +89,16 @@ class Classic:
             raise Broken
         return end
 
+    def likely(self, data: bytes, at: int, size: int, length: int) -> np.ndarray:
+        """Places among the first ``size`` of a window at which records may begin."""
+        count = max(0, len(data) - 15)
+        seconds, fraction, caplen, frame_len = (_words(data, 4 * i, self.order, 1, count) for i in range(4))
+        after = np.arange(count) + 16 + caplen
+        right = (fraction * self.tick < SECOND_NS) & (caplen <= self.longest) & ((seconds > 0) | (frame_len > 0))
+        right &= ((frame_len == 0) | (frame_len >= caplen)) & (at + after <= length)
+        found = _chained(right, after)
+        return found[found < size]
+
     def note(self, file: Bytes, at: int, end: int) -> bytes | None:
         return None
 
@@ -128,6 +143,20 @@ class Sections:
             raise Broken
         return end
 
+    def likely(self, data: bytes, at: int, size: int, length: int) -> np.ndarray:
+        """Places among the first ``size`` of a window at which blocks may begin."""
+        count = max(0, (len(data) - 8) // 4)
+        sizes = _words(data, 4, self.order, 4, count)
+        after, place = np.arange(count) + sizes // 4, 4 * np.arange(count)
+        right = (sizes >= 12) & (sizes % 4 == 0) & (at + place + sizes <= length)
+        # The size stands at the end of a block once more.
+        ends = np.where(right & (after - 2 < count), after - 2, -1)
+        right &= (ends < 0) | (sizes[ends] == sizes)
+        # A section may change the byte order, and all behind it.
+        section = _words(data, 0, ">", 4, count) == SECTION
+        found = np.union1d(4 * _chained(right | section, np.where(section, count, after)), 4 * np.flatnonzero(section))
+        return found[found < size]
+
     def note(self, file: Bytes, at: int, end: int) -> bytes | None:
         """Blocks that later ranges need to know."""
         kind = self.record(file, at)[1]
@@ -193,16 +222,45 @@ def open_format(file: Bytes) -> Classic | Sections:
     raise Broken
 
 
+def _words(data: bytes, at: int, order: str, step: int, count: int) -> np.ndarray:
+    """The 32-bit number ``at`` bytes behind each ``step``-th place."""
+    return np.ndarray((count,), order + "u4", data, at if count else 0, (step,)).astype(np.int64)
+
+
+def _chained(looks_right: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Places from which records look right, nearly ``CHAIN`` of them, by pointer doubling.
+
+    ``after`` is the place of the next record; one outside the window counts as right.
+    """
+    count = len(looks_right)
+    right = np.append(looks_right, True)
+    after = np.append(np.where(looks_right & (after < count), after, count), count)
+    records = 1
+    while 2 * records <= CHAIN:
+        right &= right[after]
+        after = after[after]
+        records *= 2
+    return np.flatnonzero(right[:-1])
+
+
 def guess(form: Classic | Sections, file: Bytes, start: int, stop: int) -> int:
-    """First place in the range from which a chain of records looks right, or ``stop``."""
-    for at in range(start + -start % form.step, stop, form.step):
-        try:
-            here = at
-            for _ in range(CHAIN):
-                if here == file.length:
-                    break
-                here = form.plausible(file, here)
-        except Broken:
-            continue
-        return at
+    """First place in the range from which a chain of records looks right, or ``stop``.
+
+    Windows are searched as arrays; only places from which all records inside the window look right are
+    followed one by one.
+    """
+    at = start + -start % form.step
+    while at < stop:
+        data = file.get(at, min(WINDOW + LOOK_AHEAD, file.length - at))
+        for place in form.likely(data, at, min(WINDOW, stop - at), file.length).tolist():
+            try:
+                here = at + place
+                for _ in range(CHAIN):
+                    if here == file.length:
+                        break
+                    here = form.plausible(file, here)
+            except Broken:
+                continue
+            return at + place
+        at += WINDOW
     return stop

@@ -265,3 +265,39 @@ def event_frames(spark: SparkSession, sf_dir: str, wrapped: bool = False) -> Dat
         F.lit(1).alias("linktype"),
         F.unhex(frame).alias("frame"),
     )
+
+
+# --- Capture files from events -------------------------------------------------------------
+
+FILE_PACKETS = 250
+
+
+def _little(value, size: int):
+    """Hex of a number, lowest byte first."""
+    big = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+    return F.concat(*[F.substring(big, 2 * i + 1, 2) for i in reversed(range(size))])
+
+
+def event_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture files (name, content) of 250 event frames each.
+
+    Of four files one is classic, one classic and cut inside its last record, one of the next generation, and one
+    of it with a packet of an interface that there is none of.
+    """
+    file, nth = F.expr(f"pkt_no div {FILE_PACKETS}"), F.col("pkt_no") % FILE_PACKETS
+    size, ts, next_generation = F.length("frame"), F.col("ts_ns"), F.col("file") % 4 >= 2
+    padded = F.ceil(size / 4) * 4
+    old = F.concat(_little(F.expr("ts_ns div 1000000000"), 4), _little(ts % 1_000_000_000, 4), _little(size, 4), _little(F.col("frame_len"), 4), F.hex("frame"))
+    number = F.when((F.col("file") % 4 == 3) & (nth == 100), F.lit(7)).otherwise(F.lit(0))
+    head = [_little(number, 4), _little(F.shiftright(ts, 32), 4), _little(ts % (1 << 32), 4), _little(size, 4), _little(F.col("frame_len"), 4)]
+    data = F.rpad(F.hex("frame"), (2 * padded).cast("int"), "0")
+    new = F.concat(F.lit("06000000"), _little(padded + 32, 4), *head, data, _little(padded + 32, 4))
+    records = event_frames(spark, sf_dir).withColumn("file", file).withColumn("record", F.when(next_generation, new).otherwise(old))
+    files = records.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pkt_no", "record"))).alias("records"))
+    classic = "4D3CB2A1" + "02000400" + "0" * 16 + "FFFF0000" + "01000000"
+    section = "0A0D0D0A1C0000004D3C2B1A01000000" + "F" * 16 + "1C000000"
+    # Nanoseconds.
+    interface = "0100000020000000" + "01000000" + "00000000" + "0900010009000000" + "00000000" + "20000000"
+    text = F.concat(F.when(next_generation, section + interface).otherwise(classic), F.array_join(F.col("records.record"), ""))
+    text = F.when(F.col("file") % 4 == 1, F.substring(text, F.lit(1), F.length(text) - 14)).otherwise(text)
+    return files.select(F.concat(F.lit("events-"), "file", F.lit(".pcap")).alias("name"), F.unhex(text).alias("content"))

@@ -452,3 +452,30 @@ ORACLES["frames_decoded"] = (
 )
 # Whatever stands around them, the packets are the same.
 ORACLES["frames_encapsulated"] = ORACLES["frames_decoded"]
+
+CAPTURED = """,
+framed as (
+  select *, pkt_no // 250 as file, pkt_no % 250 as nth, pkt_no = max(pkt_no) over (partition by pkt_no // 250) as is_last,
+    14 + case when pkt_no % 4 = 1 then 4 else 0 end + case when pkt_no % 11 = 0 then 40 else 20 end
+      + case proto when 6 then 20 + payload_len when 17 then 8 + payload_len else 8 end
+      + case when pkt_no % 5 = 0 then 6 else 0 end as size
+  from pk),
+placed as (
+  select *, (file % 4 = 1 and is_last) or (file % 4 = 3 and nth = 100) as lost,
+    case when file % 4 < 2 then 24 else 60 end + coalesce(sum(case when file % 4 < 2 then 16 + size else 32 + (size + 3) // 4 * 4 end)
+      over (partition by file order by pkt_no rows between unbounded preceding and 1 preceding), 0) as place
+  from framed)"""
+_FRAME = f"""select ts_ns, case when pkt_no % 11 = 0 then {_six('src_ip')} else src_ip end as src_ip,
+  case when pkt_no % 11 = 0 then {_six('dst_ip')} else dst_ip end as dst_ip, src_port, dst_port, proto,
+  syn and proto = 6 as syn, ack and proto = 6 as ack, fin and proto = 6 as fin, rst and proto = 6 as rst, psh and proto = 6 as psh,
+  case when proto = 6 then pkt_no * 1000 end as seq, payload_len, repeat('16', cast(payload_len as integer)) as payload
+from placed where proto in (6, 17) and not lost"""
+ORACLES["capture_frames"] = ORACLES["streamed_captures"] = _from(PACKETS + CAPTURED, _FRAME)
+ORACLES["capture_window"] = _from(PACKETS + CAPTURED, _FRAME + " and file in (0, 2) and ts_ns >= (select min(ts_ns) from pk) + 1000000")
+ORACLES["capture_problems"] = _from(
+    PACKETS + CAPTURED,
+    """select 'events-' || file || '.pcap' as name, cast(place as bigint) as "offset",
+  case file % 4 when 1 then 'breaks off: the record does not fit the file'
+    else 'unreadable block: its interface or its size is wrong' end as error
+from placed where lost""",
+)

@@ -17,7 +17,7 @@ from flowloom.operators.sessionize import label_packets
 from flowloom.operators.tuples import parsed_packets
 from flowloom.plans import fixtures as fx
 from flowloom.session import durable, scratch_folder
-from flowloom.sources import tables
+from flowloom.sources import capture_source, tables
 from flowloom.streaming.meter import append_versions, handover, latest_flows, meter_stream, open_flows, stream_packets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -463,6 +463,56 @@ def grease_filter(spark, sf_dir):
     )
 
 
+CAPTURED = ["ts_ns", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "syn", "ack", "fin", "rst", "psh", "seq", "payload_len"]
+
+
+def _captures(spark, sf_dir) -> str:
+    """A folder with the capture files of the events."""
+    capture_source.register(spark)
+    folder = scratch_folder(spark, "captures")
+    fx.event_captures(spark, sf_dir).write.format("blobs").mode("append").save(folder)
+    return folder
+
+
+def _captured(frames: DataFrame) -> DataFrame:
+    return decode_frames(frames).select(*CAPTURED, F.hex("payload").alias("payload"))
+
+
+@query
+def capture_frames(spark, sf_dir):
+    """Packets of capture files, cut in ranges of 4 kB, some of them damaged."""
+    return _captured(capture_source.capture_frames(spark, _captures(spark, sf_dir), range_bytes=4096))
+
+
+@query
+def capture_problems(spark, sf_dir):
+    told = capture_source.capture_problems(spark, _captures(spark, sf_dir))
+    return told.select(F.substring_index("path", "/", -1).alias("name"), "offset", "error")
+
+
+@query
+def capture_window(spark, sf_dir):
+    """Packets of two files and a stretch of time; both conditions reach the source."""
+    folder = _captures(spark, sf_dir)
+    frames = spark.read.format("capture").load(folder)
+    names = [f"file:{folder.removeprefix('file:').replace('///', '/')}/events-{i}.pcap" for i in (0, 2)]
+    first = fx.event_packets(spark, sf_dir).agg(F.min("ts_ns")).first()[0]
+    return _captured(frames.filter(F.col("capture_id").isin(names) & (F.col("ts_ns") >= first + 1_000_000)))
+
+
+@query
+def streamed_captures(spark, sf_dir):
+    """Packets of the same files, followed as a stream."""
+    folder = _captures(spark, sf_dir)
+    out = scratch_folder(spark, "streamed-captures")
+    frames = capture_source.stream_captures(spark, folder, max_bytes=8192)
+    written = _captured(frames).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/packets")
+    running = written.start()
+    running.processAllAvailable()
+    running.stop()
+    return spark.read.schema(_captured(frames).schema).parquet(f"{out}/packets")
+
+
 @query
 def frames_encapsulated(spark, sf_dir):
     packets = decode_frames(fx.event_frames(spark, sf_dir, wrapped=True))

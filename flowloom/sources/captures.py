@@ -10,7 +10,8 @@ packet numbers are the exact positions in the file.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs
@@ -27,6 +28,8 @@ BATCH_BYTES = 16 << 20
 MAX_TASKS = 50_000
 # Where a file that breaks off "continues": behind all of its ranges.
 NOWHERE = 1 << 62
+BREAKS_OFF = "breaks off: the record does not fit the file"
+UNREADABLE_BLOCK = "unreadable block: its interface or its size is wrong"
 
 RANGE_COLUMNS = ["path", "length", "range_no", "start", "stop", "begin", "order"]
 LOCATED = (
@@ -67,7 +70,7 @@ def _locate_one(row: dict) -> dict:
             out["packets"] += form.counts(file, at)
             at = end
     except cf.Broken:
-        out.update(error="breaks off: the record does not fit the file", broken_at=at)
+        out.update(error=BREAKS_OFF, broken_at=at)
         at = NOWHERE
     return {**out, "landing": at, "landing_order": form.order}
 
@@ -135,61 +138,99 @@ def capture_errors(located: DataFrame) -> DataFrame:
     return located.filter(told).select("path", F.coalesce("broken_at", F.lit(0)).alias("offset"), "error")
 
 
-def _read_one(row: dict) -> Iterator[tuple]:
+class Problem(NamedTuple):
+    """A place in a file that yields no packet."""
+
+    offset: int
+    error: str
+
+
+def frames_of(row: dict, wanted: Callable[[int], bool] | None = None) -> Iterator[tuple | Problem]:
+    """Frames (FRAME_SCHEMA) of a located range, and its problems.
+
+    A block that is whole but cannot be read (its interface is not known, or its packet is larger than it) is a
+    problem of its own; the range goes on behind it, and packet numbers count it. ``wanted`` is asked about
+    timestamps; frames it turns down are left out.
+    """
     file = _open(row["path"], row["length"])
     form = cf.open_format(file)
     for note in sorted(row["context"] or [], key=lambda n: n["at"]):
         form.frame(cf.Bytes(pa.BufferReader(note["block"]), len(note["block"])), 0)
     at, number = row["begin"], row["first_no"]
-    try:
-        while at < row["stop"]:
+    while at < row["stop"]:
+        try:
             end, _ = form.record(file, at)
+        except cf.Broken:
+            yield Problem(at, BREAKS_OFF)
+            return
+        try:
             frame = form.frame(file, at)
-            if frame is not None:
+            if frame is not None and (wanted is None or wanted(frame.ts_ns)):
                 yield (row["path"], number, frame.ts_ns, frame.caplen, frame.frame_len, frame.linktype, frame.data)
-                number += 1
-            at = end
-    except cf.Broken:
-        return
+        except cf.Broken:
+            yield Problem(at, UNREADABLE_BLOCK)
+        number += form.counts(file, at)
+        at = end
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = to_arrow_schema(FRAME_SCHEMA)
+def frame_batches(rows: Iterator[tuple | Problem]) -> Iterator[pa.RecordBatch]:
+    """Frames in batches of bounded size; problems are left out."""
+    schema, held, size = to_arrow_schema(FRAME_SCHEMA), [], 0
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    for frame in rows:
+        if isinstance(frame, Problem):
+            continue
+        held.append(frame)
+        size += len(frame[-1]) + 64
+        if size >= BATCH_BYTES:
+            yield batch_of(held)
+            held, size = [], 0
+    if held:
+        yield batch_of(held)
+
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            rows, size = [], 0
-            for frame in _read_one(row):
-                rows.append(frame)
-                size += len(frame[-1]) + 64
-                if size >= BATCH_BYTES:
-                    yield batch_of(rows)
-                    rows, size = [], 0
-            if rows:
-                yield batch_of(rows)
+            yield from frame_batches(frames_of(row))
 
 
-def read_captures(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Frames (FRAME_SCHEMA) of all captures; capture_id is the file, pkt_no the position."""
-    located = capture_ranges(spark, *paths, range_bytes=range_bytes)
+def numbered_ranges(located: DataFrame) -> DataFrame:
+    """Ranges that hold packets, each with its first packet number and the blocks before it that its packets need.
+
+    Interfaces belong to a section, so these are the section block before the range and what follows it.
+    """
     before = Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = located.withColumn("first_no", F.coalesce(F.sum("packets").over(before), F.lit(0)))
-    # The few section and interface blocks of a file, for its ranges behind them.
-    notes = located.select("path", F.explode("notes").alias("note"))
-    ranges = numbered.filter(F.col("packets") > 0).drop("notes")
+    # Per range the notes from its own last section on, and whether it has one.
+    cut = F.expr("filter(notes, (n, i) -> i >= coalesce(array_max(transform(notes, (m, j) -> if(substring(m.block, 1, 4) = unhex('0a0d0d0a'), j, null))), 0))")
+    ranges = located.withColumns(
+        {
+            "first_no": F.coalesce(F.sum("packets").over(before), F.lit(0)),
+            "has_section": F.exists("notes", lambda n: F.substring(n["block"], 1, 4) == F.unhex(F.lit(cf.SECTION_MAGIC.hex()))),
+            "tail": cut,
+        }
+    )
+    # The ranges since the last section before this one: the section's own range gives its tail, the others all they have.
+    epoch = F.sum(F.col("has_section").cast("int")).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranges = ranges.withColumn("epoch", epoch)
+    shared = ranges.filter(F.size("tail") > 0).select("path", "epoch", F.col("range_no").alias("from_no"), F.explode("tail").alias("note"))
+    held = ranges.filter(F.col("packets") > 0).drop("notes", "tail")
+    # Inside a range that begins a section the packets before it belong to the epoch before.
+    opened = F.col("epoch") - F.col("has_section").cast("int")
     context = (
-        ranges.select("path", "range_no", "begin")
-        .join(notes, "path")
-        .filter(F.col("note.at") < F.col("begin"))
+        held.select("path", "range_no", opened.alias("epoch"))
+        .join(shared, ["path", "epoch"])
+        .filter(F.col("from_no") < F.col("range_no"))
         .groupBy("path", "range_no")
         .agg(F.collect_list("note").alias("context"))
     )
-    tasks = ranges.join(context, ["path", "range_no"], "left").select(
-        "path", "length", "range_no", "begin", "stop", "first_no", "context"
-    )
-    tasks = durable(tasks)
+    return held.join(context, ["path", "range_no"], "left").select("path", "length", "range_no", "begin", "stop", "first_no", "context")
+
+
+def read_captures(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Frames (FRAME_SCHEMA) of all captures; capture_id is the file, pkt_no the position."""
+    tasks = durable(numbered_ranges(capture_ranges(spark, *paths, range_bytes=range_bytes)))
     return _spread(tasks, tasks.count()).mapInArrow(_read, FRAME_SCHEMA)

@@ -3,13 +3,17 @@
 import random
 import socket
 import struct
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from flowloom.functions import frames as fr
 from flowloom.operators.decode import decode_frames
 from flowloom.operators.hello import flow_table
+from flowloom.functions import capture_format as cf
+from flowloom.sources import capture_source
 from flowloom.sources.captures import capture_errors, capture_ranges, read_captures
 
 
@@ -203,3 +207,137 @@ def test_capture_to_flows(spark, tmp_path):
     (tmp_path / "a.pcap").write_bytes(classic(client))
     (flow,) = flow_table(decode_frames(read_captures(spark, str(tmp_path)))).collect()
     assert flow["packets_total"] == 3 and flow["tcp_fin_total"] == 1 and flow["hello"]["has_sni"]
+
+
+def opened(data):
+    file = cf.Bytes(pa.BufferReader(data), len(data))
+    return cf.open_format(file), file
+
+
+def tried(form, file, start, stop):
+    """The rule of a guess, place by place."""
+    for at in range(start + -start % form.step, stop, form.step):
+        try:
+            here = at
+            for _ in range(cf.CHAIN):
+                if here == file.length:
+                    break
+                here = form.plausible(file, here)
+        except cf.Broken:
+            continue
+        return at
+    return stop
+
+
+def test_guesses_are_those_of_a_search_by_place(monkeypatch):
+    packets = some_packets(150, seed=4)
+    sections = section() + interface() + b"".join(enhanced(t, d, n) for t, d, n in packets[:70])
+    sections += section(">") + interface(">") + b"".join(enhanced(t, d, n, ">") for t, d, n in packets[70:])
+    for window in (64, 4096, 1 << 20):
+        monkeypatch.setattr(cf, "WINDOW", window)
+        monkeypatch.setattr(cf, "LOOK_AHEAD", 16 + window // 4 * 4)
+        for data in (classic(packets), classic(packets, ">", True), sections):
+            form, file = opened(data)
+            for start in range(24, len(data), 397):
+                first = form.order
+                want = tried(form, file, start, min(start + 900, len(data)))
+                form.order = first
+                assert cf.guess(form, file, start, min(start + 900, len(data))) == want
+                form.order = first
+
+
+def test_a_huge_record_is_searched_in_seconds():
+    body = random.Random(1).randbytes(1 << 20) * 100
+    small = [(10**18 + i, b"x" * 60, 60) for i in range(20)]
+    data = classic([(10**18, body, len(body)), *small])
+    form, file = opened(data)
+    began = time.perf_counter()
+    assert cf.guess(form, file, 1000, len(data)) == 24 + 16 + len(body)
+    assert time.perf_counter() - began < 10
+
+
+def many_sections(packets):
+    """A new section with two interfaces every ten packets."""
+    data = b""
+    for i in range(0, len(packets), 10):
+        data += section() + interface(linktype=1, resolution=9) + interface(linktype=101 + i // 10, resolution=9)
+        data += b"".join(enhanced(t, d, n, number=j % 2) for j, (t, d, n) in enumerate(packets[i : i + 10]))
+    return data
+
+
+@pytest.mark.parametrize("range_bytes", [300, 100_000])
+def test_source_reads_what_the_job_reads(spark, tmp_path, range_bytes):
+    packets = some_packets(90, seed=6)
+    (tmp_path / "a.pcap").write_bytes(classic(packets))
+    (tmp_path / "b.pcapng").write_bytes(many_sections(packets))
+    (tmp_path / "c.pcap").write_bytes(b"no capture at all, but long enough")
+    want = sorted(expected(packets) + [(i, t, len(d), n, 1 if i % 2 == 0 else 101 + i // 10, d) for i, (t, d, n) in enumerate(packets)])
+    assert rows_of(read_captures(spark, str(tmp_path), range_bytes=range_bytes)) == want
+    assert rows_of(capture_source.capture_frames(spark, str(tmp_path), range_bytes=range_bytes)) == want
+    assert rows_of(spark.read.format("capture").load(str(tmp_path))) == want
+
+
+def test_holes_are_told_and_passed(spark, tmp_path):
+    packets = some_packets(40, seed=7)
+    blocks = [enhanced(t, d, n, number=7 if i == 25 else 0) for i, (t, d, n) in enumerate(packets)]
+    head = section() + interface(resolution=9)
+    (tmp_path / "a.pcapng").write_bytes(head + b"".join(blocks)[:-10])
+    (tmp_path / "b.pcap").write_bytes(b"no capture at all, but long enough")
+    want = [r for r in expected(packets[:-1]) if r[0] != 25]
+    for frames in (read_captures(spark, str(tmp_path), range_bytes=400), capture_source.capture_frames(spark, str(tmp_path), range_bytes=400)):
+        assert rows_of(frames) == want
+    told = {(r.path.rsplit("/", 1)[1], r.offset, r.error.split(":")[0]) for r in capture_source.capture_problems(spark, str(tmp_path)).collect()}
+    hole, cut = (len(head + b"".join(blocks[:i])) for i in (25, 39))
+    assert told == {("a.pcapng", hole, "unreadable block"), ("a.pcapng", cut, "breaks off"), ("b.pcap", 0, "unreadable")}
+
+
+def test_conditions_reach_the_source(spark, tmp_path):
+    packets = some_packets(30, seed=8)
+    for name in "ab":
+        (tmp_path / f"{name}.pcap").write_bytes(classic(packets, nano=True))
+    capture_source.register(spark)
+    frames = spark.read.format("capture").load(str(tmp_path))
+    ts = packets[12][0]
+    own = frames.filter((F.col("capture_id") == f"file:{tmp_path}/b.pcap") & (F.col("ts_ns") >= ts) & (F.col("ts_ns") < ts + 5000))
+    assert rows_of(own) == expected(packets)[12:17] and own.rdd.getNumPartitions() == 1
+    reader = capture_source.CaptureReader({"path": str(tmp_path)})
+    kinds = [capture_source.GreaterThan(("ts_ns",), 5), capture_source.LessThanOrEqual(("ts_ns",), 9), capture_source.GreaterThan(("pkt_no",), 1)]
+    assert list(reader.pushFilters(kinds)) == kinds[2:] and (reader.span.low, reader.span.high) == (6, 9)
+    assert rows_of(frames.filter("ts_ns > 5 and ts_ns < 3")) == []
+
+
+def test_growing_files_are_followed(spark, tmp_path):
+    """Files grow inside a record, a new one comes, sections change; a restart goes on from its offset."""
+    packets, folder = some_packets(60, seed=9), tmp_path / "in"
+    folder.mkdir()
+    whole = {"a.pcap": classic(packets), "b.pcapng": many_sections(packets)}
+    cuts = {"a.pcap": [700, 701, 3000, len(whole["a.pcap"])], "b.pcapng": [0, 900, 4001, len(whole["b.pcapng"])]}
+
+    def run():
+        query = (
+            capture_source.stream_captures(spark, str(folder), max_bytes=2000)
+            .writeStream.format("parquet")
+            .option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "state"))
+            .start()
+        )
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    for turn in range(4):
+        for name, data in whole.items():
+            if cuts[name][turn]:
+                (folder / name).write_bytes(data[: cuts[name][turn]])
+        run()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    want = sorted(expected(packets) + [(i, t, len(d), n, 1 if i % 2 == 0 else 101 + i // 10, d) for i, (t, d, n) in enumerate(packets)])
+    assert rows_of(found) == want
+
+
+def test_blobs_are_files(spark, tmp_path):
+    capture_source.register(spark)
+    rows = [(f"f{i}", bytes([i]) * i) for i in range(5)]
+    spark.createDataFrame(rows, "name string, content binary").write.format("blobs").mode("append").save(str(tmp_path / "x"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "x").iterdir()} == dict(rows)
