@@ -24,11 +24,11 @@ from flowloom.functions.reassembly import ClientStream
 from flowloom.operators import tuples
 from flowloom.operators.meter import METER_COLUMNS, measure_flows
 from flowloom.operators.sessionize import HOT_ROWS, LABEL_COLUMNS, Hot, assign_flows, find_hot
-from flowloom.schema import ACTIVE_TIMEOUT_NS, FLOW_KEY, HELLO_TYPE
-from flowloom.session import durable
+from flowloom.schema import ACTIVE_TIMEOUT_NS, FLOW_KEY, HELLO_TYPE, TUPLE_KEY
+from flowloom.session import durable, scratch_folder
 
 FLOW_ID = ["capture_id", "open_pkt"]
-INDEX_COLUMNS = FLOW_ID + ["pkt_no", "seq", "payload_len", "batch"]
+INDEX_COLUMNS = FLOW_ID + ["pkt_no", "seq", "payload_len", "batch", "talk"]
 SEGMENT_COLUMNS = FLOW_ID + ["pkt_no", "seq", "payload", "held_seq", "held_data"]
 FIRST_BATCH_BYTES = 1 << 20
 BATCH_BYTES = 32 << 20
@@ -48,19 +48,26 @@ STATE_SCHEMA = T.StructType(
 )
 # pkt_no of the row that carries the state of a flow into the next round.
 STATE_ROW = -1
+# Bits of a bitmap row, fixed by Spark, and of all of them at most (32 MB).
+BUCKET_BITS = 1 << 15
+MOST_BITS = 1 << 28
 
 
 def client_payloads(labelled: DataFrame) -> DataFrame:
     return labelled.filter(tuples.is_tcp() & tuples.from_client() & (F.col("payload_len") > 0))
 
 
-def _step(before: Column) -> Column:
+Sizes = tuple[int, int]
+
+
+def _step(before: Column, sizes: Sizes | None) -> Column:
     """Batch of a packet by the payload bytes of its flow before it."""
-    late = F.floor((before - FIRST_BATCH_BYTES) / BATCH_BYTES).cast("long") + 1
-    return F.when(before < FIRST_BATCH_BYTES, F.lit(0).cast("long")).otherwise(late)
+    first, other = sizes or (FIRST_BATCH_BYTES, BATCH_BYTES)
+    late = F.floor((before - first) / other).cast("long") + 1
+    return F.when(before < first, F.lit(0).cast("long")).otherwise(late)
 
 
-def _index_cold(payloads: DataFrame) -> DataFrame:
+def _index_cold(payloads: DataFrame, sizes: Sizes | None) -> DataFrame:
     """Windows over flows, in the partitioning the labels already have."""
     order = Window.partitionBy(*FLOW_KEY).orderBy("pkt_no")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -74,7 +81,7 @@ def _index_cold(payloads: DataFrame) -> DataFrame:
             }
         )
         .filter("begins")
-        .withColumn("step", _step(F.col("before")))
+        .withColumn("step", _step(F.col("before"), sizes))
         .withColumn("turn", F.coalesce(F.col("step") != F.lag("step").over(order), F.lit(False)))
         # Numbered without gaps: the state a batch resumes from is that of the round before.
         .withColumn("batch", F.sum(F.col("turn").cast("long")).over(upto))
@@ -82,7 +89,7 @@ def _index_cold(payloads: DataFrame) -> DataFrame:
     )
 
 
-def _index_hot(payloads: DataFrame) -> DataFrame:
+def _index_hot(payloads: DataFrame, sizes: Sizes | None) -> DataFrame:
     """The same for flows of any length, from one summary row per flow and chunk."""
     found = payloads.withColumn("chunk", F.expr(f"pkt_no div {CHUNK_PACKETS}"))
     flow = Window.partitionBy(*FLOW_ID)
@@ -93,25 +100,45 @@ def _index_hot(payloads: DataFrame) -> DataFrame:
         .withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
         .withColumn("begins", F.max("begins").over(flow))
         .filter("begins")
-        .withColumn("step", _step(F.col("before")))
+        .withColumn("step", _step(F.col("before"), sizes))
         .withColumn("batch", F.dense_rank().over(flow.orderBy("step")).cast("long") - 1)
         .select(*FLOW_ID, "chunk", "batch")
     )
     return found.join(sizes, FLOW_ID + ["chunk"]).select(*INDEX_COLUMNS)
 
 
-def payload_index(packets: DataFrame, timeout_ns: int, hot: Hot | None) -> DataFrame:
+def payload_index(packets: DataFrame, timeout_ns: int, hot: Hot | None, sizes: Sizes | None = None) -> DataFrame:
     """Client payload packets of flows that may hold a hello, with their batch number."""
     begins = F.coalesce(tls.may_begin_hello(F.col("payload")), F.lit(False)).alias("begins")
     narrow = packets.select(*LABEL_COLUMNS, "seq", "payload_len", begins)
     cold, large = assign_flows(narrow, timeout_ns, hot)
     columns = FLOW_KEY + ["pkt_no", "seq", "payload_len", "begins"]
-    index = _index_cold(client_payloads(cold).select(*columns))
+    talk = F.xxhash64(*TUPLE_KEY).alias("talk")
+    index = _index_cold(client_payloads(cold).select(*columns, talk), sizes)
     if large is not None:
-        index = index.unionByName(_index_hot(client_payloads(large).select(*columns)))
+        index = index.unionByName(_index_hot(client_payloads(large).select(*columns, talk), sizes))
     return index
 
 
+def eligible_payloads(packets: DataFrame, index: DataFrame, talks: int) -> DataFrame:
+    """Payloads (capture_id, pkt_no, payload) of the conversations in the index, and of few others.
+
+    A bitmap of the conversations' hashes, ``talks`` of them, goes to all tasks, so that the payloads of the
+    rest never enter a shuffle.
+    """
+    bits = min(MOST_BITS, max(BUCKET_BITS, 1 << (16 * max(talks, 1) - 1).bit_length()))
+    at = F.col("talk").bitwiseAND(F.lit(bits - 1)) + 1
+    rows = index.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    sent = packets.filter(tuples.is_tcp() & (F.col("payload_len") > 0))
+    names = ["capture_id", "pkt_no", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "payload"]
+    sent = tuples.with_tuple(sent.select(*names)).select("capture_id", "pkt_no", "payload", F.xxhash64(*TUPLE_KEY).alias("talk"))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("bits", (F.expr("place div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = sent.withColumns({"bucket": F.bitmap_bucket_number(at), "place": place}).join(F.broadcast(rows), "bucket")
+    is_set = F.shiftrightunsigned(byte, 0).bitwiseAND(F.expr("cast(shiftleft(1, cast(place % 8 as int)) as int)")) != 0
+    return met.filter(is_set).select("capture_id", "pkt_no", "payload")
+
+
 def continuing(states: DataFrame, later: DataFrame) -> DataFrame:
     """States of flows whose stream still grows: a later segment covers its next byte.
 
@@ -224,28 +251,34 @@ def _state_rows(states: DataFrame) -> DataFrame:
 
 
 def first_hellos(
-    packets: DataFrame, timeout_ns: int = ACTIVE_TIMEOUT_NS, hot_rows: int | None = HOT_ROWS
+    packets: DataFrame, timeout_ns: int = ACTIVE_TIMEOUT_NS, hot_rows: int | None = HOT_ROWS, sizes: Sizes | None = None
 ) -> DataFrame:
-    """First ClientHello of each flow that has one: FLOW_ID and ``hello``."""
-    return _first_hellos(packets, timeout_ns, find_hot(packets, timeout_ns, hot_rows))
-
+    """First ClientHello of each flow that has one: FLOW_ID and ``hello``.
 
-def _first_hellos(packets: DataFrame, timeout_ns: int, hot: Hot | None) -> DataFrame:
-    index = durable(payload_index(packets, timeout_ns, hot))
-    payloads = packets.filter(tuples.is_tcp() & (F.col("payload_len") > 0)).select(
-        "capture_id", "pkt_no", "payload"
-    )
-    last = index.agg(F.max("batch")).first()[0]
+    ``sizes`` are the bytes of a flow's first batch and of the others.
+    """
+    return _first_hellos(packets, timeout_ns, find_hot(packets, timeout_ns, hot_rows), sizes)
+
+
+def _first_hellos(packets: DataFrame, timeout_ns: int, hot: Hot | None, sizes: Sizes | None = None) -> DataFrame:
+    index = durable(payload_index(packets, timeout_ns, hot, sizes))
+    last, talks = index.agg(F.max("batch"), F.approx_count_distinct("talk")).first()
+    parts = index.drop("talk").join(eligible_payloads(packets, index, talks), ["capture_id", "pkt_no"])
+    if last:
+        # Payloads are fetched once for all rounds; each round reads the files of its own batch.
+        folder = scratch_folder(packets.sparkSession, "payload-batches")
+        parts.write.partitionBy("batch").parquet(folder)
+        parts = packets.sparkSession.read.schema(parts.schema).parquet(folder)
     rounds: list[DataFrame] = []
     for batch in range(0 if last is None else last + 1):
-        part = index.filter(F.col("batch") == batch)
+        part = parts.filter(F.col("batch") == batch)
         if batch:
             open_flows = rounds[-1].filter(F.col("hello").isNull())
             open_flows = durable(continuing(open_flows, index.filter(F.col("batch") >= batch)))
             if open_flows.isEmpty():
                 break
             part = part.join(open_flows.select(*FLOW_ID), FLOW_ID, "left_semi")
-        segments = _without_state(part.join(payloads, ["capture_id", "pkt_no"]))
+        segments = _without_state(part)
         if batch:
             segments = segments.select(*SEGMENT_COLUMNS).unionByName(_state_rows(open_flows))
         found = _per_flow(segments, _Search)

@@ -226,6 +226,9 @@ recount as (
     cast(sum(wirelen) as bigint) as bytes_wire_total,
     cast(coalesce(sum(wirelen) filter (src_is_lo), 0) as bigint) as bytes_wire_lo,
     cast(coalesce(sum(wirelen) filter (not src_is_lo), 0) as bigint) as bytes_wire_hi,
+    cast(sum(caplen) as bigint) as bytes_cap_total,
+    cast(coalesce(sum(caplen) filter (src_is_lo), 0) as bigint) as bytes_cap_lo,
+    cast(coalesce(sum(caplen) filter (not src_is_lo), 0) as bigint) as bytes_cap_hi,
     arg_min(ts_ns, pkt_no) as first_ts_ns, arg_max(ts_ns, pkt_no) as last_ts_ns,
     count(*) filter (proto = 6 and syn) as tcp_syn_total,
     count(*) filter (proto = 6 and src_is_lo and syn and not ack) as tcp_syn_lo,
@@ -325,6 +328,35 @@ from events""",
         """select dataset, label, count(*) as rows
 from features, (values ('dataset_flow_only'), ('dataset_flow_plus_ja4'), ('report_view')) d(dataset) group by all""",
     ),
+    "datasets_manifest": _from(
+        METERED + DIGESTED,
+        f"""select output, case output when 'validation_sample' then (select count(*) from ({_sample()}))
+    when 'feature_schema' then 1 else (select count(*) from flows) end as rows, columns
+from (values ('dataset_flow_only', 26), ('dataset_flow_plus_ja4', 33), ('report_view', 27), ('feature_schema', 1),
+  ('validation_sample', {len(schema.BUILDER_COLUMNS)})) o(output, columns)""",
+    ),
+    "schema_document": _from(
+        METERED,
+        "select list, cast(place as integer) as place, name, (select count(*) from flows) as values from (values "
+        + ", ".join(
+            f"('{key}', {i}, '{c}')"
+            for key, columns in (
+                ("flow_only_features", schema.FLOW_ONLY_COLUMNS),
+                ("flow_plus_ja4_features", schema.FLOW_PLUS_COLUMNS),
+                ("report_fields", [*schema.REPORT_COLUMNS, "label"]),
+            )
+            for i, c in enumerate(columns)
+        )
+        + ") t(list, place, name)",
+    ),
+    "sample_written": _from(
+        METERED + DIGESTED,
+        "select * replace (" + ", ".join(f"cast({c} as bigint) as {c}" for c in schema.BUILDER_NUMBERS if c != "avg_wirelen_total") + f") from ({_sample()})",
+    ),
+    "column_names": _from(
+        METERED,
+        "select proto, " + ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in schema.COUNTERS + schema.TCP_COUNTS) + " from flows group by proto",
+    ),
     "packet_table": _from(
         PACKETS, "select capture_id, proto, count(*) as packets, cast(sum(wirelen) as bigint) as bytes_wire from pk group by all"
     ),
@@ -356,6 +388,31 @@ from flows where open_pkt % 10 < 6""",
         f"""select {TUPLE}, packets_total as flow_packets, packets_total as seen_packets,
   bytes_wire_total as flow_bytes, bytes_wire_total as seen_bytes, duration_ms as seen_duration_ms, '' as differing
 from recount""",
+    ),
+    "reconcile_damaged": _from(
+        METERED + DAMAGED + RECOUNT + """,
+summed as (
+  select capture_id, case when side then client_ip else server_ip end as lo_ip, case when side then client_port else server_port end as lo_port,
+    case when side then server_ip else client_ip end as hi_ip, case when side then server_port else client_port end as hi_port, proto,
+    cast(sum(packets_total) as bigint) as packets, cast(sum(bytes_wire_total) as bigint) as wire, cast(sum(bytes_cap_total) as bigint) as cap,
+    sum(case when side then bytes_wire_c2s else bytes_wire_s2c end) as wire_lo, sum(case when side then bytes_wire_s2c else bytes_wire_c2s end) as wire_hi,
+    sum(case when side then bytes_cap_c2s else bytes_cap_s2c end) as cap_lo, sum(case when side then bytes_cap_s2c else bytes_cap_c2s end) as cap_hi
+  from (select *, client_ip < server_ip or (client_ip = server_ip and client_port <= server_port) as side from damaged) group by all)""",
+        f"""select * from (
+  select {TUPLE}, s.packets as flow_packets, r.packets_total as seen_packets, s.wire as flow_bytes, r.bytes_wire_total as seen_bytes,
+    r.duration_ms as seen_duration_ms, array_to_string(list_filter([
+      case when s.packets <> r.packets_total then 'packets_total' end,
+      case when s.wire_lo <> r.bytes_wire_lo then 'bytes_wire_lo' end, case when s.wire_hi <> r.bytes_wire_hi then 'bytes_wire_hi' end,
+      case when s.cap_lo <> r.bytes_cap_lo then 'bytes_cap_lo' end, case when s.cap_hi <> r.bytes_cap_hi then 'bytes_cap_hi' end],
+      lambda x: x is not null), ';') as differing
+  from summed s join recount r using ({TUPLE})) where differing <> ''""",
+    ),
+    "hello_recount": _from(
+        HELLOS + HELLO_ROWS,
+        """select client_ip as lo_ip, client_port as lo_port, cast(c_custkey % 11 <> 0 as bigint) as hello_records_lo,
+  cast(0 as bigint) as hello_records_hi, tcp_syn_c2s as tcp_syn_lo, tcp_synack_s2c as tcp_synack_hi,
+  bytes_cap_c2s as bytes_cap_lo, bytes_cap_s2c as bytes_cap_hi
+from rows_ join hellos on open_pkt = c_custkey * 16""",
     ),
     "endpoint_packets": _from(
         PACKETS,
@@ -416,6 +473,9 @@ from (select c_custkey, c_name || '|' || c_mktsegment || '|0123456789' as line f
   legacy_version, cipher_suites, extensions, has_sni, alpn
 from rows_ join hellos on open_pkt = c_custkey * 16""",
     ),
+    "hellos_in_rounds": _from(
+        HELLOS, "select c_custkey * 16 as open_pkt, legacy_version, cipher_suites, extensions, has_sni, alpn from hellos where ok"
+    ),
     "streamed_hellos": STREAMED,
     "resumed_hellos": STREAMED,
     "flows_without_tls": _from(

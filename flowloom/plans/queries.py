@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -233,6 +234,22 @@ def reconcile(spark, sf_dir):
     return checks.reconcile(meter_flows(packets), packets)
 
 
+@query
+def reconcile_damaged(spark, sf_dir):
+    """Conversations in which a damaged flow table and the packets differ, and where."""
+    packets = fx.event_packets(spark, sf_dir)
+    damaged = _damaged(export.with_hello_columns(meter_flows(packets)))
+    return checks.reconcile(damaged, packets).filter("differing <> ''")
+
+
+@query
+def hello_recount(spark, sf_dir):
+    """Packets in which a ClientHello begins, SYN and SYN-ACK packets and captured bytes of each conversation."""
+    counted = checks.tuple_recount(fx.customer_conversations(spark, sf_dir))
+    names = ["lo_ip", "lo_port", "hello_records_lo", "hello_records_hi", "tcp_syn_lo", "tcp_synack_hi", "bytes_cap_lo", "bytes_cap_hi"]
+    return counted.select(*names)
+
+
 @query
 def endpoint_packets(spark, sf_dir):
     """Packets between one client and its server, by direction."""
@@ -343,6 +360,57 @@ def datasets_written(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _published(spark, sf_dir) -> dict[str, DataFrame]:
+    """Two versions of the outputs, of which the first has half of the flows; the second is read."""
+    rows, folder = durable(_rows(spark, sf_dir)), scratch_folder(spark, "published")
+    for part in (rows.filter("open_pkt % 2 = 0"), rows):
+        tables.publish(datasets.build_datasets(_labelled(part), "is_anomalous", hold=True), part, folder)
+    return tables.published(spark, folder)
+
+
+@query
+def datasets_manifest(spark, sf_dir):
+    """Rows and columns of every output of the newest version."""
+    parts = []
+    for name, rows in _published(spark, sf_dir).items():
+        parts.append(rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("output"), "rows", F.lit(len(rows.columns)).alias("columns")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def schema_document(spark, sf_dir):
+    """Columns that the description names, as it is read back, and how many of each dataset's values are set."""
+    outputs = _published(spark, sf_dir)
+    kinds = ", ".join(f"{k}: array<string>" for k in ("flow_only_features", "flow_plus_ja4_features", "report_fields"))
+    told = outputs[tables.SCHEMA_NAME].select(F.from_json("value", f"struct<{kinds}>").alias("told"))
+    parts = []
+    for key, name in zip(("flow_only_features", "flow_plus_ja4_features", "report_fields"), tables.DATASET_NAMES):
+        rows = outputs[name]
+        counted = rows.agg(*[F.count(c).alias(c) for c in rows.columns])
+        long_ = counted.select(F.explode(F.create_map(*[x for c in rows.columns for x in (F.lit(c), F.col(c))])).alias("name", "values"))
+        named = told.select(F.posexplode(f"told.{key}").alias("place", "name"))
+        parts.append(named.join(long_, "name").select(F.lit(key).alias("list"), "place", "name", "values"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def sample_written(spark, sf_dir):
+    """The validation sample as it is read back from its file."""
+    sample = _published(spark, sf_dir)[tables.SAMPLE_NAME]
+    kinds = {c: "double" if c == "avg_wirelen_total" else "long" for c in schema.BUILDER_NUMBERS}
+    return sample.select(*[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in schema.BUILDER_COLUMNS])
+
+
+@query
+def column_names(spark, sf_dir):
+    """Sums over flow rows whose column names came with blanks and byte-order marks."""
+    rows = _rows(spark, sf_dir)
+    odd = [["\ufeff" + c, f" {c} ", c + "\t", c][i % 4] for i, c in enumerate(rows.columns)]
+    read = datasets.normalize_columns(rows.toDF(*odd))
+    datasets.require_columns(read)
+    return read.groupBy("proto").agg(*[F.sum(c).cast("long").alias(c) for c in schema.COUNTERS + schema.TCP_COUNTS])
+
+
 @query
 def packet_table(spark, sf_dir):
     folder = scratch_folder(spark, "packets")
@@ -446,6 +514,13 @@ def flow_hellos(spark, sf_dir):
     return flows.select(*columns, hello.hello_flag(), *_hello_text(F.col("hello")))
 
 
+@query
+def hellos_in_rounds(spark, sf_dir):
+    """The hellos once more, a few bytes of each stream a round."""
+    hellos = hello.first_hellos(fx.customer_conversations(spark, sf_dir), sizes=(16, 32))
+    return hellos.select("open_pkt", *_hello_text(F.col("hello")))
+
+
 @query
 def flows_without_tls(spark, sf_dir):
     flows = hello.flow_table(fx.customer_conversations(spark, sf_dir), with_tls=False)

@@ -164,3 +164,42 @@ def test_shapes_and_shares(spark):
     assert {r[0]: (r[1], r[2]) for r in datasets.dataset_shapes(built).collect()} == {
         "flow_only": (2, 25), "flow_plus_ja4": (2, 32), "report_view": (2, 26),
     }
+
+
+def test_outputs_appear_together(spark, tmp_path, monkeypatch):
+    rows = flow_rows(spark)
+    built, out = datasets.build_datasets(rows), str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        tables.published(spark, out)
+    tables.publish(built, rows, out, fmt="csv")
+    first = {n: d.collect() for n, d in tables.published(spark, out).items()}
+    assert len(first["dataset_flow_only"]) == rows.count()
+    assert json.loads(first["feature_schema"][0]["value"]) == datasets.feature_schema(False)
+
+    def stopped(*_, **__):
+        raise OSError("no more room")
+
+    half = rows.limit(1)
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "write_sample", stopped)
+        with pytest.raises(OSError):
+            tables.publish(datasets.build_datasets(half), half, out)
+    assert {n: d.collect() for n, d in tables.published(spark, out).items()} == first
+    tables.publish(datasets.build_datasets(half), half, out)
+    assert tables.published(spark, out)["report_view"].count() == 1
+
+
+def test_sample_is_that_of_a_sort(spark):
+    """Many equal digests, small batches and strata of all sizes, against sorting each stratum."""
+    rows = flow_rows(spark)
+    many = rows.crossJoin(spark.range(40).withColumnRenamed("id", "n")).withColumn("packets_total", F.col("packets_total") + F.col("n") % 7).drop("n")
+    sizes = {"tcp_plain": 5, "tcp_hello": 3, "udp": 10_000, "reset_or_fin": 1}
+    got = checks.stratified_sample(many.repartition(5), sizes=sizes)
+    columns = [c for c in BUILDER_COLUMNS if c != "avg_wirelen_total"]
+    digest = F.md5(F.concat_ws("|", F.lit("42"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+    want = set()
+    for name, k in sizes.items():
+        own = many.filter(checks.strata()[name]).withColumn("digest", digest).orderBy("digest", *BUILDER_COLUMNS).limit(k).select(*BUILDER_COLUMNS).collect()
+        want |= set(own) if len(own) == k else set()
+    want |= set(many.orderBy(F.desc("packets_total"), *BUILDER_COLUMNS).limit(2).select(*BUILDER_COLUMNS).collect())
+    assert set(got.collect()) == want and "Window" not in got._jdf.queryExecution().toString()

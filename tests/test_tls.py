@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import hexfmt, tls
 from flowloom.functions.reassembly import ClientStream
+from flowloom.operators import checks
 from flowloom.operators import hello as hello_ops
 from flowloom.operators.hello import client_streams, first_hellos, flow_table
 
@@ -283,3 +284,38 @@ def test_empty_records_count_from_the_first():
             assert got == rescan(stream[:at])
             if got is not None:
                 break
+
+
+def walked(payload):
+    """The rule of ``begins_hello``, record by record."""
+    at = 0
+    while at + 6 <= len(payload):
+        if payload[at : at + 2] == b"\x16\x03" and payload[at + 5] == 1:
+            return payload[:2] == b"\x16\x03"
+        at += 5 + int.from_bytes(payload[at + 3 : at + 5], "big")
+    return False
+
+
+def test_hello_records_of_payloads(spark):
+    rng = random.Random(12)
+    payloads = [HELLO, HELLO[:5], HELLO[:6], b"", None, b"x" + HELLO, record(b"\x02ab") + HELLO, record(b"") + HELLO, b"\x17\x03\x03\x00\x01a" + HELLO]
+    for _ in range(300):
+        parts = [record(bytes([rng.choice([0, 1, 1, 2])]) * rng.randrange(4)), record(b""), rng.randbytes(rng.randrange(9)), HELLO]
+        data = b"".join(rng.choices(parts, k=rng.randrange(1, 6)))
+        payloads.append(data[: rng.randrange(len(data) + 1)])
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "i int, payload binary")
+    got = {r.i: r.found for r in df.select("i", checks.begins_hello(F.col("payload")).alias("found")).collect()}
+    assert [got[i] for i in range(len(payloads))] == [walked(p or b"") for p in payloads]
+    assert 20 < sum(got.values()) < 300
+
+
+def test_only_payloads_of_asked_conversations_are_joined(spark, sf_dir):
+    from flowloom.plans.fixtures import customer_conversations
+
+    packets = customer_conversations(spark, sf_dir)
+    own = packets.filter("pkt_no < 160 and payload_len > 0")
+    index = hello_ops.payload_index(own, hello_ops.ACTIVE_TIMEOUT_NS, None)
+    some = hello_ops.eligible_payloads(packets, index, 10)
+    wanted = {r.pkt_no for r in packets.filter("payload_len > 0 and pkt_no < 160").collect()}
+    found = {r.pkt_no for r in some.collect()}
+    assert wanted <= found and len(found) < len(wanted) + 20
