@@ -30,103 +30,115 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.inputs import columns, written
-from flowloom.llm.tokens import Numbered
+from flowloom.llm.tokens import Numbered, text_bytes
 from flowloom.session import ship_package
 
 WORDS = 4
 OVERLAP = WORDS - 1
-TRIGGER = 8
+TRIGGER = 32
 GATHER_BYTES = 8 << 20
+GATHER_WORDS = 1 << 21
 MOST_BITS = 1 << 28
 # Fixed rule: A-Z lower-cased, tab to blank, what ends a piece to a full stop.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b for b in range(256))
 BREAK = b"."
-
-
-def split_words(raw: bytes) -> list[bytes]:
-    """Words of a folded text; full stops stand where a piece ends."""
-    return raw.replace(b".", b" . ").split()
+DICTIONARY = "lang string, chunk string, goes_on boolean, frequency long, hashes binary"
 
 
 class Words:
-    """Words of one batch by number; number 0 is the end of a piece."""
+    """Words of one batch by number; number 0 is the full stop, which ends a piece."""
 
-    def __init__(self, raw: bytes, salt: int = 0) -> None:
-        self.words = split_words(raw)
+    def __init__(self, words: list[bytes]) -> None:
+        self.words = words
         known = Numbered()
         known[BREAK] = 0
-        self.number = np.fromiter(map(known.__getitem__, self.words), np.int64, len(self.words))
-        hashed = np.fromiter((xxhash.xxh3_64_intdigest(w, salt) for w in known), np.uint64, len(known))
-        self.hash = hashed[self.number]
-        self.distinct = len(known)
-        breaks = np.cumsum(self.number == 0)
-        # Words from here to the end of the piece, this one included.
-        ends = np.append(np.flatnonzero(self.number == 0), len(self.number))
-        self.left = ends[breaks] - np.arange(len(self.number))
-        self.left[self.number == 0] = 0
+        self.number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.known = list(known)
+
+    def hash(self) -> np.ndarray:
+        """32 bits of each word."""
+        return np.fromiter((xxhash.xxh32_intdigest(w) for w in self.known), np.uint32, len(self.known))[self.number]
+
+
+def left_in_piece(stops: np.ndarray) -> np.ndarray:
+    """For each place, the words from it to the end of its piece, itself included; 0 at a stop."""
+    ends = np.append(np.flatnonzero(stops), len(stops))
+    return ends[np.cumsum(stops) - stops] - np.arange(len(stops))
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of pairs, order counting."""
     x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
 def chunk_bounds(words: Words, trigger: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end (overlap included) of each chunk, and whether it has an overlap."""
-    count = len(words.number)
-    real = words.number > 0
+    count, stops = len(words.number), words.number == 0
+    left, hashed = left_in_piece(stops), words.hash().astype(np.uint64)
     cut = np.zeros(count, bool)
-    window = np.flatnonzero(words.left >= OVERLAP)
-    shape = words.hash[window]
+    window = np.flatnonzero(left >= OVERLAP)
+    shape = hashed[window]
     for j in range(1, OVERLAP):
-        shape = mixed(shape, words.hash[window + j])
+        shape = mixed(shape, hashed[window + j])
     cut[window] = shape % np.uint64(trigger) == 0
-    first = real & np.concatenate([[True], ~real[:-1]]) if count else real
-    begin = np.flatnonzero(real & (first | cut))
+    first = np.concatenate([[True], stops[:-1]]) if count else stops
+    begin = np.flatnonzero(~stops & (first | cut))
     after = np.append(begin[1:], count)
     goes_on = np.zeros(len(begin), bool)
     goes_on[:-1] = ~first[begin[1:]]
-    end = np.where(goes_on, after + OVERLAP, begin + words.left[begin])
-    return begin, end, goes_on
+    return begin, np.where(goes_on, after + OVERLAP, begin + left[begin]), goes_on
 
 
 def parse(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", trigger: int = TRIGGER) -> DataFrame:
-    """The dictionary (lang, chunk, goes_on, frequency), written: distinct chunks of all documents."""
+    """The dictionary, written: distinct chunks of all documents with their frequencies.
+
+    A chunk is its words with a blank behind each, and a full stop. ``hashes`` has 32 bits of each word.
+    """
     ship_package(docs.sparkSession)
     narrow = columns(docs, text=text_col, lang=lang_col)
     narrow = narrow.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    def chunks(counts: Counter, lang: str, texts: list[bytes]) -> None:
-        words = Words(BREAK.join(texts).translate(_FOLD))
-        own, join = words.words, b" ".join
-        for a, b, on in zip(*[x.tolist() for x in chunk_bounds(words, trigger)]):
-            counts[lang, join(own[a:b]), on] += 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
 
-        def flush() -> pa.RecordBatch:
-            counts = Counter()
+        def flush() -> Iterator[pa.RecordBatch]:
             for lang, texts in held.items():
-                chunks(counts, lang, texts)
-            langs, chunk, on = zip(*counts) if counts else ((), (), ())
-            arrays = [pa.array(langs, pa.string()), pa.array(chunk, pa.binary()).cast(pa.string()), pa.array(on, pa.bool_()), pa.array(list(counts.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "chunk", "goes_on", "frequency"])
+                words = Words(BREAK.join(texts).translate(_FOLD).replace(BREAK, b" . ").split())
+                own, join = words.words, b" ".join
+                begin, end, goes_on = chunk_bounds(words, trigger)
+                for on in (False, True):
+                    counts = Counter(join(own[a:b]) for a, b in zip(begin[goes_on == on].tolist(), end[goes_on == on].tolist()))
+                    chunk = pa.array(counts.keys(), pa.binary()).cast(pa.string())
+                    arrays = [pa.array([lang] * len(counts), pa.string()), chunk, pa.array(np.full(len(counts), on)), pa.array(counts.values(), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["lang", "chunk", "goes_on", "frequency"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 held.setdefault(lang, []).append(raw := text.encode())
                 size += len(raw)
                 if size > GATHER_BYTES:
-                    yield flush()
+                    yield from flush()
                     held, size = {}, 0
-        yield flush()
+        yield from flush()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = Words(_raw(batch.column("chunk")).split())
+            stops = words.number == 0
+            ends = np.concatenate([[0], 4 * np.cumsum(~stops)[stops]]).astype(np.int32)
+            hashes = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(words.hash()[~stops].tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns, hashes], [*batch.schema.names, "hashes"])
 
     parts = narrow.mapInArrow(run, "lang string, chunk string, goes_on boolean, frequency long")
-    return written(parts.groupBy("lang", "chunk", "goes_on").agg(F.sum("frequency").alias("frequency")), "chunks")
+    parts = parts.groupBy("lang", "chunk", "goes_on").agg(F.sum("frequency").alias("frequency"))
+    return written(parts.withColumn("chunk", F.concat("chunk", F.lit(" . "))).select("lang", "chunk", "goes_on", "frequency").mapInArrow(hashed, DICTIONARY), "chunks")
+
+
+def _raw(array: pa.Array) -> bytes:
+    """All strings of an array, one behind the other."""
+    return text_bytes(array)[0].tobytes()
 
 
 class Bitmap:
@@ -151,53 +163,66 @@ def bitmap(hashes: DataFrame) -> Bitmap:
     return Bitmap(out.ravel())
 
 
-def runs(words: Words, goes_on: np.ndarray, frequent: list[Bitmap], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and hash of the runs of ``length`` words whose shorter runs pass, those in the overlap left out."""
-    piece = np.cumsum(words.number == 0)
-    own = words.left > np.where(goes_on[piece], OVERLAP, 0)
-    at = np.flatnonzero(own & (words.left >= length))
-    hashed = words.hash[at]
-    for n in range(1, length):
-        if n <= len(frequent):
-            passes = frequent[n - 1].has(hashed)
+class Chunks:
+    """Rows of the dictionary as one array of words: hash of each, row, and whether a run may begin there."""
+
+    def __init__(self, batches: list[pa.RecordBatch]) -> None:
+        table = pa.Table.from_batches(batches)
+        self.table = table
+        binary = table.column("hashes").combine_chunks()
+        bounds = np.frombuffer(binary.buffers()[1], np.int32, len(binary) + 1, 4 * binary.offset)
+        words = np.frombuffer(binary.buffers()[2], np.uint32, (bounds[-1] - bounds[0]) // 4, bounds[0])
+        size = np.diff(bounds) // 4
+        langs = table.column("lang").combine_chunks().dictionary_encode()
+        self.langs, self.lang = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+        salt = np.array([xxhash.xxh3_64_intdigest(lang) for lang in self.langs], np.uint64)
+        self.row = np.repeat(np.arange(len(size)), size)
+        self.hash = mixed(np.repeat(salt[self.lang], size), words.astype(np.uint64))
+        ends = np.cumsum(size)
+        self.left = ends[self.row] - np.arange(len(words))
+        on = table.column("goes_on").to_numpy()
+        # Runs that begin in the overlap are the next chunk's.
+        self.own = self.left > np.where(on, OVERLAP, 0)[self.row]
+        self.weight = table.column("frequency").to_numpy()[self.row]
+
+    def runs(self, frequent: list[Bitmap], length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and hash of the runs of ``length`` words whose shorter runs pass, as far as these are known."""
+        at = np.flatnonzero(self.own & (self.left >= length))
+        hashed = self.hash[at]
+        for n in range(1, length):
+            if n <= len(frequent):
+                passes = frequent[n - 1].has(hashed)
+                at, hashed = at[passes], hashed[passes]
+            hashed = mixed(hashed, self.hash[at + n])
+        if 1 < length <= len(frequent) + 1:
+            # The run without its first word.
+            tail = self.hash[at + 1]
+            for n in range(2, length):
+                tail = mixed(tail, self.hash[at + n])
+            passes = frequent[length - 2].has(tail)
             at, hashed = at[passes], hashed[passes]
-        hashed = mixed(hashed, words.hash[at + n])
-    if len(frequent) >= length - 1 > 0:
-        # The run without its first word.
-        tail = words.hash[at + 1]
-        for n in range(2, length):
-            tail = mixed(tail, words.hash[at + n])
-        passes = frequent[length - 2].has(tail)
-        at, hashed = at[passes], hashed[passes]
-    return at, hashed
+        return at, hashed
 
 
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, where each occurs first, and the sums of their weights."""
-    order = np.argsort(keys, kind="stable")
+    """Distinct keys, a place of each, and the sums of their weights."""
+    order = np.argsort(keys)
     keys = keys[order]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[begin], order[begin], np.add.reduceat(weights[order], begin) if len(begin) else weights[:0]
 
 
-def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words, np.ndarray, np.ndarray]]:
-    """Words, overlap marks and frequencies of the chunks of one language, some MB at a time."""
-    held, size = {}, 0
-
-    def flush():
-        for lang, (chunks, on, frequency) in held.items():
-            yield lang, Words(BREAK.join(chunks), xxhash.xxh3_64_intdigest(lang)), np.array(on, bool), np.array(frequency, np.int64)
-
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunks]:
+    """Chunks with some million words at a time."""
+    held, size = [], 0
     for batch in batches:
-        for lang, chunk, on, frequency in zip(*[batch.column(c).to_pylist() for c in ("lang", "chunk", "goes_on", "frequency")]):
-            own = held.setdefault(lang, ([], [], []))
-            for part, value in zip(own, (raw := chunk.encode(), on, frequency)):
-                part.append(value)
-            size += len(raw)
-        if size > GATHER_BYTES:
-            yield from flush()
-            held, size = {}, 0
-    yield from flush()
+        held.append(batch)
+        size += batch.column("hashes").nbytes // 4
+        if size > GATHER_WORDS:
+            yield Chunks(held)
+            held, size = [], 0
+    if held:
+        yield Chunks(held)
 
 
 def hash_counts(dictionary: DataFrame, frequent: list[Bitmap], length: int) -> DataFrame:
@@ -205,36 +230,52 @@ def hash_counts(dictionary: DataFrame, frequent: list[Bitmap], length: int) -> D
     spread = dictionary.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words, goes_on, frequency in _by_lang(batches):
-            at, hashed = runs(words, goes_on, spread.value, length)
-            keys, _, sums = _summed(hashed, frequency[np.cumsum(words.number == 0)[at]])
+        for chunks in _gathered(batches):
+            at, hashed = chunks.runs(spread.value, length)
+            keys, _, sums = _summed(hashed, chunks.weight[at])
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], ["h", "n"])
 
-    return dictionary.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    narrow = dictionary.select("lang", "goes_on", "frequency", "hashes")
+    return narrow.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(dictionary: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, words, f): the runs of one to four words that occur ``least`` times or more, written."""
     frequent: list[Bitmap] = []
-    for length in range(1, WORDS + 1):
+    for length in range(1, WORDS):
         reached = written(hash_counts(dictionary, frequent, length).where(F.col("n") >= least).select("h"), "frequent-runs")
         frequent.append(bitmap(reached))
     spread = dictionary.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, goes_on, frequency in _by_lang(batches):
-            weight = frequency[np.cumsum(words.number == 0)]
-            number, own, join = np.zeros(len(words.number), np.int64), words.words, b" ".join
+        for chunks in _gathered(batches):
+            words = Words(_raw(chunks.table.column("chunk").combine_chunks()).split())
+            real = np.flatnonzero(words.number)
+            exact_word, own, join, many = words.number[real], words.words, b" ".join, len(words.known)
+            # Numbered exactly: a word by its language and itself, a longer run by that without its last word, and this one.
+            number = chunks.lang[chunks.row].astype(np.int64) * many + exact_word
             for length in range(1, WORDS + 1):
-                at, hashed = runs(words, goes_on, spread.value, length)
-                # Numbered exactly: a run is its number without the last word, and that word.
-                at = at[spread.value[length - 1].has(hashed) & (number[at] >= 0)]
-                exact = number[at] * words.distinct + words.number[at + length - 1]
-                keys, first, sums = _summed(exact, weight[at])
-                number[:] = -1
-                number[at] = np.searchsorted(keys, exact)
-                phrases = pa.array([join(own[i : i + length]) for i in at[first].tolist()], pa.binary()).cast(pa.string())
-                arrays = [pa.array([lang] * len(keys), pa.string()), phrases, pa.array(np.full(len(keys), length, np.int32)), pa.array(sums)]
+                at, hashed = chunks.runs(spread.value, length)
+                passes = number[at] >= 0
+                if length <= len(spread.value):
+                    passes &= spread.value[length - 1].has(hashed)
+                at = at[passes]
+                if length == 1:
+                    sums = np.bincount(number[at], chunks.weight[at], len(chunks.langs) * many)
+                    keys = np.flatnonzero(sums)
+                    sums, lang = sums[keys].astype(np.int64), keys // many
+                    phrases = [words.known[i] for i in (keys % many).tolist()]
+                    passing = np.full(len(number), -1)
+                    passing[at] = number[at]
+                else:
+                    exact = number[at] * many + exact_word[at + length - 1]
+                    keys, place, sums = _summed(exact, chunks.weight[at])
+                    phrases = [join(own[i : i + length]) for i in real[at[place]].tolist()]
+                    lang, passing = chunks.lang[chunks.row[at[place]]], np.full(len(number), -1)
+                    passing[at] = np.searchsorted(keys, exact)
+                number = passing
+                langs = pa.array(chunks.langs).take(pa.array(lang))
+                arrays = [langs, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(keys), length, np.int32)), pa.array(sums)]
                 yield pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "words", "f"])
 
     parts = dictionary.mapInArrow(run, "lang string, phrase string, words int, f long")
@@ -264,7 +305,7 @@ def mine(
     """
     dictionary = parse(docs, text_col=text_col, lang_col=lang_col, trigger=trigger)
     counts = phrase_counts(dictionary, least)
-    in_chunk = F.size(F.split("chunk", " ")) - F.when(F.col("goes_on"), OVERLAP).otherwise(0)
+    in_chunk = F.expr("length(hashes) div 4") - F.when(F.col("goes_on"), OVERLAP).otherwise(0)
     totals = dictionary.groupBy("lang").agg(F.sum(in_chunk * F.col("frequency")).alias("n"))
     long_ = counts.where("words > 1").withColumn("w", F.split("phrase", " "))
 
