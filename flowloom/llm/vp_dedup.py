@@ -8,6 +8,9 @@ meets in the leaf where one of the two lives. A leaf is searched by a vantage-po
 and gives back links that span its classes, not all pairs; the classes of all leaves are
 joined as connected components. Leaves with many points are cut into blocks of bounded size.
 
+``near_duplicates`` links fingerprints, exactly. ``similar_groups`` and ``keep_one`` group texts by the Jaccard similarity of
+their shingles: trees over short fingerprints give candidates, and the exact similarity of these decides.
+
 The outer tree is fitted on a bounded sample of fingerprints: it decides only where points meet.
 
 Cases: a null text is an empty one; texts without words have fingerprint 0 and link like any other;
@@ -22,16 +25,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.graph import components
-from flowloom.llm.inputs import in_slices, task_count, texts, written
+from flowloom.llm.inputs import in_slices, task_count, texts, tidied, written
 
 LEAF_POINTS = 16_384
 SAMPLE_PER_LEAF = 64
 MOST_LEAVES = 1 << 12
 BRUTE_POINTS = 512
+# Points of a leaf of the stage's short fingerprints: the deeper the tree, the more guests.
+STAGE_POINTS = 1 << 19
+# Rows of one point that are compared pair by pair.
+CROWD = 64
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -70,7 +77,7 @@ def fingerprints(docs: DataFrame, *, size: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(points.view(np.int64))], ["doc_id", "point"])
 
     narrow = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return narrow.mapInArrow(each, "doc_id long, point long")
+    return narrow.mapInArrow(tidied(each), "doc_id long, point long")
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -207,11 +214,8 @@ def leaf_rows(points: DataFrame, radius: int, *, leaf_points: int = LEAF_POINTS)
     return spread_rows.withColumn("cell", F.explode(cells)).select("view", "leaf", "cell.i", "cell.j", "cell.home", "cell.other", *carried)
 
 
-def links(points: DataFrame, radius: int, *, sketch_bits: int = 0, sketch_radius: int = 0, leaf_points: int = LEAF_POINTS) -> DataFrame:
-    """Edges (a, b) between nodes, enough to join all points within ``radius`` into one class.
-
-    With sketches, a pair also needs sketches that differ in at most ``sketch_radius`` bits.
-    """
+def links(points: DataFrame, radius: int, *, leaf_points: int = LEAF_POINTS) -> DataFrame:
+    """Edges (a, b) between nodes, enough to join all points within ``radius`` into one class."""
     rows = leaf_rows(points, radius, leaf_points=leaf_points)
 
     def search(key: tuple, group: pa.Table) -> pa.Table:
@@ -219,17 +223,7 @@ def links(points: DataFrame, radius: int, *, sketch_bits: int = 0, sketch_radius
         spots = group.column("point").to_numpy().view(np.uint64)
         home, other = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in ("home", "other"))
         classes = Classes(len(node))
-        sketch = None
-        if sketch_bits:
-            sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), sketch_bits // 64)
-
-        def found(a: np.ndarray, b: np.ndarray) -> None:
-            if sketch is not None and len(a):
-                near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1) <= sketch_radius
-                a, b = a[near], b[near]
-            classes.link(a, b)
-
-        close_pairs(spots, home, other, radius, found)
+        close_pairs(spots, home, other, radius, classes.link)
         moved = np.flatnonzero(classes.root != np.arange(len(node)))
         pairs = np.unique(np.stack([node[moved], node[classes.root[moved]]], 1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
@@ -241,11 +235,13 @@ def links(points: DataFrame, radius: int, *, sketch_bits: int = 0, sketch_radius
 def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", leaf_points: int = LEAF_POINTS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row."""
     prints = written(fingerprints(docs, size=size, id_col=id_col, text_col=text_col), "simhash")
-    points = prints.groupBy("point").agg(F.min("doc_id").alias("node"))
-    points = written(points, "simhash-points")
-    linked = links(points.where("node is not null").withColumn("view", F.lit(0)), radius, leaf_points=leaf_points)
-    joined = components(linked, "simhash-links")
-    classes = points.join(joined, "node", "left").select("point", F.coalesce("component", "node").alias("component_id"))
+    # A fingerprint is its own node, so rows without an id link and bridge like any other.
+    points = written(prints.groupBy("point").agg(F.min("doc_id").alias("least")), "simhash-points")
+    nodes = points.select(F.lit(0).alias("view"), "point", F.col("point").alias("node"))
+    joined = components(links(nodes, radius, leaf_points=leaf_points), "simhash-links")
+    classes = points.join(joined, F.col("point") == F.col("node"), "left").select("point", "least", F.coalesce("component", "point").alias("class"))
+    named = classes.groupBy("class").agg(F.min("least").alias("component_id"))
+    classes = classes.join(named, "class").select("point", "component_id")
     found = prints.join(classes, "point")
     return found.select("doc_id", F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -268,48 +264,173 @@ def signature(text: str, size: int) -> bytes:
 
 
 def sketch_radius(similarity: float) -> int:
-    """Differing sketch bits that two texts of this Jaccard similarity stay below nearly always (1.5 deviations)."""
+    """Differing sketch bits that two texts of this Jaccard similarity stay below nearly always (3 deviations)."""
     cosine = 2 * similarity / (1 + similarity)
     share = np.arccos(cosine) / np.pi
-    return int(SKETCH_BITS * share + 1.5 * np.sqrt(SKETCH_BITS * share * (1 - share)))
+    return int(SKETCH_BITS * share + 3 * np.sqrt(SKETCH_BITS * share * (1 - share)))
+
+
+def covered(spots: np.ndarray, sketch: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of crowded points that a leader stands for, and their leaders.
+
+    Of a point with more than ``CROWD`` rows the first row leads all whose sketches are within ``bits`` of its own,
+    the first of the others leads on, and so forth.
+    """
+    order = np.argsort(spots, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], spots[order][1:] != spots[order][:-1]])) if len(order) else order
+    end = np.append(begin[1:], len(order))
+    rows, leaders = [], []
+    for a, b in zip(begin[end - begin > CROWD].tolist(), end[end - begin > CROWD].tolist()):
+        left = order[a:b]
+        while len(left) > 1:
+            led = np.bitwise_count(sketch[left[1:]] ^ sketch[left[0]]).sum(1) <= bits
+            rows.append(left[1:][led])
+            leaders.append(np.full(int(led.sum()), left[0]))
+            left = left[1:][~led]
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, leaders))
+
+
+def candidate_links(points: DataFrame, radius: int, sketch_radius: int, *, leaf_points: int) -> DataFrame:
+    """Candidate links (a, b), a < b: of each row of a leaf, its smallest and its nearest neighbour.
+
+    Neighbours are points within ``radius`` whose sketches differ in at most ``sketch_radius`` bits; the nearest
+    is that of the closest sketch. Rows of a crowded point that a leader stands for link to it. So a group of
+    any size gives a few links a row, not its pairs.
+    """
+
+    def search(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        node, spots = group.column("node").to_numpy(), group.column("point").to_numpy().view(np.uint64)
+        home, other = (group.column(c).to_numpy(zero_copy_only=False) for c in ("home", "other"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), SKETCH_BITS // 64)
+        rows, leaders = covered(spots, sketch, sketch_radius // 3)
+        alone = np.ones(len(node), bool)
+        alone[rows] = False
+        none = 1 << 60
+        # Rows are in order of node, so the smallest neighbour has the smallest position.
+        smallest, nearest = np.full(len(node), none), np.full(len(node), none)
+
+        def found(all_a: np.ndarray, all_b: np.ndarray) -> None:
+            for begin in range(0, len(all_a), 1 << 18):
+                a, b = all_a[begin : begin + (1 << 18)], all_b[begin : begin + (1 << 18)]
+                apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
+                on = (apart <= sketch_radius) & (node[a] != node[b])
+                a, b, apart = a[on], b[on], apart[on] << 40
+                for x, y in ((a, b), (b, a)):
+                    np.minimum.at(smallest, x, y)
+                    np.minimum.at(nearest, x, apart + y)
+
+        close_pairs(spots, np.flatnonzero(home & alone), np.flatnonzero(other & alone), radius, found)
+        own = np.flatnonzero(smallest < none)
+        at = np.concatenate([own, own, rows])
+        to = np.concatenate([smallest[own], nearest[own] & ((1 << 40) - 1), leaders])
+        on = node[at] != node[to]
+        low, high = np.minimum(node[at], node[to])[on], np.maximum(node[at], node[to])[on]
+        return pa.table({"a": low, "b": high})
+
+    rows = leaf_rows(points, radius, leaf_points=leaf_points)
+    dealt = rows.repartition(task_count(points.sparkSession), "view", "leaf", "i", "j")
+    return dealt.groupBy("view", "leaf", "i", "j").applyInArrow(search, "a long, b long").distinct()
+
 
+def text_key(text: Column) -> list[Column]:
+    """128 bits that tell texts apart; a null text is an empty one."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(whole).alias("key_1"), F.xxhash64(F.lit("second"), whole).alias("key_2")]
 
-def similar_groups(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", leaf_points: int = LEAF_POINTS) -> DataFrame:
-    """doc_id and component_id (the smallest id of the group) of each row with an id, groups by estimated similarity.
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the texts of ``nodes`` (node, least, key_1, key_2), written; ``docs`` is (doc_id, text)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "text"):
+            found = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    keyed = docs.select("doc_id", "text", *text_key(F.col("text"))).join(nodes, ["key_1", "key_2"])
+    # Of copies the one with the smallest id, of repeated rows any: they have one text.
+    one = keyed.where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.first("text").alias("text"))
+    return written(one.mapInArrow(each, "node long, shingles array<long>"), "shingle-sets")
+
+
+def verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose sets of shingles are similar enough; texts without words are all alike."""
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = shingle_sets(docs, written(nodes.join(ends, "node"), "similar-ends"), size)
+    both = candidates
+    for end in ("a", "b"):
+        both = both.join(sets.select(F.col("node").alias(end), F.col("shingles").alias("of_" + end)), end)
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    joint = F.size("of_a") + F.size("of_b") - shared
+    return written(both.where((joint == 0) | (shared >= similarity * joint)).select("a", "b"), "similar-links")
+
+
+def similar_texts(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, radius: int = 2, leaf_points: int = STAGE_POINTS) -> DataFrame:
+    """(key_1, key_2, class, least, rows) of each distinct text of ``docs`` (doc_id, text).
 
     At a similarity of 0.8 two 64-bit fingerprints differ in some ten bits, where no sphere prunes. So there are
-    ``VIEWS`` independent short fingerprints: two texts link if one view is within ``radius`` bits and
-    their sketches, which estimate the similarity, agree. Each view has a vantage-point tree of its own.
+    ``VIEWS`` independent short fingerprints, each with a vantage-point tree of its own, and two texts are candidates
+    if one view is within ``radius`` bits and their sketches agree. Candidates link if the exact Jaccard similarity
+    of their sets of shingles is high enough: first each text with its smallest neighbour, then
+    with the others where these are not in its class yet.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
-            signed = [signature(t, size) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed, pa.binary())], ["doc_id", "signature"])
+            signed = pa.array([signature(t, size) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "key_1", "key_2")], signed], ["doc_id", "key_1", "key_2", "signature"])
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, head = batch.num_rows, VIEWS * VIEW_BITS // 8
             raw = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, -1)
             points = np.ascontiguousarray(raw[:, :head]).view(">u4").astype(np.int64)
-            sketch = [s.tobytes() for s in raw[:, head:]]
-            node = batch.column("node")
+            sketch = pa.array([s.tobytes() for s in raw[:, head:]], pa.binary())
             for view in range(VIEWS):
-                arrays = [pa.array(np.full(n, view), pa.int32()), pa.array(points[:, view]), node, pa.array(sketch, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["view", "point", "node", "sketch"])
-
-    narrow = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
-    signed = written(narrow.mapInArrow(each, "doc_id long, signature binary"), "signatures")
-    nodes = written(signed.groupBy("signature").agg(F.min("doc_id").alias("node")), "signature-nodes")
-    points = nodes.mapInArrow(views, "view int, point long, node long, sketch binary")
-    linked = links(points, radius, sketch_bits=SKETCH_BITS, sketch_radius=sketch_radius(similarity), leaf_points=leaf_points)
-    joined = components(linked, "similar-links")
-    classes = nodes.join(joined, "node", "left").select("signature", F.coalesce("component", "node").alias("component_id"))
-    return signed.join(classes, "signature").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", leaf_points: int = LEAF_POINTS) -> DataFrame:
-    """The rows of ``docs`` less those of a group's other documents: the smallest id stays, and rows without an id."""
-    groups = similar_groups(docs, size=size, similarity=similarity, id_col=id_col, text_col=text_col, leaf_points=leaf_points)
-    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "similar-gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, view), pa.int32()), pa.array(points[:, view]), batch.column("node"), sketch], ["view", "point", "node", "sketch"])
+
+    keyed = docs.select("doc_id", "text", *text_key(F.col("text")))
+    signed = keyed.mapInArrow(tidied(each), "doc_id long, key_1 long, key_2 long, signature binary")
+    nodes = signed.groupBy("key_1", "key_2", "signature").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "signature-nodes")
+    points = written(nodes.select("node", "signature").mapInArrow(views, "view int, point long, node long, sketch binary"), "signature-points")
+    nodes = nodes.drop("signature")
+    found = written(candidate_links(points, radius, sketch_radius(similarity), leaf_points=leaf_points), "similar-candidates")
+    first = found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    sure = verified(first, docs, nodes, size, similarity)
+    joined = components(sure, "similar-classes")
+    more = found.join(first, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        own = joined.select(F.col("node").alias(end), F.col("component").alias("of_" + end))
+        more = more.join(own, end, "left").withColumn("of_" + end, F.coalesce("of_" + end, end))
+    more = written(more.where("of_a <> of_b").select("a", "b"), "similar-others")
+    if not more.isEmpty():
+        joined = components(sure.unionByName(verified(more, docs, nodes, size, similarity)), "similar-classes")
+    return nodes.join(joined, "node", "left").select("key_1", "key_2", F.coalesce("component", "node").alias("class"), "least", "rows")
+
+
+def similar_groups(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", leaf_points: int = STAGE_POINTS) -> DataFrame:
+    """doc_id and component_id of each row: the smallest id of its group that is not null, or null if there is none."""
+    narrow = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = written(similar_texts(narrow, size=size, similarity=similarity, radius=radius, leaf_points=leaf_points), "similar-texts")
+    named = found.join(found.groupBy("class").agg(F.min("least").alias("component_id")), "class").select("key_1", "key_2", "component_id")
+    return narrow.select("doc_id", *text_key(F.col("text"))).join(named, ["key_1", "key_2"]).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", leaf_points: int = STAGE_POINTS) -> DataFrame:
+    """The rows of ``docs`` less those of a group's other documents.
+
+    A document is an id and a text, so rows that share an id are told apart. Of a group the document with the
+    smallest id stays (an id that is null comes last, then the text's hash decides); rows that repeat
+    it, id and text alike, stay with it.
+    """
+    narrow = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = written(similar_texts(narrow, size=size, similarity=similarity, leaf_points=leaf_points), "similar-texts")
+    first = F.min(F.struct(F.col("least").isNull().alias("lost"), "least", "key_1", "key_2")).alias("first")
+    found = found.join(found.groupBy("class").agg(first, F.sum("rows").alias("of_class")), "class").where("of_class > 1")
+    wins = (F.col("key_1") == F.col("first.key_1")) & (F.col("key_2") == F.col("first.key_2"))
+    told = written(found.select(F.col("key_1").alias("_vp_1"), F.col("key_2").alias("_vp_2"), wins.alias("_vp_wins"), F.col("least").alias("_vp_least")), "similar-verdicts")
+    key_1, key_2 = text_key(F.col(f"`{text_col}`"))
+    judged = docs.join(told, (key_1 == F.col("_vp_1")) & (key_2 == F.col("_vp_2")), "left")
+    stays = F.col("_vp_wins") & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_vp_least"))
+    return judged.where(F.col("_vp_wins").isNull() | stays).select(*[docs[c] for c in docs.columns])

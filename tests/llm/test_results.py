@@ -136,6 +136,52 @@ def test_near_copies_of_a_stage_are_grouped(spark):
     assert all(groups[d] == near.get(d, d) for d, _ in rows)
 
 
+def shingle_set(text, size=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+@pytest.mark.parametrize("leaf_points", [64, 1 << 19])
+def test_groups_of_a_stage_follow_exact_similarity(spark, leaf_points, monkeypatch):
+    """Texts at all similarities: pairs of 0.8 or more are found, and each group hangs together by such pairs."""
+    monkeypatch.setattr(vp_dedup, "CROWD", 4)
+    rng = np.random.default_rng(8)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for d in range(80):
+        base = rng.choice(words, 250).tolist()
+        for copy in range(5 if d else 60):
+            text = list(base)
+            for at in rng.integers(0, 250, copy % 7):
+                text[at] = "new" + str(rng.integers(0, 9))
+            rows.append((1000 * d + copy, " ".join(text)))
+    found = {r.doc_id: r.component_id for r in vp_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), leaf_points=leaf_points).collect()}
+    sets, near, high = {d: shingle_set(t) for d, t in rows}, {d: d for d, _ in rows}, []
+    for a in sets:
+        for b in sets:
+            if a < b and a // 1000 == b // 1000 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                high.append((a, b))
+    while any(near[a] != near[b] for a, b in high):
+        for a, b in high:
+            near[a] = near[b] = min(near[a], near[b])
+    for d in found:
+        assert near[d] == near[found[d]]
+    assert len(high) > 500 and np.mean([found[a] == found[b] for a, b in high]) >= 0.97
+
+
+def test_dedup_tells_rows_of_one_id_apart(spark):
+    plain = "one two three four five six seven eight nine ten eleven twelve"
+    other = "a text that has nothing to do with the one above it at all, as anyone can see"
+    rows = [(1, plain), (2, plain), (2, other), (2, other), (None, plain), (None, "no id and no copy of anything in here"), (3, None), (4, "")]
+    kept = vp_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, [r for r in spark.createDataFrame([(1, plain), (2, other), (2, other), rows[5], (3, None)], "doc_id long, text string").collect()]))
+
+
+def test_fingerprints_without_an_id_link_too(spark):
+    texts = [(None, "same words here"), (4, "same words here"), (None, "alone among all of these")]
+    found = vp_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in found) == [("4", "4"), ("None", "4"), ("None", "None")]
+
+
 def test_quality_rules(spark, sf_dir, documents):
     found, word = result(spark, sf_dir, "op4_quality_rules"), re.compile(r"[^\x20\x09-\x0D]+")
     for doc, text in documents.items():
