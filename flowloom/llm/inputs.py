@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from flowloom.session import scratch_folder, ship_package
 
+BATCH_ROWS = 2048
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark."""
@@ -24,9 +27,17 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in wanted.items()])
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10,000, as each may be a long text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id`` and ``text`` with a null text read as empty."""
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
     narrow = columns(df, doc_id=id_col, text=text_col)
     return narrow.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
@@ -48,6 +59,27 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *at_end: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with a clean-up at the end of each task, so that an idle worker holds little memory.
+
+    Calls ``at_end``, then gives free memory back to the system.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for free in at_end:
+                free()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not this C library
+                pass
+
+    return each
+
+
 def task_count(spark: SparkSession) -> int:
     """Partitions for an exchange whose number is fixed by us."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.inputs import in_slices, texts, written
+from flowloom.llm.inputs import in_slices, texts, tidied, written
 from flowloom.llm.tokens import encoder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -71,7 +71,7 @@ def cut_pieces(
             yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, pa.int64()) for a in out], names)
 
     narrow = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return narrow.mapInArrow(cut, IDS_SCHEMA if with_ids else PIECE_SCHEMA)
+    return narrow.mapInArrow(tidied(cut, lambda: encoder(path).forget()), IDS_SCHEMA if with_ids else PIECE_SCHEMA)
 
 
 class _Sequences:

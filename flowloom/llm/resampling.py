@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.inputs import in_slices, texts, written
-from flowloom.llm.tokens import text_bytes
+from flowloom.llm.inputs import in_slices, texts, tidied, written
+from flowloom.llm.tokens import POWERS, text_bytes
 from flowloom.session import ship_package
 
 BUCKETS = 1 << 14
@@ -44,7 +44,7 @@ SMOOTHING, DEAD_ZONE = 0.05, 1.0
 QUANTILE, SLACK = 0.005, 5.0
 # Bad documents that a mark is in at least, the most marks tried (the most frequent), the least log-ratio of a
 # mark, standard errors, and the weight of marks that never holds a document back.
-LEAST_BAD, MOST_TRIED, LEAST_MARK, ERRORS, LEAST_HOLD = 5, 1 << 18, 1.0, 2.0, 2.0
+LEAST_BAD, LEAST_MARK, ERRORS, LEAST_HOLD = 5, 1.0, 2.0, 2.0
 # A run of so many tokens, each of them equal to the one two before, is one more n-gram.
 RUN = 8
 HELD_KEY = -(1 << 62)
@@ -53,7 +53,6 @@ SEED = 17
 # Fixed rule: 0 white space, 1 letters, digits and bytes of other scripts, 2 punctuation.
 _KIND = np.array([0 if b <= 32 else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.int8)
 _CODE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
-_STEP = 0x9E3779B97F4A7C15
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -67,25 +66,19 @@ class Ngrams:
 
     def __init__(self, buckets: int = BUCKETS) -> None:
         self.buckets, self.tokens = np.uint64(buckets), 0
-        self.up = self.down = np.ones(1, np.uint64)
 
     def __call__(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bucket of each n-gram, and the text it is from; the first ``tokens`` are the single ones, in order."""
         data, bounds = text_bytes(array)
-        if len(self.up) < len(data) + 1:
-            steps = np.full(len(data) + 1, _STEP, np.uint64)
-            steps[0] = 1
-            self.up = np.cumprod(steps, dtype=np.uint64)
-            steps[1:] = pow(_STEP, -1, 1 << 64)
-            self.down = np.cumprod(steps, dtype=np.uint64)
+        POWERS.reach(len(data) + 1)
         kind = _KIND[data]
         begins = np.ones(len(data), bool)
         begins[1:] = kind[1:] != kind[:-1]
         begins[bounds[:-1][bounds[:-1] < len(data)]] = True
         begin = np.flatnonzero(begins)
         end = np.append(begin[1:], len(data))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[data] * self.up[: len(data)], dtype=np.uint64)])
-        key = _mix((sums[end] - sums[begin]) * self.down[begin])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[data] * POWERS.up[: len(data)], dtype=np.uint64)])
+        key = _mix((sums[end] - sums[begin]) * POWERS.down[begin])
         real = kind[begin] > 0
         begin, key = begin[real], key[real]
         text = np.searchsorted(bounds, begin, side="right") - 1
@@ -215,7 +208,7 @@ def fit(
             target += np.bincount(bucket[is_target[text]], minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(raw), pa.array(target)], ["bucket", "raw", "target"])
 
-    counted = narrow.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counted = narrow.mapInArrow(tidied(count, POWERS.forget), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, goal = np.zeros(buckets), np.zeros(buckets)
     for r in counted.collect():
         raw[r["bucket"]], goal[r["bucket"]] = r["raw"], r["target"]
@@ -244,7 +237,8 @@ def fit(
 def find_marks(narrow: DataFrame, known: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Marks (sorted) and their weights, from at most ``rows`` good and as many bad documents.
 
-    N-grams of bad documents are counted first; only those that can be marks are counted in good ones.
+    N-grams of bad documents are counted first, and those that enough of them have in good ones; each one that
+    qualifies becomes a mark.
     """
 
     def some(good: bool) -> DataFrame:
@@ -257,27 +251,21 @@ def find_marks(narrow: DataFrame, known: DataFrame, rows: int) -> tuple[np.ndarr
             found, often = np.unique(distinct_ngrams(ngrams, batch.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(often.astype(np.int64))], ["ngram", "n"])
 
-    tried = some(False).mapInArrow(bags, "ngram long, n long").groupBy("ngram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_BAD)
-    tried = tried.orderBy(F.desc("n"), "ngram").limit(MOST_TRIED).orderBy("ngram").toArrow()
-    marks, bad = tried.column("ngram").to_numpy(), tried.column("n").to_numpy()
-    if not len(marks):
-        return np.zeros(0, np.int64), np.zeros(0)
-    shared = narrow.sparkSession.sparkContext.broadcast(marks)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ngrams, known_marks = Ngrams(1 << 62), shared.value
-        good = np.zeros(len(known_marks), np.int64)
-        for batch in in_slices(batches, "text"):
-            key = distinct_ngrams(ngrams, batch.column("text"))[0]
-            at = np.minimum(np.searchsorted(known_marks, key), len(known_marks) - 1)
-            good += np.bincount(at[known_marks[at] == key], minlength=len(good))
-        own = np.flatnonzero(good)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(good[own])], ["at", "n"])
+    def counted(docs: DataFrame) -> DataFrame:
+        return docs.mapInArrow(tidied(bags, POWERS.forget), "ngram long, n long")
 
-    counted, good = some(True).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow(), np.zeros(len(marks), np.int64)
-    good[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
-    weights = mark_weights(bad, good, some(False).count(), some(True).count())
-    return marks[weights > 0].copy(), weights[weights > 0]
+    tried = counted(some(False)).groupBy("ngram").agg(F.sum("n").alias("bad")).where(F.col("bad") >= LEAST_BAD)
+    tried = written(tried, "marks-tried")
+    good = counted(some(True)).join(tried.select("ngram"), "ngram", "left_semi").groupBy("ngram").agg(F.sum("n").alias("good"))
+    both = tried.join(good, "ngram", "left").fillna(0, ["good"])
+    n_bad, n_good = some(False).count(), some(True).count()
+    bad_, good_ = F.col("bad") + 0.5, F.col("good") + 0.5
+    surely = F.log(bad_ / (n_bad + 1)) - F.log(good_ / (n_good + 1)) - ERRORS * F.sqrt(1 / bad_ + 1 / good_)
+    # The sample bounds how many there are; the last digit is left to mark_weights.
+    marks = both.where(surely >= LEAST_MARK - 1e-6).orderBy("ngram").toArrow()
+    names, bad, good = (marks.column(c).to_numpy() for c in ("ngram", "bad", "good"))
+    weights = mark_weights(bad, good, n_bad, n_good)
+    return names[weights > 0].copy(), weights[weights > 0]
 
 
 def bucket_ratios(raw: np.ndarray, goal: np.ndarray) -> np.ndarray:
@@ -307,7 +295,7 @@ def _scores(docs: DataFrame, model: Resampler, trusted: np.ndarray | None, *, id
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_ngrams", "log_ratio", "key", "trusted", "kept", "marked"])
 
     narrow = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return narrow.mapInArrow(each, "doc_id long, n_ngrams long, log_ratio double, key long, trusted boolean, kept boolean, marked double")
+    return narrow.mapInArrow(tidied(each, POWERS.forget), "doc_id long, n_ngrams long, log_ratio double, key long, trusted boolean, kept boolean, marked double")
 
 
 def select(docs: DataFrame, model: Resampler, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,4 +309,4 @@ def select(docs: DataFrame, model: Resampler, *, id_col: str = "doc_id", text_co
             key = own.judge(ngrams, batch.column(text_col).fill_null(""), _ids(batch.column(id_col)))[2]
             yield batch.filter(pa.array(key >= own.least_key))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(tidied(each, POWERS.forget), docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from flowloom.llm.inputs import in_slices, texts
+from flowloom.llm.inputs import bound_batches, in_slices, texts, tidied
 from flowloom.session import ship_package
 
 KINDS = ["assign", "access", "hex", "novel"]
@@ -171,6 +171,7 @@ def redacted(text: str, mask: str) -> str:
 def redact(docs: DataFrame, *, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """All rows and columns of ``docs``, secrets masked in the text; null texts stay null."""
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, text_col):
@@ -178,4 +179,4 @@ def redact(docs: DataFrame, *, text_col: str = "text", mask: str = "[secret]") -
             masked = [t if t is None else redacted(t, mask) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(masked, batch.schema.field(at).type))
 
-    return docs.select("*").mapInArrow(each, docs.schema)
+    return docs.select("*").mapInArrow(tidied(each), docs.schema)

@@ -97,17 +97,18 @@ class KeyTable:
             keys, values, at = keys[on], values[on], (at[on] + np.uint64(1)) & mask
 
 
-class CutFinder:
-    """Places and keys of the cuts of a batch of texts."""
+class Powers:
+    """Powers of an odd number and of its inverse, one table for all users in a worker."""
 
     STEP = 0x9E3779B97F4A7C15
 
     def __init__(self) -> None:
-        rng = np.random.default_rng(7)
-        self.code = rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+        self.forget()
+
+    def forget(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
-    def _powers(self, count: int) -> None:
+    def reach(self, count: int) -> None:
         if len(self.up) < count:
             steps = np.full(count, self.STEP, np.uint64)
             steps[0] = 1
@@ -115,12 +116,23 @@ class CutFinder:
             steps[1:] = pow(self.STEP, -1, 1 << 64)
             self.down = np.cumprod(steps, dtype=np.uint64)
 
+
+POWERS = Powers()
+
+
+class CutFinder:
+    """Places and keys of the cuts of a batch of texts."""
+
+    def __init__(self) -> None:
+        rng = np.random.default_rng(7)
+        self.code = rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Begin, end and key of each cut, and the number of cuts of each text.
 
         A cut begins at a space or at the begin of a text; the latter kind has keys of its own.
         """
-        self._powers(len(data) + 1)
+        POWERS.reach(len(data) + 1)
         spaces = np.flatnonzero(data == 32)
         heads = bounds[:-1]
         begin = np.concatenate([heads, spaces])
@@ -131,8 +143,8 @@ class CutFinder:
         text = np.cumsum(is_head) - 1
         counts = np.bincount(text, minlength=len(heads))
         end = np.append(begin[1:], bounds[-1])
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.code[data] * self.up[: len(data)], dtype=np.uint64)])
-        key = (sums[end] - sums[begin]) * self.down[begin]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.code[data] * POWERS.up[: len(data)], dtype=np.uint64)])
+        key = (sums[end] - sums[begin]) * POWERS.down[begin]
         key ^= key >> np.uint64(29)
         key *= np.uint64(0xBF58476D1CE4E5B9)
         key += (end - begin).astype(np.uint64) + is_head * np.uint64(0x94D049BB133111EB)
@@ -162,15 +174,15 @@ class CutMemo:
 
     def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         self.learn, self.finder = learn, CutFinder()
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.table, self.ids, self.odd = KeyTable(), Ragged(), np.zeros(1 << 14, bool)
 
     def rows(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of each cut, and of each text the number of its cuts."""
         if self.ids.rows > CUT_MEMO:
-            self._forget()
+            self.forget()
         data, bounds = text_bytes(array)
         begin, end, key, counts = self.finder(data, bounds)
         found = self.table.find(key)
@@ -222,6 +234,11 @@ class TextEncoder:
         self.pieces, self.piece_ids = Numbered(), Ragged()
         self.memo = CutMemo(self._learn)
 
+    def forget(self) -> None:
+        self.pieces, self.piece_ids = Numbered(), Ragged()
+        self.memo.forget()
+        POWERS.forget()
+
     def _normal(self, cuts: list[str]) -> list[str]:
         if not self.normalizer or not cuts:
             return cuts
