@@ -8,7 +8,7 @@ reached depth, weighed by the query) lies below the k-th best. The best rows of
 Queries are dealt over blocks of bounded size, and each block visits each shard.
 
 Scores are sums of products of whole numbers, computed in the narrowest type that holds every partial
-sum exactly; sums beyond 64 bits are ranked exactly and returned as the nearest 64-bit number.
+sum exactly; a sum beyond 64 bits counts as the nearest 64-bit number.
 
 Cases: a vector that is null or holds null, NaN or infinite components takes no part; only vectors of the query's
 own length are candidates (empty ones score 0 with each other); a row is never its own candidate, but
@@ -72,18 +72,23 @@ class SortedLists:
             met[fresh] = 3
             scored += len(fresh)
             at = np.concatenate([at, fresh[fresh != own]])
-            scores = np.concatenate([scores, self.rows[fresh[fresh != own]] @ query])
+            scores = np.concatenate([scores, _bounded(self.rows[fresh[fresh != own]] @ query)])
             order = np.lexsort((at, -scores))[:k]
             at, scores = at[order], scores[order]
             begin, depth = begin + depth, 2 * depth
             if begin < self.count and len(at) == k:
                 reached = self.rows[self.lists[lists, begin - 1], asked]
                 # A row not met yet may tie at the threshold and have the smaller id.
-                if (reached * weights).sum() < scores[-1]:
+                if _bounded((reached * weights).sum(keepdims=True))[0] < scores[-1]:
                     break
         return at, scores, scored
 
 
+def _bounded(sums: np.ndarray) -> np.ndarray:
+    """Sums as 64-bit numbers can hold them; only those of whole Python numbers reach further."""
+    return np.minimum(np.maximum(sums, LEAST), MOST) if sums.dtype == object else sums
+
+
 def _exact(*parts: np.ndarray) -> list[np.ndarray]:
     """The arrays in a type in which sums of their products are exact in any order."""
     most = [max((abs(int(x)) for x in (p.min(), p.max())), default=0) if p.size else 0 for p in parts]
@@ -147,7 +152,7 @@ def top_k(
             place = {r: i for i, r in enumerate(row.tolist())}
             for r, name, query in zip(asking.column("row").to_pylist(), asking.column("vec_id").to_pylist(), queries):
                 at, scores, _ = lists.best(query, k, place.get(r, -1))
-                out += [(r, name, names[i], min(max(int(s), LEAST), MOST)) for i, s in zip(at.tolist(), scores)]
+                out += [(r, name, names[i], int(s)) for i, s in zip(at.tolist(), scores)]
         taken = list(zip(*out)) or [[]] * 4
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(["row", "query_id", "vec_id", "score"], taken)})
 
