@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -395,6 +396,50 @@ def test_mined_rules_decide_other_urls(spark):
     assert (rows[4].host, rows[5].path) == ("", "")
 
 
+def best_rule(sets, taught, held, confidence=0.8):
+    """(confidence, support, fewer tokens, outcome) of the best rule whose tokens a URL holds, by trying them all."""
+    found = {}
+    for own, rows in sets.items():
+        for outcome, n in collections.Counter(taught[r] for r in rows).items():
+            if n / len(taught) >= 0.05 and n / len(rows) >= confidence:
+                found[own, outcome] = (round(n / len(rows), 9), round(n / len(taught), 9))
+    kept = [(c, s, -len(own), o) for (own, o), (c, s) in found.items() if own <= held and not any(q < own and p == o and found[q, p][0] >= c for q, p in found)]
+    return max(kept, default=None)
+
+
+def test_mined_verdicts_are_those_of_all_rules(spark):
+    rng = np.random.default_rng(10)
+    urls = [f"http://{rng.choice(['a', 'b', 'c'])}.{rng.choice(['x', 'y'])}.test/{rng.choice(['p', 'q', 'p/q', 'r'])}?{rng.choice(['k', 'k=l', 'm'])}" for _ in range(200)]
+    outcomes = ["block" if ("p" in u.split("/", 3)[3] and rng.random() < 0.9) or ".y." in u and "m" in u else "allow" for u in urls]
+    taught = spark.createDataFrame(list(zip(urls, outcomes)), "url string, outcome string")
+    pages = spark.createDataFrame(list(enumerate(sorted(set(urls)))), "page_id long, url string")
+    parts = url_rules.split_url(F.col("url"))
+    tokens = {r.url: frozenset(r.items) for r in pages.select("url", url_rules.tokens(F.col("url"), parts["host"], parts["path"]).alias("items")).collect()}
+    sets = {}
+    for row, url in enumerate(urls):
+        own = sorted(tokens[url])
+        for choice in range(1, 1 << len(own)):
+            sets.setdefault(frozenset(t for i, t in enumerate(own) if choice >> i & 1), []).append(row)
+    sets = {own: rows for own, rows in sets.items() if len(rows) >= 10}
+    rows = url_rules.judge(pages, taught, support=0.05).collect()
+    decided = 0
+    for r in rows:
+        want = best_rule(sets, outcomes, tokens[sorted(set(urls))[r.page_id]])
+        assert (r.verdict, r.mined_confidence) == (("allow", None) if want is None else (want[3], want[0]))
+        decided += want is not None
+    assert decided > len(rows) / 2
+
+
+def test_long_urls_in_many_copies_are_cheap(spark):
+    long_ = "http://tracker.ads.test/go?" + "&".join(f"word{i}x" for i in range(60))
+    labels = [(long_, "block")] * 30 + [(f"http://a{i}.fine.test/read/{i % 7}", "allow") for i in range(200)]
+    taught, pages = spark.createDataFrame(labels, "url string, outcome string"), spark.createDataFrame([(1, long_), (2, "http://b.fine.test/read/1")], "page_id long, url string")
+    began = time.perf_counter()
+    rows = {r.page_id: r for r in url_rules.judge(pages, taught).collect()}
+    assert (rows[1].verdict, rows[2].verdict, rows[1].mined_confidence) == ("block", "allow", 1.0)
+    assert time.perf_counter() - began < 60
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 1), (10, 11), (7, 7), *((i, i + 1) for i in range(100, 160))]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
