@@ -226,26 +226,36 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunks]:
 
 
 def hash_counts(dictionary: DataFrame, frequent: list[Bitmap], length: int) -> DataFrame:
-    """(h, n): occurrences of the runs of one length, by hash."""
+    """(h, n, word): occurrences of the runs of one length, by hash.
+
+    The pass that knows frequent pairs first gives the words of these as well, marked by ``word`` and without a count.
+    """
     spread = dictionary.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunks in _gathered(batches):
             at, hashed = chunks.runs(spread.value, length)
             keys, _, sums = _summed(hashed, chunks.weight[at])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums), pa.array(np.zeros(len(keys), bool))], ["h", "n", "word"])
+            if length == 3:
+                pairs, own = chunks.runs(spread.value[:1], 2)
+                pairs = pairs[spread.value[1].has(own)]
+                words = np.unique(chunks.hash[np.concatenate([pairs, pairs + 1])]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.zeros(len(words), np.int64)), pa.array(np.ones(len(words), bool))], ["h", "n", "word"])
 
     narrow = dictionary.select("lang", "goes_on", "frequency", "hashes")
-    return narrow.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return narrow.mapInArrow(run, "h long, n long, word boolean").groupBy("h", "word").agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(dictionary: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, words, f): the runs of one to four words that occur ``least`` times or more, written."""
+    """(lang, phrase, words, f): the runs of two to four words that occur ``least`` times or more, and their words, written."""
     frequent: list[Bitmap] = []
     for length in range(1, WORDS):
-        reached = written(hash_counts(dictionary, frequent, length).where(F.col("n") >= least).select("h"), "frequent-runs")
-        frequent.append(bitmap(reached))
-    spread = dictionary.sparkSession.sparkContext.broadcast(frequent)
+        reached = written(hash_counts(dictionary, frequent, length).where(F.col("word") | (F.col("n") >= least)).select("h", "word"), "frequent-runs")
+        frequent.append(bitmap(reached.where("not word").select("h")))
+    # Of single words only those of frequent pairs are part of a phrase.
+    wanted = bitmap(reached.where("word").select("h"))
+    spread = dictionary.sparkSession.sparkContext.broadcast((frequent, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunks in _gathered(batches):
@@ -254,11 +264,12 @@ def phrase_counts(dictionary: DataFrame, least: int) -> DataFrame:
             exact_word, own, join, many = words.number[real], words.words, b" ".join, len(words.known)
             # Numbered exactly: a word by its language and itself, a longer run by that without its last word, and this one.
             number = chunks.lang[chunks.row].astype(np.int64) * many + exact_word
+            frequent, wanted = spread.value
             for length in range(1, WORDS + 1):
-                at, hashed = chunks.runs(spread.value, length)
+                at, hashed = chunks.runs(frequent, length)
                 passes = number[at] >= 0
-                if length <= len(spread.value):
-                    passes &= spread.value[length - 1].has(hashed)
+                if length <= len(frequent):
+                    passes &= (frequent[length - 1] if length > 1 else wanted).has(hashed)
                 at = at[passes]
                 if length == 1:
                     sums = np.bincount(number[at], chunks.weight[at], len(chunks.langs) * many)
