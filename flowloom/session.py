@@ -44,6 +44,9 @@ def ship_package(spark: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             bundle.write(source, source.relative_to(root.parent))
     sc.addPyFile(str(archive))
+    # Spark's own helpers beside the driver (stateful streams, data sources) do not see added files.
+    places = [str(root.parent), sc.environment.get("PYTHONPATH", "")]
+    sc.environment["PYTHONPATH"] = ":".join(p for p in places if p)
     _SHIPPED.add(sc.applicationId)
 
 

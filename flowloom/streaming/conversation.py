@@ -18,6 +18,8 @@ from flowloom.streaming.chunks import FLAGS
 SUMS = COUNTERS + TCP_COUNTS
 STATE_FIELDS = ["lo_flows", "hi_flows", "is_open", "client_is_lo", "open_pkt", "first_ts_ns", "last_ts_ns", "last_pkt"]
 HELLO_FIELDS = HELLO_TYPE.fieldNames()
+# Bytes of a stream without a hello that are kept before it is cut.
+KEPT_BYTES = 1 << 20
 
 
 def flow_starts(ts: np.ndarray, hard: np.ndarray, first_ts: int | None, timeout_ns: int) -> np.ndarray:
@@ -45,6 +47,7 @@ class Search:
     client: ClientStream = field(default_factory=ClientStream)
     seeker: tls.HelloSearch = field(default_factory=tls.HelloSearch)
     hello: dict | None = None
+    room: int = KEPT_BYTES
 
     @classmethod
     def resumed(cls, next_seq: int | None, tail: bytes, held: dict[int, bytes]) -> Search:
@@ -57,6 +60,11 @@ class Search:
         found = self.seeker.feed(fresh) if fresh else None
         if found is not None:
             self.hello = found._asdict()
+        elif len(self.seeker.stream) > self.room:
+            # Only what later bytes can complete is kept; where that is much, it is cut again at twice its size.
+            tail, self.seeker = self.seeker.tail(), tls.HelloSearch()
+            self.seeker.feed(tail)
+            self.room = max(KEPT_BYTES, 2 * len(tail))
 
     def begun(self) -> bool:
         return self.hello is None and self.client.next_seq is not None
@@ -106,7 +114,8 @@ class Conversation:
         last = np.append(edges[1:], len(ts)) - 1
         at = np.searchsorted(numbers, segments["pkt_no"])
         mine = np.flatnonzero(segments["src_is_lo"] == client_is_lo[at]) if len(at) else at
-        ends, of_flow = np.cumsum(segments["size"]), flow_of[at]
+        of_flow, ends = flow_of[at], np.cumsum(segments["size"])
+        places = list(zip(segments["seq"].tolist(), (ends - segments["size"]).tolist(), ends.tolist()))
 
         ended = []
         if was["is_open"] and flow_of[0] >= 0:
@@ -125,7 +134,8 @@ class Conversation:
             for i in mine[of_flow[mine] == flow_of[begin]].tolist():
                 if self.search.hello is not None:
                     break
-                self.search.add(int(segments["seq"][i]), payload[ends[i] - segments["size"][i] : ends[i]])
+                seq, low, high = places[i]
+                self.search.add(seq, payload[low:high])
             if end < len(ts) - 1 or closes[end]:
                 ended.append(self._row(row))
             was = row

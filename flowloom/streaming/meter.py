@@ -39,6 +39,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 # Payload bytes of one conversation and micro-batch that a task keeps in memory.
 PARK_BYTES = 32 << 20
 STEP_PACKETS = 1 << 16
+BATCH_BYTES = 32 << 20
 HELLO_SCHEMA = "legacy_version int, cipher_suites array<int>, extensions array<int>, has_sni boolean, alpn_protocols array<binary>"
 LONGS = ", ".join(f"{n} long" for n in STATE_FIELDS + SUMS)
 FLOW_STATE = f"{LONGS}, timer long, {HELLO_SCHEMA}"
@@ -221,13 +222,15 @@ def meter_stream(
 ) -> DataFrame:
     """Flow versions of a packet stream, with ``hello`` if ``with_tls``; write it in update mode.
 
-    Sets the session's state store to RocksDB, which keeps state off the heap. ``initial`` is the table of
+    Sets the session's state store to RocksDB, which keeps state off the heap, and bounds its Arrow batches. ``initial`` is the table of
     ``handover``; it takes effect in the first batch of a new checkpoint.
     """
     spark = packets.sparkSession
     ship_package(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Chunks are large rows: a batch of them is bounded by its bytes.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     versions = packed_chunks(packets, with_tls).groupBy(*TUPLE_KEY).transformWithStateInPandas(
         statefulProcessor=FlowProcessor(timeout_ns, emit_open, open_after_ms),
         outputStructType=OUTPUT_SCHEMA,
