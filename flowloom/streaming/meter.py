@@ -112,31 +112,19 @@ class FlowProcessor(StatefulProcessor):
             self.parked.removeKey((i,))
             return data
 
-        order = sorted(range(len(found)), key=lambda i: found[i][:2])
-        while order:
-            # Chunks whose ranges overlap go together.
-            run, end = [order[0]], found[order[0]][1]
-            for i in order[1:]:
-                if found[i][0] > end:
-                    break
-                run.append(i)
-                end = max(end, found[i][1])
-            order = order[len(run) :]
-            packets = np.concatenate([np.frombuffer(found[i][2], PACKET) for i in run])
-            segments = np.concatenate([np.frombuffer(found[i][3], SEGMENT) for i in run])
-            if len(run) == 1 and len(packets) <= STEP_PACKETS:
-                yield packets, segments, payload_of(run[0])
-                continue
-            packets = packets[np.argsort(packets["pkt_no"], kind="stable")]
-            payload = b"".join(map(payload_of, run))
-            begin = np.cumsum(segments["size"]) - segments["size"]
-            by_number = np.argsort(segments["pkt_no"], kind="stable")
-            segments, begin = segments[by_number], begin[by_number]
-            for at in range(0, len(packets), STEP_PACKETS):
-                part = packets[at : at + STEP_PACKETS]
-                low, high = np.searchsorted(segments["pkt_no"], [part["pkt_no"][0], part["pkt_no"][-1] + 1])
-                own = segments[low:high]
-                yield part, own, b"".join(payload[b : b + n] for b, n in zip(begin[low:high].tolist(), own["size"].tolist()))
+        # Chunks in order of their first packet. What lies before the next chunk is ready; chunks whose ranges
+        # overlap are merged as far as they do.
+        packets, segments, payload = np.zeros(0, PACKET), np.zeros(0, SEGMENT), b""
+        for i in sorted(range(len(found)), key=lambda i: found[i][:2]):
+            ready = np.searchsorted(packets["pkt_no"], found[i][0])
+            split = np.searchsorted(segments["pkt_no"], found[i][0])
+            size = int(segments["size"][:split].sum())
+            yield from _steps(packets[:ready], segments[:split], payload[:size])
+            packets, segments, payload = packets[ready:], segments[split:], payload[size:]
+            own = np.frombuffer(found[i][2], PACKET), np.frombuffer(found[i][3], SEGMENT), payload_of(i)
+            found[i] = None
+            packets, segments, payload = _merged((packets, segments, payload), own) if len(packets) else own
+        yield from _steps(packets, segments, payload)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         talk, timer = self._load(key)
@@ -175,6 +163,28 @@ class FlowProcessor(StatefulProcessor):
         pass
 
 
+Part = tuple[np.ndarray, np.ndarray, bytes]
+
+
+def _steps(packets: np.ndarray, segments: np.ndarray, payload: bytes) -> Iterator[Part]:
+    """A bounded number of packets at a time, with their segments and payload bytes; all are in order."""
+    at = 0
+    for begin in range(0, len(packets), STEP_PACKETS):
+        part = packets[begin : begin + STEP_PACKETS]
+        low, high = np.searchsorted(segments["pkt_no"], [part["pkt_no"][0], part["pkt_no"][-1] + 1])
+        size = int(segments["size"][low:high].sum())
+        yield part, segments[low:high], payload[at : at + size]
+        at += size
+
+
+def _merged(one: Part, two: Part) -> Part:
+    packets, segments, payload = np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]]), one[2] + two[2]
+    end = np.cumsum(segments["size"])
+    order = np.argsort(segments["pkt_no"], kind="stable")
+    parts = zip((end - segments["size"])[order].tolist(), end[order].tolist())
+    return packets[np.argsort(packets["pkt_no"], kind="stable")], segments[order], b"".join(payload[a:b] for a, b in parts)
+
+
 def _plain(value):
     """A state value in the types that rows take."""
     if isinstance(value, (bytearray, bytes)):
