@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.inputs import in_slices, texts, tidied, written
-from flowloom.llm.tokens import encoder
+from flowloom.llm.tokens import POWERS, encoder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 IDS_SCHEMA = PIECE_SCHEMA + ", ids binary"
@@ -37,10 +37,13 @@ def with_end_id(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.nda
 
 
 def cut_pieces(
-    docs: DataFrame, path: str, *, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, path: str, *, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep_memo: bool = True
 ) -> DataFrame:
     """Pieces of at most ``capacity`` ids; of a longer document the first one takes the odd rest.
 
+    ``keep_memo``: workers keep the ids of known words for the next task, some 100 MB; else they forget them, for
+    jobs that go on with other work.
+
     ``part`` and ``nth`` number the pieces of one length: the task that cut them, and a count in it.
     """
 
@@ -71,7 +74,7 @@ def cut_pieces(
             yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, pa.int64()) for a in out], names)
 
     narrow = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return narrow.mapInArrow(tidied(cut, lambda: encoder(path).forget()), IDS_SCHEMA if with_ids else PIECE_SCHEMA)
+    return narrow.mapInArrow(tidied(cut, POWERS.forget if keep_memo else lambda: encoder(path).forget()), IDS_SCHEMA if with_ids else PIECE_SCHEMA)
 
 
 class _Sequences:
@@ -180,7 +183,7 @@ def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     return ranked.mapInArrow(put, schema + ", sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, path: str, *, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, **names: str) -> DataFrame:
+def pack(docs: DataFrame, path: str, *, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, keep_memo: bool = True, **names: str) -> DataFrame:
     """Packed pieces of all documents: where each lies, and on request its ids (little-endian 32 bit)."""
-    cut = cut_pieces(docs, path, capacity=capacity, end_id=end_id, with_ids=with_ids, **names)
+    cut = cut_pieces(docs, path, capacity=capacity, end_id=end_id, with_ids=with_ids, keep_memo=keep_memo, **names)
     return place(written(cut, "pack-pieces"), capacity)
