@@ -1,6 +1,11 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage works on everything its predecessor kept, written as Parquet and read again.
+
+Cases: a null text is an empty one, and the rules reject it; rows of one id are told apart by their texts, and rows that
+repeat an id and its text stay or go together; a null id comes last where the smallest id of a group decides;
+of equal keys of the classifier all stay; an empty table gives an empty result; extra columns pass the first four stages
+and are not part of the last one's result, and names such as ``key`` or ``kept`` do not clash.
 """
 
 from __future__ import annotations
@@ -43,7 +48,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of at most 1024 ids."""
     ship_package(spark)
-    packed = packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    packed = packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2, keep_memo=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
