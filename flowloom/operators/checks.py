@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -239,14 +239,9 @@ RECONCILED = [
     "bytes_wire_total",
     "bytes_wire_lo",
     "bytes_wire_hi",
-    "bytes_cap_total",
-    "bytes_cap_lo",
-    "bytes_cap_hi",
     "first_ts_ns",
     "last_ts_ns",
     "tcp_syn_total",
-    "tcp_syn_lo",
-    "tcp_syn_hi",
     "tcp_ack_total",
     "tcp_fin_total",
     "tcp_rst_total",
@@ -254,6 +249,10 @@ RECONCILED = [
 ]
 
 
+# With captured bytes, and SYN packets by sender.
+RECONCILED_IN_FULL = RECONCILED + ["bytes_cap_total", "bytes_cap_lo", "bytes_cap_hi", "tcp_syn_lo", "tcp_syn_hi"]
+
+
 def flows_per_tuple(flows: DataFrame) -> DataFrame:
     """Flows of a conversation summed up, with directions turned to the ordered pair."""
     client = (F.col("client_ip"), F.col("client_port"))
@@ -282,12 +281,12 @@ def flows_per_tuple(flows: DataFrame) -> DataFrame:
     return turned.groupBy(*TUPLE_KEY).agg(*[c.alias(n) for n, c in sums.items()])
 
 
-def reconcile(flows: DataFrame, packets: DataFrame) -> DataFrame:
-    """Every conversation with the measures in which flow table and packets differ."""
+def reconcile(flows: DataFrame, packets: DataFrame, measures: Sequence[str] = RECONCILED) -> DataFrame:
+    """Every conversation with those of the measures in which flow table and packets differ."""
     made, seen = flows_per_tuple(flows), tuple_recount(packets)
     both = made.alias("made").join(seen.alias("seen"), TUPLE_KEY, "full_outer")
     differs = [
-        F.when(~F.col(f"made.{m}").eqNullSafe(F.col(f"seen.{m}")), F.lit(m)) for m in RECONCILED
+        F.when(~F.col(f"made.{m}").eqNullSafe(F.col(f"seen.{m}")), F.lit(m)) for m in measures
     ]
     return both.select(
         *TUPLE_KEY,

@@ -239,7 +239,7 @@ def reconcile_damaged(spark, sf_dir):
     """Conversations in which a damaged flow table and the packets differ, and where."""
     packets = fx.event_packets(spark, sf_dir)
     damaged = _damaged(export.with_hello_columns(meter_flows(packets)))
-    return checks.reconcile(damaged, packets).filter("differing <> ''")
+    return checks.reconcile(damaged, packets, checks.RECONCILED_IN_FULL).filter("differing <> ''")
 
 
 @query

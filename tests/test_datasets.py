@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowloom import schema
 from flowloom.operators import checks, datasets
 from flowloom.operators.hello import flow_table
+from flowloom.schema import BUILDER_COLUMNS
 from flowloom.sources import tables
 from tests.test_sessionize import packet
 from tests.test_tls import HELLO, packets
@@ -167,7 +168,7 @@ def test_shapes_and_shares(spark):
 
 
 def test_outputs_appear_together(spark, tmp_path, monkeypatch):
-    rows = flow_rows(spark)
+    rows = raw(spark, {}, {"proto": "17"}, {"packets_total": "40", "packets_c2s": "20"})
     built, out = datasets.build_datasets(rows), str(tmp_path)
     with pytest.raises(FileNotFoundError):
         tables.published(spark, out)
@@ -191,8 +192,9 @@ def test_outputs_appear_together(spark, tmp_path, monkeypatch):
 
 def test_sample_is_that_of_a_sort(spark):
     """Many equal digests, small batches and strata of all sizes, against sorting each stratum."""
-    rows = flow_rows(spark)
-    many = rows.crossJoin(spark.range(40).withColumnRenamed("id", "n")).withColumn("packets_total", F.col("packets_total") + F.col("n") % 7).drop("n")
+    kinds = [{"proto": p, "tls_client_hello_c2s": h, "tcp_fin_total": f} for p in ("6", "17") for h in "01" for f in "01"]
+    changes = [{**kind, "client_port": str(n % 9), "packets_total": str(n % 7), "avg_wirelen_total": f"{n}.5"} for n in range(40) for kind in kinds]
+    many = checks.typed_rows(raw(spark, *changes)).select(*BUILDER_COLUMNS)
     sizes = {"tcp_plain": 5, "tcp_hello": 3, "udp": 10_000, "reset_or_fin": 1}
     got = checks.stratified_sample(many.repartition(5), sizes=sizes)
     columns = [c for c in BUILDER_COLUMNS if c != "avg_wirelen_total"]
