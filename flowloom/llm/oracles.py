@@ -82,4 +82,42 @@ from (select *, row_number() over (partition by lang order by score desc, a desc
 where rank <= 2000
 """
 
-ORACLES: dict[str, str] = {"op11_exact_topk": OP11, "op12_lexical_search": OP12, "op13_collocations": OP13}
+WORD = r"[^\x20\x09-\x0D]+"
+QUALITY = rf"""
+with d as (select row_number() over () as doc_no, doc_id, coalesce(text, '') as text from documents),
+w as (select doc_no, doc_id, text, regexp_extract_all(text, '{WORD}') as words,
+    [x for x in string_split(text, chr(10)) if regexp_matches(x, '{WORD}')] as lines from d),
+spots as (select doc_no, unnest(range(1, len(words) - 6)) as i, words from w where len(words) >= 8),
+often as (select doc_no, i, count(*) over (partition by doc_no, words[i : i + 7]) as n from spots),
+covered as (select doc_no, count(distinct place) as n from (select doc_no, unnest(range(i, i + 8)) as place from often where n > 1) group by doc_no)
+select doc_id, len(words) as n_words, coalesce(list_sum([length(x) for x in words]), 0)::bigint as word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+    coalesce(n, 0) as n_repeat_words, len(words) < 20 or 100 * coalesce(n, 0) > 30 * len(words) as base_failed
+from w left join covered using (doc_no)
+"""
+
+SECRETS = r"""
+select doc_id,
+    len([x for x in regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) if length(x) >= 6]) as n_assign,
+    len([x for x in regexp_extract_all(t, 'AKIA[A-Z0-9]+') if length(x) >= 20]) as n_access,
+    len([x for x in regexp_extract_all(t, '[0-9a-f]+') if length(x) >= 24]) as n_hex
+from (select doc_id, coalesce(text, '') as t from documents)
+"""
+
+URLS = rf"""
+with parts as (
+    select page_id, case when position('://' in url) > 0 then substring(url, position('://' in url) + 3) else '' end as rest from pages
+),
+split as (
+    select page_id, translate(regexp_extract(rest, '^[^/?#]*'), {UPPER}, {LOWER}) as host,
+        regexp_extract(substring(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path
+    from parts
+),
+rules as (select * from (values ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+    ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) r(rule, rule_host, rule_path, verdict))
+select page_id, any_value(host) as host, any_value(path) as path, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as fixed
+from split left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+group by page_id
+"""
+
+ORACLES: dict[str, str] = {"quality_base": QUALITY, "secret_counts": SECRETS, "url_fixed_rules": URLS, "op11_exact_topk": OP11, "op12_lexical_search": OP12, "op13_collocations": OP13}

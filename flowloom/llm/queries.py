@@ -55,6 +55,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the quality rules that SQL can express."""
+    return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+@query
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the secret scan that SQL can express."""
+    return op5_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+@query
+def url_fixed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the URL rules that SQL can express; the verdict where a fixed rule gives it."""
+    judged = op10_url_rules(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("fixed"))
+
+
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
