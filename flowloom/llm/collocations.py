@@ -39,6 +39,8 @@ TRIGGER = 32
 GATHER_BYTES = 8 << 20
 GATHER_WORDS = 1 << 21
 MOST_BITS = 1 << 28
+# Phrases that a task adds up before it hands them on.
+MOST_HELD = 1 << 20
 # Fixed rule: A-Z lower-cased, tab to blank, what ends a piece to a full stop.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b for b in range(256))
 BREAK = b"."
@@ -257,7 +259,14 @@ def phrase_counts(dictionary: DataFrame, least: int) -> DataFrame:
     wanted = bitmap(reached.where("word").select("h"))
     spread = dictionary.sparkSession.sparkContext.broadcast((frequent, wanted))
 
+    def told(held: dict[tuple[str, bytes], int]) -> pa.RecordBatch:
+        langs, phrases = zip(*held) if held else ((), ())
+        lengths = pa.array([p.count(b" ") + 1 for p in phrases], pa.int32())
+        arrays = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), lengths, pa.array(held.values(), pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "words", "f"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, bytes], int] = {}
         for chunks in _gathered(batches):
             words = Words(_raw(chunks.table.column("chunk").combine_chunks()).split())
             real = np.flatnonzero(words.number)
@@ -285,11 +294,16 @@ def phrase_counts(dictionary: DataFrame, least: int) -> DataFrame:
                     lang, passing = chunks.lang[chunks.row[at[place]]], np.full(len(number), -1)
                     passing[at] = np.searchsorted(keys, exact)
                 number = passing
-                langs = pa.array(chunks.langs).take(pa.array(lang))
-                arrays = [langs, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(keys), length, np.int32)), pa.array(sums)]
-                yield pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "words", "f"])
-
-    parts = dictionary.mapInArrow(run, "lang string, phrase string, words int, f long")
+                for key, n in zip(zip(map(chunks.langs.__getitem__, lang.tolist()), phrases), sums.tolist()):
+                    held[key] = held.get(key, 0) + n
+            if len(held) > MOST_HELD:
+                yield told(held)
+                held = {}
+        yield told(held)
+
+    # A few long tasks for each core, as each gives a row for every phrase that it meets.
+    few = dictionary.coalesce(3 * dictionary.sparkSession.sparkContext.defaultParallelism)
+    parts = few.mapInArrow(run, "lang string, phrase string, words int, f long")
     counted = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return written(counted, "phrases")
 
