@@ -37,10 +37,10 @@ WORDS = 4
 OVERLAP = WORDS - 1
 TRIGGER = 32
 GATHER_BYTES = 8 << 20
-GATHER_WORDS = 1 << 21
+GATHER_WORDS = 1 << 20
 MOST_BITS = 1 << 28
 # Phrases that a task adds up before it hands them on.
-MOST_HELD = 1 << 20
+MOST_HELD = 1 << 19
 # Fixed rule: A-Z lower-cased, tab to blank, what ends a piece to a full stop.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b for b in range(256))
 BREAK = b"."
