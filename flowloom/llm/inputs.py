@@ -37,7 +37,6 @@ def bound_batches(spark: SparkSession) -> None:
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id`` and ``text`` with a null text read as empty."""
     ship_package(df.sparkSession)
-    bound_batches(df.sparkSession)
     narrow = columns(df, doc_id=id_col, text=text_col)
     return narrow.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
