@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import ngram_rules, packing, resampling, secret_scan, vp_dedup
-from flowloom.llm.inputs import table, written
+from flowloom.llm.inputs import bound_batches, table, written
 from flowloom.llm.tokens import vocabulary
 from flowloom.session import ship_package
 
@@ -25,6 +25,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by importance resampling."""
+    bound_batches(spark)
     return resampling.select(docs, resampling.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -36,11 +37,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts whose five-word shingles are similar by 0.8 or more."""
     ship_package(spark)
+    bound_batches(spark)
     return vp_dedup.keep_one(docs, size=5, similarity=0.8)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and ``n_chars`` set anew where the text has changed."""
+    bound_batches(spark)
     masked = secret_scan.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
@@ -48,6 +51,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of at most 1024 ids."""
     ship_package(spark)
+    bound_batches(spark)
     packed = packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2, keep_memo=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
