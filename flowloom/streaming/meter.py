@@ -1,8 +1,9 @@
 """Incremental flow meter: the same flows, with their hellos, from packets that arrive in micro-batches.
 
-Packets are packed to chunks before the shuffle; each conversation is keyed state in RocksDB: its open flow with
+Packets are packed to chunks before the shuffle; the state in RocksDB has for each conversation its open flow with
 counters and orientation, the two instance counters, the hello search of the open flow, and the segments that wait
-for a gap to close. A micro-batch of one conversation is walked chunk by chunk in capture order, so a task
+for a gap to close. Conversations are dealt to ``buckets`` by hash; a bucket is the key of the state, its flows are one list, which is
+read and written as a whole. A micro-batch of one conversation is walked chunk by chunk in capture order, so a task
 holds narrow records of 33 bytes a packet and the payloads of one chunk; payloads beyond ``PARK_BYTES`` wait
 in the state store until their turn. Packets must arrive in capture order across micro-batches (the state keeps
 the last number, and an earlier one raises). The result equals the batch meter then. Nothing is dropped as
@@ -18,7 +19,7 @@ A stream can start from what a batch has metered: ``handover`` makes its initial
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,22 +39,62 @@ from flowloom.streaming.conversation import HELLO_FIELDS, STATE_FIELDS, SUMS, Co
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Payload bytes of one conversation and micro-batch that a task keeps in memory.
 PARK_BYTES = 32 << 20
+# Of a longer tail the state has an entry of its own.
+INLINE_BYTES = 1 << 12
+# Flow versions that are told together at most, but for one step's.
+TOLD_ROWS = 1 << 14
+# Conversations share this many states, and so tasks; it stays the same as long as a checkpoint is used.
+BUCKETS = 1 << 10
 STEP_PACKETS = 1 << 16
 BATCH_BYTES = 32 << 20
 HELLO_SCHEMA = "legacy_version int, cipher_suites array<int>, extensions array<int>, has_sni boolean, alpn_protocols array<binary>"
 LONGS = ", ".join(f"{n} long" for n in STATE_FIELDS + SUMS)
 FLOW_STATE = f"{LONGS}, timer long, {HELLO_SCHEMA}"
+BUCKET_STATE = f"{KEY_SCHEMA}, {FLOW_STATE}, next_seq long, tail binary, held_seq array<long>"
+TIMER_AT = len(TUPLE_KEY) + len(STATE_FIELDS + SUMS)
 SEARCH_STATE = "open_pkt long, next_seq long, tail binary, held long"
 EMITTED = ["client_is_lo", "open_pkt", "flow_instance", "first_ts_ns", "last_ts_ns"] + SUMS
 OUTPUT_SCHEMA = KEY_SCHEMA + ", client_is_lo boolean, " + ", ".join(f"{n} long" for n in EMITTED[1:]) + f", {HELLO_SCHEMA}, final boolean"
 CARRIED = ["next_seq", "tail", "held_seq", "held_data"]
 
 
-class FlowProcessor(StatefulProcessor):
+Part = tuple[np.ndarray, np.ndarray, bytes]
+
+
+class Payloads:
+    """Payload bytes of chunks by number; those beyond ``PARK_BYTES`` wait in the state store."""
+
+    def __init__(self, parked) -> None:
+        self.parked, self.kept, self.size, self.count = parked, {}, 0, 0
+
+    def put(self, payload: bytes) -> int:
+        number, self.count, self.size = self.count, self.count + 1, self.size + len(payload)
+        if self.size <= PARK_BYTES:
+            self.kept[number] = payload
+        else:
+            self.parked.updateValue((number,), (payload,))
+        return number
+
+    def take(self, number: int) -> bytes:
+        if number in self.kept:
+            return self.kept.pop(number)
+        data = bytes(self.parked.getValue((number,))[0])
+        self.parked.removeKey((number,))
+        return data
+
+
+# First and last packet number, packet and segment records, number of the payload.
+Chunk = tuple[int, int, bytes, bytes, int]
+CHUNK_COLUMNS = ("first_pkt", "last_pkt", "packets", "segments", "payload")
+
+
+class FlowProcessor:
+    """The meter of one conversation, over its state variables."""
+
     def __init__(self, timeout_ns: int, emit_open: bool, open_after_ms: int | None) -> None:
         self.timeout_ns, self.emit_open, self.open_after_ms = timeout_ns, emit_open, open_after_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def init(self, handle) -> None:
         self.handle = handle
         self.flow = handle.getValueState("flow", FLOW_STATE)
         self.search = handle.getValueState("search", SEARCH_STATE)
@@ -91,65 +132,59 @@ class FlowProcessor(StatefulProcessor):
         elif self.search.exists():
             self.search.clear()
 
-    def _chunks(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
+    def _chunks(self, found: list[Chunk], payloads: Payloads) -> Iterator[Part]:
         """Packets in capture order, a bounded number at a time, each with its segments and payload bytes."""
-        found: list[tuple[int, int, bytes, bytes]] = []
-        kept: dict[int, bytes] = {}
-        size = 0
-        for frame in rows:
-            for first, last, packets, segments, payload in zip(*[frame[c] for c in ("first_pkt", "last_pkt", "packets", "segments", "payload")]):
-                size += len(payload)
-                if size <= PARK_BYTES:
-                    kept[len(found)] = payload
-                else:
-                    self.parked.updateValue((len(found),), (payload,))
-                found.append((first, last, packets, segments))
-
-        def payload_of(i: int) -> bytes:
-            if i in kept:
-                return kept.pop(i)
-            data = bytes(self.parked.getValue((i,))[0])
-            self.parked.removeKey((i,))
-            return data
-
         # Chunks in order of their first packet. What lies before the next chunk is ready; chunks whose ranges
         # overlap are merged as far as they do.
         packets, segments, payload = np.zeros(0, PACKET), np.zeros(0, SEGMENT), b""
         for i in sorted(range(len(found)), key=lambda i: found[i][:2]):
-            ready = np.searchsorted(packets["pkt_no"], found[i][0])
-            split = np.searchsorted(segments["pkt_no"], found[i][0])
-            size = int(segments["size"][:split].sum())
-            yield from _steps(packets[:ready], segments[:split], payload[:size])
-            packets, segments, payload = packets[ready:], segments[split:], payload[size:]
-            own = np.frombuffer(found[i][2], PACKET), np.frombuffer(found[i][3], SEGMENT), payload_of(i)
+            if len(packets):
+                ready = np.searchsorted(packets["pkt_no"], found[i][0])
+                split = np.searchsorted(segments["pkt_no"], found[i][0])
+                size = int(segments["size"][:split].sum())
+                yield from _steps(packets[:ready], segments[:split], payload[:size])
+                packets, segments, payload = packets[ready:], segments[split:], payload[size:]
+            own = np.frombuffer(found[i][2], PACKET), np.frombuffer(found[i][3], SEGMENT), payloads.take(found[i][4])
             found[i] = None
             packets, segments, payload = _merged((packets, segments, payload), own) if len(packets) else own
         yield from _steps(packets, segments, payload)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def metered(self, key: tuple, found: list[Chunk], payloads: Payloads, timerValues) -> Iterator[tuple[list[dict], bool]]:
+        """Flows that the chunks of a micro-batch end, and the open one where it is to be told; whether they are final."""
         talk, timer = self._load(key)
         before = dict(talk.search.client.held)
         opened = talk.was["open_pkt"] if talk.was["is_open"] else None
-        for packets, segments, payload in self._chunks(rows):
+        for packets, segments, payload in self._chunks(found, payloads):
             ended = talk.step(packets, segments, payload)
             if ended:
-                yield _frame(key, ended, True)
+                yield ended, True
         now = talk.open_flow()
         if self.open_after_ms is not None and now is not None and now["open_pkt"] != opened:
             timer = timerValues.getCurrentProcessingTimeInMs() + self.open_after_ms
             self.handle.registerTimer(timer)
         self._save(talk, timer, before)
         if self.emit_open and now is not None:
-            yield _frame(key, [now], False)
+            yield [now], False
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def expired(self, key: tuple, at: int) -> list[dict]:
         talk, timer = self._load(key)
         # The timer of a flow that has ended since says nothing about the one after it.
-        if (now := talk.open_flow()) is not None and timer == expiredTimerInfo.getExpiryTimeInMs():
-            yield _frame(key, [now], False)
+        return [now] if (now := talk.open_flow()) is not None and timer == at else []
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        row = initialState.iloc[0]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        payloads, found = Payloads(self.parked), []
+        for frame in rows:
+            for *chunk, payload in zip(*[frame[c] for c in CHUNK_COLUMNS]):
+                found.append((*chunk, payloads.put(payload)))
+        for flows, final in self.metered(key, found, payloads, timerValues):
+            yield _frame([(key, row, final) for row in flows])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if told := self.expired(key, expiredTimerInfo.getExpiryTimeInMs()):
+            yield _frame([(key, row, False) for row in told])
+
+    def begin(self, key: tuple, row: dict) -> None:
+        """Make the state of a row of ``handover``."""
         search = Search()
         if row["legacy_version"] is not None and not pd.isna(row["legacy_version"]):
             search.hello = {n: _plain(row[n]) for n in HELLO_FIELDS}
@@ -159,11 +194,128 @@ class FlowProcessor(StatefulProcessor):
         was = {n: int(row[n]) for n in STATE_FIELDS + SUMS}
         self._save(Conversation(is_tcp(key), self.timeout_ns, was, search), 0, {})
 
-    def close(self) -> None:
-        pass
 
+class Slot:
+    """A state variable of one conversation, in memory."""
 
-Part = tuple[np.ndarray, np.ndarray, bytes]
+    def __init__(self, held: tuple | None = None) -> None:
+        self.held = held
+
+    def get(self) -> tuple | None:
+        return self.held
+
+    def exists(self) -> bool:
+        return self.held is not None
+
+    def update(self, value: tuple) -> None:
+        self.held = value
+
+    def clear(self) -> None:
+        self.held = None
+
+
+class Share:
+    """One conversation's entries of a map state that a bucket's conversations share."""
+
+    def __init__(self, state, key: tuple, seqs: Iterable[int] = ()) -> None:
+        self.state, self.key, self.seqs = state, key, set(seqs)
+
+    def iterator(self) -> Iterator[tuple[tuple, tuple]]:
+        return (((seq,), self.state.getValue((*self.key, seq))) for seq in sorted(self.seqs))
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self.seqs.add(key[0])
+        self.state.updateValue((*self.key, *key), value)
+
+    def removeKey(self, key: tuple) -> None:
+        self.seqs.discard(key[0])
+        self.state.removeKey((*self.key, *key))
+
+
+class BucketProcessor(StatefulProcessor):
+    """Meters the conversations of a bucket, whose state is one list: a call and its rows cost much more than a conversation."""
+
+    def __init__(self, timeout_ns: int, emit_open: bool, open_after_ms: int | None) -> None:
+        self.own = FlowProcessor(timeout_ns, emit_open, open_after_ms)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.own.handle = handle
+        self.flows = handle.getListState("flow", BUCKET_STATE)
+        self.held = handle.getMapState("held", f"{KEY_SCHEMA}, seq long", "data binary")
+        self.tails = handle.getMapState("tails", KEY_SCHEMA, "tail binary")
+        self.parked = handle.getMapState("parked", "chunk long", "payload binary")
+
+    def _opened(self, key: tuple, row: tuple | None) -> None:
+        """Give the meter the state of a conversation."""
+        own, self.large = self.own, False
+        own.flow, own.search, own.held = Slot(), Slot(), Share(self.held, key)
+        if row is None:
+            return
+        own.flow.held, (next_seq, tail, seqs) = row[len(TUPLE_KEY) : -3], row[-3:]
+        if next_seq is not None:
+            self.large = tail is None
+            tail = self.tails.getValue(key)[0] if self.large else tail
+            own.search.held = (None, next_seq, tail, len(seqs))
+            own.held.seqs.update(seqs)
+
+    def _closed(self, key: tuple) -> tuple:
+        """The meter's state of a conversation as a row; a long tail has an entry of its own."""
+        own = self.own
+        next_seq, tail, seqs = None, None, None
+        if own.search.held is not None:
+            _, next_seq, tail, _ = own.search.held
+            seqs = sorted(own.held.seqs)
+        if tail is not None and len(tail) > INLINE_BYTES:
+            self.tails.updateValue(key, (tail,))
+            tail = None
+        elif self.large:
+            self.tails.removeKey(key)
+        return (*key, *own.flow.held, next_seq, tail, seqs)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        payloads, found = Payloads(self.parked), {}
+        for frame in rows:
+            keys = zip(*[_whole(frame[c]) for c in TUPLE_KEY])
+            for conversation, (*chunk, payload) in zip(keys, zip(*[frame[c] for c in CHUNK_COLUMNS])):
+                found.setdefault(conversation, []).append((*chunk, payloads.put(payload)))
+        if not found:
+            return
+        state = {row[: len(TUPLE_KEY)]: row for row in self.flows.get()}
+        told = []
+        for conversation in found:
+            self._opened(conversation, state.get(conversation))
+            for flows, final in self.own.metered(conversation, found[conversation], payloads, timerValues):
+                told += [(conversation, row, final) for row in flows]
+                if len(told) >= TOLD_ROWS:
+                    yield _frame(told)
+                    told = []
+            state[conversation] = self._closed(conversation)
+            found[conversation] = None
+        self.flows.put(list(state.values()))
+        if told:
+            yield _frame(told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        told = []
+        for row in self.flows.get():
+            conversation = row[: len(TUPLE_KEY)]
+            if row[TIMER_AT] == expiredTimerInfo.getExpiryTimeInMs():
+                self._opened(conversation, row)
+                told += [(conversation, flow, False) for flow in self.own.expired(conversation, row[TIMER_AT])]
+        if told:
+            yield _frame(told)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        rows = []
+        keys = zip(*[_whole(initialState[c]) for c in TUPLE_KEY])
+        for conversation, row in zip(keys, initialState.to_dict("records")):
+            self._opened(conversation, None)
+            self.own.begin(conversation, row)
+            rows.append(self._closed(conversation))
+        self.flows.appendList(rows)
+
+    def close(self) -> None:
+        pass
 
 
 def _steps(packets: np.ndarray, segments: np.ndarray, payload: bytes) -> Iterator[Part]:
@@ -194,15 +346,22 @@ def _plain(value):
     return value.item() if isinstance(value, np.generic) else value
 
 
-def _frame(key: tuple, rows: list[dict], final: bool) -> pd.DataFrame:
-    out = pd.DataFrame([{n: r[n] for n in EMITTED} for r in rows])
+def _whole(column: pd.Series) -> list:
+    """Key values in the types of the state; whole numbers with nulls come as floats."""
+    return [None if v != v else int(v) for v in column] if column.dtype.kind == "f" else column.tolist()
+
+
+def _frame(told: list[tuple[tuple, dict, bool]]) -> pd.DataFrame:
+    """Flow versions (conversation, row, final) as output rows."""
+    keys, rows, final = zip(*told)
+    out = pd.DataFrame(dict(zip(TUPLE_KEY, map(list, zip(*keys)))))
+    for name in EMITTED:
+        out[name] = [r[name] for r in rows]
     out["client_is_lo"] = out["client_is_lo"].astype(bool)
     hellos = [r["hello"] or dict.fromkeys(HELLO_FIELDS) for r in rows]
     for name in HELLO_FIELDS:
         out[name] = pd.Series([h[name] for h in hellos], dtype="Int32" if name == "legacy_version" else object)
     out["final"] = final
-    for place, name in enumerate(TUPLE_KEY):
-        out.insert(place, name, key[place])
     return out
 
 
@@ -229,6 +388,7 @@ def meter_stream(
     emit_open: bool = True,
     open_after_ms: int | None = None,
     initial: DataFrame | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Flow versions of a packet stream, with ``hello`` if ``with_tls``; write it in update mode.
 
@@ -241,12 +401,13 @@ def meter_stream(
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     # Chunks are large rows: a batch of them is bounded by its bytes.
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    versions = packed_chunks(packets, with_tls).groupBy(*TUPLE_KEY).transformWithStateInPandas(
-        statefulProcessor=FlowProcessor(timeout_ns, emit_open, open_after_ms),
+    bucket = F.pmod(F.xxhash64(*TUPLE_KEY), F.lit(buckets)).cast("int").alias("bucket")
+    versions = packed_chunks(packets, with_tls).select(bucket, "*").groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=BucketProcessor(timeout_ns, emit_open, open_after_ms),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Update",
         timeMode="None" if open_after_ms is None else "ProcessingTime",
-        initialState=None if initial is None else initial.groupBy(*TUPLE_KEY),
+        initialState=None if initial is None else initial.select(bucket, "*").groupBy("bucket"),
     )
     return _flow_columns(versions).select(*FLOW_COLUMNS, *["hello"] * with_tls, "final")
 
@@ -254,7 +415,7 @@ def meter_stream(
 def open_flows(spark: SparkSession, checkpoint: str, *, with_tls: bool = False) -> DataFrame:
     """Flows that are open in the state of a stopped query."""
     state = spark.read.format("statestore").option("stateVarName", "flow").load(checkpoint)
-    rows = state.select("key.*", "value.*").filter("is_open = 1").withColumn("client_is_lo", F.col("client_is_lo") == 1)
+    rows = state.select("list_element.*").filter("is_open = 1").withColumn("client_is_lo", F.col("client_is_lo") == 1)
     instance = F.when(F.col("client_is_lo"), F.col("lo_flows")).otherwise(F.col("hi_flows")) - 1
     return _flow_columns(rows.withColumn("flow_instance", instance)).select(*FLOW_COLUMNS, *["hello"] * with_tls)
 

@@ -170,6 +170,51 @@ def test_each_cut_into_micro_batches_gives_the_same(monkeypatch):
     assert waited > 0 and whole.variables["flow"].held[len(STATE_FIELDS + SUMS) + 1] == 0x0303
 
 
+class Bucket(Store):
+    """State variables of a bucket, with the number of calls that its list takes."""
+
+    def getListState(self, name, schema):
+        return self.variables.setdefault(name, Rows())
+
+
+class Rows:
+    def __init__(self):
+        self.held, self.calls = [], 0
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.held))
+
+    def put(self, rows):
+        self.held, self.calls = list(rows), self.calls + 1
+
+
+def test_a_bucket_takes_one_read_and_one_write_however_many_conversations(monkeypatch):
+    """The flows are those of each conversation alone, with long tails and payloads in the store as well."""
+    monkeypatch.setattr(meter, "INLINE_BYTES", 8)
+    monkeypatch.setattr(meter, "PARK_BYTES", 500)
+    keys = [("c", "a", port, "b", 2, 6) for port in range(40)]
+    talks = {key: talk(60, HELLO, 11, loss=0.9, seed=i, syn_every=45) for i, key in enumerate(keys)}
+    wide, stores, got, want = Bucket(), {key: Store() for key in keys}, [], []
+    for begin in range(0, 60, 10):
+        parts = []
+        for key, rows in talks.items():
+            part = rows[begin : begin + 10]
+            parts.append(pack(pa.RecordBatch.from_pandas(part.assign(**dict(zip(TUPLE_KEY, key))), preserve_index=False), True).to_pandas())
+            want += list(processor(stores[key]).handleInputRows(key, iter([chunked(part)]), clock()))
+        own = meter.BucketProcessor(120_000_000_000, False, None)
+        own.init(wide)
+        frames = list(own.handleInputRows((3,), iter([pd.concat(parts[::2]), pd.concat(parts[1::2])]), clock()))
+        assert len(frames) <= 1
+        got += frames
+    assert wide.variables["flow"].calls == 2 * 6
+    order = ["lo_port", "open_pkt"]
+    got, want = (pd.concat(x).sort_values(order, ignore_index=True) for x in (got, want))
+    pd.testing.assert_frame_equal(got, want)
+    states = {row[:6]: row[6:-3] for row in wide.variables["flow"].held}
+    assert states == {key: store.variables["flow"].held for key, store in stores.items()} and not wide.variables["parked"]
+
+
 def test_flows_that_stay_open_are_told_once():
     rows = talk(30, b"", 5)
     store = Store()
