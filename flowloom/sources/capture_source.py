@@ -1,13 +1,13 @@
 """Captures as Spark data sources, for batch and stream, and files as a sink.
 
 ``spark.read.format("capture")`` gives frames (FRAME_SCHEMA) of a folder's captures or, with the option
-``report = problems``, the places that yield none. One task reads one file, unless ``located`` names
-a table of ``capture_frames``, which cuts large files in ranges. Conditions on ``capture_id`` leave out files,
+``report = problems``, the places that yield none. A file is read by one task, unless ``located`` names
+a table of ``capture_frames``, which cuts large files in ranges; a task reads a file of that table. Small files and ranges share tasks. Conditions on ``capture_id`` leave out files,
 and those on ``ts_ns`` frames, before rows are made of them.
 
 ``spark.readStream.format("capture")`` follows the captures of a folder as they grow. An offset is, per file, the
 byte position behind the last whole record; a record that is not whole yet waits for a later trigger. ``max_bytes`` is
-about what one task takes of a file.
+about what a range of a file has.
 
 ``df.write.format("blobs")`` writes rows (name, content) as files, the reverse of Spark's ``binaryFile``: each
 under a hidden name first, and under its own when all tasks are done.
@@ -41,8 +41,8 @@ from pyspark.sql.datasource import (
 
 from flowloom.functions import capture_format as cf
 from flowloom.schema import FRAME_SCHEMA
-from flowloom.session import scratch_folder, ship_package
-from flowloom.sources.captures import RANGE_BYTES, Problem, _open, capture_ranges, frame_batches, frames_of, numbered_ranges
+from flowloom.session import durable, scratch_folder, ship_package
+from flowloom.sources.captures import OPEN_BYTES, RANGE_BYTES, Problem, _open, capture_ranges, frame_batches, frames_of, numbered_ranges, spread, task_bytes
 
 PROBLEM_SCHEMA = "path string, offset long, error string"
 MAX_BYTES = 256 << 20
@@ -63,7 +63,7 @@ def _files(path: str) -> list[tuple[str, int]]:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     length: int
     begin: int | None
@@ -77,6 +77,35 @@ class Range(InputPartition):
         return {"path": self.path, "length": self.length, "begin": begin, "stop": self.stop, "first_no": self.first_no, "context": self.context}
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What a task reads: ranges, or a file of located ones."""
+
+    listed: list[Range]
+    located: str | None = None
+
+    def each(self) -> Iterator[Range]:
+        if self.located is None:
+            return iter(self.listed)
+        system, name = _system(self.located)
+        rows = ds.dataset(name, format="parquet", filesystem=system).to_table().to_pylist()
+        return (Range(r["path"], r["length"], r["begin"], r["stop"], r["first_no"], r["context"], r.get("error")) for r in rows)
+
+
+def _dealt(ranges: list[Range]) -> list[Ranges]:
+    """Neighbouring ranges to tasks of about the same size."""
+    sizes = [r.stop - (r.begin or 0) + OPEN_BYTES for r in ranges]
+    most = task_bytes(len(ranges), sum(sizes) - len(ranges) * OPEN_BYTES)
+    found, held = [], 0
+    for r, size in zip(ranges, sizes):
+        if not found or held + size > most:
+            found.append(Ranges([]))
+            held = 0
+        found[-1].listed.append(r)
+        held += size
+    return found
+
+
 @dataclass
 class Span:
     """Timestamps that conditions leave."""
@@ -123,26 +152,32 @@ class CaptureReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         if "located" in self.options:
-            system, name = _system(self.options["located"])
-            rows = ds.dataset(name, format="parquet", filesystem=system).to_table().to_pylist()
-            found = [Range(r["path"], r["length"], r["begin"], r["stop"], r["first_no"], r["context"], r.get("error")) for r in rows]
-        else:
-            found = [Range(path, size, None, size) for path, size in _files(self.options["path"])]
-        return [r for r in found if self.only is None or r.path in self.only]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        problems = self.options.get("report") == "problems"
-        try:
-            row = partition.row()
-        except (cf.Broken, OSError) as problem:
-            if problems:
-                yield self._told(partition.path, [Problem(0, f"unreadable: {problem or 'unknown format'}")])
+            return [Ranges([], path) for path, _ in _files(self.options["located"])]
+        found = [Range(path, size, None, size) for path, size in _files(self.options["path"])]
+        return _dealt([r for r in found if self.only is None or r.path in self.only])
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        ranges = (r for r in partition.each() if self.only is None or r.path in self.only)
+        if self.options.get("report") == "problems":
+            for r in ranges:
+                yield self._told(r.path, self._problems(r))
             return
-        if not problems:
-            yield from frame_batches(frames_of(row, self.span.has))
+        yield from frame_batches(frame for r in ranges for frame in self._frames(r))
+
+    def _frames(self, r: Range) -> Iterator[tuple | Problem]:
+        try:
+            row = r.row()
+        except (cf.Broken, OSError):
             return
+        yield from frames_of(row, self.span.has)
+
+    def _problems(self, r: Range) -> list[Problem]:
+        try:
+            row = r.row()
+        except (cf.Broken, OSError) as problem:
+            return [Problem(0, f"unreadable: {problem or 'unknown format'}")]
         # A file's own break-off is told by the range it lies in.
-        yield self._told(partition.path, [p for p in frames_of(row, lambda _: False) if isinstance(p, Problem)])
+        return [p for p in frames_of(row, lambda _: False) if isinstance(p, Problem)]
 
     def _told(self, path: str, problems: list[Problem]) -> pa.RecordBatch:
         arrays = [pa.array([path] * len(problems), pa.string()), pa.array([p.offset for p in problems], pa.int64()), pa.array([p.error for p in problems], pa.string())]
@@ -203,7 +238,9 @@ class CaptureStreamReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         for path, size in _files(self.path):
-            self.walks.setdefault(path, Walk(self.max_bytes)).go_on(path, size)
+            walk = self.walks.setdefault(path, Walk(self.max_bytes))
+            if not walk.marks or walk.marks[-1].at < size:
+                walk.go_on(path, size)
         return {path: w.marks[-1].at for path, w in self.walks.items() if w.marks}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
@@ -220,10 +257,10 @@ class CaptureStreamReader(DataSourceStreamReader):
                 walk.go_on(path, to, (since,))
             marks = [m for m in walk.marks if since <= m.at <= to]
             found += [Range(path, to, a.at, b.at, a.number, a.notes) for a, b in zip(marks, marks[1:])]
-        return found
+        return _dealt(found)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from frame_batches(frames_of(partition.row()))
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        yield from frame_batches(frame for r in partition.each() for frame in frames_of(r.row()))
 
 
 class BlobSink(DataSource):
@@ -279,7 +316,7 @@ def register(spark: SparkSession) -> None:
 
 def _located(spark: SparkSession, paths: Sequence[str], range_bytes: int) -> str:
     folder = scratch_folder(spark, "capture-ranges")
-    numbered_ranges(capture_ranges(spark, *paths, range_bytes=range_bytes)).write.parquet(folder)
+    spread(durable(numbered_ranges(capture_ranges(spark, *paths, range_bytes=range_bytes)))).write.parquet(folder)
     return folder
 
 

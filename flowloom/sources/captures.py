@@ -26,6 +26,9 @@ from flowloom.session import durable
 RANGE_BYTES = 128 << 20
 BATCH_BYTES = 16 << 20
 MAX_TASKS = 50_000
+# Small ranges share tasks: at least this many tasks, and opening a file counts as so many bytes.
+LEAST_TASKS = 256
+OPEN_BYTES = 64 << 10
 # Where a file that breaks off "continues": behind all of its ranges.
 NOWHERE = 1 << 62
 BREAKS_OFF = "breaks off: the record does not fit the file"
@@ -89,9 +92,16 @@ def _located_schema() -> pa.Schema:
     return pa.schema([(n, types.get(t, pa.list_(note))) for n, t in fields])
 
 
-def _spread(ranges: DataFrame, count: int) -> DataFrame:
-    """One range per task as far as possible; the rows are tiny, but the work is not."""
-    return ranges.repartition(max(1, min(count, MAX_TASKS)), "path", "range_no")
+def task_bytes(count: int, size: int) -> int:
+    """What a task reads of ``count`` ranges of ``size`` bytes in all, each with ``OPEN_BYTES`` on top."""
+    return max(1, min(RANGE_BYTES, (size + count * OPEN_BYTES) // LEAST_TASKS))
+
+
+def spread(ranges: DataFrame) -> DataFrame:
+    """Ranges in tasks of about 128 MB, and in many tasks where they are less; the rows are tiny, but the work is not."""
+    count, size = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.col("stop") - F.coalesce(*[F.col(c) for c in ("start", "begin") if c in ranges.columns]), F.lit(0))), F.lit(0))).first()
+    wanted = -(-(size + count * OPEN_BYTES) // task_bytes(count, size))
+    return ranges.repartition(max(1, min(count, wanted, MAX_TASKS)), "path", "range_no")
 
 
 def capture_ranges(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -108,7 +118,7 @@ def capture_ranges(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BY
         F.lit(None).cast("string").alias("order"),
     )
     ranges = durable(ranges)
-    located = durable(_spread(ranges, ranges.count()).mapInArrow(_locate, LOCATED))
+    located = durable(spread(ranges).mapInArrow(_locate, LOCATED))
     along = Window.partitionBy("path").orderBy("range_no")
     while True:
         expected = F.coalesce(F.lag("landing").over(along), F.col("begin"))
@@ -120,11 +130,10 @@ def capture_ranges(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BY
         )
         checked = durable(checked)
         wrong = checked.filter("wrong")
-        count = wrong.count()
-        if count == 0:
+        if wrong.isEmpty():
             return located
         again = wrong.withColumns({"begin": F.col("expected"), "order": F.col("expected_order")})
-        again = _spread(again.select(*RANGE_COLUMNS), count).mapInArrow(_locate, LOCATED)
+        again = spread(again.select(*RANGE_COLUMNS)).mapInArrow(_locate, LOCATED)
         kept = checked.filter("not wrong").select(*located.columns)
         located = durable(kept.unionByName(again))
 
@@ -233,4 +242,4 @@ def numbered_ranges(located: DataFrame) -> DataFrame:
 def read_captures(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Frames (FRAME_SCHEMA) of all captures; capture_id is the file, pkt_no the position."""
     tasks = durable(numbered_ranges(capture_ranges(spark, *paths, range_bytes=range_bytes)))
-    return _spread(tasks, tasks.count()).mapInArrow(_read, FRAME_SCHEMA)
+    return spread(tasks).mapInArrow(_read, FRAME_SCHEMA)

@@ -341,3 +341,16 @@ def test_blobs_are_files(spark, tmp_path):
     rows = [(f"f{i}", bytes([i]) * i) for i in range(5)]
     spark.createDataFrame(rows, "name string, content binary").write.format("blobs").mode("append").save(str(tmp_path / "x"))
     assert {p.name: p.read_bytes() for p in (tmp_path / "x").iterdir()} == dict(rows)
+
+
+def test_small_ranges_share_tasks():
+    """Each range is read once, by few tasks; large ones have a task each."""
+    from flowloom.sources.capture_source import Range, _dealt
+
+    small = [Range(f"f{i // 15}", 61_440, 4096 * (i % 15), 4096 * (i % 15 + 1)) for i in range(60_000)]
+    dealt = _dealt(small)
+    assert [r for part in dealt for r in part.listed] == small
+    assert len(dealt) < 600
+    large = [Range(f"g{i}", 128 << 20, None, 128 << 20) for i in range(5)]
+    assert [len(part.listed) for part in _dealt(large)] == [1] * 5
+    assert _dealt([]) == []
