@@ -4,7 +4,7 @@ Two multinomials over hashed unigrams and bigrams, one of trusted target texts a
 corpus, give each bucket a log-ratio in thousandths. A document's verdict is the sum over its n-grams
 divided by their number, held against a threshold: whole numbers only, so it does not depend on order
 or machine. The raw counts and every verdict cover all texts whole. The target counts and the threshold (the
-0.2 % quantile of the trusted texts' means, less a slack) use at most ``TARGET_ROWS`` labelled documents.
+0.2 % quantile of the trusted texts' means, less a slack) cover all trusted texts whole.
 
 Tokens are runs of letters and digits, or of punctuation. Everything is DataFrame expressions: arrays
 stay inside their row, so texts are never shuffled; only bucket counts are.
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from flowloom.llm.inputs import columns, written
 
 BUCKETS = 8_192
-TARGET_ROWS = 20_000
 SMOOTHING = 0.05
 DEAD_ZONE = 0.5
 QUANTILE, SLACK = 0.002, 100
@@ -95,19 +94,19 @@ def with_ngrams(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return df.withColumn("_grams", grams).drop("_hashes")
 
 
-def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """At most ``rows`` documents labelled good and not toxic, those of the smallest hash."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The documents labelled good and not toxic."""
     good = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("trusted_id")).agg(F.min(good).alias("good"))
-    return known.where("good").orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(rows).select("trusted_id")
+    return known.where("good").select("trusted_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> tuple[list[int], int]:
     """Log-ratio of each bucket in thousandths, and the least mean that passes."""
     narrow = columns(docs, doc_id=id_col, text=text_col)
     trusted = written(trusted_ids(labels), "trusted")
-    # Bounded by TARGET_ROWS.
-    marked = narrow.join(F.broadcast(trusted), narrow["doc_id"] == trusted["trusted_id"], "left")
+    # As many as are labelled: Spark broadcasts them while they are small.
+    marked = narrow.join(trusted, narrow["doc_id"] == trusted["trusted_id"], "left")
     # The outer form, as the plain one would test the array's size first and so compute it twice.
     grams = with_ngrams(marked, buckets).select(F.col("trusted_id").isNotNull().alias("target"), F.explode_outer("_grams").alias("bucket"))
     counts = grams.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.count(F.when(F.col("target"), 1)).alias("goal"))

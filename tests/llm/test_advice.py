@@ -178,3 +178,10 @@ def test_near_copies_are_named(spark):
         assert found[d].n_within == sum(n for (apart, _), n in near.items() if apart <= 3)
         named += found[d + 1].fingerprint in {r.fingerprint for r in found[d].near}
     assert named >= 19 and found[1].near is None
+
+
+def test_all_trusted_documents_count(spark):
+    from flowloom.llm import ngram_rules
+
+    labels = spark.range(20_500).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert ngram_rules.trusted_ids(labels).count() == 20_500
