@@ -7,7 +7,8 @@ or machine. The raw counts and every verdict cover all texts whole. The target c
 0.2 % quantile of the trusted texts' means, less a slack) cover all trusted texts whole.
 
 Tokens are runs of letters and digits, or of punctuation. Everything is DataFrame expressions: arrays
-stay inside their row, so texts are never shuffled; only bucket counts are.
+stay inside their row. Bucket counts are shuffled, and once the texts of trusted documents, which a bitmap of their ids picks
+out (with few others); all other texts stay where they are.
 
 Cases: a null text has no words and fails the base rules, as an empty one does; no labels or no trusted
 documents: every log-ratio is 0 and the base rules decide; repeated rows each get a row; an empty table
@@ -22,6 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions.bitmaps import marked
 from flowloom.llm.inputs import columns, written
 
 BUCKETS = 8_192
@@ -101,14 +103,24 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return known.where("good").select("trusted_id")
 
 
+def maybe_trusted(narrow: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``narrow`` with ``maybe``: true for all rows whose doc_id is trusted, and for few others."""
+    # As text, the numbers of both tables hash alike whatever their types.
+    keys = trusted.select(F.xxhash64(F.col("trusted_id").cast("string")).alias("_key"))
+    keyed = narrow.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string")))
+    return marked(keyed, keys, trusted.count(), key="_key", flag="maybe").drop("_key")
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> tuple[list[int], int]:
     """Log-ratio of each bucket in thousandths, and the least mean that passes."""
     narrow = columns(docs, doc_id=id_col, text=text_col)
     trusted = written(trusted_ids(labels), "trusted")
-    # As many as are labelled: Spark broadcasts them while they are small.
-    marked = narrow.join(trusted, narrow["doc_id"] == trusted["trusted_id"], "left")
+    maybe = maybe_trusted(narrow, trusted)
+    # Only texts of documents that may be trusted are shuffled.
+    told = maybe.where("maybe").join(trusted, F.col("doc_id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("target"))
+    told = told.unionByName(maybe.where("not maybe").select("text", F.lit(False).alias("target")))
     # The outer form, as the plain one would test the array's size first and so compute it twice.
-    grams = with_ngrams(marked, buckets).select(F.col("trusted_id").isNotNull().alias("target"), F.explode_outer("_grams").alias("bucket"))
+    grams = with_ngrams(told, buckets).select("target", F.explode_outer("_grams").alias("bucket"))
     counts = grams.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.count(F.when(F.col("target"), 1)).alias("goal"))
     raw, goal = [0] * buckets, [0] * buckets
     for row in counts.collect():
@@ -116,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     scores = bucket_scores(raw, goal)
     if not any(goal):
         return scores, 0
-    passed = with_mean_score(marked.where("trusted_id is not null"), scores)
+    means = with_mean_score(maybe.where("maybe"), scores).select("doc_id", "mean_score")
+    passed = means.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi")
     cut = passed.agg(F.percentile("mean_score", F.lit(QUANTILE))).first()[0]
     return scores, math.floor(cut or 0) - SLACK
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowloom.functions import tls
+from flowloom.functions.bitmaps import marked
 from flowloom.functions.reassembly import ClientStream
 from flowloom.operators import tuples
 from flowloom.operators.meter import METER_COLUMNS, measure_flows
@@ -48,9 +49,6 @@ STATE_SCHEMA = T.StructType(
 )
 # pkt_no of the row that carries the state of a flow into the next round.
 STATE_ROW = -1
-# Bits of a bitmap row, fixed by Spark, and of all of them at most (32 MB).
-BUCKET_BITS = 1 << 15
-MOST_BITS = 1 << 28
 
 
 def client_payloads(labelled: DataFrame) -> DataFrame:
@@ -126,17 +124,10 @@ def eligible_payloads(packets: DataFrame, index: DataFrame, talks: int) -> DataF
     A bitmap of the conversations' hashes, ``talks`` of them, goes to all tasks, so that the payloads of the
     rest never enter a shuffle.
     """
-    bits = min(MOST_BITS, max(BUCKET_BITS, 1 << (16 * max(talks, 1) - 1).bit_length()))
-    at = F.col("talk").bitwiseAND(F.lit(bits - 1)) + 1
-    rows = index.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     sent = packets.filter(tuples.is_tcp() & (F.col("payload_len") > 0))
     names = ["capture_id", "pkt_no", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "payload"]
     sent = tuples.with_tuple(sent.select(*names)).select("capture_id", "pkt_no", "payload", F.xxhash64(*TUPLE_KEY).alias("talk"))
-    place = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring("bits", (F.expr("place div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = sent.withColumns({"bucket": F.bitmap_bucket_number(at), "place": place}).join(F.broadcast(rows), "bucket")
-    is_set = F.shiftrightunsigned(byte, 0).bitwiseAND(F.expr("cast(shiftleft(1, cast(place % 8 as int)) as int)")) != 0
-    return met.filter(is_set).select("capture_id", "pkt_no", "payload")
+    return marked(sent, index, talks, key="talk", flag="met").filter("met").select("capture_id", "pkt_no", "payload")
 
 
 def continuing(states: DataFrame, later: DataFrame) -> DataFrame:
