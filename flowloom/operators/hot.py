@@ -15,10 +15,11 @@ ends the round. The first step of a round is an exact minimum over all records.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,15 +167,50 @@ def walk_slices(
         here = int(ts[i])
 
 
-def _walker(timeout_ns: int):
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ts_ns", ignore_index=True)
-        ts = group["ts_ns"].to_numpy()
-        head = group.iloc[0]
-        picked = walk_slices(ts, int(head["at"]), int(head["next_ts"]), timeout_ns, int(head["width"]))
-        return group.iloc[picked][PIECE_KEY + ["pkt_no", "ts_ns"]]
+def _codes(column: pa.Array) -> np.ndarray:
+    """Numbers that tell the values of a column apart."""
+    return column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _begins(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows of a sorted batch at which another piece begins, the first row included."""
+    keys = [_codes(batch.column(c)) for c in PIECE_KEY]
+    changed = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.concatenate([[0], np.flatnonzero(changed) + 1])
 
-    return walk
+
+def _walker(timeout_ns: int):
+    """Walks the pieces of a partition that is sorted by PIECE_KEY and ts_ns, one after the other."""
+
+    def walk(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ts, at, next_ts, width = (whole.column(c).to_numpy() for c in ("ts_ns", "at", "next_ts", "width"))
+        begins = _begins(whole)
+        picked = []
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(ts)]):
+            cuts = walk_slices(ts[begin:end], int(at[begin]), int(next_ts[begin]), timeout_ns, int(width[begin]))
+            picked.extend(begin + i for i in cuts)
+        return whole.select(PIECE_KEY + ["pkt_no", "ts_ns"]).take(pa.array(picked, pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A piece may span batches: its rows are held, at most as many as one round gives a task.
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begins, keys = _begins(batch), batch.select(PIECE_KEY)
+            if held and list(keys.slice(0, 1).to_pylist()[0].values()) != last:
+                yield walk(held)
+                held = []
+            if begins[-1]:
+                yield walk([*held, batch.slice(0, begins[-1])])
+                held = []
+            held.append(batch.slice(begins[-1]))
+            last = list(keys.slice(batch.num_rows - 1).to_pylist()[0].values())
+        if held:
+            yield walk(held)
+
+    return run
 
 
 def _phase_bucket(phase: Column) -> Column:
@@ -218,8 +254,9 @@ def walk_round(records: DataFrame, active: DataFrame, timeout_ns: int, rows: int
         records.join(active.join(plan, PIECE_KEY), spread)
         .filter((F.col("ts_ns") > F.col("next_ts")) & (phase < F.col("width")))
         .select(*PIECE_KEY, "pkt_no", "ts_ns", "at", "next_ts", "width")
-        .groupBy(*PIECE_KEY)
-        .applyInPandas(_walker(timeout_ns), CUT_SCHEMA)
+        .repartition(*PIECE_KEY)
+        .sortWithinPartitions(*PIECE_KEY, "ts_ns")
+        .mapInArrow(_walker(timeout_ns), CUT_SCHEMA)
     )
     return durable(first.unionByName(more))
 
