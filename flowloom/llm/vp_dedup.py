@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions.bitmaps import marked
 from flowloom.llm.graph import components
 from flowloom.llm.inputs import in_slices, task_count, texts, tidied, written
 
@@ -39,6 +40,8 @@ BRUTE_POINTS = 512
 STAGE_POINTS = 1 << 19
 # Rows of one point that are compared pair by pair.
 CROWD = 64
+# Links that are compared, and given back, at a time.
+PART_LINKS = 1 << 18
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -141,8 +144,8 @@ class Classes:
                 self.root = self.root[self.root]
 
 
-def close_pairs(points: np.ndarray, homes: np.ndarray, others: np.ndarray, radius: int, found, rng=None) -> None:
-    """Calls ``found(a, b)`` with positions of pairs (home, other) within the radius, branch by branch."""
+def close_parts(points: np.ndarray, homes: np.ndarray, others: np.ndarray, radius: int, rng=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b) of pairs (home, other) within the radius, branch by branch."""
     rng = rng or np.random.default_rng(0)
     if not len(homes) or not len(others):
         return
@@ -157,22 +160,28 @@ def close_pairs(points: np.ndarray, homes: np.ndarray, others: np.ndarray, radiu
         # Go on only while the split saves work.
         if sum(len(h) * len(o) for h, o in sides) < 0.95 * len(homes) * len(others):
             for h, o in sides:
-                close_pairs(points, h, o, radius, found, rng)
+                yield from close_parts(points, h, o, radius, rng)
             return
     step = max(1, (1 << 22) // max(1, len(others)))
     for begin in range(0, len(homes), step):
         h = homes[begin : begin + step]
         a, b = np.nonzero(np.bitwise_count(points[h][:, None] ^ points[others][None, :]) <= radius)
         a, b = h[a], others[b]
-        found(a[a != b], b[a != b])
+        yield a[a != b], b[a != b]
+
+
+def close_pairs(points: np.ndarray, homes: np.ndarray, others: np.ndarray, radius: int, found) -> None:
+    """Calls ``found(a, b)`` with the parts of ``close_parts``."""
+    for a, b in close_parts(points, homes, others, radius):
+        found(a, b)
 
 
 def leaf_rows(points: DataFrame, radius: int, *, leaf_points: int = LEAF_POINTS) -> DataFrame:
-    """Rows (view, leaf, row block, column block, home, point, node[, sketch]) for the leaf tasks.
+    """Rows (view, leaf, row block, column block, home, point, node[, sketch][, class]) for the leaf tasks.
 
     ``points`` is a durable table of (view, point) with the node that stands for it.
     """
-    spark, sketched = points.sparkSession, "sketch" in points.columns
+    spark = points.sparkSession
     sizes = {r["view"]: r["n"] for r in points.groupBy("view").agg(F.count("*").alias("n")).collect()}
     trees = {}
     depth = {v: min(MOST_LEAVES, max(1, n // leaf_points)).bit_length() - 1 for v, n in sizes.items()}
@@ -187,8 +196,9 @@ def leaf_rows(points: DataFrame, radius: int, *, leaf_points: int = LEAF_POINTS)
         trees[v] = VantageTree(own.view(np.uint64), d if len(own) else 0, seed=v)
     trees = spark.sparkContext.broadcast(trees)
     # Leaves above the size are cut: their homes into row blocks, all their points into column blocks.
-    schema = "view int, leaf int, home boolean, point long, node long" + ", sketch binary" * sketched
-    carried = ["point", "node"] + ["sketch"] * sketched
+    kinds = {"point": "long", "node": "long", "sketch": "binary", "class": "long"}
+    carried = [c for c in kinds if c in points.columns]
+    schema = ", ".join(["view int, leaf int, home boolean", *[f"{c} {kinds[c]}" for c in carried]])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,6 +343,69 @@ def candidate_links(points: DataFrame, radius: int, sketch_radius: int, *, leaf_
     return dealt.groupBy("view", "leaf", "i", "j").applyInArrow(search, "a long, b long").distinct()
 
 
+def parts(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of entries whose sizes add up to at most ``PART_LINKS``, or of one entry."""
+    ends, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + PART_LINKS, side="right")))
+        yield slice(begin, end)
+        begin = end
+
+
+def runs(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... of each size, one after the other."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def other_candidates(points: DataFrame, radius: int, sketch_radius: int, *, leaf_points: int) -> DataFrame:
+    """All candidate links (a, b), a < b, whose ends differ in ``class``: none is left out, however many there are.
+
+    Rows of one point and class are searched as one, so a large group whose classes are joined already costs little.
+    Links are given back in parts of bounded size.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches))
+        if not len(group):
+            return
+        node, own, spots = (group.column(c).to_numpy() for c in ("node", "class", "point"))
+        home, other = (group.column(c).to_numpy(zero_copy_only=False) for c in ("home", "other"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), SKETCH_BITS // 64)
+        # A unit is the rows of one point and class.
+        by_spot, by_class = (np.unique(x, return_inverse=True)[1] for x in (spots, own))
+        _, first, unit = np.unique(by_spot * len(own) + by_class, return_index=True, return_inverse=True)
+        at, unit_class = spots[first].view(np.uint64), own[first]
+        homes, others = (np.flatnonzero(m)[np.argsort(unit[m], kind="stable")] for m in (home, other))
+        bounds = np.arange(len(first) + 1)
+        of_homes, of_others = np.searchsorted(unit[homes], bounds), np.searchsorted(unit[others], bounds)
+
+        def expanded(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Links between the home rows of units ``u`` and the other rows of units ``v``, pair by pair of units."""
+            wide, high = of_others[v + 1] - of_others[v], of_homes[u + 1] - of_homes[u]
+            # A home row of a pair of units is an entry; parts are runs of entries.
+            for some in parts(high):
+                pair = np.repeat(np.arange(len(u))[some], high[some])
+                a = homes[np.repeat(of_homes[u][some], high[some]) + runs(high[some])]
+                for part in parts(wide[pair]):
+                    n = wide[pair[part]]
+                    x = np.repeat(a[part], n)
+                    y = others[np.repeat(of_others[v][pair[part]], n) + runs(n)]
+                    on = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= sketch_radius
+                    x, y = node[x[on]], node[y[on]]
+                    links = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(links[:, 0], pa.int64()), pa.array(links[:, 1], pa.int64())], ["a", "b"])
+
+        for u, v in close_parts(at, np.unique(unit[homes]), np.unique(unit[others]), radius):
+            on = unit_class[u] != unit_class[v]
+            if on.any():
+                yield from expanded(u[on], v[on])
+
+    rows = leaf_rows(points, radius, leaf_points=leaf_points)
+    dealt = rows.repartition(task_count(points.sparkSession), "view", "leaf", "i", "j")
+    return dealt.groupBy("view", "leaf", "i", "j").applyInArrow(search, "a long, b long").distinct()
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits that tell texts apart; a null text is an empty one."""
     whole = F.coalesce(text.cast("string"), F.lit(""))
@@ -340,17 +413,20 @@ def text_key(text: Column) -> list[Column]:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the texts of ``nodes`` (node, least, key_1, key_2), written; ``docs`` is (doc_id, text)."""
+    """(node, n, shingles) of the texts of ``nodes`` (node, least, key_1, key_2), written; ``docs`` is (doc_id, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
             found = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+            counts = pa.array([len(f) for f in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), counts, pa.array(found, pa.list_(pa.int64()))], ["node", "n", "shingles"])
 
-    keyed = docs.select("doc_id", "text", *text_key(F.col("text"))).join(nodes, ["key_1", "key_2"])
+    # Only texts of ``nodes``, and few others, are shuffled.
+    keyed = marked(docs.select("doc_id", "text", *text_key(F.col("text"))), nodes, nodes.count(), key="key_1", flag="met").where("met").drop("met")
+    keyed = keyed.join(nodes, ["key_1", "key_2"])
     # Of copies the one with the smallest id, of repeated rows any: they have one text.
     one = keyed.where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.first("text").alias("text"))
-    return written(one.mapInArrow(each, "node long, shingles array<long>"), "shingle-sets")
+    return written(one.mapInArrow(each, "node long, n int, shingles array<long>"), "shingle-sets")
 
 
 def verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -358,6 +434,10 @@ def verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, size: int
     ends = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = shingle_sets(docs, written(nodes.join(ends, "node"), "similar-ends"), size)
     both = candidates
+    for end in ("a", "b"):
+        both = both.join(sets.select(F.col("node").alias(end), F.col("n").alias("n_" + end)), end)
+    # The smaller set holds no more than all that is shared, the larger no less than the joint one.
+    both = both.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
     for end in ("a", "b"):
         both = both.join(sets.select(F.col("node").alias(end), F.col("shingles").alias("of_" + end)), end)
     shared = F.size(F.array_intersect("of_a", "of_b"))
@@ -365,14 +445,23 @@ def verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, size: int
     return written(both.where((joint == 0) | (shared >= similarity * joint)).select("a", "b"), "similar-links")
 
 
+def between_classes(links: DataFrame, joined: DataFrame) -> DataFrame:
+    """The links (a, b) whose ends are in different classes of ``joined`` (node, component)."""
+    for end in ("a", "b"):
+        own = joined.select(F.col("node").alias(end), F.col("component").alias("of_" + end))
+        links = links.join(own, end, "left").withColumn("of_" + end, F.coalesce("of_" + end, end))
+    return links.where("of_a <> of_b").select("a", "b")
+
+
 def similar_texts(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, radius: int = 2, leaf_points: int = STAGE_POINTS) -> DataFrame:
     """(key_1, key_2, class, least, rows) of each distinct text of ``docs`` (doc_id, text).
 
     At a similarity of 0.8 two 64-bit fingerprints differ in some ten bits, where no sphere prunes. So there are
     ``VIEWS`` independent short fingerprints, each with a vantage-point tree of its own, and two texts are candidates
     if one view is within ``radius`` bits and their sketches agree. Candidates link if the exact Jaccard similarity
-    of their sets of shingles is high enough: first each text with its smallest neighbour, then
-    with the others where these are not in its class yet.
+    of their sets of shingles is high enough: first each text with its smallest neighbour, then with its nearest and
+    its leader, then with every other candidate, each time only where these are not in its class yet. So no
+    candidate is left out: it was compared, or its two texts are in one class.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,26 +475,30 @@ def similar_texts(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, ra
             raw = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, -1)
             points = np.ascontiguousarray(raw[:, :head]).view(">u4").astype(np.int64)
             sketch = pa.array([s.tobytes() for s in raw[:, head:]], pa.binary())
+            own = {"node": batch.column("node"), "sketch": sketch} | ({"class": batch.column("class")} if "class" in batch.schema.names else {})
             for view in range(VIEWS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, view), pa.int32()), pa.array(points[:, view]), batch.column("node"), sketch], ["view", "point", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, view), pa.int32()), pa.array(points[:, view]), *own.values()], ["view", "point", *own])
 
     keyed = docs.select("doc_id", "text", *text_key(F.col("text")))
     signed = keyed.mapInArrow(tidied(each), "doc_id long, key_1 long, key_2 long, signature binary")
     nodes = signed.groupBy("key_1", "key_2", "signature").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "signature-nodes")
-    points = written(nodes.select("node", "signature").mapInArrow(views, "view int, point long, node long, sketch binary"), "signature-points")
-    nodes = nodes.drop("signature")
+    signatures, nodes = nodes.select("node", "signature"), nodes.drop("signature")
+    points = written(signatures.mapInArrow(views, "view int, point long, node long, sketch binary"), "signature-points")
     found = written(candidate_links(points, radius, sketch_radius(similarity), leaf_points=leaf_points), "similar-candidates")
     first = found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     sure = verified(first, docs, nodes, size, similarity)
     joined = components(sure, "similar-classes")
-    more = found.join(first, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        own = joined.select(F.col("node").alias(end), F.col("component").alias("of_" + end))
-        more = more.join(own, end, "left").withColumn("of_" + end, F.coalesce("of_" + end, end))
-    more = written(more.where("of_a <> of_b").select("a", "b"), "similar-others")
+    more = written(between_classes(found.join(first, ["a", "b"], "left_anti"), joined), "similar-others")
     if not more.isEmpty():
-        joined = components(sure.unionByName(verified(more, docs, nodes, size, similarity)), "similar-classes")
+        sure = sure.unionByName(verified(more, docs, nodes, size, similarity))
+        joined = components(sure, "similar-classes")
+    classed = signatures.join(joined, "node", "left").select("node", "signature", F.coalesce("component", "node").alias("class"))
+    points = written(classed.mapInArrow(views, "view int, point long, node long, sketch binary, class long"), "signature-points")
+    rest = other_candidates(points, radius, sketch_radius(similarity), leaf_points=leaf_points)
+    rest = written(rest.join(found, ["a", "b"], "left_anti"), "similar-rest")
+    if not rest.isEmpty():
+        joined = components(sure.unionByName(verified(rest, docs, nodes, size, similarity)), "similar-classes")
     return nodes.join(joined, "node", "left").select("key_1", "key_2", F.coalesce("component", "node").alias("class"), "least", "rows")
 
 
