@@ -90,3 +90,12 @@ def test_links_between_classes_are_given_whole(spark):
     for leaf_points in (20, 1 << 19):
         found = [(r.a, r.b) for r in vp_dedup.other_candidates(points, 2, 126, leaf_points=leaf_points).collect()]
         assert len(found) == len(wanted) > 1000 and set(found) == wanted
+
+
+def test_kept_rows_with_clashing_columns_stay_as_they_are(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, 5, 6, 7), (2, words, 1, 2, 3), (None, words, 1, 1, 1), (4, "alone", 8, 9, 10), (4, None, 0, 0, 0), (4, None, 0, 0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, _bucket int, _bits int")
+    kept = vp_dedup.keep_one(docs)
+    assert kept.schema == docs.schema
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], *rows[3:]]))
