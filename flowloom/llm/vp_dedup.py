@@ -20,7 +20,7 @@ that is not null, or null if there is none; an empty table gives an empty result
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,9 @@ STAGE_POINTS = 1 << 19
 CROWD = 64
 # Links that are compared, and given back, at a time.
 PART_LINKS = 1 << 18
+# Parts of the space of hashes whose counts of shingles are compared, and how many such rows at a time.
+PARITY_BITS = 2048
+PART_ROWS = 1 << 14
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -177,7 +180,7 @@ def close_pairs(points: np.ndarray, homes: np.ndarray, others: np.ndarray, radiu
 
 
 def leaf_rows(points: DataFrame, radius: int, *, leaf_points: int = LEAF_POINTS) -> DataFrame:
-    """Rows (view, leaf, row block, column block, home, point, node[, sketch][, class]) for the leaf tasks.
+    """Rows (view, leaf, row block, column block, home, point, node[, sketch][, class][, n][, parity]) for the leaf tasks.
 
     ``points`` is a durable table of (view, point) with the node that stands for it.
     """
@@ -196,7 +199,7 @@ def leaf_rows(points: DataFrame, radius: int, *, leaf_points: int = LEAF_POINTS)
         trees[v] = VantageTree(own.view(np.uint64), d if len(own) else 0, seed=v)
     trees = spark.sparkContext.broadcast(trees)
     # Leaves above the size are cut: their homes into row blocks, all their points into column blocks.
-    kinds = {"point": "long", "node": "long", "sketch": "binary", "class": "long"}
+    kinds = {"point": "long", "node": "long", "sketch": "binary", "class": "long", "n": "int", "parity": "binary"}
     carried = [c for c in kinds if c in points.columns]
     schema = ", ".join(["view int, leaf int, home boolean", *[f"{c} {kinds[c]}" for c in carried]])
 
@@ -358,52 +361,105 @@ def runs(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def other_candidates(points: DataFrame, radius: int, sketch_radius: int, *, leaf_points: int) -> DataFrame:
-    """All candidate links (a, b), a < b, whose ends differ in ``class``: none is left out, however many there are.
+def other_pairs(group: pa.Table, radius: int, sketch_radius: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (home row, other row) of all candidates of a leaf whose ends differ in ``class``, in parts of bounded size.
 
     Rows of one point and class are searched as one, so a large group whose classes are joined already costs little.
-    Links are given back in parts of bounded size.
+    Pairs that ``wanted`` does not name are left out before their sketches are compared.
     """
+    own, spots = (group.column(c).to_numpy() for c in ("class", "point"))
+    home, other = (group.column(c).to_numpy(zero_copy_only=False) for c in ("home", "other"))
+    sketch = packed(group, "sketch", SKETCH_BITS)
+    # A unit is the rows of one point and class.
+    by_spot, by_class = (np.unique(x, return_inverse=True)[1] for x in (spots, own))
+    _, first, unit = np.unique(by_spot * len(own) + by_class, return_index=True, return_inverse=True)
+    at, unit_class = spots[first].view(np.uint64), own[first]
+    homes, others = (np.flatnonzero(m)[np.argsort(unit[m], kind="stable")] for m in (home, other))
+    bounds = np.arange(len(first) + 1)
+    of_homes, of_others = np.searchsorted(unit[homes], bounds), np.searchsorted(unit[others], bounds)
+
+    def expanded(u: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the home rows of units ``u`` and the other rows of units ``v``, pair by pair of units."""
+        wide, high = of_others[v + 1] - of_others[v], of_homes[u + 1] - of_homes[u]
+        # A home row of a pair of units is an entry; parts are runs of entries.
+        for some in parts(high):
+            pair = np.repeat(np.arange(len(u))[some], high[some])
+            a = homes[np.repeat(of_homes[u][some], high[some]) + runs(high[some])]
+            for part in parts(wide[pair]):
+                n = wide[pair[part]]
+                x = np.repeat(a[part], n)
+                y = others[np.repeat(of_others[v][pair[part]], n) + runs(n)]
+                on = wanted(x, y)
+                x, y = x[on], y[on]
+                on = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= sketch_radius
+                yield x[on], y[on]
+
+    for u, v in close_parts(at, np.unique(unit[homes]), np.unique(unit[others]), radius):
+        on = unit_class[u] != unit_class[v]
+        if on.any():
+            yield from expanded(u[on], v[on])
+
+
+def packed(group: pa.Table, column: str, bits: int) -> np.ndarray:
+    """A column of byte strings of one size as rows of 64-bit words."""
+    return np.frombuffer(b"".join(group.column(column).to_pylist()), np.uint64).reshape(group.num_rows, bits // 64)
+
+
+def by_leaf(points: DataFrame, radius: int, search: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, *, leaf_points: int) -> DataFrame:
+    """The distinct rows that ``search`` gives for the leaves of ``points``."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(list(batches))
-        if not len(group):
-            return
-        node, own, spots = (group.column(c).to_numpy() for c in ("node", "class", "point"))
-        home, other = (group.column(c).to_numpy(zero_copy_only=False) for c in ("home", "other"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), SKETCH_BITS // 64)
-        # A unit is the rows of one point and class.
-        by_spot, by_class = (np.unique(x, return_inverse=True)[1] for x in (spots, own))
-        _, first, unit = np.unique(by_spot * len(own) + by_class, return_index=True, return_inverse=True)
-        at, unit_class = spots[first].view(np.uint64), own[first]
-        homes, others = (np.flatnonzero(m)[np.argsort(unit[m], kind="stable")] for m in (home, other))
-        bounds = np.arange(len(first) + 1)
-        of_homes, of_others = np.searchsorted(unit[homes], bounds), np.searchsorted(unit[others], bounds)
-
-        def expanded(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Links between the home rows of units ``u`` and the other rows of units ``v``, pair by pair of units."""
-            wide, high = of_others[v + 1] - of_others[v], of_homes[u + 1] - of_homes[u]
-            # A home row of a pair of units is an entry; parts are runs of entries.
-            for some in parts(high):
-                pair = np.repeat(np.arange(len(u))[some], high[some])
-                a = homes[np.repeat(of_homes[u][some], high[some]) + runs(high[some])]
-                for part in parts(wide[pair]):
-                    n = wide[pair[part]]
-                    x = np.repeat(a[part], n)
-                    y = others[np.repeat(of_others[v][pair[part]], n) + runs(n)]
-                    on = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= sketch_radius
-                    x, y = node[x[on]], node[y[on]]
-                    links = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(links[:, 0], pa.int64()), pa.array(links[:, 1], pa.int64())], ["a", "b"])
-
-        for u, v in close_parts(at, np.unique(unit[homes]), np.unique(unit[others]), radius):
-            on = unit_class[u] != unit_class[v]
-            if on.any():
-                yield from expanded(u[on], v[on])
+        if len(group):
+            yield from search(group)
 
     rows = leaf_rows(points, radius, leaf_points=leaf_points)
     dealt = rows.repartition(task_count(points.sparkSession), "view", "leaf", "i", "j")
-    return dealt.groupBy("view", "leaf", "i", "j").applyInArrow(search, "a long, b long").distinct()
+    return dealt.groupBy("view", "leaf", "i", "j").applyInArrow(each, schema).distinct()
+
+
+def open_nodes(points: DataFrame, radius: int, sketch_radius: int, *, leaf_points: int) -> DataFrame:
+    """The nodes that have a candidate in another class: a row each, however many candidates there are."""
+
+    def search(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        node = group.column("node").to_numpy()
+        seen = np.zeros(len(node), bool)
+        for x, y in other_pairs(group, radius, sketch_radius, lambda x, y: ~(seen[x] & seen[y])):
+            seen[x] = seen[y] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[seen]), pa.int64())], ["node"])
+
+    return by_leaf(points, radius, search, "node long", leaf_points=leaf_points)
+
+
+def other_candidates(points: DataFrame, radius: int, sketch_radius: int, *, leaf_points: int, similarity: float | None = None) -> DataFrame:
+    """All candidate links (a, b), a < b, whose ends differ in ``class``: none is left out, however many there are.
+
+    With a ``similarity`` the points hold ``n`` and ``parity`` of their sets of shingles, and links that these prove to be
+    less similar are left out: two sets differ in no fewer elements than their parities in bits.
+    Links are given back in parts of bounded size.
+    """
+
+    def search(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        node = group.column("node").to_numpy()
+        if similarity is not None:
+            sizes, parity = group.column("n").to_numpy().astype(np.int64), packed(group, "parity", PARITY_BITS)
+
+        def wanted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            if similarity is None:
+                return np.ones(len(x), bool)
+            return np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y])
+
+        for x, y in other_pairs(group, radius, sketch_radius, wanted):
+            if similarity is not None:
+                apart = np.concatenate([np.bitwise_count(parity[x[i : i + PART_ROWS]] ^ parity[y[i : i + PART_ROWS]]).sum(1, dtype=np.int64) for i in range(0, len(x) or 1, PART_ROWS)])
+                # Similar sets differ in at most this share of both sizes; a little more allows for rounding.
+                on = apart <= (1 - similarity) / (1 + similarity) * (sizes[x] + sizes[y]) + 1e-6
+                x, y = x[on], y[on]
+            x, y = node[x], node[y]
+            links = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0], pa.int64()), pa.array(links[:, 1], pa.int64())], ["a", "b"])
+
+    return by_leaf(points, radius, search, "a long, b long", leaf_points=leaf_points)
 
 
 def text_key(text: Column) -> list[Column]:
@@ -412,27 +468,40 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(whole).alias("key_1"), F.xxhash64(F.lit("second"), whole).alias("key_2")]
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, n, shingles) of the texts of ``nodes`` (node, least, key_1, key_2), written; ``docs`` is (doc_id, text)."""
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit for each of ``PARITY_BITS`` parts of the space of hashes: whether it holds an odd number of these."""
+    counts = np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits(counts.astype(np.uint8) & 1).tobytes()
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """(node, n, shingles, parity) of the texts of ``ends`` (node), written.
+
+    ``docs`` is (doc_id, text), ``nodes`` (node, least, key_1, key_2).
+    """
+    nodes = written(nodes.join(ends, "node"), "similar-ends")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
-            found = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column("text").to_pylist()]
-            counts = pa.array([len(f) for f in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), counts, pa.array(found, pa.list_(pa.int64()))], ["node", "n", "shingles"])
+            found = [np.unique(shingle_hashes(t, size)) for t in batch.column("text").to_pylist()]
+            counts, parities = pa.array([len(f) for f in found], pa.int32()), pa.array([parity(f) for f in found], pa.binary())
+            sets = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), counts, sets, parities], ["node", "n", "shingles", "parity"])
 
     # Only texts of ``nodes``, and few others, are shuffled.
     keyed = marked(docs.select("doc_id", "text", *text_key(F.col("text"))), nodes, nodes.count(), key="key_1", flag="met").where("met").drop("met")
     keyed = keyed.join(nodes, ["key_1", "key_2"])
     # Of copies the one with the smallest id, of repeated rows any: they have one text.
     one = keyed.where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.first("text").alias("text"))
-    return written(one.mapInArrow(each, "node long, n int, shingles array<long>"), "shingle-sets")
+    return written(one.mapInArrow(each, "node long, n int, shingles array<long>, parity binary"), "shingle-sets")
+
+
+def ends_of(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def verified(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose sets of shingles are similar enough; texts without words are all alike."""
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = shingle_sets(docs, written(nodes.join(ends, "node"), "similar-ends"), size)
+def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose ``sets`` of shingles are similar enough; texts without words are all alike."""
     both = candidates
     for end in ("a", "b"):
         both = both.join(sets.select(F.col("node").alias(end), F.col("n").alias("n_" + end)), end)
@@ -460,8 +529,9 @@ def similar_texts(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, ra
     ``VIEWS`` independent short fingerprints, each with a vantage-point tree of its own, and two texts are candidates
     if one view is within ``radius`` bits and their sketches agree. Candidates link if the exact Jaccard similarity
     of their sets of shingles is high enough: first each text with its smallest neighbour, then with its nearest and
-    its leader, then with every other candidate, each time only where these are not in its class yet. So no
-    candidate is left out: it was compared, or its two texts are in one class.
+    its leader, then with every other candidate, each time only where these are not in its class yet. The last ones
+    are listed only if sizes and parities of the sets leave open whether they are similar. So no
+    candidate is left out: it was compared, or proved to be less similar, or its two texts are in one class.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,7 +545,7 @@ def similar_texts(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, ra
             raw = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, -1)
             points = np.ascontiguousarray(raw[:, :head]).view(">u4").astype(np.int64)
             sketch = pa.array([s.tobytes() for s in raw[:, head:]], pa.binary())
-            own = {"node": batch.column("node"), "sketch": sketch} | ({"class": batch.column("class")} if "class" in batch.schema.names else {})
+            own = {"node": batch.column("node"), "sketch": sketch} | {c: batch.column(c) for c in ("class", "n", "parity") if c in batch.schema.names}
             for view in range(VIEWS):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, view), pa.int32()), pa.array(points[:, view]), *own.values()], ["view", "point", *own])
 
@@ -487,18 +557,25 @@ def similar_texts(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, ra
     points = written(signatures.mapInArrow(views, "view int, point long, node long, sketch binary"), "signature-points")
     found = written(candidate_links(points, radius, sketch_radius(similarity), leaf_points=leaf_points), "similar-candidates")
     first = found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    sure = verified(first, docs, nodes, size, similarity)
+    sure = verified(first, shingle_sets(docs, nodes, ends_of(first), size), similarity)
     joined = components(sure, "similar-classes")
     more = written(between_classes(found.join(first, ["a", "b"], "left_anti"), joined), "similar-others")
     if not more.isEmpty():
-        sure = sure.unionByName(verified(more, docs, nodes, size, similarity))
+        sure = sure.unionByName(verified(more, shingle_sets(docs, nodes, ends_of(more), size), similarity))
         joined = components(sure, "similar-classes")
     classed = signatures.join(joined, "node", "left").select("node", "signature", F.coalesce("component", "node").alias("class"))
+    classed = written(classed, "signature-classes")
     points = written(classed.mapInArrow(views, "view int, point long, node long, sketch binary, class long"), "signature-points")
-    rest = other_candidates(points, radius, sketch_radius(similarity), leaf_points=leaf_points)
-    rest = written(rest.join(found, ["a", "b"], "left_anti"), "similar-rest")
-    if not rest.isEmpty():
-        joined = components(sure.unionByName(verified(rest, docs, nodes, size, similarity)), "similar-classes")
+    left = written(open_nodes(points, radius, sketch_radius(similarity), leaf_points=leaf_points), "similar-open")
+    if not left.isEmpty():
+        # Only texts with a candidate in another class are compared again, with what their shingles prove about pairs.
+        sets = shingle_sets(docs, nodes, left, size)
+        points = classed.join(sets.select("node", "n", "parity"), "node")
+        points = written(points.mapInArrow(views, "view int, point long, node long, sketch binary, class long, n int, parity binary"), "signature-points")
+        rest = other_candidates(points, radius, sketch_radius(similarity), leaf_points=max(1, leaf_points // 8), similarity=similarity)
+        rest = written(rest.join(found, ["a", "b"], "left_anti"), "similar-rest")
+        if not rest.isEmpty():
+            joined = components(sure.unionByName(verified(rest, sets, similarity)), "similar-classes")
     return nodes.join(joined, "node", "left").select("key_1", "key_2", F.coalesce("component", "node").alias("class"), "least", "rows")
 
 

@@ -99,3 +99,34 @@ def test_kept_rows_with_clashing_columns_stay_as_they_are(spark):
     kept = vp_dedup.keep_one(docs)
     assert kept.schema == docs.schema
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], *rows[3:]]))
+
+
+def test_texts_just_below_the_similarity_are_not_listed_pair_by_pair(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base, rows = [f"b{i}" for i in range(80)], []
+    for d in range(300):
+        # One word each: texts changed at one place are alike by 0.87, others by 0.77.
+        text, at = list(base), 5 + 5 * (d % 14)
+        text[at] = f"own{rng.integers(1 << 40)}"
+        rows.append((d, " ".join(text)))
+    listed, written = {}, vp_dedup.written
+
+    def counted(df, purpose):
+        df = written(df, purpose)
+        listed[purpose] = listed.get(purpose, 0) + df.count()
+        return df
+
+    monkeypatch.setattr(vp_dedup, "written", counted)
+    found = vp_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {d: d % 14 for d in range(300)}
+    assert listed["similar-rest"] <= 4 * len(rows)
+
+
+def test_parities_never_differ_more_than_sets():
+    rng = np.random.default_rng(6)
+    for size in (0, 1, 50, 5000):
+        one = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        two = np.unique(np.concatenate([one[: size // 2], rng.integers(0, 1 << 63, size // 3, np.uint64)]))
+        bits = [np.frombuffer(vp_dedup.parity(x), np.uint8) for x in (one, two)]
+        assert len(bits[0]) * 8 == vp_dedup.PARITY_BITS
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(one, two))
