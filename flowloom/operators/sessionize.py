@@ -120,9 +120,11 @@ def split_tails(tails: DataFrame, timeout_ns: int) -> DataFrame:
     )
 
 
-def _cold_flows(packets: DataFrame, timeout_ns: int) -> DataFrame:
+def _cold_flows(packets: DataFrame, timeout_ns: int, tails: bool = True) -> DataFrame:
     marked = mark_pieces(packets, timeout_ns)
     heads = marked.filter(~F.col("tail")).withColumnRenamed("piece", "open_pkt").drop("tail")
+    if not tails:
+        return heads
     tails = split_tails(marked.filter(F.col("tail")), timeout_ns)
     return heads.unionByName(tails)
 
@@ -143,11 +145,15 @@ def number_packets(labelled: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Hot:
-    """Conversations with more rows than a task should hold, and the labels of their packets."""
+    """Conversations with more rows than a task should hold, and the labels of their packets.
 
-    tuples: DataFrame
+    ``tails`` is false if no conversation lasts longer than the timeout, so that none has a tail.
+    """
+
+    tuples: DataFrame | None
     on: list[str]
-    labels: DataFrame
+    labels: DataFrame | None
+    tails: bool = True
 
 
 def _matched(keyed: DataFrame, tuples_: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -159,19 +165,21 @@ def _matched(keyed: DataFrame, tuples_: DataFrame, on: list[str], how: str) -> D
 def find_hot(packets: DataFrame, timeout_ns: int, hot_rows: int | None) -> Hot | None:
     """Look for conversations with more than ``hot_rows`` packets and label them.
 
-    One narrow aggregate with map-side combine decides; ``hot_rows=None`` skips it when the
-    caller knows that no conversation is large.
+    One narrow aggregate with map-side combine decides, and tells whether any conversation lasts
+    longer than the timeout; ``hot_rows=None`` skips it when the caller knows that no conversation is large.
     """
     tuples.require_order(packets)
     if hot_rows is None:
         return None
     keyed = tuples.with_tuple(tuples.parsed_packets(packets.select(*LABEL_COLUMNS)))
-    large = F.col("count") > hot_rows
-    found = keyed.groupBy(*TUPLE_KEY).count().filter(large).select(*TUPLE_KEY).persist()
+    span = F.coalesce(F.try_subtract(F.max("ts_ns"), F.min("ts_ns")), F.lit(2**63 - 1))
+    seen = keyed.groupBy(*TUPLE_KEY).agg(F.count(F.lit(1)).alias("count"), span.alias("span"))
+    most, longest = seen.agg(F.max("count"), F.max("span")).first()
+    tails = longest is not None and longest > timeout_ns
+    if most is None or most <= hot_rows:
+        return None if tails else Hot(None, [], None, tails)
+    found = seen.filter(F.col("count") > hot_rows).select(*TUPLE_KEY).persist()
     size = found.count()
-    if size == 0:
-        found.unpersist()
-        return None
     on = list(TUPLE_KEY)
     if size <= BROADCAST_TUPLES:
         found = F.broadcast(found)
@@ -181,7 +189,7 @@ def find_hot(packets: DataFrame, timeout_ns: int, hot_rows: int | None) -> Hot |
         found = found.withColumn(SALT, salts.cast("long"))
         on.append(SALT)
     labels = hot_path.label_hot(_matched(keyed, found, on, "left_semi"), timeout_ns, hot_rows)
-    return Hot(found, on, labels)
+    return Hot(found, on, labels, tails)
 
 
 def assign_flows(packets: DataFrame, timeout_ns: int, hot: Hot | None) -> tuple[DataFrame, DataFrame | None]:
@@ -190,9 +198,9 @@ def assign_flows(packets: DataFrame, timeout_ns: int, hot: Hot | None) -> tuple[
     Select the columns you need beforehand: all of them take part in the shuffle.
     """
     keyed = tuples.with_tuple(tuples.parsed_packets(packets))
-    if hot is None:
-        return _cold_flows(keyed, timeout_ns), None
-    cold = _cold_flows(_matched(keyed, hot.tuples, hot.on, "left_anti"), timeout_ns)
+    if hot is None or hot.tuples is None:
+        return _cold_flows(keyed, timeout_ns, hot is None or hot.tails), None
+    cold = _cold_flows(_matched(keyed, hot.tuples, hot.on, "left_anti"), timeout_ns, hot.tails)
     return cold, _matched(keyed, hot.tuples, hot.on, "left_semi").join(hot.labels, ["capture_id", "pkt_no"])
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from flowloom.operators import sessionize
 from flowloom.operators.meter import meter_flows
 from flowloom.operators.sessionize import label_packets
 from flowloom.plans.fixtures import event_packets
@@ -165,3 +166,24 @@ def test_event_totals(spark, sf_dir):
 def test_order_is_required(spark):
     with pytest.raises(ValueError, match="pkt_no"):
         label_packets(frame(spark, [packet(0, 0)]).drop("pkt_no"))
+
+
+def test_short_conversations_are_walked_once(spark):
+    """Only a conversation that lasts longer than the timeout can have a tail, which takes a second pass."""
+    limit = 120 * SEC
+    rows = [packet(no, no * limit // 20, "AF" if no % 7 == 0 else "A") for no in range(21)]
+    found = sessionize.find_hot(frame(spark, rows), limit, 1000)
+    assert found is not None and not found.tails and found.labels is None
+    assert labels(label_packets(frame(spark, rows))) == model.label(rows)
+    plan = label_packets(frame(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    # A nanosecond more, in a segment without a hard cut, and there is one.
+    rows = [packet(no, no * (limit // 20) + (no == 20), "A") for no in range(21)]
+    assert sessionize.find_hot(frame(spark, rows), limit, 1000) is None
+    assert labels(label_packets(frame(spark, rows))) == model.label(rows)
+
+
+def test_short_hot_conversations_match_model(spark):
+    rows = [packet(no, no * SEC, "AF" if no % 7 == 0 else "A") for no in range(60)]
+    assert not sessionize.find_hot(frame(spark, rows), 120 * SEC, 30).tails
+    assert labels(label_packets(frame(spark, rows), hot_rows=30)) == model.label(rows)
