@@ -148,18 +148,19 @@ class Hot:
     """Conversations with more rows than a task should hold, and the labels of their packets.
 
     ``tails`` is false if no conversation lasts longer than the timeout, so that none has a tail.
+    ``salts`` is over 1 if ``tuples`` has a row of each conversation and salt.
     """
 
     tuples: DataFrame | None
-    on: list[str]
+    salts: int
     labels: DataFrame | None
     tails: bool = True
 
 
-def _matched(keyed: DataFrame, tuples_: DataFrame, on: list[str], how: str) -> DataFrame:
-    if SALT in on:
-        keyed = keyed.withColumn(SALT, F.pmod("pkt_no", F.lit(SALTS)))
-    return keyed.join(tuples_, on, how).drop(SALT)
+def _matched(keyed: DataFrame, tuples_: DataFrame, salts: int, how: str) -> DataFrame:
+    if salts == 1:
+        return keyed.join(tuples_, TUPLE_KEY, how)
+    return keyed.withColumn(SALT, F.pmod("pkt_no", F.lit(salts))).join(tuples_, [*TUPLE_KEY, SALT], how).drop(SALT)
 
 
 def find_hot(packets: DataFrame, timeout_ns: int, hot_rows: int | None) -> Hot | None:
@@ -177,19 +178,18 @@ def find_hot(packets: DataFrame, timeout_ns: int, hot_rows: int | None) -> Hot |
     most, longest = seen.agg(F.max("count"), F.max("span")).first()
     tails = longest is not None and longest > timeout_ns
     if most is None or most <= hot_rows:
-        return None if tails else Hot(None, [], None, tails)
+        return None if tails else Hot(None, 1, None, tails)
     found = seen.filter(F.col("count") > hot_rows).select(*TUPLE_KEY).persist()
     size = found.count()
-    on = list(TUPLE_KEY)
+    salts = 1
     if size <= BROADCAST_TUPLES:
         found = F.broadcast(found)
-    else:
-        # Spread each hot key over many join keys instead.
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        found = found.withColumn(SALT, salts.cast("long"))
-        on.append(SALT)
-    labels = hot_path.label_hot(_matched(keyed, found, on, "left_semi"), timeout_ns, hot_rows)
-    return Hot(found, on, labels, tails)
+    elif most > HOT_ROWS:
+        # Spread each key over as many join keys as the largest conversation needs tasks.
+        salts = min(SALTS, -(-most // HOT_ROWS))
+        found = found.withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    labels = hot_path.label_hot(_matched(keyed, found, salts, "left_semi"), timeout_ns, hot_rows)
+    return Hot(found, salts, labels, tails)
 
 
 def assign_flows(packets: DataFrame, timeout_ns: int, hot: Hot | None) -> tuple[DataFrame, DataFrame | None]:
@@ -200,8 +200,8 @@ def assign_flows(packets: DataFrame, timeout_ns: int, hot: Hot | None) -> tuple[
     keyed = tuples.with_tuple(tuples.parsed_packets(packets))
     if hot is None or hot.tuples is None:
         return _cold_flows(keyed, timeout_ns, hot is None or hot.tails), None
-    cold = _cold_flows(_matched(keyed, hot.tuples, hot.on, "left_anti"), timeout_ns, hot.tails)
-    return cold, _matched(keyed, hot.tuples, hot.on, "left_semi").join(hot.labels, ["capture_id", "pkt_no"])
+    cold = _cold_flows(_matched(keyed, hot.tuples, hot.salts, "left_anti"), timeout_ns, hot.tails)
+    return cold, _matched(keyed, hot.tuples, hot.salts, "left_semi").join(hot.labels, ["capture_id", "pkt_no"])
 
 
 def label_packets(

@@ -187,3 +187,14 @@ def test_short_hot_conversations_match_model(spark):
     rows = [packet(no, no * SEC, "AF" if no % 7 == 0 else "A") for no in range(60)]
     assert not sessionize.find_hot(frame(spark, rows), 120 * SEC, 30).tails
     assert labels(label_packets(frame(spark, rows), hot_rows=30)) == model.label(rows)
+
+
+@pytest.mark.parametrize("most", [5, 1000])
+def test_long_list_of_hot_conversations(spark, monkeypatch, most):
+    """A list too long to broadcast is joined by key, or by key and salt if a conversation has more rows than a task should hold."""
+    monkeypatch.setattr(sessionize, "BROADCAST_TUPLES", 0)
+    monkeypatch.setattr(sessionize, "HOT_ROWS", most)
+    rows = random_packets(8, 300, 0.1)
+    found = sessionize.find_hot(frame(spark, rows), 120 * SEC, 10)
+    assert found.labels is not None and (found.salts > 1) == (most == 5)
+    assert labels(label_packets(frame(spark, rows), hot_rows=10)) == model.label(rows)
