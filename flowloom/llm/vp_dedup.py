@@ -179,10 +179,46 @@ def close_pairs(points: np.ndarray, homes: np.ndarray, others: np.ndarray, radiu
         found(a, b)
 
 
-def leaf_rows(points: DataFrame, radius: int, *, leaf_points: int = LEAF_POINTS) -> DataFrame:
+def short_parts(points: np.ndarray, homes: np.ndarray, others: np.ndarray, radius: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of ``close_parts`` for many points of few ``bits``, where a sphere prunes little.
+
+    Two points within the radius have one of radius + 1 blocks of bits in common. Points are searched among those
+    that share a block's value, by a tree where these are many; a pair counts at its first such block.
+    """
+    rng = np.random.default_rng(0)
+    if len(homes) <= BRUTE_POINTS:
+        yield from close_parts(points, homes, others, radius, rng)
+        return
+    bounds = [bits * k // (radius + 1) for k in range(radius + 2)]
+    masks = [points.dtype.type((1 << high) - (1 << low)) for low, high in zip(bounds, bounds[1:])]
+    held, size = [], 0
+    for k, mask in enumerate(masks):
+        of_homes, of_others = points[homes] & mask, points[others] & mask
+        h, o = homes[np.argsort(of_homes, kind="stable")], others[np.argsort(of_others, kind="stable")]
+        of_homes.sort()
+        of_others.sort()
+        values, begins = np.unique(of_homes, return_index=True)
+        low, high = (np.searchsorted(of_others, values, side).tolist() for side in ("left", "right"))
+        for begin, end, x, y in zip(begins.tolist(), [*begins[1:].tolist(), len(h)], low, high):
+            for a, b in close_parts(points, h[begin:end], o[x:y], radius, rng):
+                apart = points[a] ^ points[b]
+                fresh = np.ones(len(a), bool)
+                for before in masks[:k]:
+                    fresh &= (apart & before) != 0
+                held.append((a[fresh], b[fresh]))
+                size += len(held[-1][0])
+                if size >= PART_LINKS:
+                    yield tuple(np.concatenate(x) for x in zip(*held))
+                    held, size = [], 0
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def leaf_rows(points: DataFrame, radius: int, *, leaf_points: int = LEAF_POINTS, most_rows: int | None = None) -> DataFrame:
     """Rows (view, leaf, row block, column block, home, point, node[, sketch][, class][, n][, parity]) for the leaf tasks.
 
-    ``points`` is a durable table of (view, point) with the node that stands for it.
+    ``points`` is a durable table of (view, point) with the node that stands for it. Leaves with more than ``most_rows``
+    (twice ``leaf_points``) are cut.
     """
     spark = points.sparkSession
     sizes = {r["view"]: r["n"] for r in points.groupBy("view").agg(F.count("*").alias("n")).collect()}
@@ -214,7 +250,7 @@ def leaf_rows(points: DataFrame, radius: int, *, leaf_points: int = LEAF_POINTS)
                 yield pa.RecordBatch.from_arrays(arrays, ["view", "leaf", "home", *carried])
 
     spread_rows = points.mapInArrow(spread, schema)
-    counts = spread_rows.groupBy("view", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf_points)
+    counts = spread_rows.groupBy("view", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > (most_rows or 2 * leaf_points))
     blocks = {(r["view"], r["leaf"]): -(-r["n"] // (2 * leaf_points)) for r in counts.collect()}
     known = F.create_map(*[F.lit(x) for (v, leaf), k in blocks.items() for x in (f"{v} {leaf}", k)]) if blocks else None
     many = F.coalesce(known[F.concat_ws(" ", "view", "leaf")], F.lit(1)) if blocks else F.lit(1)
@@ -308,20 +344,22 @@ def candidate_links(points: DataFrame, radius: int, sketch_radius: int, *, leaf_
 
     Neighbours are points within ``radius`` whose sketches differ in at most ``sketch_radius`` bits; the nearest
     is that of the closest sketch. Rows of a crowded point that a leader stands for link to it. So a group of
-    any size gives a few links a row, not its pairs.
+    any size gives a few links a row, not its pairs. A row (a, a) names a node that may have neighbours besides
+    those listed: it has more of them, or is near a crowded point. Of a pair that is not listed both nodes are named.
     """
 
     def search(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("node")
         node, spots = group.column("node").to_numpy(), group.column("point").to_numpy().view(np.uint64)
         home, other = (group.column(c).to_numpy(zero_copy_only=False) for c in ("home", "other"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), SKETCH_BITS // 64)
+        sketch, short = packed(group, "sketch", SKETCH_BITS), spots.astype(np.uint32)
         rows, leaders = covered(spots, sketch, sketch_radius // 3)
         alone = np.ones(len(node), bool)
         alone[rows] = False
         none = 1 << 60
         # Rows are in order of node, so the smallest neighbour has the smallest position.
         smallest, nearest = np.full(len(node), none), np.full(len(node), none)
+        count = np.zeros(len(node), np.int64)
 
         def found(all_a: np.ndarray, all_b: np.ndarray) -> None:
             for begin in range(0, len(all_a), 1 << 18):
@@ -332,16 +370,27 @@ def candidate_links(points: DataFrame, radius: int, sketch_radius: int, *, leaf_
                 for x, y in ((a, b), (b, a)):
                     np.minimum.at(smallest, x, y)
                     np.minimum.at(nearest, x, apart + y)
+                # Two homes meet twice.
+                once = (a < b) | ~(home[b] & other[a])
+                for x in (a[once], b[once]):
+                    np.add.at(count, x, 1)
 
-        close_pairs(spots, np.flatnonzero(home & alone), np.flatnonzero(other & alone), radius, found)
+        for a, b in short_parts(short, np.flatnonzero(home & alone), np.flatnonzero(other & alone), radius, VIEW_BITS):
+            found(a, b)
         own = np.flatnonzero(smallest < none)
+        more = count > (smallest < none).astype(np.int64) + (smallest != nearest & ((1 << 40) - 1))
+        if len(rows):
+            crowds = rows[np.unique(spots[rows], return_index=True)[1]]
+            more[crowds] = True
+            for a, b in short_parts(short, crowds, np.arange(len(node)), radius, VIEW_BITS):
+                more[b] = True
         at = np.concatenate([own, own, rows])
         to = np.concatenate([smallest[own], nearest[own] & ((1 << 40) - 1), leaders])
         on = node[at] != node[to]
         low, high = np.minimum(node[at], node[to])[on], np.maximum(node[at], node[to])[on]
-        return pa.table({"a": low, "b": high})
+        return pa.table({"a": np.concatenate([low, node[more]]), "b": np.concatenate([high, node[more]])})
 
-    rows = leaf_rows(points, radius, leaf_points=leaf_points)
+    rows = leaf_rows(points, radius, leaf_points=leaf_points, most_rows=4 * leaf_points)
     dealt = rows.repartition(task_count(points.sparkSession), "view", "leaf", "i", "j")
     return dealt.groupBy("view", "leaf", "i", "j").applyInArrow(search, "a long, b long").distinct()
 
@@ -373,7 +422,7 @@ def other_pairs(group: pa.Table, radius: int, sketch_radius: int, wanted: Callab
     # A unit is the rows of one point and class.
     by_spot, by_class = (np.unique(x, return_inverse=True)[1] for x in (spots, own))
     _, first, unit = np.unique(by_spot * len(own) + by_class, return_index=True, return_inverse=True)
-    at, unit_class = spots[first].view(np.uint64), own[first]
+    at, unit_class = spots[first].astype(np.uint32), own[first]
     homes, others = (np.flatnonzero(m)[np.argsort(unit[m], kind="stable")] for m in (home, other))
     bounds = np.arange(len(first) + 1)
     of_homes, of_others = np.searchsorted(unit[homes], bounds), np.searchsorted(unit[others], bounds)
@@ -394,7 +443,7 @@ def other_pairs(group: pa.Table, radius: int, sketch_radius: int, wanted: Callab
                 on = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= sketch_radius
                 yield x[on], y[on]
 
-    for u, v in close_parts(at, np.unique(unit[homes]), np.unique(unit[others]), radius):
+    for u, v in short_parts(at, np.unique(unit[homes]), np.unique(unit[others]), radius, VIEW_BITS):
         on = unit_class[u] != unit_class[v]
         if on.any():
             yield from expanded(u[on], v[on])
@@ -402,7 +451,10 @@ def other_pairs(group: pa.Table, radius: int, sketch_radius: int, wanted: Callab
 
 def packed(group: pa.Table, column: str, bits: int) -> np.ndarray:
     """A column of byte strings of one size as rows of 64-bit words."""
-    return np.frombuffer(b"".join(group.column(column).to_pylist()), np.uint64).reshape(group.num_rows, bits // 64)
+    values = group.column(column).combine_chunks()
+    values = values.cast(pa.large_binary()) if isinstance(values, pa.Array) else pa.concat_arrays([c.cast(pa.large_binary()) for c in values.chunks])
+    begin = np.frombuffer(values.buffers()[1], np.int64)[values.offset] if len(values) else 0
+    return np.frombuffer(values.buffers()[2] or b"", np.uint64, len(values) * bits // 64, begin).reshape(len(values), bits // 64)
 
 
 def by_leaf(points: DataFrame, radius: int, search: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, *, leaf_points: int) -> DataFrame:
@@ -413,7 +465,7 @@ def by_leaf(points: DataFrame, radius: int, search: Callable[[pa.Table], Iterato
         if len(group):
             yield from search(group)
 
-    rows = leaf_rows(points, radius, leaf_points=leaf_points)
+    rows = leaf_rows(points, radius, leaf_points=leaf_points, most_rows=4 * leaf_points)
     dealt = rows.repartition(task_count(points.sparkSession), "view", "leaf", "i", "j")
     return dealt.groupBy("view", "leaf", "i", "j").applyInArrow(each, schema).distinct()
 
@@ -556,6 +608,8 @@ def similar_texts(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, ra
     signatures, nodes = nodes.select("node", "signature"), nodes.drop("signature")
     points = written(signatures.mapInArrow(views, "view int, point long, node long, sketch binary"), "signature-points")
     found = written(candidate_links(points, radius, sketch_radius(similarity), leaf_points=leaf_points), "similar-candidates")
+    # The ends of a candidate that is not listed; the others need not be searched again.
+    unlisted, found = found.where("a = b").select(F.col("a").alias("node")), found.where("a <> b")
     first = found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     sure = verified(first, shingle_sets(docs, nodes, ends_of(first), size), similarity)
     joined = components(sure, "similar-classes")
@@ -563,7 +617,7 @@ def similar_texts(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, ra
     if not more.isEmpty():
         sure = sure.unionByName(verified(more, shingle_sets(docs, nodes, ends_of(more), size), similarity))
         joined = components(sure, "similar-classes")
-    classed = signatures.join(joined, "node", "left").select("node", "signature", F.coalesce("component", "node").alias("class"))
+    classed = signatures.join(unlisted, "node").join(joined, "node", "left").select("node", "signature", F.coalesce("component", "node").alias("class"))
     classed = written(classed, "signature-classes")
     points = written(classed.mapInArrow(views, "view int, point long, node long, sketch binary, class long"), "signature-points")
     left = written(open_nodes(points, radius, sketch_radius(similarity), leaf_points=leaf_points), "similar-open")
