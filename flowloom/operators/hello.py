@@ -254,7 +254,8 @@ def first_hellos(
 def _first_hellos(packets: DataFrame, timeout_ns: int, hot: Hot | None, sizes: Sizes | None = None) -> DataFrame:
     index = durable(payload_index(packets, timeout_ns, hot, sizes))
     last, talks = index.agg(F.max("batch"), F.approx_count_distinct("talk")).first()
-    parts = index.drop("talk").join(eligible_payloads(packets, index, talks), ["capture_id", "pkt_no"])
+    # The index grows with the flows; by the size of a small file behind it it would be broadcast from the driver.
+    parts = index.drop("talk").hint("merge").join(eligible_payloads(packets, index, talks), ["capture_id", "pkt_no"])
     if last:
         # Payloads are fetched once for all rounds; each round reads the files of its own batch.
         folder = scratch_folder(packets.sparkSession, "payload-batches")

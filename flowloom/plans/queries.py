@@ -168,7 +168,7 @@ def _resumed(early: DataFrame, flows: DataFrame, stream: DataFrame, folder: str,
     flows = durable(flows)
     state = durable(handover(early, flows))
     versions = meter_stream(stream, with_tls=with_tls, emit_open=False, initial=state)
-    carried = state.filter("is_open = 1").select("capture_id", "open_pkt")
+    carried = state.filter("is_open = 1").select("capture_id", "open_pkt").hint("merge")
     done = flows.join(carried, ["capture_id", "open_pkt"], "left_anti")
     return done.unionByName(_metered(versions, folder, with_tls))
 

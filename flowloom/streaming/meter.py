@@ -437,7 +437,8 @@ def handover(packets: DataFrame, flows: DataFrame, timeout_ns: int = ACTIVE_TIME
         F.count_if(side).alias("lo_flows"), F.count_if(~side).alias("hi_flows"), F.max_by(F.struct(*named), "open_pkt").alias("last")
     )
     parsed = tuples.with_tuple(tuples.parsed_packets(packets.select("capture_id", "pkt_no", "src_ip", "dst_ip", "src_port", "dst_port", "proto")))
-    last = last.join(parsed.groupBy(*TUPLE_KEY).agg(F.max("pkt_no").alias("last_pkt")), TUPLE_KEY)
+    # All these tables grow with the conversations; by the size of a small file behind them they would be broadcast from the driver.
+    last = last.join(parsed.groupBy(*TUPLE_KEY).agg(F.max("pkt_no").alias("last_pkt")).hint("merge"), TUPLE_KEY)
     rows = last.select(*TUPLE_KEY, "lo_flows", "hi_flows", "last_pkt", "last.*")
     closed = tuples.is_tcp() & ((F.col("tcp_fin_total") + F.col("tcp_rst_total")) > 0)
     rows = rows.withColumns({"is_open": (~closed).cast("long"), "client_is_lo": F.col("client_is_lo").cast("long")})
@@ -448,9 +449,9 @@ def handover(packets: DataFrame, flows: DataFrame, timeout_ns: int = ACTIVE_TIME
     wanted = rows.filter((F.col("is_open") == 1) & F.col("hello").isNull() & tuples.is_tcp()).select("capture_id", "open_pkt")
     labels = label_packets(packets, timeout_ns, hot_rows).filter("c2s").select("capture_id", "open_pkt", "pkt_no")
     bytes_ = packets.filter(tuples.is_tcp() & (F.col("payload_len") > 0)).select("capture_id", "pkt_no", "seq", "payload")
-    segments = labels.join(wanted, ["capture_id", "open_pkt"], "left_semi").join(bytes_, ["capture_id", "pkt_no"])
+    segments = labels.join(wanted.hint("merge"), ["capture_id", "open_pkt"], "left_semi").join(bytes_.hint("merge"), ["capture_id", "pkt_no"])
     searched = hello_search.open_searches(segments).withColumnRenamed("hello", "_hello")
-    rows = rows.withColumns({n: F.col("hello")[n] for n in HELLO_FIELDS}).join(searched, ["capture_id", "open_pkt"], "left")
+    rows = rows.withColumns({n: F.col("hello")[n] for n in HELLO_FIELDS}).join(searched.hint("merge"), ["capture_id", "open_pkt"], "left")
     return rows.select(*TUPLE_KEY, *STATE_FIELDS, *SUMS, *HELLO_FIELDS, *CARRIED)
 
 

@@ -15,6 +15,7 @@ from flowloom.schema import PACKET_SCHEMA, TUPLE_KEY
 from flowloom.streaming import meter
 from flowloom.streaming.chunks import FLAGS, SEGMENT, pack
 from flowloom.streaming.conversation import STATE_FIELDS, SUMS
+from flowloom.session import durable
 from flowloom.streaming.meter import append_versions, handover, latest_flows, meter_stream, open_flows, stream_packets
 from tests.test_sessionize import frame, random_packets
 from tests.test_tls import HELLO
@@ -273,3 +274,11 @@ def test_stream_goes_on_behind_a_batch(spark, tmp_path, cut):
     carried = state.filter("is_open = 1").select("capture_id", "open_pkt")
     got = ended.unionByName(open_).unionByName(flows.join(carried, ["capture_id", "open_pkt"], "left_anti"))
     assert sorted(got.select(*FLOW_COLUMNS).collect()) == sorted(meter_flows(frame(spark, rows)).collect())
+
+
+def test_handover_broadcasts_no_table_of_conversations(spark, sf_dir):
+    """The file behind a table may be small, the table is not: it would be built whole in the driver's memory."""
+    early = customers(spark, sf_dir).filter(F.expr("pkt_no div 1000000000") < 4)
+    state = handover(early, durable(flow_table(early)))
+    assert "BroadcastHashJoin" not in state._jdf.queryExecution().sparkPlan().toString()
+    assert state.count() == early.select("src_port").filter("src_port <> 443").distinct().count()
